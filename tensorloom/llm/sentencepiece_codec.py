@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tensorloom.llm.tokens import ChunkEncoder, batches_of
 
@@ -51,7 +52,9 @@ class Pieces:
                 self.bytes[int(self.text[i][3:5], 16)] = i
         self.fallback = bool((self.bytes != self.unk).all())
         self.longest = max(len(self.text[i]) for i in normal)
-        self.powers = np.concatenate([[1], np.cumprod(np.full(self.longest + 1, _BASE, np.uint64), dtype=np.uint64)]).astype(np.uint64)
+        self.powers = np.full(self.longest + 2, _BASE, np.uint64)
+        self.powers[0] = 1
+        self.powers = np.cumprod(self.powers, dtype=np.uint64)
         keys = np.array([self._key(self.text[i]) for i in normal], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(normal, np.int64)[order]
@@ -231,15 +234,16 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def sentencepiece_decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, text) for each row of (doc_id, ids, ...). Null ids: null."""
-    slim = encoded.select("doc_id", "ids")
+def sentencepiece_decode(encoded: DataFrame, model_path: str, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, text) and the columns to keep for each row of (doc_id, ids, ...). Null ids: null text."""
+    keep = ["doc_id", *(keep or [])]
+    slim = encoded.select(*keep, "ids")
 
     def run(batches):
         encoder = SentencePieceEncoder(model_path)
         for batch in batches:
             rows = batch.column("ids")
             texts = [None if not r.is_valid else encoder.decode(r.values.to_numpy(zero_copy_only=False).astype(np.int64)) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text string")
+    return slim.mapInArrow(run, T.StructType([*slim.select(*keep).schema.fields, T.StructField("text", T.StringType())]))

@@ -114,7 +114,7 @@ def url_filter(pages: DataFrame, rules: list[Rule], default: str = "allow", id_c
     slim = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     keys = _candidates(sorted({len(r.path) for r in rules}), max([1, *(r.host.count(".") + 1 for r in rules)]))
     slim = slim.withColumn("keys", F.when(F.col("host") != "", keys).otherwise(F.expr("array()").cast("array<string>")))
-    slim = slim.withColumn("hashes", F.transform("keys", F.xxhash64))
+    slim = slim.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
     spelled = {f"{r.host} {r.path}": r for r in rules}
     hashed = {row[0]: row[1] for row in spark.createDataFrame([(k,) for k in spelled] or [("",)], "k string").select("k", F.xxhash64("k")).collect()}
     listed = np.array([hashed[k] for k in spelled], np.int64)
