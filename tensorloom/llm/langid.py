@@ -196,16 +196,17 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     always, the first in alphabetical order among equals; its score is the corrected share of its n-grams.
     """
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2 ** SLOT_BITS masks, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.table))  # 2 ** SLOT_BITS masks, whatever the corpus
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        words = _Words(shared.value)
+        filters = Filters(*shared.value)
+        words = _Words(filters)
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             sums = [words.sums([t for _, t in some]) for some in batches_of(texts)]
-            sums = np.concatenate(sums) if sums else np.empty((0, len(shared.value.languages) + 2))
-            langs, scores = shared.value.decide(sums)
+            sums = np.concatenate(sums) if sums else np.empty((0, len(filters.languages) + 2))
+            langs, scores = filters.decide(sums)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)

@@ -26,6 +26,15 @@ class Bloom:
         for at in self._at(keys):
             np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
+    def parts(self) -> tuple:
+        return self.m, self.hashes, self.salt, self.bits
+
+    @classmethod
+    def of(cls, parts: tuple) -> Bloom:
+        out = cls.__new__(cls)
+        out.m, out.hashes, out.salt, out.bits = parts
+        return out
+
     def _at(self, keys: np.ndarray):
         base = keys.view(np.uint64)
         for i in range(self.hashes):
@@ -54,6 +63,15 @@ class Cascade:
             inside, outside = outside, inside
         raise ValueError("the cascade doesn't end: a key is both listed and not")
 
+    def parts(self) -> list[tuple]:
+        return [level.parts() for level in self.levels]
+
+    @classmethod
+    def of(cls, parts: list[tuple]) -> Cascade:
+        out = cls.__new__(cls)
+        out.levels = [Bloom.of(p) for p in parts]
+        return out
+
     def has(self, keys: np.ndarray) -> np.ndarray:
         """Whether keys of the universe are listed."""
         out, open_ = np.zeros(len(keys), bool), np.ones(len(keys), bool)
@@ -121,10 +139,13 @@ def url_filter(pages: DataFrame, rules: list[Rule], default: str = "allow", id_c
     universe = slim.select(F.explode("hashes").alias("h")).distinct()
 
     def wrong(has):
+        first = has.__self__.parts()
+
         def run(batches):
+            bloom = Bloom.of(first)
             for batch in batches:
                 h = batch.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(h[has(h) & ~np.isin(h, listed)])], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[bloom.has(h) & ~np.isin(h, listed)])], ["h"])
 
         # false positives of level 0 only: about 1e-5 of the universe at 24 bits a key
         return np.array([r[0] for r in universe.mapInArrow(run, "h long").collect()], np.int64)
@@ -134,10 +155,10 @@ def url_filter(pages: DataFrame, rules: list[Rule], default: str = "allow", id_c
     allowed = np.array([hashed[k] for k, r in spelled.items() if r.verdict != "block"], np.int64)
     # verdicts by a second cascade, whose universe is the listed keys
     block = Cascade(blocked, lambda has: allowed[has(allowed)])
-    cascades = spark.sparkContext.broadcast((member, block))
+    cascades = spark.sparkContext.broadcast((member.parts(), block.parts()))
 
     def judge(batches):
-        is_member, is_block = cascades.value
+        is_member, is_block = map(Cascade.of, cascades.value)
         for batch in batches:
             hashes = batch.column("hashes")
             flat, ends = hashes.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(hashes).to_numpy())
