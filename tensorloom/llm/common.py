@@ -6,11 +6,12 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dirs: dict[str, str] = {}
 
 
@@ -33,7 +34,13 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no earlier work."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tensorloom/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # shuffle files of this step go as soon as the table is written
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._tensorloom_path = path
     return back
@@ -48,22 +55,6 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
-class WordHashes(dict):
-    """64-bit hash of a word (bytes); at most `most` words are remembered, so memory stays bounded."""
-
-    def __init__(self, most: int = 400_000):
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 
 
@@ -78,14 +69,80 @@ def chain(parts: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def shingles(words: np.ndarray, k: int) -> np.ndarray:
-    """Distinct k-word shingles as sorted 64-bit hashes; fewer words make one shingle of the whole sequence, none make none."""
-    n = len(words)
-    if not n:
-        return words
-    if n < k:
-        return chain([words[i : i + 1] for i in range(n)])
-    return np.unique(chain([words[i : n - k + 1 + i] for i in range(k)]))
+_BASE, _PIECE = 0xD6E8FEB86659FD93, 2_000_000
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+_POWERS: list = []
+
+
+def _tables(n: int):
+    """Powers of the odd base and of its inverse modulo 2 ** 64, and a random number for each lower-cased byte."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, _PIECE)
+        table = []
+        for base in (_BASE, pow(_BASE, -1, 2**64)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            table.append(np.cumprod(p, dtype=np.uint64))
+        _POWERS[:] = [*table, np.random.default_rng(11).integers(1, 2**64, 256, np.uint64)[_LOWER]]
+    return _POWERS
+
+
+def word_hashes(column: pa.Array):
+    """For stretches of rows of a text column (first row, hashes of all words, words of each row).
+
+    Words are [^\x20\x09-\x0D]+ after lower-casing A-Z; null counts as empty. A stretch has about _PIECE bytes, or one
+    row. The hash is a polynomial of random byte values with a final mix, taken from running sums over the bytes.
+    """
+    if len(column) == 0:
+        return
+    column = column.fill_null("") if column.null_count else column
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + _PIECE, side="right")) - 1)
+        b, starts = data[at[first] : at[last]], at[first : last + 1] - at[first]
+        n = len(b)
+        power, inverse, value = _tables(n + 1)
+        solid = ~_SPACE[b]
+        edge = np.zeros(n + 1, bool)
+        edge[starts] = True
+        before, after = np.empty(n, bool), np.empty(n, bool)
+        if n:
+            before[0], after[-1] = False, False
+            before[1:], after[:-1] = solid[:-1], solid[1:]
+        begin = np.flatnonzero(solid & (~before | edge[:n]))
+        end = np.flatnonzero(solid & (~after | edge[1:])) + 1
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(value[b] * power[:n], out=sums[1:])
+        h = (sums[end] - sums[begin]) * inverse[begin]
+        h = (h ^ (h >> np.uint64(32))) * _A
+        h ^= h >> _S
+        yield first, h, np.diff(np.searchsorted(begin, starts))
+        first = last
+
+
+def doc_shingles(column: pa.Array, k: int):
+    """The distinct k-word shingles of each row as sorted 64-bit hashes; fewer words make one shingle of the whole sequence,
+    none make none."""
+    for _, words, counts in word_hashes(column):
+        ends = np.cumsum(counts)
+        windows = chain([words[i : len(words) - k + 1 + i] for i in range(k)]) if len(words) >= k else words[:0]
+        for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
+            if n >= k:
+                s = np.sort(windows[end - n : end - k + 1])
+                fresh = np.empty(len(s), bool)
+                fresh[0] = True
+                np.not_equal(s[1:], s[:-1], out=fresh[1:])
+                yield s[fresh]
+            elif n:
+                yield chain([words[i : i + 1] for i in range(end - n, end)])
+            else:
+                yield words[:0]
 
 
 def ranked(df: DataFrame, keys: list[str], rank: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A document is the set of its distinct k-word shingles (64-bit hashes). All sets are ordered by one global order, rare
 shingles first. The order comes from a fixed-size count sketch over all documents; any total order gives the same links,
-a good one makes fewer comparisons. By the prefix bound two sets that link share a shingle among their first
-n - ceil(t n) + 1 ones, so only shingles that start at least two sets lead to comparisons:
+a good one makes fewer comparisons. By the prefix bound two sets that link share l shingles among
+their first n - ceil(t n) + l ones. With l at a fiftieth of the set, shingles that start just one set and sets that share too
+few go before anything is compared:
 
 1. Documents with equal sets become one class. Each class lists its prefix shingles ("buckets").
 2. Classes that share a bucket meet the smallest class of the bucket. The sets that meet at one such head form a prefix tree,
@@ -19,58 +20,66 @@ Memory of a task is bounded by a block; sizes grow with the number of prefix shi
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import WordHashes, cut, drop, shingles
+from tensorloom.llm.common import cut, doc_shingles, drop
 from tensorloom.llm.components import LINKS, components, find
 
-CELL_BITS = 18  # cells of the count sketch: 2 ** 18, whatever the corpus
+CELL_BITS = 20  # cells of the count sketch: 2 ** 20, whatever the corpus
 EDGE = 64  # shingles on one edge of the tree
 BLOCK = 200_000  # shingles in one block, about
 
 
+def least_shared(n: int, percent: int) -> int:
+    """How many shingles a set of n elements must share among the first ones with any set that links with it."""
+    return 1 + need(n, n, percent) // 50
+
+
+def prefix_size(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + least_shared(n, percent) if n else 0
+
+
 def need(n: int, m: int, percent: int) -> int:
     """Least intersection of sets of n and m elements with 100 * intersection >= percent * union."""
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _doc_sets(batch: pa.RecordBatch, k: int, words: WordHashes):
-    """The set of each row as sorted hashes; bytes.lower and bytes.split treat just ASCII, as the definition of words does."""
-    for text in batch.column("text"):
-        raw = text.as_py()
-        yield shingles(words.of(raw.encode("utf-8", "surrogatepass").lower().split()), k) if raw else np.empty(0, np.uint64)
-
-
 def sketch(docs: DataFrame, k: int, cell_bits: int = CELL_BITS) -> np.ndarray:
     """How many documents have a shingle in each cell, over all documents, as one byte on a logarithmic scale."""
-    cells, per_row = 1 << cell_bits, 1 << 13
+    cells, per_row = 1 << cell_bits, 1 << 15
 
     def count(batches):
-        words, total = WordHashes(), np.zeros(cells, np.int32)
+        total, held, size = np.zeros(cells, np.int32), [], 0
+
+        def settle():
+            np.add(total, np.bincount((np.concatenate(held) >> np.uint64(64 - cell_bits)).astype(np.int64), minlength=cells), out=total, casting="unsafe")
+            held.clear()
+
         for batch in batches:
-            held, size = [], 0
-            for s in [*_doc_sets(batch, k, words), None]:
-                if s is not None:
-                    held.append(s)
-                    size += len(s)
-                if held and (s is None or size > 500_000):
-                    total += np.bincount((np.concatenate(held) >> np.uint64(64 - cell_bits)).astype(np.int64), minlength=cells).astype(np.int32)
-                    held, size = [], 0
+            for s in doc_shingles(batch.column("text"), k):
+                held.append(s)
+                size += len(s)
+                if size > 2_000_000:
+                    settle()
+                    size = 0
+        if held:
+            settle()
         for i in range(0, cells, per_row):
             if total[i : i + per_row].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([total[i : i + per_row].tobytes()], pa.binary())], ["at", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([zlib.compress(total[i : i + per_row].tobytes(), 1)], pa.binary())], ["at", "counts"])
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.frombuffer(counts, np.int32).astype(np.int64)
+                more = np.frombuffer(zlib.decompress(counts), np.int32).astype(np.int64)
                 sums[at] = sums[at] + more if at in sums else more
         for at, v in sums.items():
             level = np.minimum(255, np.round(8 * np.log2(1 + v))).astype(np.uint8)
@@ -80,7 +89,7 @@ def sketch(docs: DataFrame, k: int, cell_bits: int = CELL_BITS) -> np.ndarray:
     parts = docs.select("text").mapInArrow(count, schema).repartition("at").mapInArrow(merge, schema)
     level = np.zeros(cells, np.uint8)
     for row in parts.collect():  # 2 ** cell_bits bytes, whatever the corpus
-        level[row["at"] : row["at"] + per_row] = np.frombuffer(row["counts"], np.uint8)
+        level[row["at"] : row["at"] + (1 << 15)] = np.frombuffer(row["counts"], np.uint8)
     return level
 
 
@@ -212,6 +221,33 @@ def _blocks(keys: int, percent: int, order):
     return run
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    flat = np.concatenate(rows) if rows else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
+
+
+def _repeated(batches):
+    """Rows sorted by token -> those whose token another row has too; one batch and one row are held."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        token = batch.column(0).to_numpy()
+        same = token[1:] == token[:-1]
+        n = len(token) - 1
+        keep = np.zeros(n + 1, bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        if rest is not None and held:
+            keep[0] = True
+        # the last row waits for its neighbour
+        yield batch.slice(0, n).filter(pa.array(keep[:n]))
+        rest, held = batch.slice(n, 1), bool(keep[n])
+    if rest is not None and held:
+        yield rest
+
+
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs; see the module.
 
@@ -226,42 +262,46 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     level = spark.sparkContext.broadcast(sketch(docs, k))
 
     def heads(batches):
-        words = WordHashes()
         for batch in batches:
             rows = ([], [], [], [])
-            for s in _doc_sets(batch, k, words):
+            for s in doc_shingles(batch.column("text"), k):
                 n = len(s)
                 h = xxhash.xxh3_128_intdigest(s.tobytes())
                 rows[0].append(n)
                 rows[1].append((h & (2**64 - 1)) - 2**63)
                 rows[2].append((h >> 64) - 2**63)
-                rows[3].append(_ordered(s, level.value, CELL_BITS)[: n - (percent * n + 99) // 100 + 1 if n else 0].view(np.int64))
-            off = np.concatenate([[0], np.cumsum([len(p) for p in rows[3]])]).astype(np.int64)
-            flat = np.concatenate(rows[3]) if rows[3] else np.empty(0, np.int64)
-            prefix = pa.LargeListArray.from_arrays(pa.array(off, pa.int64()), pa.array(flat, pa.int64())).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), prefix], ["doc", "n", "s1", "s2", "prefix"])
+                rows[3].append(_ordered(s, level.value, CELL_BITS)[: prefix_size(n, percent)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), _lists(rows[3])], ["doc", "n", "s1", "s2", "prefix"])
 
     heads_df = cut(docs.mapInArrow(heads, "doc long, n long, s1 long, s2 long, prefix array<long>"), "heads")
-    classes = heads_df.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("node")).where("node is not null")
-    one = heads_df.where("n > 0").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).where("doc = node").dropDuplicates(["s1", "s2"])
-    # a class and its buckets; the step keeps classes whose sizes differ too much for a link apart
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
-    starts = one.select("node", "n", F.explode("prefix").alias("token"))
-    shared = starts.groupBy("token").count().where("count > 1").select("token")
-    buckets = cut(starts.join(shared, "token"), "buckets")
+    classes = heads_df.where("n > 0 and doc is not null").groupBy("s1", "s2").agg(F.min("doc").alias("node"))
+    own = cut(heads_df.select("doc", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc", "n", "node", "s1", "s2"), "classes")
+    first = own.where("doc = node").select("s1", "s2", "node").distinct()
+    one = heads_df.where("n > 0").join(first, ["s1", "s2"]).where("doc = node").dropDuplicates(["s1", "s2"])
+    # prefix shingles that start two sets at least
+    starts = one.select(F.posexplode("prefix").alias("pos", "token"), "node", "n").select("token", "node", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
+    twice = starts.repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, node long, np long")
+    shared = cut(twice.select("token", "node", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")), "shared")
+    drop(heads_df)
+    # a set that links shares `floor` of them, so others go, and of each set that stays the last floor - 1 buckets go too
+    floor = 1 + F.ceil(F.ceil(F.col("n") * percent / 100) * percent / 100) / 50
+    floor = F.floor(floor).cast("int")
+    degree = shared.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")).where(F.col("c") >= floor).select("node", "c")
+    kept = shared.join(degree, "node").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("pos"))).where(F.col("at") <= F.col("c") - floor + 1)
+    several = kept.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi")).where(f"k > 2 or (k = 2 and 100 * lo >= {percent} * hi)").select("token")
+    buckets = cut(kept.select("token", "node", "n").join(several, "token"), "buckets")
+    drop(shared)
     nodes = cut(buckets.select("node").distinct(), "nodes")
 
     def whole(batches):
-        words = WordHashes()
         for batch in batches:
-            sets = [s.view(np.int64) for s in _doc_sets(batch, k, words)]
-            off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.LargeListArray.from_arrays(pa.array(off, pa.int64()), pa.array(flat, pa.int64())).cast(pa.list_(pa.int64()))], ["node", "seq"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), _lists(list(doc_shingles(batch.column("text"), k)))], ["node", "seq"])
 
     # ids that repeat with other texts give several sets of one node
     sets = cut(docs.join(nodes.withColumnRenamed("node", "doc"), "doc", "left_semi").mapInArrow(whole, "node long, seq array<long>").where("size(seq) > 0"), "sets")
     order = lambda x: level.value[(x >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+    # sizes differ too much for a link between steps further apart than one
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
 
     # every set meets the smallest set of each of its buckets
     bucket = buckets.withColumn("step", step)
@@ -291,7 +331,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     more = again.repartition("token", "a", "m").sortWithinPartitions("token", "a", "m").mapInArrow(_blocks(3, percent, order), LINKS)
     more = cut(more, "more")
     final = components(links.union(more).union(comps.select("node", "component")))
-    own = heads_df.select("doc", "n", "s1", "s2").join(classes.select("s1", "s2", "node"), ["s1", "s2"], "left").join(final, "node", "left")
+    own = own.select("doc", "n", "node").join(final, "node", "left")
     whole_id = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("component", "node"))
     out = own.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), whole_id).alias("component_id"))
     drop(nodes)
