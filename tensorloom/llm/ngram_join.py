@@ -7,12 +7,13 @@ their first n - ceil(t n) + l ones. With l at a fiftieth of the set, shingles th
 few go before anything is compared:
 
 1. Documents with equal sets become one class. Each class lists its prefix shingles ("buckets").
-2. Classes that share a bucket meet the smallest class of the bucket. The sets that meet at one such head form a prefix tree,
-   in blocks of bounded size that all hold the head. Each set walks the tree of the smaller ones: the overlap of a shared
+2. Classes that buckets connect form a cluster. A cluster within a block's bound is one prefix tree, so each set is sent
+   once. Of a larger cluster, the sets that meet at the smallest set of a bucket form prefix trees, in blocks of bounded
+   size that all hold that set. In both cases each set walks the tree of the smaller ones: the overlap of a shared
    path is computed once for all sets below it, a subtree is left when the lengths that remain can't reach the needed
    overlap, or when all it holds is already connected with the set that walks.
-3. Links give components. Buckets that still hold two components or more are walked again, so that every pair of a shared
-   bucket is either compared or already connected. Large buckets go in blocks: only sets outside the bucket's most frequent
+3. Links give components. Buckets of large clusters that still hold two components or more are walked again, so that every
+   pair of a shared bucket is either compared or already connected. Large buckets go in blocks: only sets outside the bucket's most frequent
    component meet the others. The result is exact.
 
 Memory of a task is bounded by a block; sizes grow with the number of prefix shingles, not with pairs of a group.
@@ -248,6 +249,61 @@ def _repeated(batches):
         yield rest
 
 
+MARK_BITS = 24  # of the bitmap of ids with buckets, whatever the corpus
+
+
+def _mark(ids: np.ndarray):
+    h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - MARK_BITS)
+    return (h >> np.uint64(6)).astype(np.int64), h & np.uint64(63)
+
+
+def _marks(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids, 2 ** MARK_BITS bits."""
+
+    def run(batches):
+        for batch in batches:
+            word, bit = _mark(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((np.uint64(1) << bit).view(np.int64))], ["w", "b"])
+
+    out = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+    found = nodes.mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out[found.w.to_numpy(np.int64)] = found.b.to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _large_clusters(buckets: DataFrame, sets: DataFrame, percent: int, order) -> DataFrame:
+    """Links that connect what links within clusters too large for one block."""
+    # every set meets the smallest set of each of its buckets, among sets of one size step
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
+    bucket = buckets.withColumn("step", step)
+    head = bucket.groupBy("token", "step").agg(F.min_by("node", F.struct("n", "node")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    meets = bucket.join(head, ["token", "step"]).select("head", "node", "n").distinct()
+    blocks = meets.groupBy("head").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    met = meets.join(blocks, "head").withColumn("block", F.explode(F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))))
+    met = met.select("head", "block", "node", F.col("node").alias("grp")).join(sets, "node").select("head", "block", "node", "grp", "seq")
+    links = cut(met.repartition("head", "block").sortWithinPartitions("head", "block").mapInArrow(_blocks(2, percent, order), LINKS), "links")
+
+    # what still lies in several components of a bucket
+    comps = cut(components(links), "components")
+    member = buckets.join(comps, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
+    mixed = member.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("w"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).alias("y")).where("lo < hi")
+    mixed = mixed.groupBy("x", "y", "c", "w").agg(F.min("token").alias("token")).select("token", "w")  # buckets with the same sets once
+    rest = cut(member.join(mixed, "token"), "rest")
+    per = rest.groupBy("token", "comp", "w").agg(F.sum("n").alias("cw"))
+    top = per.groupBy("token", "w").agg(F.max_by("comp", F.struct("cw", "comp")).alias("top"), F.max("cw").alias("cw"))
+    top = top.select("token", "top", F.ceil(F.col("w") / BLOCK).cast("int").alias("ba"), F.ceil((F.col("w") - F.col("cw")) / BLOCK).cast("int").alias("bm"))
+    rest = rest.join(top, "token")
+    slot = lambda b: F.array(F.pmod(F.xxhash64("node"), F.col(b)).cast("int"))
+    every = lambda b: F.sequence(F.lit(0), F.col(b) - 1)
+    as_any = rest.withColumn("a", F.explode(slot("ba"))).withColumn("m", F.explode(every("bm")))
+    as_rare = rest.where("comp <> top and (ba > 1 or bm > 1)").withColumn("a", F.explode(every("ba"))).withColumn("m", F.explode(slot("bm")))
+    again = as_any.union(as_rare).select("token", "a", "m", "node", F.col("comp").alias("grp")).distinct()
+    again = again.join(sets, "node").select("token", "a", "m", "node", "grp", "seq")
+    more = again.repartition("token", "a", "m").sortWithinPartitions("token", "a", "m").mapInArrow(_blocks(3, percent, order), LINKS)
+    more = cut(more, "more")
+    return links.union(more)
+
+
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs; see the module.
 
@@ -293,44 +349,32 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     drop(shared)
     nodes = cut(buckets.select("node").distinct(), "nodes")
 
+    marks = spark.sparkContext.broadcast(_marks(nodes))
+
     def whole(batches):
         for batch in batches:
+            # most rows without a bucket go here; the join with the clusters drops the rest
+            batch = batch.filter(batch.column("doc").is_valid())
+            word, bit = _mark(batch.column("doc").to_numpy())
+            batch = batch.filter(pa.array((marks.value[word] >> bit) & np.uint64(1) == 1))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), _lists(list(doc_shingles(batch.column("text"), k)))], ["node", "seq"])
 
     # ids that repeat with other texts give several sets of one node
-    sets = cut(docs.join(nodes.withColumnRenamed("node", "doc"), "doc", "left_semi").mapInArrow(whole, "node long, seq array<long>").where("size(seq) > 0"), "sets")
+    sets = cut(docs.mapInArrow(whole, "node long, seq array<long>").where("size(seq) > 0"), "sets")
     order = lambda x: level.value[(x >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-    # sizes differ too much for a link between steps further apart than one
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
 
-    # every set meets the smallest set of each of its buckets
-    bucket = buckets.withColumn("step", step)
-    head = bucket.groupBy("token", "step").agg(F.min_by("node", F.struct("n", "node")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    meets = bucket.join(head, ["token", "step"]).select("head", "node", "n").distinct()
-    blocks = meets.groupBy("head").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    met = meets.join(blocks, "head").withColumn("block", F.explode(F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))))
-    met = met.select("head", "block", "node", F.col("node").alias("grp")).join(sets, "node").select("head", "block", "node", "grp", "seq")
-    links = cut(met.repartition("head", "block").sortWithinPartitions("head", "block").mapInArrow(_blocks(2, percent, order), LINKS), "links")
-
-    # what still lies in several components of a bucket
-    comps = cut(components(links), "components")
-    member = buckets.join(comps, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
-    mixed = member.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("w"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).alias("y")).where("lo < hi")
-    mixed = mixed.groupBy("x", "y", "c", "w").agg(F.min("token").alias("token")).select("token", "w")  # buckets with the same sets once
-    rest = cut(member.join(mixed, "token"), "rest")
-    per = rest.groupBy("token", "comp", "w").agg(F.sum("n").alias("cw"))
-    top = per.groupBy("token", "w").agg(F.max_by("comp", F.struct("cw", "comp")).alias("top"), F.max("cw").alias("cw"))
-    top = top.select("token", "top", F.ceil(F.col("w") / BLOCK).cast("int").alias("ba"), F.ceil((F.col("w") - F.col("cw")) / BLOCK).cast("int").alias("bm"))
-    rest = rest.join(top, "token")
-    slot = lambda b: F.array(F.pmod(F.xxhash64("node"), F.col(b)).cast("int"))
-    every = lambda b: F.sequence(F.lit(0), F.col(b) - 1)
-    as_any = rest.withColumn("a", F.explode(slot("ba"))).withColumn("m", F.explode(every("bm")))
-    as_rare = rest.where("comp <> top and (ba > 1 or bm > 1)").withColumn("a", F.explode(every("ba"))).withColumn("m", F.explode(slot("bm")))
-    again = as_any.union(as_rare).select("token", "a", "m", "node", F.col("comp").alias("grp")).distinct()
-    again = again.join(sets, "node").select("token", "a", "m", "node", "grp", "seq")
-    more = again.repartition("token", "a", "m").sortWithinPartitions("token", "a", "m").mapInArrow(_blocks(3, percent, order), LINKS)
-    more = cut(more, "more")
-    final = components(links.union(more).union(comps.select("node", "component")))
+    # sets that buckets connect, directly or over others, form a cluster; a cluster within a block is walked as a whole
+    least = buckets.groupBy("token").agg(F.min("node").alias("b"))
+    cluster = cut(components(buckets.join(least, "token").select(F.col("node").alias("a"), "b").distinct()), "clusters")
+    cluster = cluster.withColumnRenamed("component", "cluster")
+    weight = cluster.join(buckets.select("node", "n").distinct(), "node").groupBy("cluster").agg(F.sum("n").alias("w"))
+    small = cluster.join(weight.where(F.col("w") <= BLOCK), "cluster").select("cluster", "node", F.col("node").alias("grp")).join(sets, "node")
+    links = cut(small.select("cluster", "node", "grp", "seq").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_blocks(1, percent, order), LINKS), "links")
+    large = cluster.join(weight.where(F.col("w") > BLOCK), "cluster").select("node")
+    buckets_left = cut(buckets.join(large, "node"), "large")
+    if not buckets_left.isEmpty():
+        links = links.union(_large_clusters(buckets_left, sets, percent, order))
+    final = components(links)
     own = own.select("doc", "n", "node").join(final, "node", "left")
     whole_id = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("component", "node"))
     out = own.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), whole_id).alias("component_id"))
