@@ -7,7 +7,7 @@ their first n - ceil(t n) + l ones. With l at a fiftieth of the set, shingles th
 few go before anything is compared:
 
 1. Documents with equal sets become one class. Each class lists its prefix shingles ("buckets").
-2. Classes that buckets connect form a cluster. A cluster within a block's bound is one prefix tree, so each set is sent
+2. Classes that share enough buckets, directly or over others, form a cluster. A cluster within a block's bound is one prefix tree, so each set is sent
    once. Of a larger cluster, the sets that meet at the smallest set of a bucket form prefix trees, in blocks of bounded
    size that all hold that set. In both cases each set walks the tree of the smaller ones: the overlap of a shared
    path is computed once for all sets below it, a subtree is left when the lengths that remain can't reach the needed
@@ -35,6 +35,7 @@ from tensorloom.llm.components import LINKS, components, find
 
 CELL_BITS = 20  # cells of the count sketch: 2 ** 20, whatever the corpus
 EDGE = 64  # shingles on one edge of the tree
+FEW = 8  # sets of a bucket whose pairs are counted one by one
 BLOCK = 200_000  # shingles in one block, about
 
 
@@ -339,15 +340,24 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     twice = starts.repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, node long, np long")
     shared = cut(twice.select("token", "node", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")), "shared")
     drop(heads_df)
-    # a set that links shares `floor` of them, so others go, and of each set that stays the last floor - 1 buckets go too
-    floor = 1 + F.ceil(F.ceil(F.col("n") * percent / 100) * percent / 100) / 50
-    floor = F.floor(floor).cast("int")
-    degree = shared.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")).where(F.col("c") >= floor).select("node", "c")
-    kept = shared.join(degree, "node").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("pos"))).where(F.col("at") <= F.col("c") - floor + 1)
-    several = kept.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi")).where(f"k > 2 or (k = 2 and 100 * lo >= {percent} * hi)").select("token")
-    buckets = cut(kept.select("token", "node", "n").join(several, "token"), "buckets")
-    drop(shared)
-    nodes = cut(buckets.select("node").distinct(), "nodes")
+    # sets that link share `floor` of these buckets. Shared small buckets are counted pair by pair (at most FEW sets each);
+    # what a pair shares of larger ones is no more than either set has of them
+    sized = shared.select("token", "node", "n").join(shared.groupBy("token").agg(F.count(F.lit(1)).alias("k")), "token")
+    floor = lambda n: F.floor(1 + F.ceil(F.ceil(n * percent / 100) * percent / 100) / 50)
+    few = sized.where(F.col("k") <= FEW).groupBy("token").agg(F.collect_list(F.struct("node", "n")).alias("m"))
+    pairs = few.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(least(x, y) as x, greatest(x, y) as y))))")).alias("p"))
+    pairs = pairs.select(F.col("p.x.node").alias("a"), F.col("p.y.node").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb"))
+    pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    many = cut(sized.where(F.col("k") > FEW), "many")
+    held = many.groupBy("node").agg(F.count(F.lit(1)).alias("h"), F.max("n").alias("n"))
+    side = lambda x: held.select(F.col("node").alias(x), F.col("h").alias(f"h{x}"))
+    pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    enough = F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.greatest(floor(F.col("na")), floor(F.col("nb")))
+    heavy = many.join(held.where(F.col("h") >= floor(F.col("n"))).select("node"), "node", "left_semi")
+    star = heavy.groupBy("token").agg(F.min("node").alias("b"))
+    edges = pairs.where(enough).select("a", "b").union(heavy.join(star, "token").select(F.col("node").alias("a"), "b").distinct())
+    cluster = cut(components(edges).withColumnRenamed("component", "cluster"), "clusters")
+    nodes = cluster.select("node")
 
     marks = spark.sparkContext.broadcast(_marks(nodes))
 
@@ -363,20 +373,18 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     sets = cut(docs.mapInArrow(whole, "node long, seq array<long>").where("size(seq) > 0"), "sets")
     order = lambda x: level.value[(x >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
 
-    # sets that buckets connect, directly or over others, form a cluster; a cluster within a block is walked as a whole
-    least = buckets.groupBy("token").agg(F.min("node").alias("b"))
-    cluster = cut(components(buckets.join(least, "token").select(F.col("node").alias("a"), "b").distinct()), "clusters")
-    cluster = cluster.withColumnRenamed("component", "cluster")
-    weight = cluster.join(buckets.select("node", "n").distinct(), "node").groupBy("cluster").agg(F.sum("n").alias("w"))
+    # a cluster within a block's bound is walked as a whole, so each set is sent once
+    weight = cluster.join(own.where("doc = node").select("node", "n").distinct(), "node").groupBy("cluster").agg(F.sum("n").alias("w"))
     small = cluster.join(weight.where(F.col("w") <= BLOCK), "cluster").select("cluster", "node", F.col("node").alias("grp")).join(sets, "node")
     links = cut(small.select("cluster", "node", "grp", "seq").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_blocks(1, percent, order), LINKS), "links")
-    large = cluster.join(weight.where(F.col("w") > BLOCK), "cluster").select("node")
-    buckets_left = cut(buckets.join(large, "node"), "large")
-    if not buckets_left.isEmpty():
-        links = links.union(_large_clusters(buckets_left, sets, percent, order))
+    large = cluster.join(weight.where(F.col("w") > BLOCK), "cluster").select("node", "cluster")
+    buckets = shared.join(large, "node").select(F.xxhash64("cluster", "token").alias("token"), "node", "n")
+    buckets = cut(buckets, "buckets")
+    if not buckets.isEmpty():
+        links = links.union(_large_clusters(buckets, sets, percent, order))
     final = components(links)
     own = own.select("doc", "n", "node").join(final, "node", "left")
     whole_id = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("component", "node"))
     out = own.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), whole_id).alias("component_id"))
-    drop(nodes)
+    drop(shared)
     return out
