@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm.common import cut
-from tensorloom.llm.tokens import ChunkEncoder, batches_of
+from tensorloom.llm.tokens import ChunkEncoder, batches_of, kept
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cls int, part int, local long"
 
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 4096,
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def pieces(batches):
-        encoder, part, local = ChunkEncoder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        encoder, part, local = kept(("ids", tokenizer_path), lambda: ChunkEncoder(tokenizer_path)), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]

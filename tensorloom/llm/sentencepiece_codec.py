@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tensorloom.llm.tokens import ChunkEncoder, batches_of
+from tensorloom.llm.tokens import ChunkEncoder, batches_of, kept
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -176,7 +176,7 @@ class Pieces:
 class SentencePieceEncoder(ChunkEncoder):
     """Ids of texts; each distinct word is encoded once."""
 
-    def __init__(self, path: str | bytes, most: int = 300_000):
+    def __init__(self, path: str | bytes, most: int = 600_000):
         self.pieces, self.most = Pieces(path), most
         ends = "\n" if self.pieces.newline_alone else ""
         self.words = re.compile(f"{SPACE}*[^{SPACE}{ends}]+|{SPACE}+" + ("|\n" if ends else ""))
@@ -187,23 +187,25 @@ class SentencePieceEncoder(ChunkEncoder):
             return []
         return self.words.findall((SPACE if self.pieces.prefix else "") + text.replace(" ", SPACE))
 
-    def _learn(self, chunks: list[str]) -> None:
-        by: dict[int, list[str]] = {}
-        for c in chunks:
-            by.setdefault(len(c), []).append(c)
-        for length, words in by.items():
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        by: dict[int, list[int]] = {}
+        for i, c in enumerate(chunks):
+            by.setdefault(len(c), []).append(i)
+        out: list = [None] * len(chunks)
+        for length, at in by.items():
             step = max(1, BATCH_CELLS // (length * 16))
-            for i in range(0, len(words), step):
-                some = words[i : i + step]
+            for i in range(0, len(at), step):
+                some = [chunks[j] for j in at[i : i + step]]
                 if self.pieces.unigram:
                     found = self.pieces.viterbi(some)
                 elif length > LONG:
                     found = [self.pieces.merge_long(w) for w in some]
                 else:
                     found = self.pieces.merges(some)
-                for w, ids in zip(some, found, strict=True):
-                    self.place[w] = len(self.ids)
-                    self.ids.append(np.array(ids, np.uint32))
+                for j, ids in zip(at[i : i + step], found, strict=True):
+                    out[j] = ids
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter((x for ids in out for x in ids), np.uint32, int(sizes.sum())), sizes
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces one after the other, white space restored, without the space put before a text."""
@@ -220,7 +222,7 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        encoder = SentencePieceEncoder(model_path)
+        encoder = kept(("pieces", model_path), lambda: SentencePieceEncoder(model_path))
         for batch in batches:
             who, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             done = 0
@@ -240,7 +242,7 @@ def sentencepiece_decode(encoded: DataFrame, model_path: str, keep: list[str] |
     slim = encoded.select(*keep, "ids")
 
     def run(batches):
-        encoder = SentencePieceEncoder(model_path)
+        encoder = kept(("pieces", model_path), lambda: SentencePieceEncoder(model_path))
         for batch in batches:
             rows = batch.column("ids")
             texts = [None if not r.is_valid else encoder.decode(r.values.to_numpy(zero_copy_only=False).astype(np.int64)) for r in rows]
