@@ -69,7 +69,7 @@ def chain(parts: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-_BASE, _PIECE = 0xD6E8FEB86659FD93, 2_000_000
+_BASE, _PIECE = 0xD6E8FEB86659FD93, 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

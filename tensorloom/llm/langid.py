@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tensorloom.llm.sharding import _mix
-from tensorloom.llm.tokens import batches_of
+from tensorloom.llm.tokens import batches_of, kept
 
 SIZES = (2, 3, 4)
 SLOT_BITS, HASHES = 18, 2
@@ -168,9 +168,9 @@ def fit(labelled: DataFrame, per_language: int = 1000, min_rate: float = 2e-5, m
 class _Words:
     """Counts of words; at most `most` distinct words are remembered."""
 
-    def __init__(self, filters: Filters, most: int = 300_000):
+    def __init__(self, filters: Filters, most: int = 200_000):
         self.filters, self.most, self.place = filters, most, {}
-        self.rows = np.empty((0, len(filters.languages) + 2))
+        self.rows = np.empty((0, len(filters.languages) + 2), np.float32)
 
     def sums(self, texts: list[str]) -> np.ndarray:
         if len(self.place) > self.most:
@@ -179,7 +179,7 @@ class _Words:
         new = sorted({w for words in split for w in words if w not in self.place})
         if new:
             self.place.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, self.filters.counts(new)])
+            self.rows = np.concatenate([self.rows, self.filters.counts(new).astype(np.float32)])
         out = np.zeros((len(texts), self.rows.shape[1]))
         for i, words in enumerate(split):
             if words:
@@ -201,10 +201,11 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
 
     def run(batches):
         filters = Filters(*shared.value)
-        words = _Words(filters)
+        # of a fit: the next one gets its own words
+        words = kept(("words", hash(filters.table.tobytes())), lambda: _Words(filters))
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            sums = [words.sums([t for _, t in some]) for some in batches_of(texts)]
+            sums = [words.sums([t for _, t in some]) for some in batches_of(texts, 1_000_000)]
             sums = np.concatenate(sums) if sums else np.empty((0, len(filters.languages) + 2))
             langs, scores = filters.decide(sums)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])

@@ -355,32 +355,40 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     enough = F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.greatest(floor(F.col("na")), floor(F.col("nb")))
     heavy = many.join(held.where(F.col("h") >= floor(F.col("n"))).select("node"), "node", "left_semi")
     star = heavy.groupBy("token").agg(F.min("node").alias("b"))
-    edges = pairs.where(enough).select("a", "b").union(heavy.join(star, "token").select(F.col("node").alias("a"), "b").distinct())
+    near = cut(pairs.where(enough).select("a", "b").distinct(), "near")
+    edges = near.union(heavy.join(star, "token").select(F.col("node").alias("a"), "b").distinct())
     cluster = cut(components(edges).withColumnRenamed("component", "cluster"), "clusters")
-    nodes = cluster.select("node")
 
-    marks = spark.sparkContext.broadcast(_marks(nodes))
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, seq) for the nodes and a few others; ids that repeat with other texts give several sets of one node."""
+        marks = spark.sparkContext.broadcast(_marks(nodes))
+
+        def whole(batches):
+            for batch in batches:
+                # most other rows go here; the join with the clusters drops the rest
+                batch = batch.filter(batch.column("doc").is_valid())
+                word, bit = _mark(batch.column("doc").to_numpy())
+                batch = batch.filter(pa.array((marks.value[word] >> bit) & np.uint64(1) == 1))
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), _lists(list(doc_shingles(batch.column("text"), k)))], ["node", "seq"])
+
+        return docs.mapInArrow(whole, "node long, seq array<long>").where("size(seq) > 0")
 
-    def whole(batches):
-        for batch in batches:
-            # most rows without a bucket go here; the join with the clusters drops the rest
-            batch = batch.filter(batch.column("doc").is_valid())
-            word, bit = _mark(batch.column("doc").to_numpy())
-            batch = batch.filter(pa.array((marks.value[word] >> bit) & np.uint64(1) == 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), _lists(list(doc_shingles(batch.column("text"), k)))], ["node", "seq"])
-
-    # ids that repeat with other texts give several sets of one node
-    sets = cut(docs.mapInArrow(whole, "node long, seq array<long>").where("size(seq) > 0"), "sets")
     order = lambda x: level.value[(x >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
 
     # a cluster within a block's bound is walked as a whole, so each set is sent once
-    weight = cluster.join(own.where("doc = node").select("node", "n").distinct(), "node").groupBy("cluster").agg(F.sum("n").alias("w"))
-    small = cluster.join(weight.where(F.col("w") <= BLOCK), "cluster").select("cluster", "node", F.col("node").alias("grp")).join(sets, "node")
+    numbers = own.where("doc = node").groupBy("node").agg(F.max("n").alias("n"))
+    weight = cluster.join(numbers, "node").groupBy("cluster").agg(F.sum("n").alias("w"))
+    sized = cut(cluster.join(weight, "cluster"), "sized")
+    small = sized.where(F.col("w") <= BLOCK).select("cluster", "node", F.col("node").alias("grp"))
+    small = small.join(sets_of(small.select("node")), "node")
     links = cut(small.select("cluster", "node", "grp", "seq").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_blocks(1, percent, order), LINKS), "links")
-    large = cluster.join(weight.where(F.col("w") > BLOCK), "cluster").select("node", "cluster")
-    buckets = shared.join(large, "node").select(F.xxhash64("cluster", "token").alias("token"), "node", "n")
-    buckets = cut(buckets, "buckets")
+    large = sized.where(F.col("w") > BLOCK).select("node", "cluster")
+    # the buckets of a large cluster: each set with those it shares enough with, and the larger buckets
+    meet = near.select(F.xxhash64(F.lit("near"), "a").alias("token"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    meet = meet.union(heavy.join(large, "node").select(F.xxhash64("cluster", "token").alias("token"), "node"))
+    buckets = cut(meet.join(large.select("node"), "node", "left_semi").join(numbers, "node").select("token", "node", "n"), "buckets")
     if not buckets.isEmpty():
+        sets = cut(sets_of(large.select("node")).join(large.select("node"), "node", "left_semi"), "sets")
         links = links.union(_large_clusters(buckets, sets, percent, order))
     final = components(links)
     own = own.select("doc", "n", "node").join(final, "node", "left")

@@ -161,7 +161,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 4096,
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for some in batches_of(texts):
+            for some in batches_of(texts, 2_000_000):
                 rows = []
                 for (i, _), ids in zip(some, encoder.encode([t for _, t in some]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")

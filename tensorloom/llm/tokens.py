@@ -14,9 +14,12 @@ LATIN = regex.compile(r"[!-;=-~\u00c0-\u00ff]*").fullmatch
 
 
 def kept(key: tuple, make):
-    """An object that a worker process keeps for its later tasks; functions sent to a worker have no state of their own."""
+    """An object that a worker process keeps for its later tasks; functions sent to a worker have no state of their own.
+    One object is kept at a time, so that memory stays bounded."""
     state = sys.modules.setdefault("tensorloom_worker_state", types.ModuleType("tensorloom_worker_state")).__dict__
     if key not in state:
+        for old in [k for k in state if isinstance(k, tuple)]:
+            del state[old]
         state[key] = make()
     return state[key]
 
@@ -40,7 +43,7 @@ class ChunkEncoder:
     are remembered. Stretches to learn are encoded together, with a special token between them, which no merge crosses.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
