@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tensorloom.llm.sharding import _mix
-from tensorloom.llm.tokens import batches_of, kept
+from tensorloom.llm.tokens import batches_of, kept, release
 
 SIZES = (2, 3, 4)
 SLOT_BITS, HASHES = 18, 2
@@ -131,6 +131,7 @@ def fit(labelled: DataFrame, per_language: int = 1000, min_rate: float = 2e-5, m
     number = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches):
+        release()
         sums: dict[int, dict[int, int]] = {}
 
         def flush():
@@ -148,7 +149,7 @@ def fit(labelled: DataFrame, per_language: int = 1000, min_rate: float = 2e-5, m
                         into = sums.setdefault(number[lang], {})
                         for a, b in zip(h.tolist(), n.tolist(), strict=True):
                             into[a] = into.get(a, 0) + b
-                if sum(map(len, sums.values())) > 500_000:
+                if sum(map(len, sums.values())) > 150_000:
                     yield from flush()
         yield from flush()
 
@@ -168,7 +169,7 @@ def fit(labelled: DataFrame, per_language: int = 1000, min_rate: float = 2e-5, m
 class _Words:
     """Counts of words; at most `most` distinct words are remembered."""
 
-    def __init__(self, filters: Filters, most: int = 200_000):
+    def __init__(self, filters: Filters, most: int = 150_000):
         self.filters, self.most, self.place = filters, most, {}
         self.rows = np.empty((0, len(filters.languages) + 2), np.float32)
 

@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.common import cut, doc_shingles, drop
 from tensorloom.llm.components import LINKS, components, find
+from tensorloom.llm.tokens import release
 
 CELL_BITS = 20  # cells of the count sketch: 2 ** 20, whatever the corpus
 EDGE = 64  # shingles on one edge of the tree
 FEW = 8  # sets of a bucket whose pairs are counted one by one
-BLOCK = 200_000  # shingles in one block, about
+BLOCK = 300_000  # shingles in one block, about
+COARSE = 16  # blocks of a cluster that isn't divided by its buckets
 
 
 def least_shared(n: int, percent: int) -> int:
@@ -58,6 +60,7 @@ def sketch(docs: DataFrame, k: int, cell_bits: int = CELL_BITS) -> np.ndarray:
     cells, per_row = 1 << cell_bits, 1 << 15
 
     def count(batches):
+        release()
         total, held, size = np.zeros(cells, np.int32), [], 0
 
         def settle():
@@ -68,7 +71,7 @@ def sketch(docs: DataFrame, k: int, cell_bits: int = CELL_BITS) -> np.ndarray:
             for s in doc_shingles(batch.column("text"), k):
                 held.append(s)
                 size += len(s)
-                if size > 2_000_000:
+                if size > 500_000:
                     settle()
                     size = 0
         if held:
@@ -319,6 +322,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     level = spark.sparkContext.broadcast(sketch(docs, k))
 
     def heads(batches):
+        release()
         for batch in batches:
             rows = ([], [], [], [])
             for s in doc_shingles(batch.column("text"), k):
@@ -364,6 +368,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         marks = spark.sparkContext.broadcast(_marks(nodes))
 
         def whole(batches):
+            release()
             for batch in batches:
                 # most other rows go here; the join with the clusters drops the rest
                 batch = batch.filter(batch.column("doc").is_valid())
@@ -382,10 +387,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     small = sized.where(F.col("w") <= BLOCK).select("cluster", "node", F.col("node").alias("grp"))
     small = small.join(sets_of(small.select("node")), "node")
     links = cut(small.select("cluster", "node", "grp", "seq").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_blocks(1, percent, order), LINKS), "links")
-    large = sized.where(F.col("w") > BLOCK).select("node", "cluster")
+    large = sized.where(F.col("w") > BLOCK).select("node", "cluster", "w")
     # the buckets of a large cluster: each set with those it shares enough with, and the larger buckets
     meet = near.select(F.xxhash64(F.lit("near"), "a").alias("token"), F.explode(F.array("a", "b")).alias("node")).distinct()
     meet = meet.union(heavy.join(large, "node").select(F.xxhash64("cluster", "token").alias("token"), "node"))
+    # a cluster of up to COARSE blocks is one bucket: that sends a set less often than once for each of its own
+    coarse = large.where(F.col("w") <= COARSE * BLOCK)
+    meet = meet.join(coarse.select("node"), "node", "left_anti").select("token", "node").union(coarse.select(F.xxhash64(F.lit("cluster"), "cluster").alias("token"), "node"))
     buckets = cut(meet.join(large.select("node"), "node", "left_semi").join(numbers, "node").select("token", "node", "n"), "buckets")
     if not buckets.isEmpty():
         sets = cut(sets_of(large.select("node")).join(large.select("node"), "node", "left_semi"), "sets")

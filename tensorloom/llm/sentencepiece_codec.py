@@ -176,7 +176,7 @@ class Pieces:
 class SentencePieceEncoder(ChunkEncoder):
     """Ids of texts; each distinct word is encoded once."""
 
-    def __init__(self, path: str | bytes, most: int = 350_000):
+    def __init__(self, path: str | bytes, most: int = 250_000):
         self.pieces, self.most = Pieces(path), most
         ends = "\n" if self.pieces.newline_alone else ""
         self.words = re.compile(f"{SPACE}*[^{SPACE}{ends}]+|{SPACE}+" + ("|\n" if ends else ""))

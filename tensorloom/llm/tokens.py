@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import sys
 import types
@@ -18,12 +20,24 @@ def kept(key: tuple, make):
     One object is kept at a time, so that memory stays bounded."""
     state = sys.modules.setdefault("tensorloom_worker_state", types.ModuleType("tensorloom_worker_state")).__dict__
     if key not in state:
-        for old in [k for k in state if isinstance(k, tuple)]:
-            del state[old]
+        release()
         state[key] = make()
     return state[key]
 
 
+def release() -> None:
+    """Drop what kept() holds in this process and give free memory back to the system."""
+    state = sys.modules.get("tensorloom_worker_state")
+    old = [k for k in state.__dict__ if isinstance(k, tuple)] if state else []
+    for k in old:
+        del state.__dict__[k]
+    if old:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 class _Places(dict):
     """The number of each chunk; new chunks get the next one and are listed."""
 
@@ -43,7 +57,7 @@ class ChunkEncoder:
     are remembered. Stretches to learn are encoded together, with a special token between them, which no merge crosses.
     """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
