@@ -125,7 +125,8 @@ def _aliased(a: Tensor, b: Tensor, common: list[Axis], strict: bool) -> Tensor:
     left, right = (t.df.withColumnsRenamed({"tid": f"t{s}", "alpha": f"x{s}"}) for t, s in ((a, "a"), (b, "b")))
     joined = left.join(right, on) if on else left.crossJoin(right)
     level = joined.groupBy(*keys, "ta", "tb").agg(F.sum(F.col("xa") * F.col("xb")).alias("alpha")).where("alpha <> 0")
-    level = level.withColumn("tid", F.xxhash64("ta", "tb"))
+    # read by each of the steps below; kept, it is made once and the plans stay small
+    level = level.withColumn("tid", F.xxhash64("ta", "tb")).persist()
     pairs = level.select("tid", "ta", "tb").distinct()
     with_a = pairs.join(a.templates.select(F.col("tid").alias("ta"), F.col("blk").alias("ba")), "ta")
     with_b = with_a.join(b.templates.select(F.col("tid").alias("tb"), F.col("blk").alias("bb")), "tb")
