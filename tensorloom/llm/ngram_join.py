@@ -398,7 +398,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     if not buckets.isEmpty():
         sets = cut(sets_of(large.select("node")).join(large.select("node"), "node", "left_semi"), "sets")
         links = links.union(_large_clusters(buckets, sets, percent, order))
-    final = components(links)
+    # rows of one id are one document
+    several = own.where("node is not null").groupBy("doc").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b < hi").select("doc", "b")
+    final = components(links.union(own.join(several, "doc").select(F.col("node").alias("a"), "b")))
     own = own.select("doc", "n", "node").join(final, "node", "left")
     whole_id = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("component", "node"))
     out = own.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), whole_id).alias("component_id"))
