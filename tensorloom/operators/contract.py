@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions import blocks as B
 from tensorloom.meta import Axis, output_axes, shared, size
+from tensorloom.sources.shared import written
 from tensorloom.tensor import Tensor
 
 
@@ -125,12 +126,12 @@ def _aliased(a: Tensor, b: Tensor, common: list[Axis], strict: bool) -> Tensor:
     left, right = (t.df.withColumnsRenamed({"tid": f"t{s}", "alpha": f"x{s}"}) for t, s in ((a, "a"), (b, "b")))
     joined = left.join(right, on) if on else left.crossJoin(right)
     level = joined.groupBy(*keys, "ta", "tb").agg(F.sum(F.col("xa") * F.col("xb")).alias("alpha")).where("alpha <> 0")
-    # read by each of the steps below; kept, it is made once and the plans stay small
-    level = level.withColumn("tid", F.xxhash64("ta", "tb")).persist()
+    # both are read by several of the steps below, and again by whatever the result is joined with
+    level = written(level.withColumn("tid", F.xxhash64("ta", "tb")), "level")
     pairs = level.select("tid", "ta", "tb").distinct()
     with_a = pairs.join(a.templates.select(F.col("tid").alias("ta"), F.col("blk").alias("ba")), "ta")
     with_b = with_a.join(b.templates.select(F.col("tid").alias("tb"), F.col("blk").alias("bb")), "tb")
-    made = _product(with_b.select("tid", "ba", "bb"), "ba", "bb", own_a, own_b, inner).where(B.nonzero(F.col("blk")))
+    made = written(_product(with_b.select("tid", "ba", "bb"), "ba", "bb", own_a, own_b, inner).where(B.nonzero(F.col("blk"))), "made")
     level = level.join(made.select("tid"), "tid", "left_semi")
     if keys:
         counts = level.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
