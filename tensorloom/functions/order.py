@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.sources.shared import written
+
 
 def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """df with the number of each row, 1 up, in the order of keys, which must be unique. Ranges are sorted in parallel and
-    kept; only the row count of each range comes to the driver."""
-    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()).persist()
+    written, so a lost executor can't change the numbers; only the row count of each range comes to the driver."""
+    rows = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("__at", 33)
     offsets, total = [], 0
     for p, n in sorted(map(tuple, rows.groupBy(part.alias("p")).count().collect())):

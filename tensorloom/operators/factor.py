@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.operators.contract import contract
 from tensorloom.operators.reduce import norm
+from tensorloom.sources.shared import written
 from tensorloom.tensor import Tensor
 
 
@@ -96,7 +97,7 @@ def stable_svd(m: np.ndarray, tol: float = 1e-9, null: float = 1e-12) -> tuple[n
 
 
 def power_iteration(t: Tensor, row: str, col: str, rounds: int = 20) -> float:
-    """Estimate of the operator norm of a square matrix. Each round's vector is cut, so the plan doesn't grow."""
+    """Estimate of the operator norm of a square matrix. Each round's vector is written, so the plan doesn't grow and no vector reaches the driver."""
     a, b = t.axis(row), t.axis(col)
     spark = t.df.sparkSession
     x = Tensor((b,), spark.range(1, b.dim + 1).select(F.col("id").cast("int").alias(b.col), F.lit(1.0).alias("v")))
@@ -107,7 +108,7 @@ def power_iteration(t: Tensor, row: str, col: str, rounds: int = 20) -> float:
         if not length:
             return 0.0
         z = y.df.select(F.col(a.col).alias(b.col), (F.col("v") / length).alias("v"))
-        x = Tensor((b,), z.checkpoint() if spark.sparkContext.getCheckpointDir() else spark.createDataFrame(z.toArrow()))
+        x = Tensor((b,), written(z, "vector"))
     return length
 
 

@@ -15,6 +15,7 @@ from tensorloom.operators import algebra, factor, reduce, restricted
 from tensorloom.operators.contract import contract, contract_and_fuse
 from tensorloom.plans import network
 from tensorloom.sources import tables as S
+from tensorloom.sources.shared import folder
 from tensorloom.tensor import Tensor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -370,7 +371,6 @@ def footprint(spark, sf):
 @query("SELECT i, r, q, ROW_NUMBER() OVER (ORDER BY q, r, i) AS at FROM T")
 def canonical_sort(spark, sf):
     t = S.lines(spark, sf)
-    # one partition only numbers what the range sort has ordered
     from tensorloom.functions.order import numbered
 
     return numbered(t.df.select("i", "r", "q"), list(reversed(t.keys)), "at")
@@ -484,11 +484,8 @@ def diag_constraint(spark, sf):
 
 @query("SELECT i, q, f, v FROM U")
 def parquet_round_trip(spark, sf):
-    import tempfile
-
     u = flags(spark, sf)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tensorloom-")
-    path = f"{folder.rstrip('/')}/coo-{spark.sparkContext.applicationId}"
+    path = f"{folder(spark)}/coo-{spark.sparkContext.applicationId}"
     u.to_parquet(path)
     return Tensor.from_parquet(spark, path, list(u.axes)).df
 
