@@ -20,7 +20,11 @@ SECRET = rf"(?<=(?:{SECRET_WORDS})[ ]?[=:][ ]?[\"']?)[A-Za-z0-9_/+\-]{{8,512}}"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-PHONE = r"(?:\+?1[ .\-]?)?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .\-]?[2-9][0-9]{2}[ .\-][0-9]{4}"
+# after +1 or in brackets any number counts; bare groups of digits need an area code and an exchange from 200 up
+PHONE = (
+    r"(?:\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})|(?:1[ .\-]?)?\([0-9]{3}\))[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}"
+    r"|(?:1[ .\-]?)?[2-9][0-9]{2}[ .\-]?[2-9][0-9]{2}[ .\-][0-9]{4}"
+)
 ABROAD = r"\+[2-9][0-9](?:[ .\-()]{0,2}[0-9]){6,12}"
 CARD = r"(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){2}[ \-][0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})"
 # the longest kinds come first where two could start at one place
@@ -104,11 +108,18 @@ class Pseudonyms:
         return f"transform(array({pair}), q -> {back})[0]"
 
     def phone(self, x: str) -> str:
+        """Numbers that a bare form may have are permuted among themselves, in 800 x 8,000,000, and the other 3.6 * 10 ** 9 of ten
+        digits among themselves, so a number has one pseudonym in all forms and each form stays valid."""
         d = f"right(regexp_replace({x}, '[^0-9]', ''), 10)"
-        pair = self.pair("phone", f"cast(substring({d}, 1, 3) as bigint) - 200", f"cast(substring({d}, 4) as bigint) - 2000000", "800", "8000000")
-        new = "concat(q.a + 200, q.b + 2000000)"
+        area, rest = f"cast(substring({d}, 1, 3) as bigint)", f"cast(substring({d}, 4) as bigint)"
+        bare = self.pair("phone", f"{area} - 200", f"{rest} - 2000000", "800", "8000000")
+        # areas below 200 come first, then for each other area the exchanges below 200
+        n = f"if({area} < 200, {area} * 10000000 + {rest}, 2000000000 + ({area} - 200) * 2000000 + {rest})"
+        other = self.pair("phone_other", f"({n}) div 60000", f"({n}) % 60000", "60000", "60000")
+        back = "if(m < 2000000000, lpad(cast(m as string), 10, '0'), concat((m - 2000000000) div 2000000 + 200, lpad(cast((m - 2000000000) % 2000000 as string), 7, '0')))"
+        new = f"if({area} >= 200 and {rest} >= 2000000, transform(array({bare}), q -> concat(q.a + 200, q.b + 2000000))[0], transform(transform(array({other}), q -> q.a * 60000 + q.b), m -> {back})[0])"
         lead = f"left(regexp_replace({x}, '[^0-9]', ''), length(regexp_replace({x}, '[^0-9]', '')) - 10)"
-        return f"transform(array({pair}), q -> {self.refill(x, f'concat({lead}, {new})')})[0]"
+        return f"transform(array({new}), q -> {self.refill(x, f'concat({lead}, q)')})[0]"
 
     def abroad(self, x: str) -> str:
         d = f"regexp_replace({x}, '[^0-9]', '')"

@@ -126,6 +126,18 @@ def test_pii(spark):
             assert f.value not in r.text and re.sub(r"\d", "9", f.value).count("9") == re.sub(r"\d", "9", f.pseudonym).count("9") or f.kind == "ipv4"
 
 
+def test_pii_any_area_code(spark):
+    phones = ["+1 (017) 555-7713", "+1 (136) 555-7479", "(017) 155-7713", "+1-017-555-7713", "+10175557713", "(269) 155-3296", "+1 (269) 555-3296", "269-555-3296"]
+    rows = pseudonymise(spark.createDataFrame([(i, f"call {p}.") for i, p in enumerate([*phones, "017-555-7713"])], "doc_id long, text string"), "key", found_col="found").orderBy("doc_id").collect()
+    found = [r.found for r in rows]
+    assert [[(f.kind, f.value) for f in fs] for fs in found] == [[("phone", p)] for p in phones] + [[]]
+    new = [re.sub(r"\D", "", fs[0].pseudonym)[-10:] for fs in found[:-1]]
+    assert all(re.sub(r"\d", "9", fs[0].pseudonym) == re.sub(r"\d", "9", fs[0].value) and fs[0].pseudonym not in phones for fs in found[:-1])
+    assert new[0] == new[3] == new[4] and new[6] == new[7] and len(set(new)) == 5  # a number has one pseudonym in all forms
+    # the permutation's two parts stay apart
+    assert [n[0] >= "2" and n[3] >= "2" for n in new] == [False] * 6 + [True] * 2
+
+
 def test_exact(spark, odd, tmp_path):
     index = DigestIndex(spark, "digests_test", buckets=4, location=str(tmp_path / "index"))
     first = exact_dedup(odd, index, "one").collect()
