@@ -16,7 +16,8 @@ ROUNDS = 8
 SECRET_WORDS = "password|passwd|pwd|secret|token|api_key|apikey|access_key"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
 KEY_ID = r"AKIA[A-Z0-9]{16}"
-SECRET = rf"(?<=(?:{SECRET_WORDS})[ ]?[=:][ ]?[\"']?)[A-Za-z0-9_/+\-]{{8,512}}"
+# a run of any length, never given back; dots join its parts
+SECRET = rf"(?<=(?i:{SECRET_WORDS})[ ]?[=:][ ]?[\"']?)[A-Za-z0-9_/+\-](?:[A-Za-z0-9_/+\-]|\.(?=[A-Za-z0-9_/+\-])){{7,}}+"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
@@ -77,10 +78,12 @@ class Pseudonyms:
         half = f"cast((length({x}) + 1) div 2 as int)"
 
         def shifted(own: str, other: str) -> str:
-            c, k = "substring(w, i, 1)", f"({self.prf(kind, 't', f"concat(i, '|', {other})")})"
-            moved = lambda base, n: f"chr(cast({base} + (ascii({c}) - {base} + {k}) % {n} as int))"
-            to = f"case when {c} rlike '[0-9]' then {moved(48, 10)} when {c} rlike '[a-z]' then {moved(97, 26)} when {c} rlike '[A-Z]' then {moved(65, 26)} else {c} end"
-            return f"transform(array({own}), w -> if(length(w) = 0, '', array_join(transform(sequence(1, greatest(length(w), 1)), i -> {to}), '')))[0]"
+            # a long half is hashed once, so that the work grows with the length only
+            o = f"if(length({other}) > 256, sha2({other}, 256), {other})"
+            k = f"({self.prf(kind, 't', "concat(i + 1, '|', w.o)")})"
+            moved = lambda base, n: f"chr(cast({base} + (ascii(c) - {base} + {k}) % {n} as int))"
+            to = f"case when c rlike '[0-9]' then {moved(48, 10)} when c rlike '[a-z]' then {moved(97, 26)} when c rlike '[A-Z]' then {moved(65, 26)} else c end"
+            return f"transform(array(named_struct('w', {own}, 'o', {o})), w -> array_join(transform(split(w.w, ''), (c, i) -> {to}), ''))[0]"
 
         one = f"if(t % 2 = 0, named_struct('a', {shifted('s.a', 's.b')}, 'b', s.b), named_struct('a', s.a, 'b', {shifted('s.b', 's.a')}))"
         return f"aggregate(sequence(0, 3), named_struct('a', substring({x}, 1, {half}), 'b', substring({x}, {half} + 1)), (s, t) -> {one}, s -> concat(s.a, s.b))"

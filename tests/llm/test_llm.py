@@ -138,6 +138,19 @@ def test_pii_any_area_code(spark):
     assert [n[0] >= "2" and n[3] >= "2" for n in new] == [False] * 6 + [True] * 2
 
 
+def test_pii_secrets_whole(spark):
+    long = "".join("aB3_xyZ9"[i % 7] for i in range(100_000))
+    secrets = ["9233A8EC9233A8EC", "hunter2hunter2", "aaaa.bbbb.cccc", long, "x" * 513, "a.bcdefg"]
+    texts = [f'TOKEN = "{secrets[0]}"', f"Password: {secrets[1]}, then", f"token={secrets[2]}. End", f"Api_Key: {secrets[3]}", f"secret='{secrets[4]}'", f"pwd={secrets[5]}", "pwd=a.bcdef", "Token: short."]
+    rows = pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key", found_col="found").orderBy("doc_id").collect()
+    assert [[(f.kind, f.value) for f in r.found] for r in rows] == [[("secret", s)] for s in secrets] + [[], []]
+    for r, t, s in zip(rows, texts, secrets, strict=False):
+        new = r.found[0].pseudonym
+        assert new != s and len(new) == len(s) and r.text == t.replace(s, new) and [c.isalnum() for c in new] == [c.isalnum() for c in s]
+        assert not any(p in r.text for p in s.split(".") if len(p) > 3)
+    assert [r.text for r in rows[6:]] == texts[6:]
+
+
 def test_exact(spark, odd, tmp_path):
     index = DigestIndex(spark, "digests_test", buckets=4, location=str(tmp_path / "index"))
     first = exact_dedup(odd, index, "one").collect()
