@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,7 +145,7 @@ def doc_shingles(column: pa.Array, k: int):
                 yield words[:0]
 
 
-def ranked(df: DataFrame, keys: list[str], rank: str) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str | Column], rank: str) -> DataFrame:
     """df with the global number of each row in the order of keys, 0 up without gaps.
 
     Ranges of the keys are sorted in parallel; only the row count of each range comes to the driver. The sorted rows are

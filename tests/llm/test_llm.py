@@ -219,3 +219,18 @@ def test_pipeline(spark, docs):
         assert ids <= kept and now.columns == docs.columns, name
         kept = ids
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()} == kept
+
+
+def test_pipeline_rows(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".split()
+    a, b, c, d = (" ".join(p + w for w in words) for p in ("a", "b", "c", "d"))
+    near = a + " more"
+    rows = [(None, d), (None, c), (1, c), (2, "x y z"), (2, "x y z"), (None, "lone"), (None, "lone"), (3, near), (5, a), (5, b), (6, None), (7, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    told = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    kept = corpus_pipeline.exact(spark, table, SF)
+    assert told(kept) == sorted([(None, d), (1, c), (2, "x y z"), (None, "lone"), (3, near), (5, a), (5, b), (7, "")], key=str)
+    want = sorted([(None, d), (1, c), (2, "x y z"), (None, "lone"), (3, near), (5, b), (7, "")], key=str)
+    assert told(corpus_pipeline.near(spark, kept, SF)) == want
+    # repeated rows and rows without an id fold in near alone too
+    assert [r for r in told(corpus_pipeline.near(spark, table, SF)) if r[1]] == [r for r in want if r[1]]
