@@ -13,6 +13,9 @@ import regex
 
 #: Printable ASCII without "<", and Latin letters of the supplement that are their own NFC form.
 LATIN = regex.compile(r"[!-;=-~\u00c0-\u00ff]*").fullmatch
+#: str.split() also parts at these, which the tokenizer's white space (White_Space of Unicode) leaves out.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+STRETCHES = regex.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall
 
 
 def kept(key: tuple, make):
@@ -75,7 +78,7 @@ class ChunkEncoder:
         # upper-case forms of special tokens are ordinary text
         if "<" not in text:
             text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        return text.split()
+        return STRETCHES(text) if any(c in text for c in SEPARATORS) else text.split()
 
     def _fast(self):
         """The same merges as a rank table, for chunks of Latin letters, or None if the file has another form.

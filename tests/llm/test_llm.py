@@ -20,6 +20,7 @@ from tensorloom.llm.packing import nnls, pack  # noqa: E402
 from tensorloom.llm.pii import pseudonymise  # noqa: E402
 from tensorloom.llm.sentencepiece_codec import SentencePieceEncoder, sentencepiece_decode, sentencepiece_encode  # noqa: E402
 from tensorloom.llm.sharding import permute, row_at, shard  # noqa: E402
+from tensorloom.llm.tokens import ChunkEncoder  # noqa: E402
 from tensorloom.llm.url_filter import url_filter  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -186,6 +187,16 @@ def test_packing(spark, docs, odd):
     assert (x >= 0).all() and (a.T @ (b - a @ x) < 1e-6).all()
 
 
+def test_separators_are_tokens():
+    from tokenizers import Tokenizer
+
+    path = Q.tokenizer_path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), ChunkEncoder(path)
+    texts = [t.replace("|", c) for c in "\x1c\x1d\x1e\x1f\x85\xa0\u2028\u3000" for t in ("abc|def", "|", "a |b c| d", "||x", "Caf\u00e9|<b|> 12|3 it's|", "<|endoftext|>")]
+    assert tokenizer.encode("abc\x1cdef", add_special_tokens=False).ids == [5334, 472, 11649]
+    assert [e.tolist() for e in encoder.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_sentencepiece(spark, docs, odd):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
