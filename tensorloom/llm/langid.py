@@ -1,6 +1,6 @@
 """Language identification by n-gram filters whose slots hold a bitmask of languages.
 
-A slot of the table has one bit for each language (bit-sliced Bloom filters: one lookup asks all of them). An n-gram's
+A slot of the table has one bit for each language, in as many 64-bit words as they need (bit-sliced Bloom filters: one lookup asks all of them). An n-gram's
 languages are the bitwise "and" of its slots. A text's n-grams are popcounted for each language, the counts corrected for
 the share that the filter's fill would let through by chance, and the highest corrected rate decides.
 """
@@ -61,22 +61,26 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Filters:
     languages: list[str]
-    table: np.ndarray  # a bitmask of languages for each slot
+    table: np.ndarray  # words of 64 languages by slots: bitmasks of languages
 
     def __post_init__(self):
-        n = len(self.languages)
-        bits = (self.table[:, None] >> np.arange(n, dtype=np.uint64)) & np.uint64(1) if n else np.zeros((1, 0))
-        self.chance = bits.mean(axis=0) ** HASHES  # of an n-gram outside
+        fill = [self._bit(self.table, i).mean() for i in range(len(self.languages))]
+        self.chance = np.array(fill, np.float64) ** HASHES  # of an n-gram outside
+
+    @staticmethod
+    def _bit(masks: np.ndarray, language: int) -> np.ndarray:
+        return (masks[language // 64] >> np.uint64(language % 64)) & np.uint64(1)
 
     @classmethod
     def of(cls, languages: list[str], grams_of: list[tuple[int, int]]) -> Filters:
-        """grams_of: (hash as signed 64-bit number, bitmask)."""
-        table = np.zeros(1 << SLOT_BITS, np.uint64)
+        """grams_of: (hash as signed 64-bit number, bitmask of any size)."""
+        table = np.zeros((max(1, -(-len(languages) // 64)), 1 << SLOT_BITS), np.uint64)
         if grams_of:
             h = np.array([g for g, _ in grams_of], np.int64).view(np.uint64)
-            mask = np.array([m for _, m in grams_of], np.uint64)
-            for at in cls._slots(h):
-                np.bitwise_or.at(table, at, mask)
+            for word, row in enumerate(table):
+                mask = np.array([m >> 64 * word & 2**64 - 1 for _, m in grams_of], np.uint64)
+                for at in cls._slots(h):
+                    np.bitwise_or.at(row, at, mask)
         return cls(languages, table)
 
     @staticmethod
@@ -85,16 +89,18 @@ class Filters:
             yield ((h >> np.uint64(i * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), 2**64 - 1, np.uint64)
+        """A row for each word of the table."""
+        out = np.full((len(self.table), len(h)), 2**64 - 1, np.uint64)
         for at in self._slots(h):
-            out &= self.table[at]
+            for row, word in zip(out, self.table, strict=True):
+                row &= word[at]
         return out
 
     def counts(self, words: list[str]) -> np.ndarray:
         """For each word: n-grams of each language, all n-grams, and letters (a row each)."""
         h, whose = grams(words)
         masks, n = self.masks(h), len(words)
-        cols = [np.bincount(whose, weights=(masks >> np.uint64(i)) & np.uint64(1), minlength=n) for i in range(len(self.languages))]
+        cols = [np.bincount(whose, weights=self._bit(masks, i), minlength=n) for i in range(len(self.languages))]
         cols.append(np.bincount(whose, minlength=n))
         cols.append(np.fromiter((any(map(str.isalpha, w)) for w in words), bool, n))
         return np.stack(cols, axis=1).astype(np.float64)
@@ -113,7 +119,7 @@ class Filters:
 
 
 def fit(labelled: DataFrame, per_language: int = 1000, min_rate: float = 2e-5, min_share: float = 0.4, most: int = 30_000, id_col: str = "doc_id") -> Filters:
-    """Filters from (text, lang) rows; rows without either are left out. At most 64 languages, the most frequent ones.
+    """Filters from (text, lang) rows; rows without either are left out. Every lang value is learned.
 
     From each language at most about `per_language` whole texts are taken, those with the smallest hash of the id. An
     n-gram belongs to each language where it makes at least min_rate of all n-grams and at least min_share of its highest
@@ -121,11 +127,11 @@ def fit(labelled: DataFrame, per_language: int = 1000, min_rate: float = 2e-5, m
     """
     spark = labelled.sparkSession
     rows = labelled.where("text is not null and lang is not null").select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = sorted(((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()))
+    sizes = sorted(((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()))
     if not sizes:
         return Filters.of([], [])
     languages = [lang for lang, _ in sizes]
-    share = spark.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in sizes], "lang string, share double")  # 64 rows at most
+    share = spark.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in sizes], "lang string, share double")  # a row for each language
     draw = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(F.broadcast(share), "lang").where(draw <= F.col("share")).select("lang", "text")
     number = {lang: i for i, lang in enumerate(languages)}
@@ -167,10 +173,10 @@ def fit(labelled: DataFrame, per_language: int = 1000, min_rate: float = 2e-5, m
 
 
 class _Words:
-    """Counts of words; at most `most` distinct words are remembered."""
+    """Counts of words; at most `most` distinct words are remembered, fewer where there are more than 64 languages."""
 
     def __init__(self, filters: Filters, most: int = 150_000):
-        self.filters, self.most, self.place = filters, most, {}
+        self.filters, self.most, self.place = filters, most // len(filters.table), {}
         self.rows = np.empty((0, len(filters.languages) + 2), np.float32)
 
     def sums(self, texts: list[str]) -> np.ndarray:
@@ -197,7 +203,7 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     always, the first in alphabetical order among equals; its score is the corrected share of its n-grams.
     """
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.table))  # 2 ** SLOT_BITS masks, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.table))  # 2 ** SLOT_BITS masks for each 64 languages, whatever the corpus
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):

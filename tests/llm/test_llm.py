@@ -112,6 +112,17 @@ def test_language(spark, docs, odd):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    # the language of number i has words of its own letters; the last ones are the rarest
+    rng = np.random.default_rng(5)
+    word = lambda i: "".join(chr(0x4E00 + 40 * i + int(x)) for x in rng.integers(0, 12, 5))
+    rows = [(100 * i + j, " ".join(word(i) for _ in range(40)), f"l{i:03d}") for i in range(70) for j in range(3 if i < 64 else 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(4)
+    filters = fit(df)
+    assert filters.languages == [f"l{i:03d}" for i in range(70)] and len(filters.table) == 2
+    assert all(r.lang == r.lang_pred for r in identify(df, filters).collect())
+
+
 def test_pii(spark):
     texts = ["a.b12@x.org +1 (269) 555-3296 4524132264652876 55.63.178.142", "1984-02-29 1984-03-01 2023-02-30 123-45-6789 4524132264652877", "4524-1322-6465-2876 password=7602ad27cf5550de1c", None, "", "plain"]
     rows = pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key", found_col="found").orderBy("doc_id").collect()
