@@ -74,6 +74,28 @@ def test_vectors(spark):
     assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == [(near[i].sum(), comp[i]) for i in range(len(x))]
 
 
+def test_vectors_of_a_dense_group(spark):
+    # mutual cosines near 0.9, and pairs whose only link is each other
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(np.sqrt(0.9) * unit(rng.standard_normal(64)) + np.sqrt(0.1) * unit(rng.standard_normal((8000, 64))))
+    across = rng.standard_normal((400, 64))
+    across = unit(across - (across * x[:400]).sum(1, keepdims=True) * x[:400])
+    x = np.concatenate([x, 0.955 * x[:400] + np.sqrt(1 - 0.955**2) * across])
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    comp = np.arange(len(x))
+    a, b = np.nonzero(near)
+    while True:
+        before = comp.copy()
+        np.minimum.at(comp, a, before[b])
+        if (comp == before).all():
+            break
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
+    assert near[:400, 8000:].diagonal().all()
+    assert got == {i: (near[i].sum(), comp[i]) for i in range(len(x))}
+
+
 def brute_components(rows, k, percent):
     def words(t):
         return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
