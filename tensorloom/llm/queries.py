@@ -149,4 +149,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_feistel_sharding, op3_embedding_near_dedup, op4_ngram_jaccard_join, op5_language_id, op6_pii_pseudonyms, op7_exact_dedup, op8_url_filter, op9_packing, op10_sentencepiece)}
-ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
+ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}

@@ -74,14 +74,8 @@ def test_vectors(spark):
     assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == [(near[i].sum(), comp[i]) for i in range(len(x))]
 
 
-def test_vectors_of_a_dense_group(spark):
-    # mutual cosines near 0.9, and pairs whose only link is each other
-    rng = np.random.default_rng(7)
-    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
-    x = unit(np.sqrt(0.9) * unit(rng.standard_normal(64)) + np.sqrt(0.1) * unit(rng.standard_normal((8000, 64))))
-    across = rng.standard_normal((400, 64))
-    across = unit(across - (across * x[:400]).sum(1, keepdims=True) * x[:400])
-    x = np.concatenate([x, 0.955 * x[:400] + np.sqrt(1 - 0.955**2) * across])
+def vector_links(x):
+    """Links and components of unit vectors by brute force."""
     near = x @ x.T >= 0.95
     np.fill_diagonal(near, False)
     comp = np.arange(len(x))
@@ -90,10 +84,47 @@ def test_vectors_of_a_dense_group(spark):
         before = comp.copy()
         np.minimum.at(comp, a, before[b])
         if (comp == before).all():
-            break
-    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
-    assert near[:400, 8000:].diagonal().all()
-    assert got == {i: (near[i].sum(), comp[i]) for i in range(len(x))}
+            return near, comp
+        comp = comp[comp]
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def test_vectors_of_a_dense_group(spark):
+    # mutual cosines near 0.9, and pairs whose only link is each other, in windows of a sixteenth of the rows
+    rng = np.random.default_rng(7)
+    x = unit(np.sqrt(0.9) * unit(rng.standard_normal(64)) + np.sqrt(0.1) * unit(rng.standard_normal((8000, 64))))
+    across = rng.standard_normal((400, 64))
+    across = unit(across - (across * x[:400]).sum(1, keepdims=True) * x[:400])
+    x = np.concatenate([x, 0.955 * x[:400] + np.sqrt(1 - 0.955**2) * across])
+    near, _ = vector_links(x)
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), window=512).collect()}
+    found, links = sum(r.n_links for r in got.values()), near.sum()
+    assert 0.95 * links <= found <= links and all(r.n_links <= near[i].sum() for i, r in got.items())
+    together = [got[i].component_id == got[8000 + i].component_id for i in range(400)]
+    assert near[:400, 8000:].diagonal().all() and np.mean(together) >= 0.95
+
+
+def test_vectors_of_a_large_component(spark):
+    # a component of several windows: tight vectors, outer ones and strangers; copies count
+    rng = np.random.default_rng(8)
+    c = unit(rng.standard_normal(32))
+    x = np.concatenate([unit(c + s * unit(rng.standard_normal((m, 32)))) for s, m in ((0.05, 700), (0.2, 300), (0.3, 150))] + [unit(rng.standard_normal((200, 32)))])
+    x = np.concatenate([x, x[:5], x[:5]])
+    near, comp = vector_links(x)
+    got = near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), window=256).orderBy("vec_id").collect()
+    assert [r.n_links for r in got] == near.sum(1).tolist() and [r.component_id for r in got] == comp.tolist()
+
+
+def test_vectors_odd(spark):
+    kind = "vec_id long, embedding array<float>, comp string, copies int, h1 int, pass int"
+    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [-0.0, 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (6, None), (7, [1.0, 0.0, 0.0]), (7, [1.0, 0.0, 0.0]), (8, [1e-38, 0.0])]
+    got = near_vectors(spark.createDataFrame([(*r, "c", 1, 2, 3) for r in rows], kind)).collect()
+    # both rows of id 1 are one vertex, and so are [1, 0] and [0, 1]; 1e-38 points as [1, 0] does
+    assert sorted((r.vec_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, False), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True), (6, 6, True), (7, 7, True), (7, 7, True), (8, 1, False)]
+    assert near_vectors(spark.createDataFrame([], kind)).count() == 0
 
 
 def brute_components(rows, k, percent):
