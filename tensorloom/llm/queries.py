@@ -111,9 +111,11 @@ def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = f"digests_{uuid.uuid4().hex}"
-    index = DigestIndex(spark, name, location=f"{shared_dir(spark)}/tensorloom/{name}")
-    return exact_dedup(table(spark, sf_dir, "documents"), index, "first")
+    docs, name = table(spark, sf_dir, "documents"), f"digests_{uuid.uuid4().hex}"
+    index = DigestIndex(spark, name, location=f"{shared_dir(spark)}/tensorloom/{name}", rows=docs.count())
+    out = exact_dedup(docs, index, "first")
+    index.drop()  # the verdicts are written; an index that is to last keeps its name
+    return out
 
 
 OP7_SQL = """

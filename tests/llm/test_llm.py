@@ -220,8 +220,28 @@ def test_exact(spark, odd, tmp_path):
     index = DigestIndex(spark, "digests_test", buckets=4, location=str(tmp_path / "index"))
     first = exact_dedup(odd, index, "one").collect()
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in first if r.doc_id in (1, 2, 3, 4)} == {(1, 2, 2, False), (2, 2, 2, True), (2, 2, 1, True), (3, 4, 2, False), (4, 4, 2, True)}
+    assert [(r.keep_id, r.kept) for r in first if r.doc_id is None] == [(None, True)]
     again = exact_dedup(odd, index, "two").collect()
     assert not any(r.kept for r in again) and len(again) == len(ODD)
+    more = spark.createDataFrame([(9, "A B C D E F G H I J"), (9, "new"), (9, "NEW"), (8, "new"), (None, "new"), (9, "new")], "doc_id long, text string")
+    got = exact_dedup(more, index, "three").collect()
+    assert [(r.keep_id, r.group_size) for r in got] .count((9, 5)) == 5 and sum(r.kept for r in got) == 1
+    assert exact_dedup(odd.limit(0), index, "four").count() == 0
+    before = index.table().count()
+    index.compact()
+    assert index.table().count() == before and DigestIndex(spark, "digests_test", buckets=9).buckets == 4
+    assert not any(r.kept for r in exact_dedup(odd, index, "five").collect())
+    index.drop()
+
+
+def test_exact_hot_group(spark, tmp_path):
+    # half of all rows share a text, and no task of a shuffle gets more than a fraction of them
+    index = DigestIndex(spark, "digests_hot", location=str(tmp_path / "index"), rows=20_000)
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("text"))
+    out = exact_dedup(docs, index, "one")
+    assert out.where("kept").count() == 20_001 and out.where("keep_id = 39999 and group_size = 20000").count() == 20_000
+    widest = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.when(F.col("group_size") > 1, 1)).alias("n")).agg(F.max("n")).first()[0]
+    assert widest <= 20_000 // 2
     index.drop()
 
 
