@@ -91,24 +91,68 @@ _LOWER[0x41:0x5B] += 0x20
 _POWERS: list = []
 
 
-def _tables(n: int):
+def _tables():
     """Powers of the odd base and of its inverse modulo 2 ** 64, and a random number for each lower-cased byte."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, _PIECE)
-        table = []
+    if not _POWERS:
         for base in (_BASE, pow(_BASE, -1, 2**64)):
-            p = np.full(size, base, np.uint64)
+            p = np.full(_PIECE + 1, base, np.uint64)
             p[0] = 1
-            table.append(np.cumprod(p, dtype=np.uint64))
-        _POWERS[:] = [*table, np.random.default_rng(11).integers(1, 2**64, 256, np.uint64)[_LOWER]]
+            _POWERS.append(np.cumprod(p, dtype=np.uint64))
+        _POWERS.append(np.random.default_rng(11).integers(1, 2**64, 256, np.uint64)[_LOWER])
     return _POWERS
 
 
+def _words(b: np.ndarray, starts: np.ndarray):
+    """Of the words in at most _PIECE bytes: polynomials of their bytes, first and last place; no word goes over a start."""
+    n = len(b)
+    power, inverse, value = _tables()
+    solid = ~_SPACE[b]
+    edge = np.zeros(n + 1, bool)
+    edge[starts] = True
+    before, after = np.empty(n, bool), np.empty(n, bool)
+    if n:
+        before[0], after[-1] = False, False
+        before[1:], after[:-1] = solid[:-1], solid[1:]
+    begin = np.flatnonzero(solid & (~before | edge[:n]))
+    end = np.flatnonzero(solid & (~after | edge[1:])) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(value[b] * power[:n], out=sums[1:])
+    return (sums[end] - sums[begin]) * inverse[begin], begin, end
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _A
+    return h ^ (h >> _S)
+
+
+def _long_row(b: np.ndarray) -> np.ndarray:
+    """Word hashes of one long text, piece by piece; a word that goes on in the next piece is carried over."""
+    parts, carried, length = [], None, 0
+    for at in range(0, len(b), _PIECE):
+        piece = b[at : at + _PIECE]
+        h, begin, end = _words(piece, np.array([0, len(piece)]))
+        lengths = end - begin
+        if carried is not None:
+            if len(begin) and begin[0] == 0:
+                h[:1] = carried + h[:1] * np.uint64(pow(_BASE, length, 2**64))
+                lengths[0] += length
+            else:
+                parts.append(carried)
+            carried = None
+        if len(end) and end[-1] == len(piece):
+            carried, length, h = h[-1:], int(lengths[-1]), h[:-1]
+        parts.append(h)
+    if carried is not None:
+        parts.append(carried)
+    return _mixed(np.concatenate(parts))
+
+
 def word_hashes(column: pa.Array):
     """For stretches of rows of a text column (first row, hashes of all words, words of each row).
 
-    Words are [^\x20\x09-\x0D]+ after lower-casing A-Z; null counts as empty. A stretch has about _PIECE bytes, or one
-    row. The hash is a polynomial of random byte values with a final mix, taken from running sums over the bytes.
+    Words are [^\x20\x09-\x0D]+ after lower-casing A-Z; null counts as empty. A stretch has up to _PIECE bytes, or one longer
+    row, which is read in pieces. The hash is a polynomial of random byte values with a final mix, taken from running sums
+    over the bytes.
     """
     if len(column) == 0:
         return
@@ -120,23 +164,12 @@ def word_hashes(column: pa.Array):
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(at, at[first] + _PIECE, side="right")) - 1)
         b, starts = data[at[first] : at[last]], at[first : last + 1] - at[first]
-        n = len(b)
-        power, inverse, value = _tables(n + 1)
-        solid = ~_SPACE[b]
-        edge = np.zeros(n + 1, bool)
-        edge[starts] = True
-        before, after = np.empty(n, bool), np.empty(n, bool)
-        if n:
-            before[0], after[-1] = False, False
-            before[1:], after[:-1] = solid[:-1], solid[1:]
-        begin = np.flatnonzero(solid & (~before | edge[:n]))
-        end = np.flatnonzero(solid & (~after | edge[1:])) + 1
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(value[b] * power[:n], out=sums[1:])
-        h = (sums[end] - sums[begin]) * inverse[begin]
-        h = (h ^ (h >> np.uint64(32))) * _A
-        h ^= h >> _S
-        yield first, h, np.diff(np.searchsorted(begin, starts))
+        if len(b) > _PIECE:
+            h = _long_row(b)
+            yield first, h, np.array([len(h)])
+        else:
+            h, begin, _ = _words(b, starts)
+            yield first, _mixed(h), np.diff(np.searchsorted(begin, starts))
         first = last
 
 

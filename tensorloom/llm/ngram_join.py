@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import cut, doc_shingles, drop
+from tensorloom.llm.common import HOT, cut, doc_shingles, drop, with_hot
 from tensorloom.llm.components import LINKS, components, find
 from tensorloom.llm.tokens import release
 
@@ -232,8 +232,15 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
 
 
+def _hot_cells(level: np.ndarray, cell_bits: int) -> list[int]:
+    """Cells with more than a HOT-th of what the sketch counts, so fewer than about HOT."""
+    n = 2.0 ** (level / 8) - 1
+    return np.flatnonzero(n * HOT > n.sum()).tolist()
+
+
 def _repeated(batches):
-    """Rows sorted by token -> those whose token another row has too; one batch and one row are held."""
+    """Rows (token, node, np, hot) sorted by token -> those that are hot or whose token another row has too; one batch and
+    one row are held."""
     rest = None
     for batch in batches:
         if rest is not None:
@@ -241,7 +248,7 @@ def _repeated(batches):
         token = batch.column(0).to_numpy()
         same = token[1:] == token[:-1]
         n = len(token) - 1
-        keep = np.zeros(n + 1, bool)
+        keep = batch.column(3).to_numpy(zero_copy_only=False).copy()
         keep[1:] |= same
         keep[:-1] |= same
         if rest is not None and held:
@@ -312,7 +319,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     """(doc_id, n_shingles, component_id) for each row of docs; see the module.
 
     Sets link when 100 * intersection >= percent * union. component_id is the smallest id reachable by links, itself
-    included. Null, empty and blank texts have n_shingles 0 and link with nothing. Rows that repeat an id count as one
+    included. Null, empty and blank texts have n_shingles 0 and link with nothing. Very long texts are read
+    in pieces of a megabyte; a text's own set is held whole. Rows that repeat an id count as one
     document where links are followed; each row is returned. A null id keeps its row, with component_id null. Other
     columns are ignored. Hash collisions (64 bits) could change an overlap by one with a chance of about
     shingles ** 2 / 2 ** 65.
@@ -341,12 +349,17 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     one = heads_df.where("n > 0").join(first, ["s1", "s2"]).where("doc = node").dropDuplicates(["s1", "s2"])
     # prefix shingles that start two sets at least
     starts = one.select(F.posexplode("prefix").alias("pos", "token"), "node", "n").select("token", "node", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
-    twice = starts.repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, node long, np long")
+    # tokens of the sketch's hot cells are spread over tasks, and go on unseen
+    cells = _hot_cells(level.value, CELL_BITS)
+    hot = F.shiftrightunsigned("token", 64 - CELL_BITS).isin(cells) if cells else F.lit(False)
+    starts = starts.withColumn("hot", hot).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(HOT))))
+    twice = starts.repartition("token", "salt").drop("salt").sortWithinPartitions("token").mapInArrow(_repeated, "token long, node long, np long, hot boolean")
     shared = cut(twice.select("token", "node", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")), "shared")
     drop(heads_df)
     # sets that link share `floor` of these buckets. Shared small buckets are counted pair by pair (at most FEW sets each);
     # what a pair shares of larger ones is no more than either set has of them
-    sized = shared.select("token", "node", "n").join(shared.groupBy("token").agg(F.count(F.lit(1)).alias("k")), "token")
+    counts = cut(shared.groupBy("token").agg(F.count(F.lit(1)).alias("k")), "counts")
+    sized = with_hot(shared.select("token", "node", "n"), counts, "token", "k", shared.count())
     floor = lambda n: F.floor(1 + F.ceil(F.ceil(n * percent / 100) * percent / 100) / 50)
     few = sized.where(F.col("k") <= FEW).groupBy("token").agg(F.collect_list(F.struct("node", "n")).alias("m"))
     pairs = few.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(least(x, y) as x, greatest(x, y) as y))))")).alias("p"))

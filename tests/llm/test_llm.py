@@ -156,6 +156,27 @@ def test_ngram_join(spark, docs, odd, monkeypatch, block):
     assert ngram_join.ngram_jaccard_join(odd.limit(0)).count() == 0
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from tensorloom.llm import common
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcDE \t"), int(n))) for n in rng.integers(0, 400, 60)] + ["x" * 700, " " * 300, "a" * 100 + " " + "b" * 200, None, ""]
+    whole = [s.tolist() for s in common.doc_shingles(pa.array(texts), 3)]
+    monkeypatch.setattr(common, "_PIECE", 50)
+    monkeypatch.setattr(common, "_POWERS", [])
+    assert [s.tolist() for s in common.doc_shingles(pa.array(texts), 3)] == whole
+
+
+def test_ngram_join_hot_token(spark):
+    # a third of the rows are near copies of one text, each its own
+    same = [f"s{i}" for i in range(40)]
+    rows = [(i, " ".join([*same, f"only{i}"]) if i % 3 == 0 else " ".join(f"w{i}x{j}" for j in range(20))) for i in range(1500)]
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert all(r.component_id == (0 if r.doc_id % 3 == 0 else r.doc_id) for r in got)
+
+
 def test_language(spark, docs, odd):
     filters = fit(docs.where(~Q.held_out()))
     got = identify(docs, filters).where(Q.held_out()).collect()
