@@ -64,15 +64,15 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) for each row of docs, after adding docs to the index.
+def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) and the columns to carry for each row of docs, after adding docs to the index.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. keep_id is the largest doc_id of the
     group in the batch that first had the text, group_size the rows of that text in that batch. kept: this row stays, one
     of each group that the batch has first. Of rows that repeat the kept id one stays, whichever; a null id stays only where
     the group has no other, with keep_id null. Other columns are ignored; no rows give none.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("at"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("at"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     rows = cut(slim, "digests")
     order = F.coalesce("doc_id", F.lit(-(2**63)))
     groups = cut(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.max_by("at", order).alias("keep_at"), F.count(F.lit(1)).alias("seen")), "groups")
@@ -81,4 +81,4 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "
     told = groups.join(told, "digest").select("digest", "seen", "group_size", F.col("index_id").alias("keep_id"), F.when(F.col("batch") == F.lit(batch), F.col("keep_at")).alias("keep_at"))
     out = with_hot(rows, cut(told, "verdicts"), "digest", "seen", rows.count())
     kept = F.coalesce(F.col("at") == F.col("keep_at"), F.lit(False))
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *[F.col(f"carried_{c}").alias(c) for c in carry])
