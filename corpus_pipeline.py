@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import cut, ranked, shared_dir, table
+from tensorloom.llm.common import cut, shared_dir, table
 from tensorloom.llm.exact_dedup import DigestIndex, exact_dedup
 from tensorloom.llm.langid import UND, fit, identify
 from tensorloom.llm.ngram_join import ngram_jaccard_join
@@ -24,26 +24,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return identify(docs.select(*COLUMNS), filters).where(f"lang_pred <> '{UND}'").select(*COLUMNS)
 
 
-def numbered(docs: DataFrame, first: Column) -> DataFrame:
-    """Written rows with a number of their own, in the order of first; rows that share or lack an id spread over the ranges by text."""
-    docs = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("at"))
-    return ranked(docs, [first, F.xxhash64("text"), F.col("at")], "row")
+def numbered(docs: DataFrame) -> DataFrame:
+    """Written rows with a number of their own, so that rows that share or lack an id stay apart."""
+    return cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: one with the largest doc_id, or with none if the group has none."""
     name = f"digests_{uuid.uuid4().hex}"
-    index = DigestIndex(spark, name, location=f"{shared_dir(spark)}/tensorloom/{name}")
-    rows = numbered(docs, F.col("doc_id").asc_nulls_first())
-    kept = exact_dedup(rows, index, "pipeline", id_col="row").where("kept").selectExpr("doc_id as row")
+    rows = numbered(docs)
+    index = DigestIndex(spark, name, location=f"{shared_dir(spark)}/tensorloom/{name}", rows=rows.count())
+    kept = cut(exact_dedup(rows, index, "pipeline", carry=("row",)).where("kept").select("row"), "kept")
+    index.drop()
     return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five words, 0.8): one with the smallest doc_id, or with none if the group has
     none. Rows that share an id and texts that are not near are different documents."""
-    rows = numbered(docs, F.col("doc_id").asc_nulls_last())
-    kept = ngram_jaccard_join(rows, k=5, percent=80, id_col="row").where("doc_id = component_id").selectExpr("doc_id as row")
+    rows = numbered(docs)
+    found = ngram_jaccard_join(rows, k=5, percent=80, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    first = F.coalesce("doc_id", F.lit(2**63 - 1))
+    kept = rows.select("row", first.alias("first")).join(found, "row").groupBy("component_id").agg(F.min_by("row", "first").alias("row")).select("row")
     return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
