@@ -1,10 +1,13 @@
-"""SentencePiece encoding and decoding, batched over equally long words in numpy.
+"""SentencePiece encoding and decoding by Viterbi, batched over equally long words in numpy.
 
-Words of one length advance together. Substrings are known by polynomial prefix hashes, so all substrings that start or end
-at one place are probed in the sorted piece keys at once. Unigram models are solved by Viterbi: for each end place the
-vectorised maximum over the starts is kept with a back pointer. A BPE model defines its ids by merges in the order of its
-ranks; the best sum of scores is another segmentation, so Viterbi can't give a BPE model's ids. For those the same batches
-and probes run the merges: in each round every word joins its best pair.
+Words of one length advance together. Substrings are known by polynomial prefix hashes, so all substrings that end at one
+place are probed in the sorted piece keys at once, and a vectorised maximum over the starts is kept with a back pointer.
+
+A unigram model takes the sum of scores. A BPE model defines its ids by merges in the order of its ranks, which is not the best
+sum. Its segmentations are those in which every two neighbours stay apart when merged alone, and each prefix of a word has
+just one; so the path's score is 0, or minus infinity where a piece doesn't stay apart from the one that the path to its
+start ends with, and the maximum finds the merges' result. Whether two pieces stay apart follows from the merge trees
+along their common border, for all pairs of a batch together.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from tensorloom.llm.tokens import ChunkEncoder, batches_of, kept
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-LONG = 256  # words above it are encoded one by one
+LONG = 256  # BPE words above it are merged one by one, with the same result
+MOST_PAIRS = 2_000_000  # of pieces that a worker remembers
 BATCH_CELLS = 2_000_000
 
 
@@ -69,6 +73,8 @@ class Pieces:
         self.surface_len = np.array([len(s) for s in surface])
         self.surface_at = np.concatenate([[0], np.cumsum(self.surface_len)])
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
+        if not self.unigram:
+            self._trees(normal)
         self.newline_alone = not any("\n" in self.text[i] and len(self.text[i]) > 1 for i in normal)
 
     def _key(self, s: str) -> int:
@@ -92,34 +98,110 @@ class Pieces:
             return [found[1]]
         return self.bytes[list(char.encode())].tolist() if self.fallback else [self.unk]
 
+    def _trees(self, normal: list[int]) -> None:
+        """For each piece its hash, length, rank and the two pieces that its last merge joins (-1 for single characters)."""
+        n = len(self.text)
+        self.own_key, self.size = np.zeros(n, np.uint64), np.array([len(t) for t in self.text], np.int64)
+        self.own_key[self.ids] = self.keys
+        self.order = np.full(n, -1, np.int64)  # by falling score, equal ones together; single characters come before all merges
+        several = np.array([i for i in normal if len(self.text[i]) > 1], np.int64)
+        self.order[several] = np.unique(-self.scores[several], return_inverse=True)[1]
+        self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        for size in np.unique(self.size[several]).tolist():
+            at = several[self.size[several] == size]
+            for i, ids in zip(at.tolist(), self.merges([self.text[j] for j in at.tolist()], size - 1), strict=True):
+                if len(ids) == 2 and max(self.order[ids]) <= self.order[i]:
+                    self.left[i], self.right[i] = ids
+        self.made = np.zeros(n, bool)  # pieces that merges can make
+        self.made[normal] = True
+        self.made[several[self.left[several] < 0]] = False
+        self.pairs, self.apart = np.empty(0, np.int64), np.empty(0, bool)
+
+    def _stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pieces a[i], b[i] next to each other are what their text is merged to.
+
+        Seen backwards, the later one of the two pieces at the border is undone step by step. A piece over the border would
+        have been made if its rank comes before those of the pieces that these two became; among equal ranks the left goes
+        first.
+        """
+        out, end = np.ones(len(a), bool), np.int64(2**62)
+        at, x, y = np.arange(len(a)), a.copy(), b.copy()
+        x_into, y_into = np.full(len(a), end), np.full(len(a), end)
+        while len(at):
+            ids = self.probe(self.own_key[x] * self.powers[np.minimum(self.size[y], self.longest)] + self.own_key[y])
+            rank = np.where((ids >= 0) & (self.size[x] + self.size[y] <= self.longest), self.order[ids], end)
+            joined = (rank < x_into) & (rank <= y_into)
+            out[at[joined]] = False
+            x_later = self.order[x] > self.order[y]
+            x_into, y_into = np.where(x_later, self.order[x], x_into), np.where(x_later, y_into, self.order[y])
+            x, y = np.where(x_later, self.right[x], x), np.where(x_later, y, self.left[y])
+            more = ~joined & (x >= 0) & (y >= 0)
+            at, x, y, x_into, y_into = at[more], x[more], y[more], x_into[more], y_into[more]
+        return out
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_stay_apart, remembered; -1 stands for a character that no piece has."""
+        key = a * len(self.text) + b
+        n = len(self.pairs)
+        at = np.minimum(np.searchsorted(self.pairs, key), max(n - 1, 0))
+        known = self.pairs[at] == key if n else np.zeros(len(key), bool)
+        out = (a < 0) | (b < 0)
+        out[known] = self.apart[at[known]]
+        rest = np.flatnonzero(~known & (a >= 0) & (b >= 0))
+        if len(rest):
+            new, place = np.unique(key[rest], return_inverse=True)
+            apart = self._stay_apart(new // len(self.text), new % len(self.text))
+            out[rest] = apart[place]
+            if n > MOST_PAIRS:
+                self.pairs, self.apart = self.pairs[:0], self.apart[:0]
+            into = np.searchsorted(self.pairs, new)
+            self.pairs, self.apart = np.insert(self.pairs, into, new), np.insert(self.apart, into, apart)
+        return out
+
     def viterbi(self, words: list[str]) -> list[list[int]]:
-        """Best segmentations of equally long words."""
+        """The segmentations of equally long words."""
         n, length = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, length)
         h = self.prefix_hashes(codes)
         best = np.full((n, length + 1), -np.inf, np.float32)
         best[:, 0] = 0
-        back, piece = np.zeros((n, length + 1), np.int64), np.zeros((n, length + 1), np.int64)
+        back, piece = np.zeros((n, length + 1), np.int64), np.full((n, length + 1), -1, np.int64)
+        rows = np.arange(n)
         for end in range(1, length + 1):
-            for start in range(max(0, end - self.longest), end):
-                ids = self.probe(h[:, end] - h[:, start] * self.powers[end - start])
-                score = np.where(ids >= 0, self.scores[ids], self.lowest if end - start == 1 else np.float32(-np.inf))
-                total = best[:, start] + score
-                better = total > best[:, end]
-                best[better, end], back[better, end], piece[better, end] = total[better], start, ids[better]
+            starts = np.arange(max(0, end - self.longest), end)
+            ids = self.probe(h[:, end : end + 1] - h[:, starts] * self.powers[end - starts])
+            if self.unigram:
+                score = np.where(ids >= 0, self.scores[ids], np.float32(-np.inf))
+                score[:, -1] = np.where(ids[:, -1] >= 0, score[:, -1], self.lowest)
+            else:
+                fits = (ids >= 0) & self.made[ids]
+                fits[:, -1] = True
+                row, col = np.nonzero(fits[:, starts > 0])
+                col += int(starts[0] == 0)
+                fits[row, col] = self.compatible(piece[row, starts[col]], ids[row, col])
+                score = np.where(fits, np.float32(0), np.float32(-np.inf))
+            total = best[:, starts] + score
+            top = total.argmax(axis=1)
+            best[:, end], back[:, end], piece[:, end] = total[rows, top], starts[top], ids[rows, top]
+        return self._spelled(words, back, piece)
+
+    def _spelled(self, words: list[str], back: np.ndarray, piece: np.ndarray) -> list[list[int]]:
         out = []
-        for i, word in enumerate(words):
-            ids, end = [], length
+        for word, to, ids in zip(words, back.tolist(), piece.tolist(), strict=True):
+            path, end = [], len(word)
             while end:
-                start = int(back[i, end])
-                ids.append([int(piece[i, end])] if piece[i, end] >= 0 else self._spell(word[start:end]))
-                end = start
-            out.append([x for part in reversed(ids) for x in part])
+                if ids[end] >= 0:
+                    path.append(ids[end])
+                else:
+                    path.extend(reversed(self._spell(word[end - 1])))
+                end = to[end]
+            out.append(path[::-1])
         return out
 
-    def merges(self, words: list[str]) -> list[list[int]]:
-        """BPE of equally long words: each round joins the best pair of each word, the first among equals."""
-        n, length = len(words), len(words[0])
+    def merges(self, words: list[str], longest: int | None = None) -> list[list[int]]:
+        """BPE of equally long words by the definition, for the merge trees of pieces and for tests: each round joins the best
+        pair of each word, the first among equals, to pieces of up to `longest` characters."""
+        n, length, longest = len(words), len(words[0]), longest or self.longest
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, length)
         h = self.prefix_hashes(codes)
         border = np.ones((n, length + 1), bool)
@@ -129,7 +211,7 @@ class Pieces:
             b = border[live]
             before = np.maximum.accumulate(np.where(b, place, 0), axis=1)[:, :-2]  # the border at or before j - 1
             after = np.minimum.accumulate(np.where(b, place, length)[:, ::-1], axis=1)[:, ::-1][:, 2:]
-            inner = b[:, 1:-1] & (after - before <= self.longest)
+            inner = b[:, 1:-1] & (after - before <= longest)
             row, col = np.nonzero(inner)
             s, e = before[row, col], after[row, col]
             ids = self.probe(h[live[row], e] - h[live[row], s] * self.powers[e - s])
@@ -176,8 +258,8 @@ class Pieces:
 class SentencePieceEncoder(ChunkEncoder):
     """Ids of texts; each distinct word is encoded once."""
 
-    def __init__(self, path: str | bytes, most: int = 250_000):
-        self.pieces, self.most = Pieces(path), most
+    def __init__(self, path: str | bytes, most: int = 250_000, most_chars: int = 8_000_000):
+        self.pieces, self.most, self.most_chars = Pieces(path), most, most_chars
         ends = "\n" if self.pieces.newline_alone else ""
         self.words = re.compile(f"{SPACE}*[^{SPACE}{ends}]+|{SPACE}+" + ("|\n" if ends else ""))
         self._clear()
@@ -196,12 +278,10 @@ class SentencePieceEncoder(ChunkEncoder):
             step = max(1, BATCH_CELLS // (length * 16))
             for i in range(0, len(at), step):
                 some = [chunks[j] for j in at[i : i + step]]
-                if self.pieces.unigram:
-                    found = self.pieces.viterbi(some)
-                elif length > LONG:
+                if length > LONG and not self.pieces.unigram:
                     found = [self.pieces.merge_long(w) for w in some]
                 else:
-                    found = self.pieces.merges(some)
+                    found = self.pieces.viterbi(some)
                 for j, ids in zip(at[i : i + step], found, strict=True):
                     out[j] = ids
         sizes = np.fromiter(map(len, out), np.int64, len(out))

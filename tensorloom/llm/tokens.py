@@ -57,13 +57,13 @@ class ChunkEncoder:
     """Ids of texts by a tokenizer that lower-cases and whose normaliser and splitter never look across white space.
 
     A text's ids are then those of its stretches between white space, one after the other. Up to about `most` stretches
-    are remembered. Stretches to learn are encoded together, with a special token between them, which no merge crosses.
+    and `most_chars` characters of them are remembered, and what one batch adds. Stretches to learn are encoded together, with a special token between them, which no merge crosses.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 250_000, most_chars: int = 8_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.most_chars = Tokenizer.from_file(path), most, most_chars
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.mark, self.mark_id = next(iter(special.items()))
         self.special = list(special)
@@ -71,7 +71,7 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self):
-        self.place = _Places()
+        self.place, self.chars = _Places(), 0
         self.flat, self.begin, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _split(self, text: str) -> list[str]:
@@ -147,7 +147,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of ids for each text."""
-        if len(self.place) > self.most:
+        if len(self.place) > self.most or self.chars > self.most_chars:
             self._clear()
         places = []
         for t in texts:
@@ -155,6 +155,7 @@ class ChunkEncoder:
             places.append(np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks)))
         if self.place.new:
             flat, size = self._learn(self.place.new)
+            self.chars += sum(map(len, self.place.new))
             self.place.new = []
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
             self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
