@@ -15,12 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tensorloom.llm.common import cut
 from tensorloom.llm.sharding import _mix
 from tensorloom.llm.tokens import batches_of, kept, release
 
 SIZES = (2, 3, 4)
 SLOT_BITS, HASHES = 18, 2
 UND = "und"
+LONG = 4096  # characters; stretches without white space count as words of this length
+
+
+def words_of(text: str) -> list[str]:
+    out = text.lower().split()
+    if any(len(w) > LONG for w in out):
+        out = [w[i : i + LONG] for w in out for i in range(0, len(w), LONG)]
+    return out
 
 
 def letters(codes: np.ndarray) -> np.ndarray:
@@ -118,12 +127,12 @@ class Filters:
         return [self.languages[b] if n else UND for b, n in zip(best, sums[:, k + 1], strict=True)], score
 
 
-def fit(labelled: DataFrame, per_language: int = 1000, min_rate: float = 2e-5, min_share: float = 0.4, most: int = 30_000, id_col: str = "doc_id") -> Filters:
+def fit(labelled: DataFrame, per_language: int = 1000, min_rate: float = 2e-5, min_share: float = 0.4, id_col: str = "doc_id") -> Filters:
     """Filters from (text, lang) rows; rows without either are left out. Every lang value is learned.
 
     From each language at most about `per_language` whole texts are taken, those with the smallest hash of the id. An
     n-gram belongs to each language where it makes at least min_rate of all n-grams and at least min_share of its highest
-    rate in any language; at most `most` n-grams of a language, the most frequent ones, are kept.
+    rate in any language, so a language has at most 1 / min_rate of them, and no more come to the driver.
     """
     spark = labelled.sparkSession
     rows = labelled.where("text is not null and lang is not null").select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -149,23 +158,20 @@ def fit(labelled: DataFrame, per_language: int = 1000, min_rate: float = 2e-5, m
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for some in batches_of(texts, 500_000):
                 for lang in {langs[i] for i, _ in some}:
-                    words = [w for i, t in some if langs[i] == lang for w in t.lower().split()]
-                    if words:
-                        h, n = np.unique(grams(words)[0].view(np.int64), return_counts=True)
-                        into = sums.setdefault(number[lang], {})
+                    into = sums.setdefault(number[lang], {})
+                    for part in batches_of([w for i, t in some if langs[i] == lang for w in words_of(t)], 500_000):
+                        h, n = np.unique(grams([w for _, w in part])[0].view(np.int64), return_counts=True)
                         for a, b in zip(h.tolist(), n.tolist(), strict=True):
                             into[a] = into.get(a, 0) + b
                 if sum(map(len, sums.values())) > 150_000:
                     yield from flush()
         yield from flush()
 
-    counted = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = counted.where("n > 1").toPandas()  # bounded by the sample
-    totals = counted.groupby("lang").n.sum()
-    counted["rate"] = counted.n / counted.lang.map(totals)
-    counted["top"] = counted.groupby("gram").rate.transform("max")
-    kept = counted[(counted.rate >= min_rate) & (counted.rate >= min_share * counted.top)].sort_values(["lang", "rate", "gram"], ascending=[True, False, True])
-    kept = kept.groupby("lang").head(most)
+    counted = cut(sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))  # a row for each language
+    rated = counted.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate"))
+    kept = rated.where(F.col("rate") >= min_rate).toPandas()
+    kept = kept[kept.rate >= min_share * kept.groupby("gram").rate.transform("max")]
     masks: dict[int, int] = {}
     for gram, lang in zip(kept.gram.tolist(), kept.lang.tolist(), strict=True):
         masks[gram] = masks.get(gram, 0) | 1 << lang
@@ -173,20 +179,23 @@ def fit(labelled: DataFrame, per_language: int = 1000, min_rate: float = 2e-5, m
 
 
 class _Words:
-    """Counts of words; at most `most` distinct words are remembered, fewer where there are more than 64 languages."""
+    """Counts of words; about `most` distinct words and `most_chars` characters of them are remembered, fewer words where there
+    are more than 64 languages, and what one batch adds."""
 
-    def __init__(self, filters: Filters, most: int = 150_000):
-        self.filters, self.most, self.place = filters, most // len(filters.table), {}
+    def __init__(self, filters: Filters, most: int = 150_000, most_chars: int = 8_000_000):
+        self.filters, self.most, self.most_chars, self.place, self.chars = filters, most // len(filters.table), most_chars, {}, 0
         self.rows = np.empty((0, len(filters.languages) + 2), np.float32)
 
     def sums(self, texts: list[str]) -> np.ndarray:
-        if len(self.place) > self.most:
-            self.place, self.rows = {}, self.rows[:0]
-        split = [t.lower().split() for t in texts]
+        if len(self.place) > self.most or self.chars > self.most_chars:
+            self.place, self.rows, self.chars = {}, self.rows[:0], 0
+        split = [words_of(t) for t in texts]
         new = sorted({w for words in split for w in words if w not in self.place})
         if new:
             self.place.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, self.filters.counts(new).astype(np.float32)])
+            self.chars += sum(map(len, new))
+            counts = [self.filters.counts([w for _, w in some]).astype(np.float32) for some in batches_of(new, 1_000_000)]
+            self.rows = np.concatenate([self.rows, *counts])
         out = np.zeros((len(texts), self.rows.shape[1]))
         for i, words in enumerate(split):
             if words:
@@ -200,7 +209,8 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     """docs with lang_pred and score (0 to 1): all columns stay, older columns of these two names go.
 
     Null text, empty text and text without a letter give "und" with score 0. A text with letters gets a learned language
-    always, the first in alphabetical order among equals; its score is the corrected share of its n-grams.
+    always, the first in alphabetical order among equals; its score is the corrected share of its n-grams. Stretches without
+    white space count as words of LONG characters, so memory stays bounded.
     """
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.table))  # 2 ** SLOT_BITS masks for each 64 languages, whatever the corpus

@@ -186,6 +186,15 @@ def test_language(spark, docs, odd):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_language_clashing_and_long(spark, docs):
+    filters = fit(docs)
+    text = docs.where("lang is not null and length(text) > 2000").first()
+    rows = [(1, text.text.replace(" ", ""), "old", 3), (2, text.text * 20, "old", 4), (2, text.text * 20, "old", 4), (None, "\u4e2d\u6587" * 20_000, None, None)]
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, score int"), filters)
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"] and [r.lang_pred == text.lang for r in got.collect()][:3] == [True] * 3
+    assert identify(docs.limit(0), filters).count() == 0
+
+
 def test_more_languages_than_a_word_has_bits(spark):
     # the language of number i has words of its own letters; the last ones are the rarest
     rng = np.random.default_rng(5)
