@@ -60,52 +60,65 @@ def masked_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
 
 
+MESSAGE = ["node", "parent", "tree", "role", "text", "score"]
+
+
 def reply_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     """(tree, leaf, path_rank, turns) for each chosen root-to-leaf path of messages (node, parent, tree, role, text, score).
 
-    node is unique and not null; a parent that no message has makes a root. Siblings rank by falling score (null last), then
-    node; paths rank by their branches from the root on; `best` keeps that many for each tree, None keeps all. Distances
-    double with every pair of self-joins, so a path of n messages takes log2 n rounds. Messages on a cycle reach no root
-    and are left out.
+    Rows that repeat a node count once, as the smallest of them; rows without a node are left out; other columns are ignored.
+    A parent that no message has makes a root. Siblings rank by falling score (null last), then node; paths rank by their
+    branches from the root on; `best` keeps that many for each tree, None keeps all. Distances double with every pair of
+    self-joins, so a path of n messages takes log2 n rounds. These rounds see names only; texts join the finished paths.
+    Messages on a cycle, a self-parent included, and those below one reach no root and are left out before paths are
+    enumerated. No messages: no rows.
     """
-    known = messages.select(F.col("node").alias("parent")).distinct()
-    linked = messages.join(known, "parent", "left_semi").select("node", "parent")
+    rest = [c for c in MESSAGE if c != "node"]
+    first = messages.select(*MESSAGE).where("node is not null").groupBy("node").agg(F.min(F.struct(*rest)).alias("m"))
+    known = cut(first.select("node", *[F.col(f"m.{c}").alias(c) for c in rest]), "messages")
+    slim = known.select("node", "parent", "tree", "score")
     siblings = Window.partitionBy("tree", "parent").orderBy(F.desc_nulls_last("score"), "node")
-    nodes = cut(messages.join(linked.withColumnRenamed("parent", "up"), "node", "left").withColumn("branch", F.row_number().over(siblings)), "nodes")
-    leaves = nodes.join(nodes.select(F.col("up").alias("node")).distinct(), "node", "left_anti")
+    linked = slim.join(known.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", F.col("parent").alias("up"))
+    nodes = cut(slim.withColumn("branch", F.row_number().over(siblings)).join(linked, "node", "left").select("node", "tree", "branch", "up"), "nodes")
     n = nodes.count()
+    jumps, reach = [cut(nodes.where("up is not null").select("node", "up"), "jump")], 1
+    while reach <= n and not jumps[-1].isEmpty():
+        jump, reach = jumps[-1], 2 * reach
+        jumps.append(cut(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up")), "jump"))
+    # after more steps than messages only what never reaches a root is left
+    leaves = nodes.join(nodes.select(F.col("up").alias("node")), "node", "left_anti").join(jumps[-1], "node", "left_anti")
     paths = cut(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth")), "paths")
-    jump = cut(nodes.where("up is not null").select("node", "up"), "jump")
-    reach = 1
-    while reach <= n and not jump.isEmpty():
-        more = paths.join(jump, "node").select("leaf", F.col("up").alias("node"), (F.col("depth") + reach).alias("depth"))
-        grown = cut(paths.union(more), "paths")
-        higher = cut(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up")), "jump")
-        drop(paths)
+    for i, jump in enumerate(jumps[:-1]):
+        more = paths.join(jump, "node").select("leaf", F.col("up").alias("node"), (F.col("depth") + 2**i).alias("depth"))
+        before, paths = paths, cut(paths.union(more), "paths")
+        drop(before)
         drop(jump)
-        paths, jump, reach = grown, higher, 2 * reach
-    full = paths.join(nodes, "node")
-    parts = F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("at"), "branch", "role", "text", F.col("up").isNull().alias("root"))))
-    found = full.groupBy("tree", "leaf").agg(parts.alias("parts")).where("parts[0].root")
-    if best is not None:
-        order = Window.partitionBy("tree").orderBy(F.col("parts.branch"), "leaf")
-        found = found.withColumn("path_rank", F.row_number().over(order)).where(F.col("path_rank") <= best)
+    paths = paths.join(nodes.select("node", "tree", "branch"), "node")
+    branches = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("at"), "branch"))), lambda x: x["branch"])
+    if best is None:
+        paths = paths.withColumn("path_rank", F.lit(None).cast("int"))
     else:
-        found = found.withColumn("path_rank", F.lit(None).cast("int"))
+        order = Window.partitionBy("tree").orderBy("branches", "leaf")
+        ranked = paths.groupBy("tree", "leaf").agg(branches.alias("branches")).withColumn("path_rank", F.row_number().over(order))
+        paths = paths.join(ranked.where(F.col("path_rank") <= best).select("leaf", "path_rank"), "leaf")
+    full = paths.join(known.select("node", "role", "text"), "node")
+    parts = F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("at"), "role", "text")))
+    found = full.groupBy("tree", "leaf", "path_rank").agg(parts.alias("parts"))
     return found.select("tree", "leaf", "path_rank", F.transform("parts", lambda p: F.struct(p["role"], p["text"])).alias("turns"))
 
 
 def format_chats(messages: DataFrame, best: int | None = None, learn_role: str = "assistant") -> DataFrame:
     """(tree, leaf, path_rank, formatted, loss) for each path of reply_paths: the conversation as one text and its loss mask.
-    Null roles and texts count as empty. No messages: no rows."""
-    clean = messages.withColumn("role", F.coalesce(F.col("role").cast("string"), F.lit(""))).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    Null roles and texts count as empty; see reply_paths for odd rows. No messages: no rows."""
+    clean = messages.select(*MESSAGE).withColumn("role", F.coalesce(F.col("role").cast("string"), F.lit(""))).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     formatted, loss = format_turns(F.col("turns"), learn_role)
     return reply_paths(clean, best).select("tree", "leaf", "path_rank", formatted.alias("formatted"), loss.alias("loss"))
 
 
 def chains(conversations: DataFrame) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as messages: each row replies to the row before. Rows go by turn, null first,
-    then role and text; rows alike in all follow each other. A null conv_id is a conversation of its own."""
+    then role and text; rows alike in all follow each other. Rows without a conv_id are one conversation. Other columns are
+    ignored."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("at", F.row_number().over(order))
     name = lambda at: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")), at.cast("string"))

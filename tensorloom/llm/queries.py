@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm.chat import chains, format_chats, masked_text, parse_turns
+from tensorloom.llm.chat import chains, format_chats, masked_text, parse_turns, reply_paths
 from tensorloom.llm.common import shared_dir, table
 from tensorloom.llm.embedding_dedup import near_vectors
 from tensorloom.llm.exact_dedup import DigestIndex, exact_dedup
@@ -58,6 +58,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM talks GROUP BY conv_id"""
 
 
+def reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as binary trees: turn t replies to (t - 1) / 2, scores have ties and nulls; the best two paths of each."""
+    talks = table(spark, sf_dir, "conversations").where("conv_id is not null and turn >= 0")
+    name = lambda turn: F.concat("conv_id", F.lit(":"), turn.cast("string"))
+    score = F.col("turn") * 7 % 3
+    trees = talks.select(
+        name(F.col("turn")).alias("node"), F.when(F.col("turn") > 0, name(F.expr("(turn - 1) div 2"))).alias("parent"), F.col("conv_id").alias("tree"), "role", "text",
+        F.when(score > 0, score).cast("double").alias("score"),
+    )
+    return reply_paths(trees, best=2).select("tree", "leaf", "path_rank", F.array_join(F.transform("turns", lambda t: F.coalesce(t["text"], F.lit("-"))), "|").alias("texts"))
+
+
+REPLY_TREES_SQL = """
+WITH RECURSIVE t AS (SELECT conv_id, turn, min(coalesce(text, '-')) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn >= 0 GROUP BY 1, 2),
+m AS (SELECT *, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS up, CASE WHEN turn * 7 % 3 > 0 THEN turn * 7 % 3 END AS score FROM t),
+b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, up ORDER BY score DESC NULLS LAST, conv_id || ':' || turn) AS branch FROM m),
+p AS (SELECT conv_id, turn, text, [branch] AS path FROM b WHERE up IS NULL OR (conv_id, up) NOT IN (SELECT (conv_id, turn) FROM b)
+  UNION ALL SELECT b.conv_id, b.turn, p.text || '|' || b.text, list_append(p.path, b.branch) FROM p JOIN b ON b.conv_id = p.conv_id AND b.up = p.turn)
+SELECT conv_id AS tree, conv_id || ':' || turn AS leaf, CAST(path_rank AS INTEGER) AS path_rank, text AS texts FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY path, conv_id || ':' || turn) AS path_rank FROM p WHERE (conv_id, turn) NOT IN (SELECT (conv_id, up) FROM b WHERE up IS NOT NULL))
+WHERE path_rank <= 2"""
+
+
 def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(table(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -150,5 +173,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_ids", "ids_crc32", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.length("text").cast("long").alias("text_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_feistel_sharding, op3_embedding_near_dedup, op4_ngram_jaccard_join, op5_language_id, op6_pii_pseudonyms, op7_exact_dedup, op8_url_filter, op9_packing, op10_sentencepiece)}
-ORACLE_SQL = {"op1_chat_formatting": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_feistel_sharding, op3_embedding_near_dedup, op4_ngram_jaccard_join, op5_language_id, op6_pii_pseudonyms, op7_exact_dedup, op8_url_filter, op9_packing, op10_sentencepiece, reply_trees)}
+ORACLE_SQL = {"reply_trees": REPLY_TREES_SQL, "op1_chat_formatting": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}

@@ -12,7 +12,7 @@ pytest.importorskip("tensorloom.llm")
 import corpus_pipeline  # noqa: E402
 from tensorloom.llm import ngram_join  # noqa: E402
 from tensorloom.llm import queries as Q  # noqa: E402
-from tensorloom.llm.chat import format_chats, masked_text, parse_turns, reply_paths  # noqa: E402
+from tensorloom.llm.chat import chains, format_chats, masked_text, parse_turns, reply_paths  # noqa: E402
 from tensorloom.llm.embedding_dedup import near_vectors  # noqa: E402
 from tensorloom.llm.exact_dedup import DigestIndex, exact_dedup  # noqa: E402
 from tensorloom.llm.langid import fit, identify  # noqa: E402
@@ -47,6 +47,20 @@ def test_chat(spark):
     assert format_chats(m.limit(0)).count() == 0
 
 
+def test_chat_odd_rows(spark):
+    kind = "node string, parent string, tree long, role string, text string, score double, up string, branch int, leaf int"
+    rows = [("q", None, 1, "user", "q", None), ("x", "q", 1, None, "x" * 100_000, 1.0), ("y", "q", 1, "assistant", "y", 1.0), ("y", "q", 1, "assistant", "y", 1.0), ("z", "gone", 2, "user", None, None)]
+    rows += [("s", "s", 3, "user", "self", 0.0), ("t", "s", 3, "user", "below", 0.0), (None, "q", 1, "user", "no name", 0.0)]
+    rows += [(f"c{i}", f"c{(i + 1) % 50}", 4, "user", "ring", 0.0) for i in range(50)] + [(f"l{i}", f"c{i % 50}", 4, "user", "leaf", 0.0) for i in range(100)]
+    df = spark.createDataFrame([(*r, "u", 7, 8) for r in rows], kind)
+    got = {r.leaf: (r.path_rank, [t.text for t in r.turns]) for r in reply_paths(df, best=1).collect()}
+    assert got == {"x": (1, ["q", "x" * 100_000]), "z": (1, [None])}  # of equal scores the smaller name
+    assert {r.leaf: len(r.turns) for r in reply_paths(df).collect()} == {"x": 2, "y": 2, "z": 1}
+    assert reply_paths(df.limit(0)).count() == 0
+    talk = spark.createDataFrame([(5, 1, "user", "b", 0), (5, None, "user", "a", 0), (5, 1, "user", "b", 0), (None, 2, None, None, 0)], "conv_id long, turn long, role string, text string, at int")
+    assert {r.tree: [t.text for t in r.turns] for r in reply_paths(chains(talk)).collect()} == {5: ["a", "b", "b"], None: [None]}
+
+
 def test_sharding(spark, odd):
     for n in (1, 2, 7, 1000):
         p = permute(np.arange(n), n, 5)
