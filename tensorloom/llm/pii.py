@@ -9,12 +9,13 @@ within its kind. Values that fail validation stay as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 SECRET_WORDS = "password|passwd|pwd|secret|token|api_key|apikey|access_key"
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
+# from the first letter or digit of a run, of any length; the domain stays
+EMAIL = r"(?<![A-Za-z0-9][._%+\-]{1,8})[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
 KEY_ID = r"AKIA[A-Z0-9]{16}"
 # a run of any length, never given back; dots join its parts
 SECRET = rf"(?<=(?i:{SECRET_WORDS})[ ]?[=:][ ]?[\"']?)[A-Za-z0-9_/+\-](?:[A-Za-z0-9_/+\-]|\.(?=[A-Za-z0-9_/+\-])){{7,}}+"
@@ -161,24 +162,24 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     (kind, value, pseudonym) in the order of the text.
 
     Null text stays null (found: empty). Texts without a digit, "@", "=" or ":" are not searched, since no kind lacks all of
-    these. Each value is treated alone: a text with n values costs n permutations, and nothing is shuffled.
+    these. Each value is treated alone: a text with n values costs n permutations, and nothing is shuffled. The domain of an
+    address stays. Rows may repeat, ids be null and other columns have any name; no rows give none.
     """
     p = Pseudonyms(key)
     text = f"cast(`{text_col}` as string)"
     maybe = f"{text} rlike '[0-9@=:]'"
     none = "cast(array() as array<struct<kind: string, value: string, pseudonym: string>>)"
     pattern = _quoted(ALL)
+    own = lambda name: name if name not in docs.columns else own(f"_{name}")
+    raw, done = own("__values"), own("__found")
     values = f"if({maybe}, regexp_extract_all({text}, {pattern}, 0), cast(array() as array<string>))"
-    found = f"transform(transform(__values, v -> named_struct('kind', {p.kind('v')}, 'value', v)), x -> named_struct('kind', x.kind, 'value', x.value, 'pseudonym', {p.replaced('x.kind', 'x.value')}))"
-    out = docs.withColumn("__values", F.expr(f"coalesce({values}, cast(array() as array<string>))"))
-    out = out.withColumn("__found", F.expr(f"if(size(__values) = 0, {none}, {found})"))
+    found = f"transform(transform({raw}, v -> named_struct('kind', {p.kind('v')}, 'value', v)), x -> named_struct('kind', x.kind, 'value', x.value, 'pseudonym', {p.replaced('x.kind', 'x.value')}))"
+    out = docs.withColumn(raw, F.expr(f"coalesce({values}, cast(array() as array<string>))"))
+    out = out.withColumn(done, F.expr(f"if(size({raw}) = 0, {none}, {found})"))
     gaps = f"split({text}, {pattern}, -1)"
-    joined = f"array_join(zip_with({gaps}, __found, (g, f) -> concat(g, coalesce(f.pseudonym, ''))), '')"
-    out = out.withColumn(text_col, F.expr(f"if(size(__found) = 0, {text}, {joined})"))
+    joined = f"array_join(zip_with({gaps}, {done}, (g, f) -> concat(g, coalesce(f.pseudonym, ''))), '')"
+    out = out.withColumn(text_col, F.expr(f"if(size({done}) = 0, {text}, {joined})"))
     if found_col:
-        out = out.withColumn(found_col, F.filter("__found", lambda f: f["kind"].isNotNull()))
-    return out.drop("__values", "__found")
+        out = out.withColumn(found_col, F.filter(done, lambda f: f["kind"].isNotNull()))
+    return out.drop(raw, done)
 
-
-def found_kinds(found: Column) -> Column:
-    return F.transform(found, lambda f: f["kind"])

@@ -20,8 +20,8 @@ from tensorloom.llm.sharding import _mix
 
 
 class Bloom:
-    def __init__(self, keys: np.ndarray, bits_per_key: float, hashes: int, salt: int):
-        self.m, self.hashes, self.salt = max(64, int(len(keys) * bits_per_key)), hashes, salt
+    def __init__(self, keys: np.ndarray, bits_per_key: float, hashes: int, salt: int, least: int = 64):
+        self.m, self.hashes, self.salt = max(least, int(len(keys) * bits_per_key)), hashes, salt
         self.bits = np.zeros((self.m + 7) // 8, np.uint8)
         for at in self._at(keys):
             np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
@@ -47,6 +47,9 @@ class Bloom:
         return out
 
 
+FIRST = 1 << 20  # bits of the first level at least
+
+
 class Cascade:
     """Keys are 64-bit hashes. wrong: gives, for a test of hashes, the keys outside the list that pass it (a set no larger
     than the list's share of false positives)."""
@@ -56,7 +59,7 @@ class Cascade:
         inside, outside = listed, None
         while len(self.levels) < most_levels:
             first = not self.levels
-            self.levels.append(Bloom(inside, first_bits if first else 3, 8 if first else 2, len(self.levels)))
+            self.levels.append(Bloom(inside, first_bits if first else 3, 8 if first else 2, len(self.levels), FIRST if first else 64))
             outside = wrong(self.levels[0].has) if first else outside[self.levels[-1].has(outside)]
             if not len(outside):
                 return
@@ -147,7 +150,7 @@ def url_filter(pages: DataFrame, rules: list[Rule], default: str = "allow", id_c
                 h = batch.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(h[bloom.has(h) & ~np.isin(h, listed)])], ["h"])
 
-        # false positives of level 0 only: about 1e-5 of the universe at 24 bits a key
+        # false positives of level 0 only: about 1e-5 of the universe at 24 bits a key, and with few rules next to none at FIRST bits
         return np.array([r[0] for r in universe.mapInArrow(run, "h long").collect()], np.int64)
 
     member = Cascade(listed, wrong)

@@ -1,16 +1,19 @@
 """The ten operators against brute force, libraries or round trips, with odd rows: null, empty, blank, repeated, clashing columns."""
 
+import datetime
+import hashlib
 import re
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 pytest.importorskip("tensorloom.llm")
 
 import corpus_pipeline  # noqa: E402
-from tensorloom.llm import ngram_join  # noqa: E402
+from tensorloom.llm import ngram_join, pii  # noqa: E402
 from tensorloom.llm import queries as Q  # noqa: E402
 from tensorloom.llm.chat import chains, format_chats, masked_text, parse_turns, reply_paths  # noqa: E402
 from tensorloom.llm.embedding_dedup import near_vectors  # noqa: E402
@@ -21,12 +24,15 @@ from tensorloom.llm.pii import pseudonymise  # noqa: E402
 from tensorloom.llm.sentencepiece_codec import SentencePieceEncoder, sentencepiece_decode, sentencepiece_encode  # noqa: E402
 from tensorloom.llm.sharding import permute, row_at, shard  # noqa: E402
 from tensorloom.llm.tokens import ChunkEncoder  # noqa: E402
-from tensorloom.llm.url_filter import url_filter  # noqa: E402
+from tensorloom.llm.url_filter import Cascade, url_filter  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, "a b c d e f g h i j"), (2, "A b c d e f g h i j"), (2, "x"), (3, None), (4, ""), (5, " \t"), (None, "a b c"), (6, "a b"), (7, "a b"), (8, "w " * 3000)]
 
 
+re_java = regex.compile(pii.ALL, regex.A)
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     return spark.createDataFrame([(*r, 1, "z", 5) for r in ODD], "doc_id long, text string, n long, node string, token int")
@@ -220,6 +226,159 @@ def test_more_languages_than_a_word_has_bits(spark):
     assert all(r.lang == r.lang_pred for r in identify(df, filters).collect())
 
 
+def test_sharding_query(spark):
+    """The whole query against plain numbers: order, permutation with cycle walking, sizes and checksums."""
+    rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    n, m = len(rows), 2**64 - 1
+    half = (n - 1).bit_length() + 1 >> 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    def at(x):
+        while True:
+            left, right = x >> half, x % (1 << half)
+            for i in range(1, 7):
+                left, right = right, left ^ mix(right + mix(i * 0x9E3779B97F4A7C15 + 2026 & m) & m) % (1 << half)
+            x = left << half | right
+            if x < n:
+                return x
+
+    ranked = sorted((i, zlib.crc32(t), len(t) + 16) for i, t in rows)
+    want = [(i, size, crc, "rows", at(k) % 40, at(k) // 40, None) for k, (i, crc, size) in enumerate(ranked)]
+    got = Q.op2_feistel_sharding(spark, SF)
+    assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_sharding_odd(spark):
+    df = spark.createDataFrame([(None, None, 1, "r"), (None, None, 2, "r"), (7, "\u00e9", 3, "r"), (7, "\u00e9", 3, "r"), (-1, "", 4, "r")], "doc_id long, text string, shard int, row string")
+    rows = shard(df, 3).orderBy("row").collect()
+    assert [(r.doc_id, r.size, r.text_crc32) for r in rows] == [(None, 16, 0), (None, 16, 0), (-1, 16, 0), (7, 18, zlib.crc32("\u00e9".encode())), (7, 18, zlib.crc32("\u00e9".encode()))]
+    assert sorted((r.shard, r.slot) for r in rows) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]
+
+
+def prf(kind, turn, value, key=Q.PII_KEY):
+    return int(hashlib.sha256(f"{key}|{kind}|{turn}|{value}".encode()).hexdigest()[:15], 16)
+
+
+def pair(kind, a, b, na, nb):
+    for t in range(8):
+        a, b = ((a + prf(kind, t, b)) % na, b) if t % 2 == 0 else (a, (b + prf(kind, t, a)) % nb)
+    return a, b
+
+
+def digit_string(kind, d):
+    u = len(d) // 2
+    a, b = pair(kind, int(d[:u]), int(d[u:]), 10**u, 10 ** (len(d) - u))
+    return f"{a:0{u}d}{b:0{len(d) - u}d}"
+
+
+def letter_string(kind, x):
+    half = (len(x) + 1) // 2
+    a, b = x[:half], x[half:]
+
+    def shifted(own, other, t):
+        other = hashlib.sha256(other.encode()).hexdigest() if len(other) > 256 else other
+        out = ""
+        for i, c in enumerate(own):
+            base, n = (48, 10) if c in "0123456789" else (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else (ord(c), 1)
+            out += chr(base + (ord(c) - base + prf(kind, t, f"{i + 1}|{other}")) % n)
+        return out
+
+    for t in range(4):
+        a, b = (shifted(a, b, t), b) if t % 2 == 0 else (a, shifted(b, a, t))
+    return a + b
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10
+
+
+def refill(form, d):
+    return re.sub("[0-9]", lambda _, it=iter(d): next(it), form)
+
+
+def pseudonym(x):
+    """(kind, pseudonym) of a found value in plain Python; None where it is not valid."""
+    d, full = re.sub("[^0-9]", "", x), lambda p: regex.fullmatch(p, x, regex.A)
+    if "@" in x:
+        name, domain = x.split("@")
+        return "email", f"{letter_string('email', name)}@{domain}"
+    if full(pii.CARD) and 13 <= len(d) <= 19 and luhn(d) == 0:
+        new = digit_string("card", d[:-1])
+        return "card", refill(x, new + str(-luhn(new + "0") % 10))
+    if full(pii.IPV4):
+        o = [int(p) for p in x.split(".")]
+        if any(v > 255 or str(v) != p for v, p in zip(o, x.split("."), strict=True)):
+            return None
+        a, b = pair("ipv4", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return "ipv4", f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if full(pii.DATE):
+        try:
+            day = (datetime.date.fromisoformat(x) - datetime.date(1700, 1, 1)).days
+        except ValueError:
+            return None
+        if not 0 <= day < 146097:
+            return None
+        a, b = pair("date", day // 773, day % 773, 189, 773)
+        return "date", str(datetime.date(1700, 1, 1) + datetime.timedelta(a * 773 + b))
+    if full(pii.SSN):
+        area, group, serial = map(int, x.split("-"))
+        if area in (0, 666) or area >= 900 or not group or not serial:
+            return None
+        a, b = pair("ssn", area - (2 if area > 666 else 1), (group - 1) * 9999 + serial - 1, 898, 989901)
+        return "ssn", f"{a + (2 if a >= 665 else 1):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+    if full(pii.PHONE):
+        area, rest = int(d[-10:-7]), int(d[-7:])
+        if area >= 200 and rest >= 2_000_000:
+            a, b = pair("phone", area - 200, rest - 2_000_000, 800, 8_000_000)
+            new = f"{a + 200}{b + 2_000_000}"
+        else:
+            n = area * 10**7 + rest if area < 200 else 2 * 10**9 + (area - 200) * 2_000_000 + rest
+            a, b = pair("phone_other", n // 60000, n % 60000, 60000, 60000)
+            n = a * 60000 + b
+            new = f"{n:010d}" if n < 2 * 10**9 else f"{(n - 2 * 10**9) // 2_000_000 + 200}{(n - 2 * 10**9) % 2_000_000:07d}"
+        return "phone", refill(x, d[:-10] + new)
+    if full(pii.ABROAD):
+        return "abroad", refill(x, d[:2] + digit_string("abroad", d[2:]))
+    if full(pii.KEY_ID):
+        return "key_id", x[:4] + letter_string("key", x[4:])
+    return None if full(pii.CARD) else ("secret", letter_string("secret", x))
+
+
+def without_pii(text):
+    kinds = []
+
+    def new(found):
+        told = pseudonym(found[0])
+        kinds.extend([told[0]] if told else [])
+        return told[1] if told else found[0]
+
+    return re_java.sub(new, text), kinds
+
+
+def test_pii_query(spark):
+    """Every row of the query against plain Python."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = Q.op6_pii_pseudonyms(spark, sf).collect()
+    assert len(got) == len(texts) and sum(r.n_found for r in got) > 50
+    for r in got:
+        want, kinds = (None, []) if texts[r.doc_id] is None else without_pii(texts[r.doc_id])
+        assert (r.text, r.n_found, r.kinds) == (want, len(kinds), ",".join(kinds))
+
+
+def test_pii_odd(spark):
+    kind = "doc_id long, text string, __values int, found string, __found string"
+    df = spark.createDataFrame([(None, "mail " + "a.b" * 50 + "c@x.org", 1, "f", "g"), (1, "-.j--k@x.org x", 2, "f", "g"), (1, "-.j--k@x.org x", 2, "f", "g"), (2, "a-" * 200_000 + "b", 3, "f", "g")], kind)
+    got = pseudonymise(df, Q.PII_KEY).collect()
+    assert [(r[0], r[2], r[3], r[4]) for r in got] == [(None, 1, "f", "g"), (1, 2, "f", "g"), (1, 2, "f", "g"), (2, 3, "f", "g")]
+    assert got[0].text == "mail " + letter_string("email", "a.b" * 50 + "c") + "@x.org" and got[1].text == got[2].text == "-." + letter_string("email", "j--k") + "@x.org x"
+    assert pseudonymise(df.limit(0), "key", found_col="found").count() == 0
+
+
 def test_pii(spark):
     texts = ["a.b12@x.org +1 (269) 555-3296 4524132264652876 55.63.178.142", "1984-02-29 1984-03-01 2023-02-30 123-45-6789 4524132264652877", "4524-1322-6465-2876 password=7602ad27cf5550de1c", None, "", "plain"]
     rows = pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key", found_col="found").orderBy("doc_id").collect()
@@ -291,8 +450,21 @@ def test_exact_hot_group(spark, tmp_path):
 
 def test_urls(spark):
     urls = [None, "nothing", "http://www.EXAMPLE.com/en/a?x", "https://a.example.com/en/", "http://b.net/fr/x#y", "http://com/", "http://xcom/", "ftp://a.example.com/fr"]
-    rows = url_filter(spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string"), Q.RULES).orderBy("page_id").collect()
+    df = spark.createDataFrame([(i, u, "h", "k", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, keys string, hashes int")
+    rows = url_filter(df, Q.RULES).orderBy("page_id").collect()
     assert [(r.rule, r.verdict) for r in rows] == [(None, "allow"), (None, "allow"), ("www.example.com/en/", "allow"), ("example.com/en/", "block"), ("net/fr/", "block"), ("com/", "allow"), (None, "allow"), ("com/", "allow")]
+    assert url_filter(df.limit(0), Q.RULES).count() == 0 and {r.verdict for r in url_filter(df, [], "block").collect()} == {"block"}
+    odd = spark.createDataFrame([(None, "http://net/es/" + "x" * 100_000), (None, "http://net/es/" + "x" * 100_000), (1, "")], "page_id long, url string")
+    assert sorted((r.page_id or 0, len(r.path), r.verdict) for r in url_filter(odd, Q.RULES).collect()) == [(0, 100_004, "block")] * 2 + [(1, 0, "allow")]
+
+
+def test_url_cascade():
+    # many levels: a first level so small that it lets much through
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(-(2**63), 2**63, 4000))
+    listed, others = keys[::3], np.delete(keys, np.s_[::3])
+    member = Cascade(listed, lambda has: others[has(others)], first_bits=2)
+    assert len(member.levels) > 2 and (member.has(keys) == np.isin(keys, listed)).all()
 
 
 def test_packing(spark, docs, odd):
@@ -359,15 +531,69 @@ def test_sentencepiece(spark, docs, odd):
         assert abs(a - b) < 1e-3 * max(1, abs(b))  # ties may differ, totals don't
 
 
+def test_language_query(spark):
+    got = Q.op5_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
+    assert all((r.lang_pred == "und") == (not any(map(str.isalpha, r.text or ""))) for r in got)
+    assert np.mean([r.lang == r.lang_pred for r in got if r.held_out and r.lang and r.lang_pred != "und"]) > 0.98
+
+
+def check_packed(rows, texts):
+    """The contract of packing for rows as a table, and texts by id."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(Q.tokenizer_path("word_bpe_49k.json"))
+    seen: dict = {}
+    for r in rows.itertuples():
+        ids = np.array([*tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        seen.setdefault(r.doc_id, []).append((r.start, r.length))
+    assert set(seen) == set(texts)
+    for i, parts in seen.items():
+        parts.sort()
+        assert [p[0] for p in parts] == np.cumsum([0, *(p[1] for p in parts)])[:-1].tolist()
+    rows = rows.sort_values(["sequence_id", "offset"])
+    sums = rows.groupby("sequence_id").length
+    assert (sums.cumsum() - rows.length == rows.offset).all() and sums.sum().max() <= 4096
+
+
+def test_packing_query(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    check_packed(Q.op9_packing(spark, SF).toPandas(), texts)
+
+
+def test_packing_odd(spark):
+    rows = [(None, "a b"), (None, "a b"), (4, None), (4, None), (4, "x " * 9000), (5, "")]
+    got = pack(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, cls int, part int"), Q.tokenizer_path("word_bpe_49k.json"), 2).collect()
+    pieces = sorted((r.doc_id or 0, r.doc_tokens, r.start, r.length) for r in got)
+    assert pieces == [(0, 3, 0, 3)] * 2 + [(4, 1, 0, 1)] * 2 + [(4, 9001, 0, 4096), (4, 9001, 4096, 4096), (4, 9001, 8192, 809), (5, 1, 0, 1)]
+
+
+def test_sentencepiece_query(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=Q.tokenizer_path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in Q.op10_sentencepiece(spark, SF).collect():
+        ids = None if texts[r.doc_id] is None else library.encode(texts[r.doc_id])
+        want = (None,) * 4 if ids is None else (len(ids), zlib.crc32(" ".join(map(str, ids)).encode()), zlib.crc32(texts[r.doc_id].encode()), len(texts[r.doc_id]))
+        assert (r.n_ids if ids is not None else None, r.ids_crc32 if ids is not None else None, r.text_crc32, r.text_chars) == want
+
+
 def test_pipeline(spark, docs):
-    kept = {r.doc_id for r in docs.select("doc_id").collect()}
+    """run() against the stages in plain Python: letters, equal texts, near-duplicates, pseudonyms, pieces."""
+    texts = {r.doc_id: r.text for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    last = {lower(t): i for i, t in sorted(texts.items())}
+    texts = {i: texts[i] for i in last.values()}
+    comp, _ = brute_components(sorted(texts.items()), 5, 80)
+    texts = {i: without_pii(t)[0] for i, t in texts.items() if comp[i] == i}
+    check_packed(corpus_pipeline.run(spark, SF).toPandas(), texts)
     now = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, SF).cache()
-        ids = {r.doc_id for r in now.collect()}
-        assert ids <= kept and now.columns == docs.columns, name
-        kept = ids
-    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()} == kept
+        assert now.columns == docs.columns and now.count(), name
+    assert {r.doc_id: r.text for r in now.collect()} == texts and now.where("n_chars <> length(text)").count() == 0
 
 
 def test_pipeline_rows(spark):
