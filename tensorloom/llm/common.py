@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,36 +12,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tensorloom.sources.shared import folder
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own_dirs: dict[str, str] = {}
+_lock, _writers = threading.Lock(), []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one only where the setting is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="tensorloom-")
-    return _own_dirs[app]
+shared_dir = folder  # the folder all executors share, as the cluster names it
+
+
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """Shuffle files of what is written meanwhile go as soon as it is written. The session's own setting comes back when the
+    last of several writers that run at once is done."""
+    with _lock:
+        if not _writers:
+            _writers.append(spark.conf.get(CLEANUP, "false"))
+        _writers.append(None)
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers.pop()
+            if len(_writers) == 1:
+                spark.conf.set(CLEANUP, _writers.pop())
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no earlier work."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tensorloom/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-    # shuffle files of this step go as soon as the table is written
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._tensorloom_path = path
     return back
