@@ -20,7 +20,10 @@ def find(parent: dict, x):
     return root
 
 
-def _forest(batches, most: int = 200_000):
+MOST = 200_000  # links that a task holds
+
+
+def _forest(batches, most: int = MOST):
     """Links of a partition as links to the smallest node of each local tree; the table in memory stays below `most` links."""
     parent: dict[int, int] = {}
 
@@ -46,13 +49,13 @@ def components(links: DataFrame) -> DataFrame:
     Each partition first replaces its links by a forest. Then large-star and small-star steps alternate until the links no
     longer change: a step takes the smallest neighbour of each node (a sum with map-side combine) and joins it back (a
     sort-merge join, which adaptive execution splits where a node is hot). Rounds grow with the logarithm of the longest
-    path. Links to oneself and repeated links do no harm; nulls are dropped; no links give no rows.
+    path. Once at most MOST links are left, one task unites them. Links to oneself and repeated links do no harm; nulls are dropped; no links give no rows.
     """
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     now = cut(links.mapInArrow(_forest, LINKS).distinct(), "links")
     mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")))
     before = now.agg(mark).first()[0]
-    while before[0]:
+    while before[0] > MOST:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -65,4 +68,6 @@ def components(links: DataFrame) -> DataFrame:
         if mark_now == before:
             break
         before = mark_now
+    if 0 < before[0] <= MOST:
+        now = now.coalesce(1).mapInArrow(_forest, LINKS)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -345,8 +345,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     heads_df = cut(docs.mapInArrow(heads, "doc long, n long, s1 long, s2 long, prefix array<long>"), "heads")
     classes = heads_df.where("n > 0 and doc is not null").groupBy("s1", "s2").agg(F.min("doc").alias("node"))
     own = cut(heads_df.select("doc", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc", "n", "node", "s1", "s2"), "classes")
-    first = own.where("doc = node").select("s1", "s2", "node").distinct()
-    one = heads_df.where("n > 0").join(first, ["s1", "s2"]).where("doc = node").dropDuplicates(["s1", "s2"])
+    first = own.where("doc = node").select("s1", "s2", F.col("node").alias("doc"), "node").distinct()
+    one = heads_df.where("n > 0").join(first, ["doc", "s1", "s2"]).dropDuplicates(["doc", "s1", "s2"])
     # prefix shingles that start two sets at least
     starts = one.select(F.posexplode("prefix").alias("pos", "token"), "node", "n").select("token", "node", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
     # tokens of the sketch's hot cells are spread over tasks, and go on unseen
@@ -398,7 +398,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     weight = cluster.join(numbers, "node").groupBy("cluster").agg(F.sum("n").alias("w"))
     sized = cut(cluster.join(weight, "cluster"), "sized")
     small = sized.where(F.col("w") <= BLOCK).select("cluster", "node", F.col("node").alias("grp"))
-    small = small.join(sets_of(small.select("node")), "node")
+    small = small.hint("merge").join(sets_of(small.select("node")), "node")  # grows with the corpus
     links = cut(small.select("cluster", "node", "grp", "seq").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_blocks(1, percent, order), LINKS), "links")
     large = sized.where(F.col("w") > BLOCK).select("node", "cluster", "w")
     # the buckets of a large cluster: each set with those it shares enough with, and the larger buckets
