@@ -29,29 +29,61 @@ def decode(pos: Column, dims: list[int], base: int = 0) -> list[Column]:
     return [(F.floor(at / s).cast("long") % d + 1).cast("int") for s, d in zip(strides(dims), dims, strict=True)]
 
 
-def scale(blk: Column, by: Column) -> Column:
-    return F.transform(blk, lambda x: by * x)
+def zero(kind: T.DataType) -> Column:
+    """Zero of a number type or of complex numbers, which are structs of re and im."""
+    return pair(F.lit(0.0), F.lit(0.0)) if isinstance(kind, T.StructType) else F.lit(0).cast(kind)
 
 
-def axpy(acc: Column, by: Column, blk: Column) -> Column:
-    return F.zip_with(acc, blk, lambda x, y: x + by * y)
+def pair(re: Column, im: Column) -> Column:
+    return F.struct(re.alias("re"), im.alias("im"))
 
 
-def outer(a: Column, b: Column) -> Column:
-    """a is the fast index."""
-    return F.flatten(F.transform(b, lambda y: F.transform(a, lambda x: x * y)))
+def number(c, z: bool) -> Column:
+    """A Python number as a literal, complex if z."""
+    return pair(F.lit(float(complex(c).real)), F.lit(float(complex(c).imag))) if z else F.lit(c)
+
+
+def mul(x: Column, y: Column, z: bool = False) -> Column:
+    return pair(x["re"] * y["re"] - x["im"] * y["im"], x["re"] * y["im"] + x["im"] * y["re"]) if z else x * y
+
+
+def plus(x: Column, y: Column, z: bool = False) -> Column:
+    return pair(x["re"] + y["re"], x["im"] + y["im"]) if z else x + y
+
+
+def total(x: Column, z: bool = False) -> Column:
+    """Sum as an aggregate."""
+    return pair(F.sum(x["re"]), F.sum(x["im"])) if z else F.sum(x)
+
+
+def squared(x: Column, z: bool = False) -> Column:
+    return x["re"] * x["re"] + x["im"] * x["im"] if z else x * x
+
 
+def magnitude(x: Column, z: bool = False) -> Column:
+    return F.sqrt(squared(x, True)) if z else F.abs(x)
 
-def rank1(acc: Column, a: Column, b: Column) -> Column:
-    return F.zip_with(acc, outer(a, b), lambda x, y: x + y)
 
+def present(x: Column, z: bool = False) -> Column:
+    return (x["re"] != 0) | (x["im"] != 0) if z else x != 0
 
-def gemm(a: Column, b: Column, m: int, k: int, n: int, zero: Column) -> Column:
+
+def scale(blk: Column, by: Column, z: bool = False) -> Column:
+    return F.transform(blk, lambda x: mul(by, x, z))
+
+
+def outer(a: Column, b: Column, z: bool = False) -> Column:
+    """a is the fast index."""
+    return F.flatten(F.transform(b, lambda y: F.transform(a, lambda x: mul(x, y, z))))
+
+
+def gemm(a: Column, b: Column, m: int, k: int, n: int, kind: T.DataType) -> Column:
     """(m x k) times (k x n)."""
+    z = isinstance(kind, T.StructType)
 
     def cell(t: Column) -> Column:
         row, col = t % m, F.floor(t / m).cast("int")
-        return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), zero, lambda s, i: s + F.get(a, row + i * m) * F.get(b, i + col * k))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), zero(kind), lambda s, i: plus(s, mul(F.get(a, row + i * m), F.get(b, i + col * k), z), z))
 
     return F.transform(F.sequence(F.lit(0), F.lit(m * n - 1)), cell)
 
@@ -86,37 +118,64 @@ def permute(blk: Column, dims: list[int], perm: list[int]) -> Column:
 
 def sum_blocks(df: DataFrame, keys: list[str], blk: str, size: int) -> DataFrame:
     """Element-wise sums of blk for each key, with partial sums before the shuffle; blocks of zeros alone go."""
+    z = isinstance(df.schema[blk].dataType.elementType, T.StructType)
     if size <= WIDE:
-        out = df.groupBy(*keys).agg(F.array(*[F.sum(F.get(blk, F.lit(i))) for i in range(size)]).alias(blk))
+        out = df.groupBy(*keys).agg(F.array(*[total(F.get(blk, F.lit(i)), z) for i in range(size)]).alias(blk))
     else:
-        cells = df.select(*keys, F.posexplode(blk).alias("pos", "x")).groupBy(*keys, "pos").agg(F.sum("x").alias("x"))
-        out = cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda z: z["x"]).alias(blk))
-    return out.where(nonzero(F.col(blk)))
+        cells = df.select(*keys, F.posexplode(blk).alias("__pos", "__x")).groupBy(*keys, "__pos").agg(total(F.col("__x"), z).alias("__x"))
+        out = cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__x"))), lambda c: c["__x"]).alias(blk))
+    return out.where(nonzero(F.col(blk), z))
 
 
-def nonzero(blk: Column) -> Column:
-    return F.exists(blk, lambda x: x != 0)
+def nonzero(blk: Column, z: bool = False) -> Column:
+    return F.exists(blk, lambda x: present(x, z))
 
 
-def snap(x: Column, tol: float = 1e-10) -> Column:
-    """Values within tol of 0, 1, -1, 1/2, -1/2, 2 and -2 become these."""
+def snap(x: Column, tol: float = 1e-10, z: bool = False) -> Column:
+    """Values within tol of 0, 1, -1, 1/2, -1/2, 2 and -2, and of i, -i, i/2 and -i/2 among complex ones, become these."""
     out = x
-    for v in (0.0, 1.0, -1.0, 0.5, -0.5, 2.0, -2.0):
-        out = F.when(F.abs(x - v) < tol, F.lit(v)).otherwise(out)
+    for v in (0.0, 1.0, -1.0, 0.5, -0.5, 2.0, -2.0, *((1j, -1j, 0.5j, -0.5j) if z else ())):
+        out = F.when(magnitude(plus(x, number(-v, z), z), z) < tol, number(v, z)).otherwise(out)
     return out
 
 
-def complex_mul(a: Column, b: Column) -> Column:
-    return F.struct((a["re"] * b["re"] - a["im"] * b["im"]).alias("re"), (a["re"] * b["im"] + a["im"] * b["re"]).alias("im"))
+def conj(a: Column) -> Column:
+    return pair(a["re"], -a["im"])
 
 
-def conj(a: Column) -> Column:
-    return F.struct(a["re"].alias("re"), (-a["im"]).alias("im"))
+def identity(*cols: str) -> Column:
+    """128 bits that stand for a block or a pair of templates; a collision is out of reach."""
+    return F.concat_ws(":", F.hex(F.xxhash64(*cols)), F.hex(F.xxhash64(F.lit(1), *cols)))
 
 
-@F.pandas_udf(T.DoubleType())
-def exact_sum(v: pd.Series) -> float:
-    """Sum of doubles without rounding between terms."""
-    import math
+def exact_sums(df: DataFrame, by: list[str], v: str) -> DataFrame:
+    """Sums of the doubles v by groups, rounded once at the end.
 
-    return math.fsum(v)
+    A double is a whole number times a power of two. Each batch adds these whole numbers by group and power, Spark adds the
+    batches' sums as decimals, and each group's few dozen sums become one double. Infinite and null values give null.
+    """
+    kinds = [df.schema[c] for c in by]
+    schema = T.StructType([*kinds, T.StructField("__e", T.IntegerType()), T.StructField("__hi", T.LongType()), T.StructField("__lo", T.LongType())])
+
+    def partial(batches):
+        for batch in batches:
+            x = batch.column(len(by)).to_numpy(zero_copy_only=False).astype(np.float64)
+            fine = np.isfinite(x)
+            m, e = np.frexp(np.where(fine, x, 0.0))
+            whole = (m * 2.0**53).astype(np.int64)
+            parts = pa.table([*batch.columns[: len(by)], pa.array(np.where(fine, e, 9999).astype(np.int32)), pa.array(whole >> 27), pa.array(whole & (2**27 - 1))], names=[*by, "__e", "__hi", "__lo"])
+            sums = parts.group_by([*by, "__e"]).aggregate([("__hi", "sum"), ("__lo", "sum")]).select([*by, "__e", "__hi_sum", "__lo_sum"])
+            yield from sums.rename_columns([*by, "__e", "__hi", "__lo"]).cast(pa.schema([*(batch.schema.field(i) for i in range(len(by))), ("__e", pa.int32()), ("__hi", pa.int64()), ("__lo", pa.int64())])).to_batches()
+
+    whole = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).cast("string").alias(c)
+    sums = df.select(*by, F.col(v).cast("double").alias("__v")).mapInArrow(partial, schema).groupBy(*by, "__e").agg(whole("__hi"), whole("__lo"))
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        from fractions import Fraction
+
+        out = pdf[by].iloc[:1].copy()
+        exact = sum((((int(h) << 27) + int(lo)) * Fraction(2) ** (int(e) - 53) for e, h, lo in zip(pdf["__e"], pdf["__hi"], pdf["__lo"], strict=True)), Fraction(0))
+        out["v"] = None if (pdf["__e"] == 9999).any() else float(exact)
+        return out
+
+    return sums.groupBy(*by).applyInPandas(finish, T.StructType([*kinds, T.StructField("v", T.DoubleType())]))

@@ -29,6 +29,16 @@ class Axis:
         found = re.search(r"l=(\d+)", self.name)
         return int(found[1]) if found else None
 
+    @property
+    def site(self) -> int | None:
+        """The number of an `n=<n>` tag, else None."""
+        found = re.search(r"n=(\d+)", self.name)
+        return int(found[1]) if found else None
+
+    @property
+    def key(self) -> str:
+        return f"{self.name}'{self.plev}:{self.dim}"
+
     def primed(self, plev: int) -> Axis:
         return replace(self, plev=plev)
 
@@ -66,8 +76,10 @@ def output_axes(prefix: list[Axis], tail: list[Axis]) -> tuple[Axis, ...]:
     return (*links, *(x for x in prefix if not x.link), *tail)
 
 
-def sort_links(axes, missing: str = "last") -> list[Axis]:
-    """Links by level; those without a level last, first, or refused."""
+def sort_links(axes, missing: str = "last", by: str = "level") -> list[Axis]:
+    """Links by level, those without a level last, first, or refused; or by id, which is the label."""
+    if by == "id":
+        return sorted(axes, key=lambda x: x.label)
     if missing == "error" and any(x.level is None for x in axes):
         raise ValueError("a link has no level")
     return sorted(axes, key=lambda x: ((x.level is None) != (missing == "first"), x.level or 0))

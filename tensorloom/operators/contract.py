@@ -11,6 +11,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tensorloom.functions import blocks as B
 from tensorloom.meta import Axis, output_axes, shared, size
@@ -18,29 +19,65 @@ from tensorloom.sources.shared import written
 from tensorloom.tensor import Tensor
 
 
-def contract(a: Tensor, b: Tensor, keep: list[str] = (), strict: bool = False) -> Tensor:
-    """Sum over all labels that a and b share, except those to keep (batch labels); without any, the outer product."""
+def contract(a: Tensor, b: Tensor, keep: list[str] = (), strict: bool = False, plan: str = "auto", form: str | None = None) -> Tensor:
+    """Sum over all labels that a and b share, except those to keep (batch labels); without any, the outer product.
+
+    plan: "element" joins coordinates on all shared labels, so nothing is paired that doesn't meet; "block" multiplies whole
+    blocks; "auto" takes coordinates where both blocks were made of them and a product is small. form: the result's.
+    """
     common = shared(a.axes, b.axes)
+    if a.is_complex != b.is_complex:
+        a, b = a.as_complex(), b.as_complex()
     if "aliased" in (a.form, b.form) and not keep:
-        return _aliased(a, b, common, strict)
-    if "block" in (a.form, b.form) and not keep:
-        return _blocks(a.expand(), b.expand(), common, strict)
-    return _elements(a.to_coo(), b.to_coo(), common, keep)
+        out = _aliased(a, b, common, strict)
+    elif "block" in (a.form, b.form) and not keep:
+        if plan == "element" or plan == "auto" and _known(a) and _known(b) and _work(a, b, common) < B.HEAVY:
+            out = _by_elements(a, b, common, strict)
+        else:
+            out = _blocks(a.expand(), b.expand(), common, strict)
+    else:
+        out = _elements(a.to_coo(), b.to_coo(), common, keep)
+    return out if form is None else out.converted(form)
+
+
+def _known(t: Tensor) -> bool:
+    return t.form == "coo" or bool(t.origin) and t.origin[0] is t.df and t.origin[1].axes == t.axes
+
+
+def _tails(a: Tensor, b: Tensor, common: list[Axis]) -> list[Axis]:
+    labels = {x.label for x in common}
+    return [x for t in (a, b) for x in t.tail if x.label not in labels]
+
+
+def _work(a: Tensor, b: Tensor, common: list[Axis]) -> int:
+    """Multiplications of a product of blocks."""
+    inner = {x.label for x in common} & {x.label for x in a.tail} & {x.label for x in b.tail}
+    return size(_tails(a, b, common)) * size([x for x in a.tail if x.label in inner])
+
+
+def _crossing(a: Tensor, b: Tensor, common: list[Axis]) -> set:
+    return {x.label for x in common if (x.label in {y.label for y in a.tail}) != (x.label in {y.label for y in b.tail})}
+
+
+def _by_elements(a: Tensor, b: Tensor, common: list[Axis], strict: bool) -> Tensor:
+    if strict and _crossing(a, b, common):
+        raise ValueError("a shared axis is prefix on one side and tail on the other")
+    tail = _tails(a, b, common)
+    out = _elements(a.to_coo(), b.to_coo(), common, ())
+    axes = output_axes([x for x in out.axes if x not in tail], tail)
+    return out.permute([x.col for x in axes]).to_block(len(tail))
 
 
 def _elements(a: Tensor, b: Tensor, common: list[Axis], keep) -> Tensor:
     on = [x.col for x in common]
     reduced = {x.label for x in common if x.col not in keep}
     axes = output_axes([x for x in a.axes if x.label not in reduced] + [x for x in b.axes if x.label not in {y.label for y in common}], [])
-    left, right = a.df.withColumnRenamed("v", "va"), b.df.withColumnRenamed("v", "vb")
+    left, right = a.df.withColumnRenamed("v", "__va"), b.df.withColumnRenamed("v", "__vb")
     joined = left.join(right, on) if on else left.crossJoin(right)
-    if a.is_complex:
-        x, y = F.col("va"), F.col("vb")
-        joined = joined.withColumn("re", x["re"] * y["re"] - x["im"] * y["im"]).withColumn("im", x["re"] * y["im"] + x["im"] * y["re"])
-        out = joined.groupBy(*[x.col for x in axes]).agg(F.struct(F.sum("re").alias("re"), F.sum("im").alias("im")).alias("v"))
-    else:
-        out = joined.groupBy(*[x.col for x in axes]).agg(F.sum(F.col("va") * F.col("vb")).alias("v"))
-    return Tensor(axes, out.select(*[x.col for x in axes], "v")).pruned()
+    cols = [x.col for x in axes]
+    # a complex product is made once, before its parts are summed
+    made = joined.select(*cols, B.mul(F.col("__va"), F.col("__vb"), a.is_complex).alias("__v"))
+    return Tensor(axes, made.groupBy(*cols).agg(B.total(F.col("__v"), a.is_complex).alias("v"))).pruned()
 
 
 def _lift(t: Tensor, axes: list[Axis]) -> Tensor:
@@ -51,7 +88,7 @@ def _lift(t: Tensor, axes: list[Axis]) -> Tensor:
         step = t.blksize // x.dim
         index = F.explode(F.sequence(F.lit(1), F.lit(x.dim))).alias(x.col)
         cut = t.df.select("*", index).withColumn("blk", F.slice("blk", (F.col(x.col) - 1) * step + 1, step))
-        t = replace(t, axes=(*t.prefix, x, *t.tail[:-1]), n_dense=t.n_dense - 1, df=cut.where(B.nonzero(F.col("blk"))).select(*t.keys, x.col, "blk"))
+        t = replace(t, axes=(*t.prefix, x, *t.tail[:-1]), n_dense=t.n_dense - 1, df=cut.where(B.nonzero(F.col("blk"), t.is_complex)).select(*t.keys, x.col, "blk"))
     return t
 
 
@@ -61,10 +98,9 @@ def _as_block(t: Tensor) -> Tensor:
 
 def _align(a: Tensor, b: Tensor, common: list[Axis], strict: bool):
     """Both operands with each shared axis in both prefixes or in both tails; the tails as (own, shared) and (shared, own)."""
-    cross = [x for x in common if (x.label in {y.label for y in a.tail}) != (x.label in {y.label for y in b.tail})]
-    if cross and strict:
+    names = _crossing(a, b, common)
+    if names and strict:
         raise ValueError("a shared axis is prefix on one side and tail on the other")
-    names = {x.label for x in cross}
     a, b = (_lift(_as_block(t), [x for x in t.tail if x.label in names]) for t in (a, b))
     inner = [x for x in a.tail if x.label in {y.label for y in common}]
     labels = {x.label for x in inner}
@@ -82,14 +118,14 @@ def _product(df: DataFrame, left: str, right: str, own_a, own_b, inner) -> DataF
     m, k, n = size(own_a), size(inner), size(own_b)
     if inner and m * k * n >= B.HEAVY and df.schema[left].dataType.elementType.simpleString() == "double":
         return B.gemm_arrow(df, left, right, "blk", m, k, n)
-    a, b = F.col(left), F.col(right)
+    a, b, kind = F.col(left), F.col(right), df.schema[left].dataType.elementType
+    z = isinstance(kind, T.StructType)
     if inner:
-        zero = F.lit(0).cast(df.schema[left].dataType.elementType)
-        blk = B.gemm(a, b, m, k, n, zero)
+        blk = B.gemm(a, b, m, k, n, kind)
     elif m == 1:
-        blk = B.scale(b, F.get(a, F.lit(0)))
+        blk = B.scale(b, F.get(a, F.lit(0)), z)
     else:
-        blk = B.outer(a, b)
+        blk = B.outer(a, b, z)
     return df.withColumn("blk", blk).drop(left, right)
 
 
@@ -107,9 +143,7 @@ def _aliased(a: Tensor, b: Tensor, common: list[Axis], strict: bool) -> Tensor:
     """Join the narrow block tables, multiply each distinct pair of templates once, sum scalars of one template, and make an
     own template where a key has several."""
     labels = {x.label for x in common}
-    crossing = any((x.label in {y.label for y in a.tail}) != (x.label in {y.label for y in b.tail}) for x in common)
-    tails = [x for x in (*a.tail, *b.tail) if x.label in labels]
-    if crossing and tails:
+    if _crossing(a, b, common):
         if strict:
             raise ValueError("a shared axis is prefix on one side and tail on the other")
         return _blocks(a.expand(), b.expand(), common, strict).to_aliased()
@@ -123,15 +157,17 @@ def _aliased(a: Tensor, b: Tensor, common: list[Axis], strict: bool) -> Tensor:
     keep = [x for x in (*a.prefix, *b.prefix) if x.col not in on]
     axes = output_axes(keep, [*own_a, *own_b])
     keys = [x.col for x in axes[: len(keep)]]
+    z = a.is_complex
     left, right = (t.df.withColumnsRenamed({"tid": f"t{s}", "alpha": f"x{s}"}) for t, s in ((a, "a"), (b, "b")))
     joined = left.join(right, on) if on else left.crossJoin(right)
-    level = joined.groupBy(*keys, "ta", "tb").agg(F.sum(F.col("xa") * F.col("xb")).alias("alpha")).where("alpha <> 0")
+    joined = joined.select(*keys, "ta", "tb", B.mul(F.col("xa"), F.col("xb"), z).alias("x"))
+    level = joined.groupBy(*keys, "ta", "tb").agg(B.total(F.col("x"), z).alias("alpha")).where(B.present(F.col("alpha"), z))
     # both are read by several of the steps below, and again by whatever the result is joined with
-    level = written(level.withColumn("tid", F.xxhash64("ta", "tb")), "level")
+    level = written(level.withColumn("tid", B.identity("ta", "tb")), "level")
     pairs = level.select("tid", "ta", "tb").distinct()
     with_a = pairs.join(a.templates.select(F.col("tid").alias("ta"), F.col("blk").alias("ba")), "ta")
     with_b = with_a.join(b.templates.select(F.col("tid").alias("tb"), F.col("blk").alias("bb")), "tb")
-    made = written(_product(with_b.select("tid", "ba", "bb"), "ba", "bb", own_a, own_b, inner).where(B.nonzero(F.col("blk"))), "made")
+    made = written(_product(with_b.select("tid", "ba", "bb"), "ba", "bb", own_a, own_b, inner).where(B.nonzero(F.col("blk"), z)), "made")
     level = level.join(made.select("tid"), "tid", "left_semi")
     if keys:
         counts = level.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
@@ -139,10 +175,10 @@ def _aliased(a: Tensor, b: Tensor, common: list[Axis], strict: bool) -> Tensor:
     else:
         level = level.crossJoin(level.agg(F.count(F.lit(1)).alias("__n")))
     shared_rows = level.where("__n = 1").select(*keys, "tid", "alpha")
-    mixed = level.where("__n > 1").join(made, "tid").select(*keys, B.scale(F.col("blk"), F.col("alpha")).alias("blk"))
+    mixed = level.where("__n > 1").join(made, "tid").select(*keys, B.scale(F.col("blk"), F.col("alpha"), z).alias("blk"))
     n = size([*own_a, *own_b])
-    own = B.sum_blocks(mixed, keys, "blk", n).withColumn("tid", F.xxhash64(F.lit("own"), *keys, "blk"))
-    one = F.lit(1).cast(level.schema["alpha"].dataType)
+    own = B.sum_blocks(mixed, keys, "blk", n).withColumn("tid", F.concat(F.lit("own:"), B.identity(*keys, "blk")))
+    one = B.number(1, True) if z else F.lit(1).cast(level.schema["alpha"].dataType)
     df = shared_rows.unionByName(own.select(*keys, "tid", one.alias("alpha")))
     templates = made.join(shared_rows.select("tid").distinct(), "tid", "left_semi").select("tid", "blk").unionByName(own.select("tid", "blk"))
     return Tensor(axes, df, len(own_a) + len(own_b), templates)
@@ -155,3 +191,53 @@ def contract_and_fuse(a: Tensor, b: Tensor, bonds: dict[str, tuple[str, str]], c
         named = catalog.setdefault((x, y), name) if catalog is not None else name
         out = out.fuse(x, y, named)
     return out
+
+
+def canonical_bonds(t: Tensor, catalog: dict[tuple, str], left: list[str], right: list[str]) -> Tensor:
+    """Fuse each link of `left` with the link of `right` of the same level and region (prefix or tail), under one name.
+
+    The name is created once for (left link, right link, region) and looked up by the neighbour that shares the bond. A link
+    without a partner in its region meets the partner of its level in the other one, through coordinates.
+    """
+    for x in sorted((t.axis(n) for n in left), key=lambda x: (x.level is None, x.level or 0)):
+        others = [t.axis(n) for n in right if any(n in (y.col, y.name) for y in t.axes)]
+        others = [y for y in others if y.level == x.level]
+        if not others:
+            continue
+        y = min(others, key=lambda y: (y in t.tail) != (x in t.tail))
+        region = "tail" if x in t.tail and y in t.tail else "prefix"
+        name = catalog.setdefault((x.label, y.label, region), f"bond{len(catalog) + 1},l={x.level}" if x.level is not None else f"bond{len(catalog) + 1}")
+        t = t.fuse(x.col, y.col, name)
+    return t
+
+
+def align_links(target: Tensor, t: Tensor) -> Tensor:
+    """t with its links named as those of target: each link of target takes the first free one of t with its name, dimension
+    and prime level, else with its name and dimension, else some free ones whose dimensions multiply to its own, fused."""
+    taken: list = []
+    for want in (x for x in target.axes if x.link):
+        free = [x for x in t.axes if x.link and x.label not in taken]
+        same = [x for x in free if x.dim == want.dim and x.name == want.name]
+        found = [x for x in same if x.plev == want.plev] or same
+        group = found[:1] or _factors(free, want.dim)
+        if not group:
+            raise ValueError(f"no link matches {want.label} of dimension {want.dim}")
+        first, *rest = group
+        for x in rest:
+            t = t.fuse(first.col, x.col, first.name)
+            first = t.axis(first.col) if any(first.col == y.col for y in t.axes) else next(y for y in t.axes if y.name == first.name)
+        t = t.relabel(lambda x: want if x == first else x)  # noqa: B023
+        taken.append(want.label)
+    return t
+
+
+def _factors(axes: list[Axis], product: int) -> list[Axis]:
+    """The first axes in their order whose dimensions multiply to the product, else none."""
+    for i, x in enumerate(axes):
+        if product % x.dim == 0:
+            rest = product // x.dim
+            if rest == 1:
+                return [x]
+            if more := _factors(axes[i + 1 :], rest):
+                return [x, *more]
+    return []

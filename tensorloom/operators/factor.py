@@ -1,18 +1,23 @@
 """Factorizations. The linear algebra of one sector runs in NumPy inside a grouped Arrow function; ranking and truncation over
-all sectors are Spark window functions."""
+all sectors are Spark sorts."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions import blocks as B
+from tensorloom.functions.order import numbered
+from tensorloom.meta import Axis
 from tensorloom.operators.contract import contract
 from tensorloom.operators.reduce import norm
 from tensorloom.sources.shared import written
 from tensorloom.tensor import Tensor
 
+FAN = 16
+
 
 def _matrix(pdf: pd.DataFrame, row: str, col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows, i = np.unique(pdf[row], return_inverse=True)
@@ -39,40 +44,105 @@ def sector_svd(t: Tensor, sector: str, row: str, col: str) -> DataFrame:
 
 
 def truncate(values: DataFrame, sector: str, cutoff: float = 0.0, maxdim: int | None = None, mindim: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Keep singular values over all sectors: those above cutoff * largest, at most maxdim, at least mindim. Returns the kept
-    rows with their number and each sector's offset, and one row with the discarded weight."""
-    # one row for each singular value; their number is bounded by the bond dimensions, not by the data
-    order = Window.orderBy(F.desc("sv"), sector, "k")
-    ranked = values.withColumn("rank", F.row_number().over(order)).withColumn("top", F.max("sv").over(Window.orderBy(F.desc("sv")).rowsBetween(Window.unboundedPreceding, 0)))
-    keep = (F.col("rank") <= mindim) | ((F.col("sv") > cutoff * F.col("top")) & (F.col("rank") <= (maxdim or 2**31 - 1)))
-    marked = ranked.withColumn("keep", keep)
-    kept = marked.where("keep").drop("keep", "top")
-    sizes = kept.groupBy(sector).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy(sector).rowsBetween(Window.unboundedPreceding, -1))
-    kept = kept.join(sizes.withColumn("offset", F.coalesce(before, F.lit(0))).drop("n"), sector)
-    return kept, marked.agg(F.coalesce(F.sum(F.when(~F.col("keep"), F.col("sv") * F.col("sv"))), F.lit(0.0)).alias("discarded"))
-
-
-def left_qr(t: Tensor, head: list[str], col: str) -> tuple[DataFrame, DataFrame]:
-    """Thin QR of the matrix (head) x (col): tall Q by Gram matrix and Cholesky, so only col x col numbers leave Spark.
-
-    R is upper triangular with a positive diagonal. The columns must be independent and their number small.
+    """Keep singular values over all sectors: the largest maxdim, less those below cutoff * largest as long as more than mindim
+    are left. Returns the kept rows with their number and each sector's offset, and one row with the discarded weight."""
+    ranked = numbered(values, [F.desc("sv"), F.col(sector), F.col("k")], "rank").withColumn("rank", F.col("rank").cast("int"))
+    top = values.agg(F.max("sv").alias("__top"))  # one row
+    keep = (F.col("rank") <= (maxdim or 2**31 - 1)) & ((F.col("rank") <= mindim) | (F.col("sv") >= cutoff * F.col("__top")))
+    marked = ranked.crossJoin(F.broadcast(top)).withColumn("keep", keep).drop("__top")
+    kept = marked.where("keep").drop("keep")
+    first = numbered(kept.select(sector, "k"), [F.col(sector), F.col("k")], "__n").groupBy(sector).agg((F.min("__n") - 1).alias("offset"))
+    return kept.join(first, sector), marked.agg(F.coalesce(F.sum(F.when(~F.col("keep"), F.col("sv") * F.col("sv"))), F.lit(0.0)).alias("discarded"))
+
+
+def block_svd(t: Tensor, cutoff: float = 0.0, maxdim: int | None = None, mindim: int = 1, ortho: str = "left", bond: str = "bond") -> tuple[Tensor, Tensor, DataFrame, DataFrame]:
+    """Factors of a block tensor (l, r ; s, t): u (l, bond ; s) and w (bond, r ; t) with u w = t but for what is truncated.
+
+    Each l is a sector, whose blocks stand side by side as one matrix. Singular values are truncated over all sectors, and the
+    kept columns of a sector lie next to each other in the new bond. ortho: the side without them ("left": w has the values,
+    "right": u, else neither). Also returns (bond, sv) and one row with the discarded weight.
+    """
+    (left, right), (s, q) = t.prefix, t.tail
+    if t.is_complex:
+        raise ValueError("only real tensors are factorized")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(right.col)
+        m = np.concatenate([np.asarray(b, float).reshape(q.dim, s.dim).T for b in pdf["blk"]], axis=1)
+        u, values, vt = np.linalg.svd(m, full_matrices=False)
+        sign = np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])
+        k = len(values)
+        return pd.DataFrame({left.col: pdf[left.col].iloc[0], "k": np.arange(1, k + 1), "sv": values, "u": list((u * sign).T), "vt": list(vt * sign[:, None]), "rs": [pdf[right.col].tolist()] * k})
+
+    kind = dict(t.df.dtypes)
+    schema = f"{left.col} {kind[left.col]}, k int, sv double, u array<double>, vt array<double>, rs array<long>"
+    made = written(t.expand().df.groupBy(left.col).applyInPandas(run, schema), "sectors")
+    kept, discarded = truncate(made.select(left.col, "k", "sv"), left.col, cutoff, maxdim, mindim)
+    kept = written(kept.select(left.col, "k", (F.col("offset") + F.col("k")).cast("int").alias(bond)), "kept")
+    parts = made.join(kept, [left.col, "k"])
+    sv = lambda side: F.lit(1.0) if side else F.col("sv")
+    u = parts.select(left.col, bond, B.scale(F.col("u"), sv(ortho != "right")).alias("blk"))
+    cut = F.slice("vt", F.col("__i") * q.dim + 1, q.dim)
+    w = parts.select(bond, "vt", "sv", F.posexplode("rs").alias("__i", right.col)).select(bond, F.col(right.col).cast(kind[right.col]), B.scale(cut, sv(ortho != "left")).alias("blk"))
+    axis = Axis(bond, max(1, kept.count()), link=True)
+    return Tensor((left, axis, s), u, 1), Tensor((axis, right, q), w, 1), parts.select(bond, "sv"), discarded
+
+
+def left_qr(t: Tensor, head: list[str], col: str, tol: float = 1e-12) -> tuple[DataFrame, DataFrame]:
+    """Thin QR of the matrix (head) x (col) by a tree: tasks factorize their rows, and triangles of some tasks together.
+
+    Only triangles of col x col numbers move, and FAN of them reach the driver. Q has as many columns as the matrix has rank, up to
+    tol times the largest singular value, so dependent columns do no harm. R is upper triangular, or in steps below full
+    rank, with positive leading entries. The number of columns must be small.
     """
     coo = t.to_coo().df
-    other = coo.select(*head, F.col(col).alias("__c"), F.col("v").alias("__v"))
-    gram = coo.join(other, head).groupBy(col, "__c").agg(F.sum(F.col("v") * F.col("__v")).alias("g")).toPandas()
-    cols = sorted(set(gram[col]))
+    cols = sorted(r[0] for r in coo.select(col).distinct().collect())
     at = {c: i for i, c in enumerate(cols)}
-    g = np.zeros((len(cols), len(cols)))
-    for a, b, x in gram.itertuples(index=False):
-        g[at[a], at[b]] = x
-    r = np.linalg.cholesky(g).T
-    inverse = np.linalg.inv(r)
+    n = len(cols)
+
+    def triangle(r: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"part": [0], "r": [np.linalg.qr(r, mode="r").tobytes()]})
+
+    def rows(batches):
+        held = np.zeros((0, n))
+        names: dict = {}
+        pending = np.zeros((0, n))
+        for pdf in batches:
+            i = np.array([names.setdefault(h, len(names)) for h in zip(*(pdf[h] for h in head), strict=True)], np.int64)
+            pending = np.vstack([pending, np.zeros((len(names) - len(pending), n))])
+            np.add.at(pending, (i, pdf[col].map(at).to_numpy()), pdf["v"].to_numpy(float))
+            if len(names) > 4 * n + 1000:  # the last head may go on in the next batch
+                held = np.linalg.qr(np.vstack([held, np.delete(pending, i[-1], axis=0)]), mode="r")
+                last = list(names)[i[-1]]
+                pending, names = pending[i[-1] : i[-1] + 1], {last: 0}
+        if len(names):
+            yield triangle(np.vstack([held, pending]))
+
+    def together(batches):
+        held = np.zeros((0, n))
+        for pdf in batches:
+            held = np.linalg.qr(np.vstack([held, *(np.frombuffer(r).reshape(-1, n) for r in pdf["r"])]), mode="r")
+        if len(held):
+            yield triangle(held)
+
+    schema = "part int, r binary"
+    local = coo.repartition(*head).sortWithinPartitions(*head).mapInPandas(rows, schema)
+    tops = local.repartition(FAN).mapInPandas(together, schema).collect()  # at most FAN triangles
     spark = coo.sparkSession
-    table = lambda m: spark.createDataFrame([(int(cols[i]), int(j) + 1, float(m[i, j])) for i in range(len(cols)) for j in range(len(cols)) if m[i, j]], f"{col} int, q int, __x double")
-    q = coo.join(table(inverse), col).groupBy(*head, "q").agg(F.sum(F.col("v") * F.col("__x")).alias("v"))
-    upper = spark.createDataFrame([(int(i) + 1, int(cols[j]), float(r[i, j])) for i in range(len(cols)) for j in range(len(cols)) if r[i, j]], f"q int, {col} int, v double")
-    return q, upper
+    if not tops:
+        empty = coo.limit(0)
+        return empty.select(*head, F.lit(0).alias("q"), "v"), empty.select(F.lit(0).alias("q"), col, "v")
+    _, s, vt = np.linalg.svd(np.vstack([np.frombuffer(bytes(x.r)).reshape(-1, n) for x in tops]), full_matrices=False)
+    rank = max(1, int((s > tol * s[0]).sum()))
+    turn, r = np.linalg.qr(s[:rank, None] * vt[:rank])
+    lead = np.abs(r) > tol * s[0]
+    sign = np.sign(r[np.arange(rank), lead.argmax(axis=1)])
+    sign[sign == 0] = 1
+    r, into = r * sign[:, None], vt[:rank].T / s[:rank] @ turn * sign
+    kind = dict(coo.dtypes)[col]
+    table = lambda m, names: spark.createDataFrame([(int(cols[c]), int(j) + 1, float(m[c, j])) for c in range(n) for j in range(rank) if m[c, j]], names)
+    q = coo.join(table(into, f"{col} {kind}, q int, __x double"), col).groupBy(*head, "q").agg(F.sum(F.col("v") * F.col("__x")).alias("v"))
+    return q, table(r.T, f"{col} {kind}, q int, v double").select("q", col, "v")
 
 
 def stable_svd(m: np.ndarray, tol: float = 1e-9, null: float = 1e-12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,43 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions import blocks as B
+from tensorloom.operators.algebra import paired
 from tensorloom.tensor import Tensor
 
 
 def norm(t: Tensor) -> DataFrame:
     """Frobenius norm as one row (norm). Aliased: the norm of each template is taken once."""
+    z = t.is_complex
+    inside = F.aggregate("blk", F.lit(0.0), lambda s, x: s + B.squared(x, z))
     if t.form == "aliased":
-        squares = t.templates.select("tid", F.aggregate("blk", F.lit(0.0), lambda s, x: s + x * x).alias("q"))
-        total = t.df.join(squares, "tid").agg(F.sum(F.col("alpha") * F.col("alpha") * F.col("q")).alias("s"))
+        squares = t.templates.select("tid", inside.alias("q"))
+        total = t.df.join(squares, "tid").agg(F.sum(B.squared(F.col("alpha"), z) * F.col("q")).alias("s"))
     elif t.form == "block":
-        total = t.df.agg(F.sum(F.aggregate("blk", F.lit(0.0), lambda s, x: s + x * x)).alias("s"))
-    elif t.is_complex:
-        total = t.df.agg(F.sum(F.col("v.re") * F.col("v.re") + F.col("v.im") * F.col("v.im")).alias("s"))
+        total = t.df.agg(F.sum(inside).alias("s"))
     else:
-        total = t.df.agg(F.sum(F.col("v") * F.col("v")).alias("s"))
+        total = t.df.agg(F.sum(B.squared(F.col("v"), z)).alias("s"))
     return total.select(F.sqrt(F.coalesce("s", F.lit(0))).alias("norm"))
 
 
 def max_abs(t: Tensor) -> DataFrame:
-    return t.to_coo().df.agg(F.coalesce(F.max(F.abs("v")), F.lit(0)).alias("max_abs"))
+    t = t.to_coo()
+    return t.df.agg(F.coalesce(F.max(B.magnitude(F.col("v"), t.is_complex)), F.lit(0)).alias("max_abs"))
+
+
+def max_norm(tensors: list[Tensor]) -> DataFrame:
+    """The largest norm of some tensors, as of the sites of a chain, in one row."""
+    return reduce(DataFrame.union, [norm(t) for t in tensors]).agg(F.max("norm").alias("max_norm"))
 
 
 def normalised(t: Tensor) -> Tensor:
     """Divided by the largest absolute value."""
     t = t.to_coo()
-    top = t.df.agg(F.max(F.abs("v")).alias("__m"))  # one row
-    return Tensor(t.axes, t.df.crossJoin(F.broadcast(top)).select(*t.keys, (F.col("v") / F.col("__m")).alias("v")))
+    z = t.is_complex
+    top = t.df.agg(F.max(B.magnitude(F.col("v"), z)).alias("__m"))  # one row
+    v = B.pair(F.col("v.re") / F.col("__m"), F.col("v.im") / F.col("__m")) if z else F.col("v") / F.col("__m")
+    return Tensor(t.axes, t.df.crossJoin(F.broadcast(top)).select(*t.keys, v.alias("v")))
 
 
 def difference(a: Tensor, b: Tensor) -> DataFrame:
     """Largest absolute difference over all coordinates, one row."""
-    a, b = a.to_coo(), b.to_coo()
-    joined = a.df.withColumnRenamed("v", "x").join(b.df.select(*a.keys, F.col("v").alias("y")), a.keys, "full_outer")
-    return joined.agg(F.coalesce(F.max(F.abs(F.coalesce("x", F.lit(0)) - F.coalesce("y", F.lit(0)))), F.lit(0)).alias("max_diff"))
+    a, joined, x, y = paired(a, b)
+    apart = F.sqrt(F.pow(x["re"] - y["re"], 2) + F.pow(x["im"] - y["im"], 2)) if a.is_complex else F.abs(x - y)
+    return joined.agg(F.coalesce(F.max(apart), F.lit(0)).alias("max_diff"))
 
 
 def compression(t: Tensor) -> DataFrame:
@@ -54,9 +65,8 @@ def footprint(t: Tensor) -> DataFrame:
 
 
 def exact_total(t: Tensor, by: list[str]) -> DataFrame:
-    """Sums of doubles by axes without rounding between terms (Arrow-batched)."""
-    t = t.to_coo()
-    return t.df.groupBy(*by).agg(B.exact_sum(F.col("v").cast("double")).alias("v"))
+    """Sums of doubles by axes, rounded once."""
+    return B.exact_sums(t.to_coo().df, by, "v")
 
 
 def distinct_prefix(t: Tensor, axis: str) -> DataFrame:

@@ -33,6 +33,20 @@ def restricted(t: Tensor, prefix: list[str], row: str, ties: list[tuple[str, str
     return t
 
 
+def to_restricted(t: Tensor, prefix: list[str], row: str, col: str, ties: list[tuple[str, str]] = ()) -> DataFrame:
+    """The compact form (prefix..., row, sel, val): the one column of each row and its value. Axes tied to an earlier one go."""
+    rep = representatives(len(prefix), [(prefix.index(a), prefix.index(b)) for a, b in ties])
+    own = [p for i, p in enumerate(prefix) if rep[i] == i]
+    return restricted(t, prefix, row, ties).to_coo().df.select(*own, row, F.col(col).alias("sel"), F.col("v").alias("val"))
+
+
+def from_restricted(df: DataFrame, t: Tensor, prefix: list[str], row: str, col: str, ties: list[tuple[str, str]] = ()) -> Tensor:
+    """The tensor of a compact form, with the axes of t."""
+    rep = representatives(len(prefix), [(prefix.index(a), prefix.index(b)) for a, b in ties])
+    cols = [F.col(prefix[rep[i]]).alias(p) for i, p in enumerate(prefix)]
+    return Tensor.coo(df.select(*cols, row, F.col("sel").alias(col), F.col("val").alias("v")), list(t.to_coo().axes))
+
+
 def prefix_states(t: Tensor, prefix: list[str], ties: list[tuple[str, str]] = ()) -> int:
     """How many prefixes the ties allow."""
     rep = representatives(len(prefix), [(prefix.index(a), prefix.index(b)) for a, b in ties])

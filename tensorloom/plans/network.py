@@ -9,9 +9,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tensorloom.functions import blocks as B
 from tensorloom.meta import shared, size
-from tensorloom.operators.algebra import subtract
+from tensorloom.operators.algebra import conjugate, subtract
 from tensorloom.operators.contract import contract
 from tensorloom.operators.reduce import norm
 from tensorloom.tensor import Tensor
@@ -58,10 +61,41 @@ def commutator_norm(a: Tensor, b: Tensor) -> DataFrame:
     return norm(commutator(a, b))
 
 
+def reindexed(t: Tensor, like: Tensor) -> Tensor:
+    """t with its axes, in their order, named as those of like, of the same dimensions."""
+    if t.dims != like.dims:
+        raise ValueError("the dimensions differ")
+    return t.relabel(dict(zip(t.axes, like.axes, strict=True)).__getitem__)
+
+
+def check_commute(a: Tensor, b: Tensor, tol: float = 1e-10) -> bool:
+    """Whether the norm of the commutator is within tol; b takes the axes of a first."""
+    return commutator_norm(a, reindexed(b, a)).first()[0] <= tol
+
+
+def inner(a: Tensor, b: Tensor) -> DataFrame:
+    """<a, b> in one row (v); a is conjugated."""
+    return contract(conjugate(a), b).df
+
+
 def expectation(state: Tensor, operator: Tensor) -> DataFrame:
-    """<state, operator state> in one row (v)."""
-    applied = contract(operator, state.prime(1))
-    return contract(applied, state).df
+    """<state, operator state> in one row (v); the state on the left is conjugated."""
+    return inner(state, contract(operator, state.prime(1)))
+
+
+def overlap(a: Tensor, b: Tensor) -> DataFrame:
+    """|<a, b>| / (|a| |b|) in one row."""
+    v = inner(a, b)
+    size_ = B.magnitude(F.col("v"), isinstance(v.schema["v"].dataType, T.StructType))
+    both = norm(a).select(F.col("norm").alias("na")).crossJoin(norm(b).select(F.col("norm").alias("nb")))  # one row each
+    return both.crossJoin(v.agg(F.coalesce(F.max(size_), F.lit(0.0)).alias("s"))).select((F.col("s") / (F.col("na") * F.col("nb"))).alias("overlap"))
+
+
+def hermiticity(operator: Tensor) -> DataFrame:
+    """|A - A*| / |A| in one row: 0 for a Hermitian operator. Axes are x at prime levels 0 and 1."""
+    swapped = operator.to_coo().relabel(lambda x: x.primed(1 - x.plev))
+    apart = norm(subtract(operator.to_coo(), conjugate(swapped.permute([x.col for x in operator.axes]))))
+    return apart.select(F.col("norm").alias("d")).crossJoin(norm(operator)).select((F.col("d") / F.col("norm")).alias("ratio"))
 
 
 def first_difference(steps: list[tuple[Tensor, Tensor]], tol: float) -> int | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -347,10 +348,9 @@ def clean_snap(spark, sf):
     return algebra.clean(Tensor(k.axes, k.df.withColumn("v", noisy))).df
 
 
-@query("SELECT l_returnflag, round(SUM(l_extendedprice), 2) v FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, round(SUM(CAST(round(l_extendedprice, 2) AS DECIMAL(18, 2))), 2)::DOUBLE v FROM lineitem GROUP BY 1")
 def exact_sum(spark, sf):
-    df = S.read(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("v"))
-    return df.groupBy("l_returnflag").agg(B.exact_sum("v").alias("v")).withColumn("v", F.round("v", 2))
+    return B.exact_sums(S.read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice").withColumn("v", F.round("v", 2))
 
 
 @query("SELECT DISTINCT i FROM T")
@@ -444,7 +444,7 @@ def _label_norms(spark, sf) -> DataFrame:
     return e.select("label", F.row_number().over(Window.partitionBy("label").orderBy("vec")).alias("k"), "sv")
 
 
-_SV = "s AS (SELECT CAST(label + 1 AS INTEGER) label, CAST(ROW_NUMBER() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) k, round(abs(CAST(embedding[1] AS DOUBLE)), 6) sv FROM embeddings), k1 AS (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY sv DESC, label, k) AS INTEGER) AS rank, MAX(sv) OVER () AS top FROM s), kept AS (SELECT label, k, sv, rank FROM k1 WHERE rank <= 3 OR (sv > 0.3 * top AND rank <= 100))"
+_SV = "s AS (SELECT CAST(label + 1 AS INTEGER) label, CAST(ROW_NUMBER() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) k, round(abs(CAST(embedding[1] AS DOUBLE)), 6) sv FROM embeddings), k1 AS (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY sv DESC, label, k) AS INTEGER) AS rank, MAX(sv) OVER () AS top FROM s), kept AS (SELECT label, k, sv, rank FROM k1 WHERE rank <= 100 AND (rank <= 3 OR sv >= 0.3 * top))"
 
 
 @query()
@@ -467,7 +467,7 @@ def discarded_weight(spark, sf):
 
 ORACLE_SQL["topk_cutoff"] = f"WITH {_SV} SELECT label, k, sv, rank FROM kept"
 ORACLE_SQL["block_offsets"] = f"WITH {_SV}, n AS (SELECT label, COUNT(*) c FROM kept GROUP BY 1) SELECT label, CAST(COALESCE(SUM(c) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM n"
-ORACLE_SQL["discarded_weight"] = f"WITH {_SV} SELECT round(COALESCE(SUM(CASE WHEN NOT (rank <= 3 OR (sv > 0.3 * top AND rank <= 100)) THEN sv * sv END), 0), 6) AS discarded FROM k1"
+ORACLE_SQL["discarded_weight"] = f"WITH {_SV} SELECT round(COALESCE(SUM(CASE WHEN NOT (rank <= 100 AND (rank <= 3 OR sv >= 0.3 * top)) THEN sv * sv END), 0), 6) AS discarded FROM k1"
 
 
 @query("SELECT i, q, COUNT(*) AS n, CAST(SUM(CASE WHEN q <> f THEN 1 ELSE 0 END) AS BIGINT) AS off FROM U GROUP BY 1, 2 HAVING COUNT(*) > 1 OR SUM(CASE WHEN q <> f THEN 1 ELSE 0 END) > 0")
@@ -485,7 +485,7 @@ def diag_constraint(spark, sf):
 @query("SELECT i, q, f, v FROM U")
 def parquet_round_trip(spark, sf):
     u = flags(spark, sf)
-    path = f"{folder(spark)}/coo-{spark.sparkContext.applicationId}"
+    path = f"{folder(spark)}/coo-{uuid.uuid4().hex}"
     u.to_parquet(path)
     return Tensor.from_parquet(spark, path, list(u.axes)).df
 
@@ -495,12 +495,17 @@ def _matrix(spark, sf) -> Tensor:
     return S.vectors(spark, sf).to_coo()
 
 
-@query()
+@query("SELECT CAST(label + 1 AS INTEGER) label, 64 AS n, round(SUM(x * x), 4) energy, true AS falling FROM (SELECT label, vec_id, CAST(unnest(embedding) AS DOUBLE) x FROM embeddings) GROUP BY 1 HAVING COUNT(DISTINCT vec_id) >= 64 UNION ALL SELECT CAST(label + 1 AS INTEGER), CAST(COUNT(DISTINCT vec_id) AS INTEGER), round(SUM(x * x), 4), true FROM (SELECT label, vec_id, CAST(unnest(embedding) AS DOUBLE) x FROM embeddings) GROUP BY 1 HAVING COUNT(DISTINCT vec_id) < 64")
 def sector_svd_values(spark, sf):
-    return factor.sector_svd(_matrix(spark, sf), "label", "vec", "x").select("label", "k", F.round("sv", 6).alias("sv"))
+    """Of each sector: how many singular values, their squares' sum, and whether they fall."""
+    values = factor.sector_svd(_matrix(spark, sf), "label", "vec", "x")
+    rows = values.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("k", "sv"))).alias("z"))
+    sv = F.transform("z", lambda x: x["sv"])
+    energy = F.round(F.aggregate(sv, F.lit(0.0), lambda s, x: s + x * x), 4)
+    return rows.select("label", F.size("z").alias("n"), energy.alias("energy"), (sv == F.reverse(F.array_sort(sv))).alias("falling"))
 
 
-@query()
+@query("SELECT true AS exact")
 def qr_residual(spark, sf):
     m = _matrix(spark, sf)
     q, r = factor.left_qr(m, ["label", "vec"], "x")
@@ -508,26 +513,172 @@ def qr_residual(spark, sf):
     return m.df.join(back, ["label", "vec", "x"], "full_outer").agg((F.max(F.abs(F.coalesce("v", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))) < 1e-8).alias("exact"))
 
 
-@query()
+@query("SELECT true AS isometric")
 def isometry(spark, sf):
     q, _ = factor.left_qr(_matrix(spark, sf), ["label", "vec"], "x")
     t = Tensor((Axis("label", 10), Axis("vec", S.BIG), Axis("q", 64)), q)
     return factor.isometry_defect(t, ["label", "vec"], "q").select((F.col("defect") < 1e-8).alias("isometric"))
 
 
-@query()
+def paired_blocks(spark, sf) -> Tensor:
+    """W(i supplier, g group of 7 suppliers ; q line, f flag), from U."""
+    u = flags(spark, sf)
+    grouped = u.df.select(F.col("i").alias("r"), (F.col("i") % 7 + 1).cast("int").alias("l"), "q", "f", F.col("v").cast("double").alias("v"))
+    return Tensor.coo(grouped, [Axis("l", 7), Axis("r", S.BIG), Axis("q", 7), Axis("f", 3)]).to_block(2)
+
+
+@query("SELECT i % 7 + 1 AS l, CAST(round(SUM(v * v)) AS BIGINT) AS energy, true AS exact FROM U GROUP BY 1")
+def block_svd(spark, sf):
+    """The factors multiply back to the blocks, and the singular values hold the squares of each sector."""
+    t = paired_blocks(spark, sf)
+    u, w, sv, _ = factor.block_svd(t)
+    apart = reduce.difference(t, contract(u, w).to_coo().permute(["l", "r", "q", "f"])).select((F.col("max_diff") < 1e-6).alias("exact"))
+    energy = u.df.select("l", "bond").distinct().join(sv, "bond").groupBy("l").agg(F.round(F.sum(F.col("sv") * F.col("sv"))).cast("long").alias("energy"))
+    return energy.crossJoin(F.broadcast(apart))  # one row
+
+
+@query("SELECT true AS whole, 9 AS bonds, true AS isometric")
+def block_svd_truncated(spark, sf):
+    """What is cut off is what the factors miss, for the nine largest values; the left factor is an isometry in each sector."""
+    t = paired_blocks(spark, sf)
+    u, w, sv, discarded = factor.block_svd(t, maxdim=9)
+    rest = reduce.norm(algebra.subtract(t.to_coo(), contract(u, w).to_coo().permute(["l", "r", "q", "f"])))
+    whole = rest.crossJoin(discarded).select((F.abs(F.col("norm") * F.col("norm") / F.greatest("discarded", F.lit(1e-9)) - 1) < 1e-6).alias("whole"))
+    return whole.crossJoin(sv.agg(F.count(F.lit(1)).cast("int").alias("bonds"))).crossJoin(factor.isometry_defect(u, ["l", "q"], "bond").select((F.col("defect") < 1e-9).alias("isometric")))
+
+
+@query("SELECT round(sqrt(SUM(CAST(v AS DOUBLE) * v)), 3) AS norm, true AS exact FROM D")
 def stable_svd(spark, sf):
-    """Singular values of regions by segments, and whether the factors multiply back."""
+    """The norm that the singular values of regions by segments have, and whether the factors multiply back."""
     d = regions(spark, sf).df.toPandas()  # 25 numbers
     m = np.zeros((5, 5))
     m[d.g - 1, d.m - 1] = d.v
     u, s, vt = factor.stable_svd(m)
-    return spark.createDataFrame(pd.DataFrame({"k": range(1, 6), "sv": s.round(6), "exact": bool(np.abs(u * s @ vt - m).max() < 1e-6)}))
+    return spark.createDataFrame([(round(float(np.sqrt((s * s).sum())), 3), bool(np.abs(u * s @ vt - m).max() < 1e-6))], "norm double, exact boolean")
+
+
+ROUNDS = 8
+_POWER = ", ".join(f"y{i} AS (SELECT R.x, SUM(R.v * s.v) v FROM R JOIN s{i - 1} s ON s.x = R.y GROUP BY 1), n{i} AS (SELECT sqrt(SUM(v * v)) n FROM y{i}), s{i} AS (SELECT x, v / n AS v FROM y{i}, n{i})" for i in range(1, ROUNDS + 1))
 
 
 @query()
 def power_iteration(spark, sf):
     r, _ = squares(spark, sf)
     t = Tensor(r.axes, r.df.withColumn("v", F.col("v").cast("double")))
-    return spark.createDataFrame([(round(factor.power_iteration(t, "x", "x__p1", 8), 3),)], "opnorm double")
+    return spark.createDataFrame([(round(factor.power_iteration(t, "x", "x__p1", ROUNDS), 3),)], "opnorm double")
+
+
+ORACLE_SQL["power_iteration"] = f"WITH {CTES}, s0 AS (SELECT CAST(x AS INTEGER) x, 1.0::DOUBLE AS v FROM range(1, 6) t(x)), {_POWER} SELECT round(n, 3) AS opnorm FROM n{ROUNDS}"
+
+
+# -- contractions of the forms that have no query above
+
+
+@query("SELECT G.n, D.m, CAST(SUM(G.v * D.v) AS BIGINT) v FROM G JOIN D USING (g) GROUP BY 1, 2")
+def coo_dense(spark, sf):
+    return contract(S.nations(spark, sf), regions(spark, sf).to_block(2), plan="block").to_coo().df
+
+
+@query("SELECT T.r, T.q, b.f, CAST(SUM(T.v * b.v) AS BIGINT) v FROM T JOIN (SELECT i, f, SUM(v) v FROM U GROUP BY 1, 2) b USING (i) GROUP BY 1, 2, 3")
+def block_dense_prefix_outer(spark, sf):
+    t, u = S.lines(spark, sf), flags(spark, sf)
+    return contract(t.to_block(1), summed(u, ["i", "f"]).to_block(1), plan="block").to_coo().df
+
+
+@query("SELECT U.i, U.f, b.f AS h, CAST(SUM(U.v * b.v) AS BIGINT) v FROM U JOIN K b USING (q) GROUP BY 1, 2, 3")
+def block_dense_lifted(spark, sf):
+    """A shared axis that is prefix on one side and tail on the other, by blocks."""
+    u = flags(spark, sf)
+    return contract(u.to_block(1), summed(u, ["q", "f"]).rename("f", "h").to_block(2), plan="block").to_coo().df
+
+
+def spread(spark, sf) -> Tensor:
+    return contract(S.nations(spark, sf), regions(spark, sf).to_block(1).to_aliased())
+
+
+@query("SELECT N.m AS s, D.m, CAST(SUM(D.v * N.v) AS BIGINT) v FROM G JOIN D USING (g) JOIN N USING (n) GROUP BY 1, 2")
+def aliased_dense_prefix(spark, sf):
+    return contract(spread(spark, sf), S.customers(spark, sf).rename("m", "s").to_block(1)).to_coo().df
+
+
+@query("SELECT G.n, b.n AS k, CAST(SUM(D.v * E.v) AS BIGINT) v FROM G JOIN D USING (g) JOIN D E ON E.m = D.m JOIN G b ON b.g = E.g GROUP BY 1, 2")
+def aliased_aliased_tail(spark, sf):
+    t = spread(spark, sf)
+    return contract(t, t.rename("n", "k")).to_coo().df
+
+
+@query("SELECT CAST(SUM(D.v * N.v) AS BIGINT) v FROM G JOIN D USING (g) JOIN N ON N.n = G.n AND N.m = D.m")
+def aliased_dense_multi(spark, sf):
+    return contract(spread(spark, sf), S.customers(spark, sf).to_block(1)).to_coo().df
+
+
+@query("SELECT CAST(SUM(D.v * E.v) AS BIGINT) v FROM G JOIN D USING (g) JOIN D E ON E.g = D.g AND E.m = D.m")
+def aliased_aliased_multi(spark, sf):
+    t = spread(spark, sf)
+    return contract(t, t).to_coo().df
+
+
+@query("SELECT i, q, f, CASE WHEN i = 1 AND q = 2 THEN CAST(9 AS BIGINT) ELSE v END v FROM U WHERE NOT (i = 1 AND q = 1)")
+def block_upsert(spark, sf):
+    entries = spark.createDataFrame([(1, q, f, 9 * (q - 1)) for q in (1, 2) for f in (1, 2, 3)], "i int, q int, f int, v long")
+    return flags(spark, sf).to_block(2).upsert(entries).to_coo().df.where("not (i = 1 and q = 2 and v = 0)")
+
+
+@query("SELECT i, r, CAST(SUM(v) AS BIGINT) v FROM T GROUP BY 1, 2 HAVING MAX(v) > 0.9 * (SELECT MAX(v) FROM T)")
+def block_relative_threshold(spark, sf):
+    return S.lines(spark, sf).to_block(1, rtol=0.9).to_coo().df.groupBy("i", "r").agg(F.sum("v").alias("v"))
+
+
+# -- complex values in all forms
+
+
+def waves(spark, sf) -> Tensor:
+    """Z(i, q, f): U with a phase: v * (1 + i f)."""
+    u = flags(spark, sf)
+    v = F.col("v").cast("double")
+    return Tensor.coo(u.df.select("i", "q", "f", B.pair(v, v * F.col("f")).alias("v")), list(u.axes))
+
+
+_Z = "Z AS (SELECT i, q, f, CAST(v AS DOUBLE) re, CAST(v * f AS DOUBLE) im FROM U)"
+_ZZ = "SUM(a.re * b.re - a.im * b.im) re, SUM(a.re * b.im + a.im * b.re) im"
+
+
+def parts(df: DataFrame) -> DataFrame:
+    return df.select("*", F.col("v.re").alias("re"), F.col("v.im").alias("im")).drop("v")
+
+
+@query()
+def complex_block_contract(spark, sf):
+    z = waves(spark, sf)
+    return parts(contract(z.to_block(2), z.rename("f", "h").rename("i", "k").to_block(2).permute(["k", "q", "h"]), plan="block").to_coo().df.where("i <= 3"))
+
+
+@query()
+def complex_aliased(spark, sf):
+    z = waves(spark, sf)
+    t = z.to_block(1).to_aliased()
+    return parts(contract(t, z.rename("f", "h").rename("i", "k").to_block(1)).to_coo().df.where("i <= 2 and k <= 3"))
+
+
+ORACLE_SQL["complex_block_contract"] = f"WITH {CTES}, {_Z} SELECT a.i, a.f, b.i AS k, b.f AS h, {_ZZ} FROM Z a JOIN Z b USING (q) WHERE a.i <= 3 GROUP BY 1, 2, 3, 4"
+ORACLE_SQL["complex_aliased"] = f"WITH {CTES}, {_Z} SELECT a.i, a.f, b.i AS k, b.f AS h, {_ZZ} FROM Z a JOIN Z b USING (q) WHERE a.i <= 2 AND b.i <= 3 GROUP BY 1, 2, 3, 4"
+
+
+@query()
+def complex_reductions(spark, sf):
+    """Norm, largest value and a lookup of a complex block tensor, conjugated and scaled by i."""
+    z = algebra.scaled(algebra.conjugate(waves(spark, sf).to_block(2)), 1j)
+    return reduce.norm(z).crossJoin(reduce.max_abs(z)).crossJoin(parts(z.get(i=1, q=3, f=2)))
+
+
+ORACLE_SQL["complex_reductions"] = f"WITH {CTES}, {_Z} SELECT sqrt(SUM(re * re + im * im)) AS norm, MAX(sqrt(re * re + im * im)) AS max_abs, COALESCE(SUM(CASE WHEN i = 1 AND q = 3 AND f = 2 THEN im END), 0) AS re, COALESCE(SUM(CASE WHEN i = 1 AND q = 3 AND f = 2 THEN re END), 0) AS im FROM Z"
+
 
+@query("SELECT 2.0 AS re, 0.0 AS im, 0.0 AS ratio")
+def complex_expectation(spark, sf):
+    """<s| Sy |s> of the eigenvector (1, i sqrt 2, -1) / 2, scaled by 2, and how far Sy is from Hermitian."""
+    state = Tensor.coo(spark.createDataFrame([(1, 0.5, 0.0), (2, 0.0, 0.5**0.5), (3, -0.5, 0.0)], "x int, re double, im double"), [Axis("x", 3)], F.struct("re", "im"))
+    y = spin(spark, SPIN_Y)
+    half = algebra.scaled(y, 2 * 0.5**0.5)
+    v = network.expectation(state, half).select(F.round("v.re", 9).alias("re"), (F.round("v.im", 9) + 0.0).alias("im"))
+    return v.crossJoin(network.hermiticity(y).select("ratio"))

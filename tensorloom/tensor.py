@@ -1,19 +1,20 @@
 """Tensors as DataFrames.
 
-coo:     the axes' columns and v (a number, or a struct of re and im); absent means zero
+coo:     the axes' columns and v (a number, or a struct of re and im, in blocks too); absent means zero
 block:   the prefix axes' columns and blk, the dense tail column-major
 aliased: the prefix axes' columns, tid and alpha; templates has (tid, blk); a block is alpha times its template
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tensorloom.functions import blocks as B
-from tensorloom.meta import Axis, fused, size
+from tensorloom.meta import Axis, check_permutation, fused, merge_groups, size, split_bra_ket
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,33 @@ class Tensor:
     df: DataFrame
     n_dense: int = 0
     templates: DataFrame | None = None
+    #: the coordinates that the blocks of a df were made of: (df, coo tensor)
+    origin: tuple | None = field(default=None, compare=False, repr=False)
+
+    # -- operators
+
+    def __matmul__(self, other: Tensor) -> Tensor:
+        """The contraction over shared labels."""
+        from tensorloom.operators.contract import contract
+
+        return contract(self, other)
+
+    def __mul__(self, other) -> Tensor:
+        from tensorloom.operators.algebra import scaled
+
+        return self @ other if isinstance(other, Tensor) else scaled(self, other)
+
+    __rmul__ = __mul__
+
+    def __add__(self, other: Tensor) -> Tensor:
+        from tensorloom.operators.algebra import add
+
+        return add(self, other)
+
+    def __sub__(self, other: Tensor) -> Tensor:
+        from tensorloom.operators.algebra import subtract
+
+        return subtract(self, other)
 
     # -- form
 
@@ -51,10 +79,27 @@ class Tensor:
 
     @property
     def is_complex(self) -> bool:
-        return self.form == "coo" and dict(self.df.dtypes)["v"].startswith("struct")
+        return isinstance(self.kind, T.StructType)
+
+    @property
+    def kind(self) -> T.DataType:
+        """The values' type."""
+        if self.form == "coo":
+            return self.df.schema["v"].dataType
+        return _element(self.df if self.form == "block" else self.templates)
+
+    def as_complex(self) -> Tensor:
+        if self.is_complex:
+            return self
+        whole = lambda x: B.pair(x.cast("double"), F.lit(0.0))
+        if self.form == "coo":
+            return replace(self, df=self.df.withColumn("v", whole(F.col("v"))))
+        if self.form == "block":
+            return replace(self, df=self.df.withColumn("blk", F.transform("blk", whole)))
+        return replace(self, df=self.df.withColumn("alpha", whole(F.col("alpha"))), templates=self.templates.withColumn("blk", F.transform("blk", whole)))
 
     def axis(self, name: str) -> Axis:
-        return next(a for a in self.axes if name in (a.col, a.name))
+        return next((a for a in self.axes if a.col == name), None) or next(a for a in self.axes if a.name == name)
 
     # -- sources
 
@@ -74,11 +119,27 @@ class Tensor:
                 raise ValueError("coordinates repeat or lie outside")
         return made.pruned()
 
+    @classmethod
+    def load(cls, df: DataFrame, axes: list[Axis], form: str = "coo", dense: list[str] = (), v: str | Column = "v") -> Tensor:
+        """From rows of coordinates in a format, axes in canonical order: bra sites, ket sites, links, and the dense ones last."""
+        bra, ket = split_bra_ket(axes)
+        order = [*bra, *ket, *(x for x in axes if x.link)]
+        last = [next(x for x in axes if name in (x.col, x.name)) for name in dense]
+        out = cls.coo(df, [*(x for x in order if x not in last), *last], v)
+        return out.converted(form, len(last))
+
+    def converted(self, form: str, n_dense: int | None = None) -> Tensor:
+        n = self.n_dense if n_dense is None else n_dense
+        if form == "coo":
+            return self.to_coo()
+        t = self if self.form != "coo" and self.n_dense == n else self.to_block(n)
+        return t.expand() if form == "block" else t.to_aliased()
+
     @classmethod
     def empty(cls, spark, axes: list[Axis], n_dense: int = 0, form: str = "coo") -> Tensor:
         keys = "".join(f"`{a.col}` int, " for a in axes[: len(axes) - n_dense])
-        value = {"coo": "v double", "block": "blk array<double>", "aliased": "tid long, alpha double"}[form]
-        templates = spark.createDataFrame([], "tid long, blk array<double>") if form == "aliased" else None
+        value = {"coo": "v double", "block": "blk array<double>", "aliased": "tid string, alpha double"}[form]
+        templates = spark.createDataFrame([], "tid string, blk array<double>") if form == "aliased" else None
         return cls(tuple(axes), spark.createDataFrame([], keys + value), n_dense, templates)
 
     @classmethod
@@ -97,60 +158,75 @@ class Tensor:
 
     def pruned(self) -> Tensor:
         """Canonical form: no zeros."""
-        v = F.col("v")
-        if self.form == "coo":
-            return replace(self, df=self.df.where((v["re"] != 0) | (v["im"] != 0) if self.is_complex else v != 0))
         if self.form == "block":
-            return replace(self, df=self.df.where(B.nonzero(F.col("blk"))))
-        return replace(self, df=self.df.where("alpha <> 0"))
+            return replace(self, df=self.df.where(B.nonzero(F.col("blk"), self.is_complex)))
+        return replace(self, df=self.df.where(B.present(F.col("v" if self.form == "coo" else "alpha"), self.is_complex)))
 
     # -- conversions
 
     def to_coo(self) -> Tensor:
         if self.form == "coo":
             return self
+        if self.origin and self.origin[0] is self.df and self.origin[1].axes == self.axes:
+            return self.origin[1]
         t = self.expand()
-        cells = t.df.select(*t.keys, F.posexplode("blk").alias("pos", "v")).where("v <> 0")
-        where = B.decode(F.col("pos"), [a.dim for a in t.tail])
+        cells = t.df.select(*t.keys, F.posexplode("blk").alias("__pos", "v")).where(B.present(F.col("v"), t.is_complex))
+        where = B.decode(F.col("__pos"), [a.dim for a in t.tail])
         return Tensor(t.axes, cells.select(*t.keys, *[c.alias(a.col) for c, a in zip(where, t.tail, strict=True)], "v"))
 
-    def to_block(self, n_dense: int, keep: float | None = None) -> Tensor:
-        """The last n_dense axes become blocks. keep: blocks whose largest absolute value is at most this go."""
+    def to_block(self, n_dense: int, keep: float | None = None, rtol: float = 0.0, all_blocks: bool = False) -> Tensor:
+        """The last n_dense axes become blocks; values at equal coordinates are summed. keep, rtol: only blocks stay whose
+        largest absolute value is above keep and above rtol times that of the whole tensor. all_blocks: a block for each
+        prefix, zeros too. The coordinates are remembered, so that going back costs nothing."""
         t = self.to_coo()
         out = Tensor(t.axes, t.df, n_dense)
+        z, zero = t.is_complex, B.zero(t.kind)
         pos = B.encode([F.col(a.col) for a in out.tail], [a.dim for a in out.tail], 0)
-        zero = F.lit(0).cast(t.df.schema["v"].dataType)
-        cells = t.df.select(*out.keys, pos.alias("pos"), "v")
+        cells = t.df.select(*out.keys, pos.alias("__pos"), "v")
         if out.blksize <= B.WIDE:
-            blk = F.array(*[F.coalesce(F.sum(F.when(F.col("pos") == i, F.col("v"))), zero) for i in range(out.blksize)])
+            blk = F.array(*[F.coalesce(B.total(F.when(F.col("__pos") == i, F.col("v")), z), zero) if not z else B.pair(*[F.coalesce(F.sum(F.when(F.col("__pos") == i, F.col("v")[part])), F.lit(0.0)) for part in ("re", "im")]) for i in range(out.blksize)])
         else:
-            entries = F.map_from_entries(F.collect_list(F.struct("pos", "v")))
+            cells = cells.groupBy(*out.keys, "__pos").agg(B.total(F.col("v"), z).alias("v"))
+            entries = F.map_from_entries(F.collect_list(F.struct("__pos", "v")))
             blk = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(out.blksize - 1).cast("long")), lambda p: F.coalesce(F.element_at(entries, p), zero))
         df = cells.groupBy(*out.keys).agg(blk.alias("blk"))
-        if keep is not None:
-            df = df.where(F.array_max(F.transform("blk", F.abs)) > keep)
-        return replace(out, df=df)
+        if keep is not None or rtol:
+            top = F.array_max(F.transform("blk", lambda x: B.magnitude(x, z)))
+            if rtol:  # one row
+                most = df.agg(F.max(top).alias("__top"))
+                df = df.crossJoin(F.broadcast(most)).where(top > rtol * F.col("__top")).drop("__top")
+            return replace(out, df=df if keep is None else df.where(top > keep))
+        if all_blocks and out.prefix:
+            grid = t.df.sparkSession.range(size(out.prefix))
+            grid = grid.select(*[c.alias(a.col) for c, a in zip(B.decode(F.col("id"), [a.dim for a in out.prefix]), out.prefix, strict=True)])
+            df = grid.join(df, out.keys, "left").select(*out.keys, F.coalesce("blk", F.array_repeat(zero, out.blksize)).alias("blk"))
+        return replace(out, df=df, origin=(df, t))
 
     def to_aliased(self) -> Tensor:
         """Equal blocks share a template."""
         if self.form == "aliased":
             return self
         t = self if self.form == "block" else self.to_block(self.n_dense)
-        tid = F.xxhash64("blk")
-        return replace(t, df=t.df.select(*t.keys, tid.alias("tid"), F.lit(1).cast(_element(t.df)).alias("alpha")), templates=t.df.select(tid.alias("tid"), "blk").distinct())
+        one = B.number(1, True) if t.is_complex else F.lit(1).cast(t.kind)
+        return replace(t, df=t.df.select(*t.keys, B.identity("blk").alias("tid"), one.alias("alpha")), templates=t.df.select(B.identity("blk").alias("tid"), "blk").dropDuplicates(["tid"]))
 
     def expand(self) -> Tensor:
         """Aliased to block."""
         if self.form != "aliased":
             return self
-        df = self.df.join(self.templates, "tid").select(*self.keys, B.scale(F.col("blk"), F.col("alpha")).alias("blk"))
+        df = self.df.join(self.templates, "tid").select(*self.keys, B.scale(F.col("blk"), F.col("alpha"), self.is_complex).alias("blk"))
         return replace(self, df=df, templates=None)
 
-    def to_dense(self, fill: float = 0) -> DataFrame:
-        """All coordinates, absent ones with `fill`."""
+    def to_dense(self, fill: complex = 0, merges: list[tuple[str, str]] | None = None) -> DataFrame:
+        """All coordinates, absent ones with `fill`. merges: pairs of axes that become one; None merges links of one label."""
         t = self.to_coo()
+        groups = [[t.axes[i].col for i in g] for g in merge_groups(t.axes)] if merges is None else merges
+        for first, *rest in groups:
+            for other in rest:
+                t = t.fuse(first, other, t.axis(first).name)
         grid = t.df.sparkSession.range(size(t.axes)).select(*[c.alias(a.col) for c, a in zip(B.decode(F.col("id"), list(t.dims)), t.axes, strict=True)])
-        return grid.join(t.df, [a.col for a in t.axes], "left").withColumn("v", F.coalesce("v", F.lit(fill).cast(t.df.schema["v"].dataType)))
+        absent = B.number(fill, True) if t.is_complex else F.lit(fill).cast(t.kind)
+        return grid.join(t.df, [a.col for a in t.axes], "left").withColumn("v", F.coalesce("v", absent))
 
     def merged(self, keep: str, other: str) -> Tensor:
         """Two axes as one: keep + (other - 1) * dim(keep)."""
@@ -163,30 +239,33 @@ class Tensor:
         hit = F.lit(True)
         for a in self.prefix:
             hit &= F.col(a.col) == at[a.col]
-        rows = self.df.where(hit)
-        zero = "long" if self.form == "coo" and not self.is_complex else "double"
+        rows, zero = self.df.where(hit), B.zero(self.kind)
         if self.form == "coo":
-            return rows.agg(F.coalesce(F.max("v"), F.lit(0).cast(zero)).alias("v"))
+            return rows.agg(F.coalesce(F.max("v"), zero).alias("v"))
         place = int(sum((at[a.col] - 1) * s for a, s in zip(self.tail, _strides(self.tail), strict=True)))
         value = F.get("blk", F.lit(place))
         if self.form == "aliased":
-            rows, value = rows.join(self.templates, "tid"), value * F.col("alpha")
-        return rows.agg(F.coalesce(F.max(value), F.lit(0)).alias("v"))
+            rows, value = rows.join(self.templates, "tid"), B.mul(value, F.col("alpha"), self.is_complex)
+        return rows.agg(F.coalesce(F.max(value), zero).alias("v"))
 
     def upsert(self, entries: DataFrame) -> Tensor:
-        """Entries replace those at their coordinates; zero deletes."""
-        t = self.to_coo()
-        cols = [a.col for a in t.axes]
-        out = Tensor(t.axes, t.df.join(entries, cols, "left_anti").unionByName(entries.select(*cols, "v"))).pruned()
-        return out if self.form == "coo" else out.to_block(self.n_dense)
+        """Entries replace those at their coordinates; zero deletes. Of a block tensor only the blocks they touch are remade."""
+        if self.form == "coo":
+            cols = [a.col for a in self.axes]
+            return Tensor(self.axes, self.df.join(entries, cols, "left_anti").unionByName(entries.select(*cols, "v"))).pruned()
+        t = self.expand()
+        if not t.keys:
+            return t.to_coo().upsert(entries).to_block(t.n_dense)
+        touched = entries.select(*t.keys).distinct()
+        made = replace(t, df=t.df.join(touched, t.keys, "left_semi")).to_coo().upsert(entries).to_block(t.n_dense)
+        return replace(t, df=t.df.join(touched, t.keys, "left_anti").unionByName(made.df))
 
     # -- layout
 
     def permute(self, names: list[str], strict: bool = False) -> Tensor:
         """Axes in another order. In blocks an axis may cross between prefix and tail through coordinates, unless strict."""
         axes = tuple(self.axis(n) for n in names)
-        if sorted(a.label for a in axes) != sorted(a.label for a in self.axes):
-            raise ValueError("a permutation names each axis once")
+        check_permutation([self.axes.index(a) for a in axes], len(self.axes))
         if not self.n_dense:
             return replace(self, axes=axes, df=self.df.select(*[a.col for a in axes], *[c for c in self.df.columns if c in ("v", "blk", "tid", "alpha")]))
         tail = axes[len(axes) - self.n_dense :]
@@ -224,7 +303,8 @@ class Tensor:
         new = tuple(map(change, self.axes))
         if len({a.label for a in new}) < len(new):
             raise ValueError("two axes would share a label")
-        return replace(self, axes=new, df=self.df.withColumnsRenamed({o.col: n.col for o, n in zip(self.prefix, new, strict=False)}))
+        renamed = [F.col(o.col).alias(n.col) for o, n in zip(self.prefix, new, strict=False)]  # at once, so labels may be swapped
+        return replace(self, axes=new, df=self.df.select(*renamed, *[c for c in self.df.columns if c not in self.keys]))
 
     def prime(self, by: int = 1, names: list[str] | None = None) -> Tensor:
         return self.relabel(lambda a: a.primed(a.plev + by) if names is None or a.name in names else a)
@@ -232,6 +312,9 @@ class Tensor:
     def noprime(self) -> Tensor:
         return self.relabel(lambda a: a.primed(0))
 
+    def setprime(self, to: int, names: list[str] | None = None) -> Tensor:
+        return self.relabel(lambda a: a.primed(to) if names is None or a.name in names else a)
+
     def replaceprime(self, old: int, new: int) -> Tensor:
         return self.relabel(lambda a: a.primed(new) if a.plev == old else a)
 
@@ -243,18 +326,29 @@ class Tensor:
         most = {"byte": 127, "short": 32767, "int": 2**31 - 1, "long": 2**63 - 1}[kind]
         if any(a.dim > most for a in self.prefix):
             raise ValueError(f"a dimension is beyond {kind}")
-        return replace(self, df=self.df.withColumns({c: F.col(c).cast(kind) for c in self.keys}))
+        for a in self.prefix:  # values beyond it are an error even where the dimension is right
+            inside = F.assert_true(F.col(a.col).between(1, most), f"{a.col} is beyond {kind}")
+            self = replace(self, df=self.df.withColumn(a.col, F.when(inside.isNull(), F.col(a.col).cast(kind))))  # noqa: PLW0642
+        return self
 
     def retype(self, kind: str) -> Tensor:
         """Values of another type; a value that the type can't hold exactly is an error."""
-        v = F.col("v")
-        cast = v.cast(kind)
-        same = F.assert_true(cast.cast(self.df.schema["v"].dataType) == v, "a value can't be held exactly")
-        return replace(self, df=self.df.withColumn("v", F.when(same.isNull(), cast)))
-
-    def sorted(self) -> DataFrame:
-        """Rows in canonical order: the last axis is the most significant."""
-        return self.df.orderBy(*reversed(self.keys))
+        if self.is_complex:
+            raise ValueError("complex values can't be cast to a real type")
+
+        def held(v: Column) -> Column:
+            cast = v.try_cast(kind)
+            same = F.assert_true(F.coalesce(cast.cast(self.kind) == v, F.lit(False)), "a value can't be held exactly")
+            return F.when(same.isNull(), cast)
+
+        if self.form == "coo":
+            return replace(self, df=self.df.withColumn("v", held(F.col("v"))))
+        t = self.expand()
+        return replace(t, df=t.df.withColumn("blk", F.transform("blk", held)))
+
+    def sorted(self, order: list[str | Column] | None = None) -> DataFrame:
+        """Rows in canonical order, the last axis the most significant, or in an order of one's own."""
+        return self.df.orderBy(*(order or reversed(self.keys)))
 
     def describe(self) -> DataFrame:
         """Stored entries against the dense size, in one row."""
