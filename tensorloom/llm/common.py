@@ -66,14 +66,15 @@ def drop(df: DataFrame) -> None:
 HOT = 1000
 
 
-def with_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def with_hot(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """rows joined with their group by key; groups has one row for each key, with the number of its rows in `size`.
 
     Groups of more than a HOT-th of the `total` rows, which are fewer than HOT, are broadcast and leave their rows where they
     are. The others are joined by a shuffle, in which no key has more rows than that. Both tables are read twice.
     """
+    key = [key] if isinstance(key, str) else key
     hot = groups.where(F.col(size) * HOT > total)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(size) * HOT <= total), key)
+    rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(groups.where(F.col(size) * HOT <= total), key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 

@@ -27,7 +27,7 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.llm.common import HOT, cut, doc_shingles, drop, with_hot
@@ -343,8 +343,11 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), _lists(rows[3])], ["doc", "n", "s1", "s2", "prefix"])
 
     heads_df = cut(docs.mapInArrow(heads, "doc long, n long, s1 long, s2 long, prefix array<long>"), "heads")
-    classes = heads_df.where("n > 0 and doc is not null").groupBy("s1", "s2").agg(F.min("doc").alias("node"))
-    own = cut(heads_df.select("doc", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc", "n", "node", "s1", "s2"), "classes")
+    named, alike = F.col("doc").isNotNull() & (F.col("n") > 0), ["s1", "s2"]
+    slim = heads_df.select("doc", "n", *alike)
+    classes = cut(slim.where(named).groupBy(*alike).agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
+    own = with_hot(slim.where(named), classes, alike, "copies", heads_df.count()).drop("copies")
+    own = cut(own.unionByName(slim.where(~named).withColumn("node", F.lit(None).cast("long"))), "own")
     first = own.where("doc = node").select("s1", "s2", F.col("node").alias("doc"), "node").distinct()
     one = heads_df.where("n > 0").join(first, ["doc", "s1", "s2"]).dropDuplicates(["doc", "s1", "s2"])
     # prefix shingles that start two sets at least
