@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tensorloom.llm.sharding import _mix
 from tensorloom.llm.tokens import ChunkEncoder, batches_of, kept
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 LONG = 256  # BPE words above it are merged one by one, with the same result
-MOST_PAIRS = 2_000_000  # of pieces that a worker remembers
+PAIR_BITS = 20  # of the table of piece pairs that a worker remembers
+BUCKET_BITS = 18  # of a key, for which the first sorted key is known
 BATCH_CELLS = 2_000_000
 
 
@@ -60,9 +62,13 @@ class Pieces:
         self.powers[0] = 1
         self.powers = np.cumprod(self.powers, dtype=np.uint64)
         keys = np.array([self._key(self.text[i]) for i in normal], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(normal, np.int64)[order]
-        if (self.keys[1:] == self.keys[:-1]).any():
+        order = np.argsort(_mix(keys))
+        self.plain, self.ids = keys[order], np.array(normal, np.int64)[order]
+        self.keys = _mix(self.plain)  # sorted, and spread evenly
+        self.first = np.searchsorted(self.keys, np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
+        self.widest = int(np.diff(np.append(self.first, len(keys))).max())
+        self.keys, self.ids = np.append(self.keys, self.keys[: self.widest]), np.append(self.ids, self.ids[: self.widest])
+        if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces share a key")
         self.scores = np.array([p.score for p in model.pieces], np.float32)
         self.lowest = np.float32(min(self.scores[normal]) - 10)  # of a character that no piece holds
@@ -88,9 +94,14 @@ class Pieces:
         return h
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
-        """Ids of substrings by key; -1 where no piece has it."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], -1)
+        """Ids of substrings by key; -1 where no piece has it. The sorted keys are entered at the first one of a key's bucket."""
+        mixed = _mix(keys.ravel())
+        at = self.first[(mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+        out = np.where(self.keys[at] == mixed, self.ids[at], -1)
+        for i in range(1, self.widest):
+            hit = np.flatnonzero(self.keys[at + i] == mixed)
+            out[hit] = self.ids[at[hit] + i]
+        return out.reshape(keys.shape)
 
     def _spell(self, char: str) -> list[int]:
         found = self.rank.get(char)
@@ -102,7 +113,7 @@ class Pieces:
         """For each piece its hash, length, rank and the two pieces that its last merge joins (-1 for single characters)."""
         n = len(self.text)
         self.own_key, self.size = np.zeros(n, np.uint64), np.array([len(t) for t in self.text], np.int64)
-        self.own_key[self.ids] = self.keys
+        self.own_key[self.ids[: len(self.plain)]] = self.plain
         self.order = np.full(n, -1, np.int64)  # by falling score, equal ones together; single characters come before all merges
         several = np.array([i for i in normal if len(self.text[i]) > 1], np.int64)
         self.order[several] = np.unique(-self.scores[several], return_inverse=True)[1]
@@ -115,7 +126,7 @@ class Pieces:
         self.made = np.zeros(n, bool)  # pieces that merges can make
         self.made[normal] = True
         self.made[several[self.left[several] < 0]] = False
-        self.pairs, self.apart = np.empty(0, np.int64), np.empty(0, bool)
+        self.pairs, self.apart = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
 
     def _stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pieces a[i], b[i] next to each other are what their text is merged to.
@@ -140,26 +151,27 @@ class Pieces:
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """_stay_apart, remembered; -1 stands for a character that no piece has."""
+        """_stay_apart, remembered in a table of fixed size, where a pair may take another's place; -1 stands for a character
+        that no piece has."""
         key = a * len(self.text) + b
-        n = len(self.pairs)
-        at = np.minimum(np.searchsorted(self.pairs, key), max(n - 1, 0))
-        known = self.pairs[at] == key if n else np.zeros(len(key), bool)
-        out = (a < 0) | (b < 0)
-        out[known] = self.apart[at[known]]
-        rest = np.flatnonzero(~known & (a >= 0) & (b >= 0))
+        slot = (_mix(key.view(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out, strange = self.apart[slot], (a < 0) | (b < 0)
+        rest = np.flatnonzero((self.pairs[slot] != key) & ~strange)
         if len(rest):
-            new, place = np.unique(key[rest], return_inverse=True)
+            new, where, place = np.unique(key[rest], return_index=True, return_inverse=True)
             apart = self._stay_apart(new // len(self.text), new % len(self.text))
             out[rest] = apart[place]
-            if n > MOST_PAIRS:
-                self.pairs, self.apart = self.pairs[:0], self.apart[:0]
-            into = np.searchsorted(self.pairs, new)
-            self.pairs, self.apart = np.insert(self.pairs, into, new), np.insert(self.apart, into, apart)
-        return out
+            slots, last = np.unique(slot[rest[where]], return_index=True)
+            self.pairs[slots], self.apart[slots] = new[last], apart[last]
+        return out | strange
 
     def viterbi(self, words: list[str]) -> list[list[int]]:
         """The segmentations of equally long words."""
+        flat, sizes = self.paths(words)
+        return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+
+    def paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of equally long words, one word after the other, and how many each has."""
         n, length = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, length)
         h = self.prefix_hashes(codes)
@@ -183,9 +195,18 @@ class Pieces:
             total = best[:, starts] + score
             top = total.argmax(axis=1)
             best[:, end], back[:, end], piece[:, end] = total[rows, top], starts[top], ids[rows, top]
+        # all paths are followed back together
+        steps, end = [], np.full(n, length)
+        while end.any():
+            steps.append(np.where(end > 0, piece[rows, end], -2))
+            end = back[rows, end]
+        ids = np.stack(steps[::-1], axis=1)
+        if not (ids == -1).any():
+            return ids[ids >= 0], (ids >= 0).sum(axis=1)
         return self._spelled(words, back, piece)
 
-    def _spelled(self, words: list[str], back: np.ndarray, piece: np.ndarray) -> list[list[int]]:
+    def _spelled(self, words: list[str], back: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a character is in no piece, paths are spelled one by one."""
         out = []
         for word, to, ids in zip(words, back.tolist(), piece.tolist(), strict=True):
             path, end = [], len(word)
@@ -196,7 +217,7 @@ class Pieces:
                     path.extend(reversed(self._spell(word[end - 1])))
                 end = to[end]
             out.append(path[::-1])
-        return out
+        return np.array([x for path in out for x in path], np.int64), np.array([len(path) for path in out])
 
     def merges(self, words: list[str], longest: int | None = None) -> list[list[int]]:
         """BPE of equally long words by the definition, for the merge trees of pieces and for tests: each round joins the best
@@ -273,19 +294,23 @@ class SentencePieceEncoder(ChunkEncoder):
         by: dict[int, list[int]] = {}
         for i, c in enumerate(chunks):
             by.setdefault(len(c), []).append(i)
-        out: list = [None] * len(chunks)
+        size, parts = np.zeros(len(chunks), np.int64), []
         for length, at in by.items():
             step = max(1, BATCH_CELLS // (length * 16))
             for i in range(0, len(at), step):
-                some = [chunks[j] for j in at[i : i + step]]
+                own = np.array(at[i : i + step])
+                some = [chunks[j] for j in own.tolist()]
                 if length > LONG and not self.pieces.unigram:
                     found = [self.pieces.merge_long(w) for w in some]
+                    ids, n = np.array([x for f in found for x in f], np.int64), np.array([len(f) for f in found])
                 else:
-                    found = self.pieces.viterbi(some)
-                for j, ids in zip(at[i : i + step], found, strict=True):
-                    out[j] = ids
-        sizes = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter((x for ids in out for x in ids), np.uint32, int(sizes.sum())), sizes
+                    ids, n = self.pieces.paths(some)
+                size[own] = n
+                parts.append((own, ids, n))
+        flat, begin = np.empty(int(size.sum()), np.uint32), np.cumsum(size) - size
+        for own, ids, n in parts:
+            flat[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return flat, size
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces one after the other, white space restored, without the space put before a text."""
