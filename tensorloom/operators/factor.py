@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions import blocks as B
@@ -19,28 +19,65 @@ from tensorloom.tensor import Tensor
 FAN = 16
 
 
-def _matrix(pdf: pd.DataFrame, row: str, col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _apart(c: str, z: bool, array: bool = False) -> list[Column]:
+    """A column as it goes to Python: complex numbers as two columns of real ones."""
+    part = lambda name: F.transform(c, lambda x: x[name]) if array else F.col(c)[name]
+    return [part("re").alias(c), part("im").alias(f"{c}_im")] if z else [F.col(c)]
+
+
+def _numbers(pdf: pd.DataFrame, z: bool) -> np.ndarray:
+    return pdf["v"].to_numpy(float) + 1j * pdf["v_im"].to_numpy(float) if z else pdf["v"].to_numpy(float)
+
+
+def _back(c: str, z: bool) -> Column:
+    """The array column that _vectors made of rows."""
+    return (F.zip_with(c, f"{c}_im", B.pair) if z else F.col(c)).alias(c)
+
+
+def _vectors(name: str, rows: np.ndarray, z: bool) -> dict[str, list]:
+    return {name: list(rows.real), f"{name}_im": list(rows.imag)} if z else {name: list(rows)}
+
+
+def _vector_schema(z: bool, *names: str) -> str:
+    return ", ".join(f"{n}{end} array<double>" for n in names for end in (("", "_im") if z else ("",)))
+
+
+def _phases(x: np.ndarray) -> np.ndarray:
+    """What turns each number real and positive; 1 for zeros."""
+    size = np.abs(x)
+    return np.where(size > 0, np.conj(x) / np.where(size > 0, size, 1), 1)
+
+
+def _svd(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Thin SVD whose left vectors have a positive largest entry."""
+    u, s, vt = np.linalg.svd(m, full_matrices=False)
+    phase = _phases(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])
+    return u * phase, s, vt * np.conj(phase)[:, None]
+
+
+def _matrix(pdf: pd.DataFrame, row: str, col: str, z: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows, i = np.unique(pdf[row], return_inverse=True)
     cols, j = np.unique(pdf[col], return_inverse=True)
-    m = np.zeros((len(rows), len(cols)))
-    np.add.at(m, (i, j), pdf["v"].to_numpy(float))
+    m = np.zeros((len(rows), len(cols)), complex if z else float)
+    np.add.at(m, (i, j), _numbers(pdf, z))
     return m, rows, cols
 
 
 def sector_svd(t: Tensor, sector: str, row: str, col: str) -> DataFrame:
-    """(sector, k, sv, u, vt, rows, cols): the thin SVD of each sector's matrix, signs fixed by the largest entry of u."""
+    """(sector, k, sv, u, vt, rows, cols): the thin SVD of each sector's matrix, signs or phases fixed by the largest
+    entry of u, which is positive."""
+    z, t = t.is_complex, t.to_coo()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, rows, cols = _matrix(pdf, row, col)
-        u, s, vt = np.linalg.svd(m, full_matrices=False)
-        sign = np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])
-        u, vt = u * sign, vt * sign[:, None]
+        m, rows, cols = _matrix(pdf, row, col, z)
+        u, s, vt = _svd(m)
         one = pdf[sector].iloc[0]
-        return pd.DataFrame({sector: one, "k": np.arange(1, len(s) + 1), "sv": s, "u": list(u.T), "vt": list(vt), "rows": [rows.tolist()] * len(s), "cols": [cols.tolist()] * len(s)})
+        return pd.DataFrame({sector: one, "k": np.arange(1, len(s) + 1), "sv": s, **_vectors("u", u.T, z), **_vectors("vt", vt, z), "rows": [rows.tolist()] * len(s), "cols": [cols.tolist()] * len(s)})
 
     kind = t.df.schema[sector].dataType.simpleString()
-    schema = f"{sector} {kind}, k int, sv double, u array<double>, vt array<double>, rows array<long>, cols array<long>"
-    return t.to_coo().df.groupBy(sector).applyInPandas(run, schema)
+    schema = f"{sector} {kind}, k int, sv double, {_vector_schema(z, 'u', 'vt')}, rows array<long>, cols array<long>"
+    made = t.df.select(sector, row, col, *_apart("v", z)).groupBy(sector).applyInPandas(run, schema)
+    return made.select(sector, "k", "sv", _back("u", z), _back("vt", z), "rows", "cols")
 
 
 def truncate(values: DataFrame, sector: str, cutoff: float = 0.0, maxdim: int | None = None, mindim: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -62,28 +99,27 @@ def block_svd(t: Tensor, cutoff: float = 0.0, maxdim: int | None = None, mindim:
     kept columns of a sector lie next to each other in the new bond. ortho: the side without them ("left": w has the values,
     "right": u, else neither). Also returns (bond, sv) and one row with the discarded weight.
     """
-    (left, right), (s, q) = t.prefix, t.tail
-    if t.is_complex:
-        raise ValueError("only real tensors are factorized")
+    (left, right), (s, q), z = t.prefix, t.tail, t.is_complex
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(right.col)
-        m = np.concatenate([np.asarray(b, float).reshape(q.dim, s.dim).T for b in pdf["blk"]], axis=1)
-        u, values, vt = np.linalg.svd(m, full_matrices=False)
-        sign = np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])
+        whole = lambda c: np.concatenate([np.asarray(b, float).reshape(q.dim, s.dim).T for b in pdf[c]], axis=1)
+        u, values, vt = _svd(whole("blk") + 1j * whole("blk_im") if z else whole("blk"))
         k = len(values)
-        return pd.DataFrame({left.col: pdf[left.col].iloc[0], "k": np.arange(1, k + 1), "sv": values, "u": list((u * sign).T), "vt": list(vt * sign[:, None]), "rs": [pdf[right.col].tolist()] * k})
+        return pd.DataFrame({left.col: pdf[left.col].iloc[0], "k": np.arange(1, k + 1), "sv": values, **_vectors("u", u.T, z), **_vectors("vt", vt, z), "rs": [pdf[right.col].tolist()] * k})
 
     kind = dict(t.df.dtypes)
-    schema = f"{left.col} {kind[left.col]}, k int, sv double, u array<double>, vt array<double>, rs array<long>"
-    made = written(t.expand().df.groupBy(left.col).applyInPandas(run, schema), "sectors")
+    schema = f"{left.col} {kind[left.col]}, k int, sv double, {_vector_schema(z, 'u', 'vt')}, rs array<long>"
+    whole = t.expand().df.select(*t.keys, *_apart("blk", z, array=True))
+    made = written(whole.groupBy(left.col).applyInPandas(run, schema).select(left.col, "k", "sv", _back("u", z), _back("vt", z), "rs"), "sectors")
     kept, discarded = truncate(made.select(left.col, "k", "sv"), left.col, cutoff, maxdim, mindim)
     kept = written(kept.select(left.col, "k", (F.col("offset") + F.col("k")).cast("int").alias(bond)), "kept")
     parts = made.join(kept, [left.col, "k"])
-    sv = lambda side: F.lit(1.0) if side else F.col("sv")
-    u = parts.select(left.col, bond, B.scale(F.col("u"), sv(ortho != "right")).alias("blk"))
+    one = lambda c: B.pair(c, F.lit(0.0)) if z else c
+    sv = lambda side: one(F.lit(1.0) if side else F.col("sv"))
+    u = parts.select(left.col, bond, B.scale(F.col("u"), sv(ortho != "right"), z).alias("blk"))
     cut = F.slice("vt", F.col("__i") * q.dim + 1, q.dim)
-    w = parts.select(bond, "vt", "sv", F.posexplode("rs").alias("__i", right.col)).select(bond, F.col(right.col).cast(kind[right.col]), B.scale(cut, sv(ortho != "left")).alias("blk"))
+    w = parts.select(bond, "vt", "sv", F.posexplode("rs").alias("__i", right.col)).select(bond, F.col(right.col).cast(kind[right.col]), B.scale(cut, sv(ortho != "left"), z).alias("blk"))
     axis = Axis(bond, max(1, kept.count()), link=True)
     return Tensor((left, axis, s), u, 1), Tensor((axis, right, q), w, 1), parts.select(bond, "sv"), discarded
 
@@ -95,7 +131,8 @@ def left_qr(t: Tensor, head: list[str], col: str, tol: float = 1e-12) -> tuple[D
     tol times the largest singular value, so dependent columns do no harm. R is upper triangular, or in steps below full
     rank, with positive leading entries. The number of columns must be small.
     """
-    coo = t.to_coo().df
+    coo, z = t.to_coo().df, t.is_complex
+    number = complex if z else float
     cols = sorted(r[0] for r in coo.select(col).distinct().collect())
     at = {c: i for i, c in enumerate(cols)}
     n = len(cols)
@@ -104,13 +141,13 @@ def left_qr(t: Tensor, head: list[str], col: str, tol: float = 1e-12) -> tuple[D
         return pd.DataFrame({"part": [0], "r": [np.linalg.qr(r, mode="r").tobytes()]})
 
     def rows(batches):
-        held = np.zeros((0, n))
+        held = np.zeros((0, n), number)
         names: dict = {}
-        pending = np.zeros((0, n))
+        pending = np.zeros((0, n), number)
         for pdf in batches:
             i = np.array([names.setdefault(h, len(names)) for h in zip(*(pdf[h] for h in head), strict=True)], np.int64)
             pending = np.vstack([pending, np.zeros((len(names) - len(pending), n))])
-            np.add.at(pending, (i, pdf[col].map(at).to_numpy()), pdf["v"].to_numpy(float))
+            np.add.at(pending, (i, pdf[col].map(at).to_numpy()), _numbers(pdf, z))
             if len(names) > 4 * n + 1000:  # the last head may go on in the next batch
                 held = np.linalg.qr(np.vstack([held, np.delete(pending, i[-1], axis=0)]), mode="r")
                 last = list(names)[i[-1]]
@@ -119,30 +156,34 @@ def left_qr(t: Tensor, head: list[str], col: str, tol: float = 1e-12) -> tuple[D
             yield triangle(np.vstack([held, pending]))
 
     def together(batches):
-        held = np.zeros((0, n))
+        held = np.zeros((0, n), number)
         for pdf in batches:
-            held = np.linalg.qr(np.vstack([held, *(np.frombuffer(r).reshape(-1, n) for r in pdf["r"])]), mode="r")
+            held = np.linalg.qr(np.vstack([held, *(np.frombuffer(r, number).reshape(-1, n) for r in pdf["r"])]), mode="r")
         if len(held):
             yield triangle(held)
 
     schema = "part int, r binary"
-    local = coo.repartition(*head).sortWithinPartitions(*head).mapInPandas(rows, schema)
+    local = coo.select(*head, col, *_apart("v", z)).repartition(*head).sortWithinPartitions(*head).mapInPandas(rows, schema)
     tops = local.repartition(FAN).mapInPandas(together, schema).collect()  # at most FAN triangles
     spark = coo.sparkSession
     if not tops:
         empty = coo.limit(0)
         return empty.select(*head, F.lit(0).alias("q"), "v"), empty.select(F.lit(0).alias("q"), col, "v")
-    _, s, vt = np.linalg.svd(np.vstack([np.frombuffer(bytes(x.r)).reshape(-1, n) for x in tops]), full_matrices=False)
+    _, s, vt = np.linalg.svd(np.vstack([np.frombuffer(bytes(x.r), number).reshape(-1, n) for x in tops]), full_matrices=False)
     rank = max(1, int((s > tol * s[0]).sum()))
     turn, r = np.linalg.qr(s[:rank, None] * vt[:rank])
     lead = np.abs(r) > tol * s[0]
-    sign = np.sign(r[np.arange(rank), lead.argmax(axis=1)])
-    sign[sign == 0] = 1
-    r, into = r * sign[:, None], vt[:rank].T / s[:rank] @ turn * sign
+    phase = _phases(r[np.arange(rank), lead.argmax(axis=1)])
+    r, into = r * phase[:, None], np.conj(vt[:rank].T) / s[:rank] @ turn * np.conj(phase)
     kind = dict(coo.dtypes)[col]
-    table = lambda m, names: spark.createDataFrame([(int(cols[c]), int(j) + 1, float(m[c, j])) for c in range(n) for j in range(rank) if m[c, j]], names)
-    q = coo.join(table(into, f"{col} {kind}, q int, __x double"), col).groupBy(*head, "q").agg(F.sum(F.col("v") * F.col("__x")).alias("v"))
-    return q, table(r.T, f"{col} {kind}, q int, v double").select("q", col, "v")
+
+    def table(m: np.ndarray, v: str) -> DataFrame:
+        rows = [(int(cols[c]), j + 1, float(m[c, j].real), float(m[c, j].imag)) for c in range(n) for j in range(rank) if m[c, j]]
+        made = spark.createDataFrame(rows, f"{col} {kind}, q int, re double, im double")
+        return made.select(col, "q", (B.pair(F.col("re"), F.col("im")) if z else F.col("re")).alias(v))
+
+    q = coo.join(table(into, "__x"), col).groupBy(*head, "q").agg(B.total(B.mul(F.col("v"), F.col("__x"), z), z).alias("v"))
+    return q, table(r.T, "v").select("q", col, "v")
 
 
 def stable_svd(m: np.ndarray, tol: float = 1e-9, null: float = 1e-12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,13 +195,12 @@ def stable_svd(m: np.ndarray, tol: float = 1e-9, null: float = 1e-12) -> tuple[n
     for end in range(1, len(s) + 1):
         if end == len(s) or s[start] - s[end] > tol * max(1.0, s[0]):
             block = u[:, start:end]
-            turn = np.linalg.eigh(block.T @ (weight[:, None] * block))[1]
+            turn = np.linalg.eigh(block.conj().T @ (weight[:, None] * block))[1]
             u[:, start:end] = block @ turn
-            vt[start:end] = turn.T @ vt[start:end]
+            vt[start:end] = turn.conj().T @ vt[start:end]
             start = end
-    sign = np.sign((weight[:, None] * u).sum(axis=0))
-    sign[sign == 0] = 1
-    u, vt = u * sign, vt * sign[:, None]
+    phase = _phases((weight[:, None] * u).sum(axis=0))
+    u, vt = u * phase, vt * np.conj(phase)[:, None]
     dead = s < null * s[0] if len(s) else np.zeros(0, bool)
     u[:, dead], vt[dead] = 0, 0
     return u, s, vt
@@ -177,14 +217,17 @@ def power_iteration(t: Tensor, row: str, col: str, rounds: int = 20) -> float:
         length = norm(y).first()[0]
         if not length:
             return 0.0
-        z = y.df.select(F.col(a.col).alias(b.col), (F.col("v") / length).alias("v"))
-        x = Tensor((b,), written(z, "vector"))
+        v = B.pair(F.col("v.re") / length, F.col("v.im") / length) if y.is_complex else F.col("v") / length
+        x = Tensor((b,), written(y.df.select(F.col(a.col).alias(b.col), v.alias("v")), "vector"))
     return length
 
 
 def isometry_defect(t: Tensor, head: list[str], col: str) -> DataFrame:
-    """Largest absolute entry of P'P - 1, one row."""
-    p = t.to_coo().df
+    """Largest absolute entry of P*P - 1, one row; P* is the conjugate transpose."""
+    p, z = t.to_coo().df, t.is_complex
     other = p.select(*head, F.col(col).alias("__c"), F.col("v").alias("__v"))
-    gram = p.join(other, head).groupBy(col, "__c").agg(F.sum(F.col("v") * F.col("__v")).alias("g"))
-    return gram.agg(F.max(F.abs(F.col("g") - F.when(F.col(col) == F.col("__c"), 1.0).otherwise(0.0))).alias("defect"))
+    turned = B.pair(F.col("v.re"), -F.col("v.im")) if z else F.col("v")
+    gram = p.join(other, head).groupBy(col, "__c").agg(B.total(B.mul(turned, F.col("__v"), z), z).alias("g"))
+    one = F.when(F.col(col) == F.col("__c"), 1.0).otherwise(0.0)
+    apart = B.pair(F.col("g.re") - one, F.col("g.im")) if z else F.col("g") - one
+    return gram.agg(F.max(B.magnitude(apart, z)).alias("defect"))

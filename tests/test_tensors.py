@@ -397,6 +397,45 @@ def test_qr_of_dependent_columns(spark):
     assert np.allclose(qa @ ra, a) and np.allclose(qa.T @ qa, np.eye(3)) and np.allclose(np.tril(ra[:, :3], -1), 0) and (np.diag(ra) > 0).all()
 
 
+@pytest.mark.parametrize("ortho", ("left", "right"))
+def test_complex_block_svd(spark, ortho):
+    rng = np.random.default_rng(17)
+    a = (rng.standard_normal((2, 3, 2, 2)) + 1j * rng.standard_normal((2, 3, 2, 2))) * (rng.random((2, 3, 1, 1)) < 0.8)
+    u, w, sv, discarded = factor.block_svd(make_complex(spark, "lrsq", a, 2), ortho=ortho)
+    assert np.allclose(complex_array(contract(u, w), "lrsq"), a) and discarded.first()[0] == 0
+    want = np.concatenate([np.linalg.svd(x.transpose(1, 0, 2).reshape(2, 6), compute_uv=False) for x in a])
+    assert np.allclose(sorted(r.sv for r in sv.collect()), sorted(want))
+    if ortho == "left":
+        assert factor.isometry_defect(u, ["l", "s"], "bond").first()[0] < 1e-12
+    values = factor.sector_svd(make_complex(spark, "lsq", a[:, 0]), "l", "s", "q").collect()
+    number = lambda xs: np.array([complex(x.re, x.im) for x in xs])
+    for one in range(2):
+        back = sum((r.sv * np.outer(number(r.u), number(r.vt)) for r in values if r.l == one + 1), np.zeros((2, 2)))
+        assert np.allclose(back, a[one, 0])
+
+
+def test_complex_qr(spark):
+    rng = np.random.default_rng(18)
+    a = rng.standard_normal((30, 3)) + 1j * rng.standard_normal((30, 3))
+    a = np.concatenate([a, a[:, :1] - 2j * a[:, 1:2], np.zeros((30, 1))], axis=1)
+    q, r = factor.left_qr(make_complex(spark, "rc", a), ["r"], "c")
+    qt = Tensor((Axis("r", 30), Axis("q", 3)), q)
+    qa, ra = complex_array(qt, "rq"), complex_array(Tensor((Axis("q", 3), Axis("c", 5)), r), "qc")
+    assert np.allclose(qa @ ra, a) and np.allclose(qa.conj().T @ qa, np.eye(3)) and np.allclose(np.tril(ra[:, :3], -1), 0)
+    assert np.allclose(np.diag(ra).imag, 0) and (np.diag(ra).real > 0).all() and factor.isometry_defect(qt, ["r"], "q").first()[0] < 1e-12
+
+
+def test_complex_stable_svd_and_power(spark):
+    rng = np.random.default_rng(19)
+    unitary = lambda: np.linalg.qr(rng.standard_normal((6, 6)) + 1j * rng.standard_normal((6, 6)))[0]
+    m = unitary() * np.array([3, 3, 1.5, 1.5, 0.7, 0.2]) @ unitary()
+    u, sv, vt = factor.stable_svd(m)
+    u2, _, vt2 = factor.stable_svd(m + 1e-13 * rng.standard_normal((6, 6)))
+    assert np.abs(u * sv @ vt - m).max() < 1e-12 and np.abs(u - u2).max() < 1e-9 and np.abs(vt - vt2).max() < 1e-9
+    h = np.array([[2, 1j], [-1j, 2]])  # eigenvalues 1 and 3
+    assert abs(factor.power_iteration(make_complex(spark, "xy", h), "x", "y", 10) - 3) < 1e-3
+
+
 def plaquette(spark, n=1):
     """P2 and P3: spin-1 operators of 2 n + 2 sites as coordinates; for n = 1 the operators are 81 x 81."""
     sx = np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0]]) / np.sqrt(2)
