@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from tensorloom.operators import algebra, factor, reduce, restricted
 from tensorloom.operators.contract import contract, contract_and_fuse
 from tensorloom.plans import network
 from tensorloom.sources import tables as S
-from tensorloom.sources.shared import folder
+from tensorloom.sources.shared import folder, written
 from tensorloom.tensor import Tensor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -681,3 +682,70 @@ def complex_expectation(spark, sf):
     half = algebra.scaled(y, 2 * 0.5**0.5)
     v = network.expectation(state, half).select(F.round("v.re", 9).alias("re"), (F.round("v.im", 9) + 0.0).alias("im"))
     return v.crossJoin(network.hermiticity(y).select("ratio"))
+
+
+# -- complex factorizations, and a projected operator of four spin-1 sites
+
+
+@query("SELECT i % 7 + 1 AS l, CAST(round(SUM(v * v * (1 + f * f))) AS BIGINT) AS energy, true AS exact FROM U GROUP BY 1")
+def complex_block_svd(spark, sf):
+    """As block_svd, of complex blocks."""
+    t = paired_blocks(spark, sf).to_coo()
+    t = Tensor(t.axes, t.df.withColumn("v", B.pair(F.col("v"), F.col("v") * F.col("f")))).to_block(2)
+    u, w, sv, _ = factor.block_svd(t)
+    apart = reduce.difference(t, contract(u, w).to_coo().permute(["l", "r", "q", "f"])).select((F.col("max_diff") < 1e-6).alias("exact"))
+    energy = u.df.select("l", "bond").distinct().join(sv, "bond").groupBy("l").agg(F.round(F.sum(F.col("sv") * F.col("sv"))).cast("long").alias("energy"))
+    return energy.crossJoin(F.broadcast(apart))  # one row
+
+
+@query("SELECT true AS exact, true AS isometric")
+def complex_qr(spark, sf):
+    """Q of all rows (i, n) by columns f is an isometry, and Q R is the matrix."""
+    t = waves(spark, sf).rename("q", "n")
+    q, r = factor.left_qr(t, ["i", "n"], "f")
+    q, r = Tensor((t.axis("i"), t.axis("n"), Axis("q", 3)), q), Tensor((Axis("q", 3), t.axis("f")), r)
+    exact = reduce.difference(t, contract(q, r)).select((F.col("max_diff") < 1e-8).alias("exact"))
+    return exact.crossJoin(factor.isometry_defect(q, ["i", "n"], "q").select((F.col("defect") < 1e-8).alias("isometric")))  # one row each
+
+
+#: Spin-1 operators: Sz, and exp(i pi Sx), exp(i pi Sy).
+SPIN_Z = [(1, 1, 1.0, 0.0), (3, 3, -1.0, 0.0)]
+TURN_X = [(1, 3, -1.0, 0.0), (2, 2, -1.0, 0.0), (3, 1, -1.0, 0.0)]
+TURN_Y = [(1, 3, 1.0, 0.0), (2, 2, -1.0, 0.0), (3, 1, 1.0, 0.0)]
+SPIN_ONE = [(x, x, 1.0, 0.0) for x in (1, 2, 3)]
+
+
+def on_sites(spark, weight: float, *sites) -> Tensor:
+    """The product of an operator on each site s1, s2, ..., times weight."""
+    out = None
+    for n, rows in enumerate(sites, 1):
+        one = spin(spark, rows).relabel(lambda a: Axis(f"s{n}", 3, a.plev))  # noqa: B023
+        out = one if out is None else contract(out, one)
+    return algebra.scaled(out, weight)
+
+
+@query()
+def plaquette_sandwich(spark, sf):
+    """P H P of four sites: H = Sz Sz on 1, 2 and on 3, 4 + Sx Sx on 1, 4 + Sy Sy on 2, 3; P = (1 + turns by pi) / 2."""
+    one = SPIN_ONE
+    terms = [(1.0, SPIN_Z, SPIN_Z, one, one), (1.0, one, one, SPIN_Z, SPIN_Z), (0.5, SPIN_X, one, one, SPIN_X), (0.5, one, SPIN_Y, SPIN_Y, one)]
+    names = [f"s{n}{level}" for level in ("", "__p1") for n in range(1, 5)]
+    total = lambda ts: functools.reduce(algebra.add, [on_sites(spark, *t).permute(names) for t in ts])
+    held = lambda t, name: Tensor(t.axes, written(t.df, name))
+    p, h = held(total([(0.5, one, one, one, one), (0.5, TURN_Y, TURN_X, TURN_X, TURN_Y)]), "projector"), held(total(terms), "operator")
+    got = algebra.clean(network.sandwich(p, h))
+    return got.df.select(*names[:4], *[F.col(f"s{n}__p1").alias(f"t{n}") for n in range(1, 5)], F.round("v.re", 9).alias("re"), (F.round("v.im", 9) + 0.0).alias("im"))
+
+
+_SITES = "s1, s2, s3, s4, t1, t2, t3, t4"
+_FLIP = "CASE WHEN {0}1 = 2 THEN -1 ELSE 1 END * CASE WHEN {0}4 = 2 THEN -1 ELSE 1 END * v"
+ORACLE_SQL["plaquette_sandwich"] = f"""
+WITH X(x, y, re, im) AS {_spin_sql(SPIN_X)}, Y(x, y, re, im) AS {_spin_sql(SPIN_Y)}, Z(x, y, re, im) AS {_spin_sql(SPIN_Z)}, E(a) AS (VALUES (1), (2), (3)),
+H AS (
+  SELECT p.x s1, q.x s2, e.a s3, f.a s4, p.y t1, q.y t2, e.a t3, f.a t4, p.re * q.re AS v FROM Z p, Z q, E e, E f
+  UNION ALL SELECT e.a, f.a, p.x, q.x, e.a, f.a, p.y, q.y, p.re * q.re FROM Z p, Z q, E e, E f
+  UNION ALL SELECT p.x, e.a, f.a, q.x, p.y, e.a, f.a, q.y, p.re * q.re / 2 FROM X p, X q, E e, E f
+  UNION ALL SELECT e.a, p.x, q.x, f.a, e.a, p.y, q.y, f.a, -p.im * q.im / 2 FROM Y p, Y q, E e, E f),
+L AS (SELECT * FROM H UNION ALL SELECT 4 - s1, 4 - s2, 4 - s3, 4 - s4, t1, t2, t3, t4, {_FLIP.format('s')} FROM H),
+W AS (SELECT * FROM L UNION ALL SELECT s1, s2, s3, s4, 4 - t1, 4 - t2, 4 - t3, 4 - t4, {_FLIP.format('t')} FROM L)
+SELECT {_SITES}, CAST(SUM(v) / 4 AS DOUBLE) AS re, CAST(0 AS DOUBLE) AS im FROM W GROUP BY {_SITES} HAVING SUM(v) <> 0"""
