@@ -11,12 +11,15 @@ from tensorloom.llm.chat import chains, format_chats, masked_text, parse_turns,
 from tensorloom.llm.common import shared_dir, table
 from tensorloom.llm.embedding_dedup import near_vectors
 from tensorloom.llm.exact_dedup import DigestIndex, exact_dedup
+from tensorloom.llm.hard_negatives import mine_hard_negatives
 from tensorloom.llm.langid import fit, identify
+from tensorloom.llm.lz_fingerprint import compare_neighbours
 from tensorloom.llm.ngram_join import ngram_jaccard_join
 from tensorloom.llm.packing import pack
 from tensorloom.llm.pii import pseudonymise
 from tensorloom.llm.sentencepiece_codec import sentencepiece_decode, sentencepiece_encode
 from tensorloom.llm.sharding import shard
+from tensorloom.llm.token_alignment import align_tokens, linked
 from tensorloom.llm.url_filter import Rule, url_filter
 
 SHARDS = 40
@@ -173,5 +176,34 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_ids", "ids_crc32", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.length("text").cast("long").alias("text_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_feistel_sharding, op3_embedding_near_dedup, op4_ngram_jaccard_join, op5_language_id, op6_pii_pseudonyms, op7_exact_dedup, op8_url_filter, op9_packing, op10_sentencepiece, reply_trees)}
-ORACLE_SQL = {"reply_trees": REPLY_TREES_SQL, "op1_chat_formatting": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.coalesce(F.sha2(F.col("groups").cast("binary"), 256), F.lit(""))
+    out = linked(aligned.withColumn("groups_sha256", digest).drop("groups", "n_overlaps"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_neighbours(table(spark, sf_dir, "documents"), parts=4)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0, scale=256)
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5"""
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_feistel_sharding, op3_embedding_near_dedup, op4_ngram_jaccard_join, op5_language_id, op6_pii_pseudonyms, op7_exact_dedup, op8_url_filter, op9_packing, op10_sentencepiece, op11_token_alignment, op12_lz_fingerprint, op13_hard_negatives, reply_trees)}
+ORACLE_SQL = {"reply_trees": REPLY_TREES_SQL, "op1_chat_formatting": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "op13_hard_negatives": OP13_SQL}
