@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("tensorloom.llm")
 
-from tensorloom.llm import hard_negatives, lz_fingerprint  # noqa: E402
+from tensorloom.llm import hard_negatives, lz_fingerprint, token_alignment  # noqa: E402
 from tensorloom.llm import queries as Q  # noqa: E402
 from tensorloom.llm.hard_negatives import ball_tree, interval, mine_hard_negatives, scores  # noqa: E402
 from tensorloom.llm.lz_fingerprint import compare_neighbours, fingerprint, likeness, lz_fingerprints, phrase_likeness  # noqa: E402
-from tensorloom.llm.token_alignment import STRETCH, align_tokens, linked, pair_counts  # noqa: E402
+from tensorloom.llm.token_alignment import align_tokens, linked, pair_counts, pieces  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 A, B = Q.tokenizer_path("byte_bpe_50k.json"), Q.tokenizer_path("piece_bpe_32k.model")
@@ -105,9 +105,17 @@ def test_alignment_output(spark):
     assert max(n for n, _ in shared.values()) == 2 and all(b for n, b in shared.values() if n == 2)
 
 
-def test_stretches_cover_texts():
+@pytest.mark.parametrize("most", (1, 7, 50))
+def test_pieces_of_long_texts(spark, monkeypatch, most):
     for t in TEXTS:
-        assert "".join(STRETCH(" " + (t or ""))) == " " + (t or "")
+        assert "".join(pieces(" " + (t or ""), most)) == " " + (t or "")
+    monkeypatch.setattr(token_alignment.pieces, "__defaults__", (most,))
+    aligner = token_alignment.Aligner(A, B)
+    texts = [t for t in TEXTS if t]
+    counts, groups, *_ = aligner.block(texts)
+    want = [plain_groups(a, b) for a, b in plain_tokens(texts)]
+    assert [g or "" for g in groups] == [";".join("|".join(",".join(map(str, side)) for side in g) for g in gs) for gs in want]
+    assert counts[:, 2].tolist() == [len(gs) for gs in want]
 
 
 def plain_phrases(text):
