@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import cut
 from tensorloom.llm.sharding import _mix
 
 MINIMA = 256  # hashes of a fingerprint, eight hexadecimal digits each
@@ -127,78 +126,84 @@ def lz_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-FIRST, LAST = 1, 2
-COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "part", "edge", "text"]
-KINDS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part int, edge int, text string"
+KINDS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+OVERSAMPLED = 20  # sampled keys for each range
 
 
-def _compared(text: str, after: str, whole: str | None, after_print: str, stem: Parse | None = None, parts: int = 4):
-    """The values of a row whose next text is `after`; stem: the parse of what the edit leaves, if known."""
+def _parsed(text: str, parts: int) -> tuple[Parse, str]:
+    """The parse of the text without its last part, and the whole text's fingerprint."""
+    n, k = len(text), len(text) // parts
+    stem = Parse().feed(text[: n - k])
+    return stem, (stem.fork().feed(text[n - k :]) if k else stem).fingerprint()
+
+
+def _compared(text: str, stem: Parse, whole: str, after: str, after_print: str, parts: int) -> tuple:
+    """The values of a row whose next text is `after`; stem, whole: what _parsed gave."""
     n, k = len(text), len(text) // parts
     edited = text[: n - k] + after[:k]
-    stem = stem or Parse().feed(text[: n - k])
     other = stem.fork().feed(after[:k]).fingerprint() if k else whole
     return n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), whole, other, phrase_likeness(whole, other), phrase_likeness(whole, after_print)
 
 
-def _parsed(text: str, parts: int) -> tuple[Parse, str]:
-    """The parse of the text without its last part, and the whole text's fingerprint."""
-    n, k = len(text), len(text) // parts
-    stem = Parse().feed(text[: n - k])
-    return stem, (stem.fork().feed(text[n - k :]) if k else stem).fingerprint()
+def _bounds(keyed: DataFrame, ranges: int) -> list[tuple[int, int, int]]:
+    """The first keys of about equal ranges: the least key of all, and some of a sample of about OVERSAMPLED keys a range. They
+    are rows of the table, as many as there are ranges."""
+    key = F.struct("k", "h", "s")
+    share = min(1.0, OVERSAMPLED * ranges / max(1, keyed.count()))
+    drawn = F.xxhash64(F.lit("sample"), "s", "h").bitwiseAND(F.lit(2**62 - 1)) < F.lit(int(share * 2**62))
+    found = keyed.agg(F.min(key).alias("least"), F.collect_list(F.when(drawn, key)).alias("some")).first()
+    if found.least is None:
+        return []
+    some = sorted(tuple(x) for x in found.some)
+    step = max(1, len(some) // ranges)
+    return sorted({tuple(found.least), *some[step::step]})
 
 
-def compare_neighbours(docs: DataFrame, parts: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_neighbours(docs: DataFrame, parts: int = 4, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Each text's fingerprint beside that of an edit and of the next text, as a measure of what the fingerprint tells apart.
 
-    The next row is that of the next larger id (rows of one id in the order of their texts' hashes and texts, null ids first);
-    after the last comes the first, so a single row is its own next one. The edit replaces the last floor(n / parts) code points by
-    as many of the next text's first ones, or all if it is shorter. Rows: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next. Null texts count as empty.
+    The next row is that of the next larger id (rows of one id in the order of their texts' hashes, null ids first); after the last
+    comes the first, so a single row is its own next one. The edit replaces the last floor(n / parts) code points by as many of
+    the next text's first ones, or all if it is shorter. Rows: doc_id, n_chars, edited_sha256, fingerprint,
+    edited_fingerprint, near_edited, near_next. Null texts count as empty; ids are whole numbers. docs are read three times and
+    must then give the same rows in the same order, as tables do.
 
-    Texts move once, sorted by ranges of the id; each task then sees a row and its next one. The last row of a task is finished
-    afterwards with the first of the next task; only these rows' texts are written in between.
+    Texts move once, into ranges of the id (`ranges`, else as many as the session's shuffle partitions), which are sorted. The first
+    row of each range also closes the range before it, so that every row meets its next one where it lies.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id"), F.xxhash64("text")]
-    rows = slim.repartitionByRange(*order).sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id())
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    id_type: list = []
-
-    def batch_of(found: list):
-        cols = list(zip(*found, strict=True))
-        types = [id_type[0], pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], COLUMNS)
+    who = F.col(id_col).cast("long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.select(who.alias("doc_id"), F.coalesce(who, F.lit(-(2**63)).cast("long")).alias("k"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("s"))
+    spark = docs.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = _bounds(keyed.select("k", "h", "s"), ranges)
+    kind = [("k", np.int64), ("h", np.int64), ("s", np.int64)]
+    bounds = np.array(found, kind)
+
+    @F.pandas_udf("int")
+    def place(k: pd.Series, h: pd.Series, s: pd.Series) -> pd.Series:
+        keys = np.empty(len(k), kind)
+        keys["k"], keys["h"], keys["s"] = k, h, s
+        return pd.Series(np.searchsorted(bounds, keys, side="right") - 1)
+
+    firsts = spark.createDataFrame([(*b, (i - 1) % len(found)) for i, b in enumerate(found)], "k long, h long, s long, part int")  # one row a range
+    cols = ["part", "closing", "k", "h", "s", "doc_id", "text"]
+    here = keyed.withColumns({"part": place("k", "h", "s"), "closing": F.lit(0)})
+    closing = keyed.join(F.broadcast(firsts), ["k", "h", "s"]).withColumn("closing", F.lit(1))
+    rows = here.select(*cols).union(closing.select(*cols)).repartition(max(1, len(found)), "part").sortWithinPartitions("part", "closing", "k", "h", "s")
 
     def run(batches):
-        held = None  # (id, text, stem, fingerprint, edge) of the row before
+        held = None  # id, text, parse of its stem, fingerprint
         for batch in batches:
-            id_type[:] = [batch.schema.field("doc_id").type]
-            found = []
-            for who, text, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part")), strict=True):
+            out = []
+            for who, text, closes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "closing")), strict=True):
                 stem, whole = _parsed(text, parts)
                 if held:
-                    found.append((held[0], *_compared(held[1], text, held[3], whole, held[2], parts), part, held[4], held[1] if held[4] else None))
-                held = who, text, stem, whole, 0 if held else FIRST
-            last = part
-            if found:
-                yield batch_of(found)
-        if held:
-            yield batch_of([(held[0], len(held[1]), None, held[3], None, None, None, last, held[4] + LAST, held[1])])
-
-    done = cut(rows.mapInArrow(run, f"doc_id {kind}, {KINDS}"), "neighbours")
-    edges = done.where("edge > 0")
-    tasks = sorted(r.part for r in edges.select("part").distinct().collect())  # one number for each task
-    following = docs.sparkSession.createDataFrame(list(zip(tasks, tasks[1:] + tasks[:1], strict=True)), "part int, next int")
-    firsts = edges.where(F.col("edge").isin(FIRST, FIRST + LAST)).select(F.col("part").alias("next"), F.col("text").alias("after"), F.col("fingerprint").alias("after_print"))
-    lasts = edges.where(f"edge >= {LAST}").select("doc_id", "text", "fingerprint", "part").join(F.broadcast(following), "part").join(firsts, "next")
-
-    def finish(batches):
-        for batch in batches:
-            found = [_compared(*r, parts=parts) for r in zip(*(batch.column(c).to_pylist() for c in ("text", "after", "fingerprint", "after_print")), strict=True)]
-            if found:
-                kinds = [pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True))], COLUMNS[:7])
+                    out.append((held[0], *_compared(*held[1:], text, whole, parts)))
+                held = None if closes else (who, text, stem, whole)
+            if out:
+                kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], COLUMNS)
 
-    ends = lasts.select("doc_id", "text", "after", "fingerprint", "after_print").mapInArrow(finish, f"doc_id {kind}, {KINDS.split(', part')[0]}")
-    return done.where(f"edge < {LAST}").select(*COLUMNS[:7]).union(ends)
+    return rows.select("doc_id", "text", "closing").mapInArrow(run, f"doc_id long, {KINDS}")

@@ -168,16 +168,16 @@ def test_neighbours(spark):
     got = sorted(map(tuple, Q.op12_lz_fingerprint(spark, SF).collect()))
     assert got == sorted(plain_neighbours(sorted(texts.items())))
     assert np.mean([r[5] for r in got]) > 0.55 > 0.4 > np.mean([r[6] for r in got])
-    odd = [(None, "nobody " * 9, "p", 1), (None, None, "p", 1), (3, "x" * 100_000, "p", 1), (3, "", "p", 1), (3, "", "p", 1), (9, "日本語 🙂 text", "p", 1)]
-    df = spark.createDataFrame(odd, "doc_id long, text string, part string, edge int")
+    odd = [(None, "nobody " * 9, "p", 1), (None, None, "p", 2), (3, "x" * 100_000, "p", 3), (3, "", "p", 4), (3, "", "p", 4), (9, "日本語 🙂 text", "p", 5), (-5, "minus", "p", 5)]
+    df = spark.createDataFrame(odd, "doc_id long, text string, part string, n int")
     order = [(r.doc_id, r.t) for r in df.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).orderBy("doc_id", F.xxhash64("t"), "t").collect()]
     key = lambda r: (r[0] is None, *r[1:], r[0] or 0)
-    for parts in (1, 40):
-        got = compare_neighbours(df.repartition(parts))
+    for ranges in (1, 3, 40):
+        got = compare_neighbours(df, ranges=ranges)
         assert sorted(map(tuple, got.collect()), key=key) == sorted(plain_neighbours(order), key=key)
-    one = compare_neighbours(df.limit(1)).collect()
+    one = compare_neighbours(df.where("n = 3")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
-    assert compare_neighbours(df.limit(0)).count() == 0
+    assert compare_neighbours(df.where("n = 99")).count() == 0
 
 
 def plain_negatives(rows, scale=1, positives=5, negatives=5, low=80, high=100):
