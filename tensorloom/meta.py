@@ -13,11 +13,12 @@ class Axis:
     dim: int
     plev: int = 0
     link: bool = False
+    copy: int = 0  # tells apart the axes of one tensor that share a label
 
     @property
     def col(self) -> str:
         """The axis's column."""
-        return f"{sanitize(self.name)}__p{self.plev}" if self.plev else sanitize(self.name)
+        return sanitize(self.name) + (f"__p{self.plev}" if self.plev else "") + (f"__c{self.copy}" if self.copy else "")
 
     @property
     def label(self) -> tuple[str, int]:
@@ -63,6 +64,10 @@ def check_permutation(perm, n: int) -> None:
 
 def shared(a: tuple[Axis, ...], b: tuple[Axis, ...]) -> list[Axis]:
     other = {x.label: x for x in b}
+    for own, labels in ((a, other), (b, {x.label for x in a})):
+        for x in own:
+            if x.copy and x.label in labels:
+                raise ValueError(f"several axes share the label {x.label}: merge them or take their diagonal before they meet another tensor")
     out = [x for x in a if x.label in other]
     for x in out:
         if x.dim != other[x.label].dim:

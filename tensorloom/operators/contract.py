@@ -1,6 +1,7 @@
 """Contractions by labels: an equi-join on shared labels and a grouped sum over the rest.
 
-Catalyst picks the join: a side under the session's broadcast threshold is broadcast, others are sort-merge joined. Blocks
+Catalyst picks the join: a side under the session's broadcast threshold is broadcast, others are sort-merge joined. Labels that
+are hot can be spread over tasks, and operands without a shared sparse label meet in a grid (see operators/meet.py). Blocks
 stay blocks where the shared axes allow it; an axis that is prefix on one side and tail on the other is exploded first.
 Aliased operands compute each pair of templates once.
 """
@@ -15,28 +16,36 @@ from pyspark.sql import types as T
 
 from tensorloom.functions import blocks as B
 from tensorloom.meta import Axis, output_axes, shared, size
+from tensorloom.operators.meet import met
 from tensorloom.sources.shared import written
-from tensorloom.tensor import Tensor
+from tensorloom.tensor import Tensor, _one_row
 
 
-def contract(a: Tensor, b: Tensor, keep: list[str] = (), strict: bool = False, plan: str = "auto", form: str | None = None) -> Tensor:
+def contract(a: Tensor, b: Tensor, keep: list[str] = (), strict: bool = False, plan: str = "auto", form: str | None = None, spread: int | None = None, exact: bool = False) -> Tensor:
     """Sum over all labels that a and b share, except those to keep (batch labels); without any, the outer product.
 
     plan: "element" joins coordinates on all shared labels, so nothing is paired that doesn't meet; "block" multiplies whole
     blocks; "auto" takes coordinates where both blocks were made of them and a product is small. form: the result's.
+    spread: labels with more stored rows than that on a side are split over tasks. exact: real doubles are multiplied and summed
+    without any rounding but one at the end, by coordinates. A result without axes has one row, zero too.
     """
     common = shared(a.axes, b.axes)
     if a.is_complex != b.is_complex:
         a, b = a.as_complex(), b.as_complex()
-    if "aliased" in (a.form, b.form) and not keep:
-        out = _aliased(a, b, common, strict)
+    if exact:
+        out = _exactly(a, b, common, keep, spread)
+    elif "aliased" in (a.form, b.form) and not keep:
+        out = _aliased(a, b, common, strict, spread)
     elif "block" in (a.form, b.form) and not keep:
         if plan == "element" or plan == "auto" and _known(a) and _known(b) and _work(a, b, common) < B.HEAVY:
-            out = _by_elements(a, b, common, strict)
+            out = _by_elements(a, b, common, strict, spread)
         else:
-            out = _blocks(a.expand(), b.expand(), common, strict)
+            out = _blocks(a.expand(), b.expand(), common, strict, spread)
     else:
-        out = _elements(a.to_coo(), b.to_coo(), common, keep)
+        out = _elements(a.to_coo(), b.to_coo(), common, keep, spread)
+    if not out.axes:
+        t = out.to_coo()
+        out = Tensor((), _one_row(t.df, t.kind))
     return out if form is None else out.converted(form)
 
 
@@ -59,21 +68,38 @@ def _crossing(a: Tensor, b: Tensor, common: list[Axis]) -> set:
     return {x.label for x in common if (x.label in {y.label for y in a.tail}) != (x.label in {y.label for y in b.tail})}
 
 
-def _by_elements(a: Tensor, b: Tensor, common: list[Axis], strict: bool) -> Tensor:
+def _by_elements(a: Tensor, b: Tensor, common: list[Axis], strict: bool, spread: int | None) -> Tensor:
     if strict and _crossing(a, b, common):
         raise ValueError("a shared axis is prefix on one side and tail on the other")
     tail = _tails(a, b, common)
-    out = _elements(a.to_coo(), b.to_coo(), common, ())
+    out = _elements(a.to_coo(), b.to_coo(), common, (), spread)
     axes = output_axes([x for x in out.axes if x not in tail], tail)
     return out.permute([x.col for x in axes]).to_block(len(tail))
 
 
-def _elements(a: Tensor, b: Tensor, common: list[Axis], keep) -> Tensor:
+def _pairs(a: Tensor, b: Tensor, common: list[Axis], keep, spread: int | None) -> tuple[tuple[Axis, ...], DataFrame]:
+    """The result's axes, and the rows that meet with both values."""
     on = [x.col for x in common]
     reduced = {x.label for x in common if x.col not in keep}
     axes = output_axes([x for x in a.axes if x.label not in reduced] + [x for x in b.axes if x.label not in {y.label for y in common}], [])
     left, right = a.df.withColumnRenamed("v", "__va"), b.df.withColumnRenamed("v", "__vb")
-    joined = left.join(right, on) if on else left.crossJoin(right)
+    return axes, met(left, right, on, spread)
+
+
+def _exactly(a: Tensor, b: Tensor, common: list[Axis], keep, spread: int | None) -> Tensor:
+    """Each product becomes two doubles whose sum it is, and these are summed exactly: rounded once, in whatever order."""
+    if a.is_complex:
+        raise ValueError("exact contractions take real values")
+    n = len(_tails(a, b, common))
+    axes, joined = _pairs(a.to_coo(), b.to_coo(), common, keep, spread)
+    cols = [x.col for x in axes]
+    both = F.explode(F.array(*B.two_product(F.col("__va").cast("double"), F.col("__vb").cast("double"))))
+    out = Tensor(axes, B.exact_sums(joined.select(*cols, both.alias("__v")), cols, "__v")).pruned()
+    return out.to_block(n) if n and "coo" not in (a.form, b.form) and axes[-n:] == tuple(_tails(a, b, common)) else out
+
+
+def _elements(a: Tensor, b: Tensor, common: list[Axis], keep, spread: int | None) -> Tensor:
+    axes, joined = _pairs(a, b, common, keep, spread)
     cols = [x.col for x in axes]
     # a complex product is made once, before its parts are summed
     made = joined.select(*cols, B.mul(F.col("__va"), F.col("__vb"), a.is_complex).alias("__v"))
@@ -129,24 +155,24 @@ def _product(df: DataFrame, left: str, right: str, own_a, own_b, inner) -> DataF
     return df.withColumn("blk", blk).drop(left, right)
 
 
-def _blocks(a: Tensor, b: Tensor, common: list[Axis], strict: bool) -> Tensor:
+def _blocks(a: Tensor, b: Tensor, common: list[Axis], strict: bool, spread: int | None = None) -> Tensor:
     a, b, on, keep, own_a, own_b, inner = _align(a, b, common, strict)
     left, right = a.df.withColumnRenamed("blk", "ba"), b.df.withColumnRenamed("blk", "bb")
-    joined = left.join(right, on) if on else left.crossJoin(right)  # no shared key: the result has all pairs
+    joined = met(left, right, on, spread)
     axes = output_axes(keep, [*own_a, *own_b])
     keys = [x.col for x in axes[: len(keep)]]
     made = _product(joined.select(*keys, "ba", "bb"), "ba", "bb", own_a, own_b, inner)
     return Tensor(axes, B.sum_blocks(made, keys, "blk", size([*own_a, *own_b])), len(own_a) + len(own_b))
 
 
-def _aliased(a: Tensor, b: Tensor, common: list[Axis], strict: bool) -> Tensor:
+def _aliased(a: Tensor, b: Tensor, common: list[Axis], strict: bool, spread: int | None = None) -> Tensor:
     """Join the narrow block tables, multiply each distinct pair of templates once, sum scalars of one template, and make an
     own template where a key has several."""
     labels = {x.label for x in common}
     if _crossing(a, b, common):
         if strict:
             raise ValueError("a shared axis is prefix on one side and tail on the other")
-        return _blocks(a.expand(), b.expand(), common, strict).to_aliased()
+        return _blocks(a.expand(), b.expand(), common, strict, spread).to_aliased()
     a, b = (_as_block(t).to_aliased() for t in (a, b))
     inner = [x for x in a.tail if x.label in labels]
     own_a, own_b = ([x for x in t.tail if x.label not in labels] for t in (a, b))
@@ -159,7 +185,7 @@ def _aliased(a: Tensor, b: Tensor, common: list[Axis], strict: bool) -> Tensor:
     keys = [x.col for x in axes[: len(keep)]]
     z = a.is_complex
     left, right = (t.df.withColumnsRenamed({"tid": f"t{s}", "alpha": f"x{s}"}) for t, s in ((a, "a"), (b, "b")))
-    joined = left.join(right, on) if on else left.crossJoin(right)
+    joined = met(left, right, on, spread)
     joined = joined.select(*keys, "ta", "tb", B.mul(F.col("xa"), F.col("xb"), z).alias("x"))
     level = joined.groupBy(*keys, "ta", "tb").agg(B.total(F.col("x"), z).alias("alpha")).where(B.present(F.col("alpha"), z))
     # both are read by several of the steps below, and again by whatever the result is joined with

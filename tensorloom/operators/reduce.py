@@ -41,7 +41,8 @@ def normalised(t: Tensor) -> Tensor:
     t = t.to_coo()
     z = t.is_complex
     top = t.df.agg(F.max(B.magnitude(F.col("v"), z)).alias("__m"))  # one row
-    v = B.pair(F.col("v.re") / F.col("__m"), F.col("v.im") / F.col("__m")) if z else F.col("v") / F.col("__m")
+    by = F.nullif(F.col("__m"), F.lit(0))  # a zero tensor has no rows
+    v = B.pair(F.col("v.re") / by, F.col("v.im") / by) if z else F.col("v") / by
     return Tensor(t.axes, t.df.crossJoin(F.broadcast(top)).select(*t.keys, v.alias("v")))
 
 
@@ -60,7 +61,7 @@ def compression(t: Tensor) -> DataFrame:
 
 def footprint(t: Tensor) -> DataFrame:
     """Bytes of values and keys, about."""
-    value = 8 * t.blksize if t.n_dense else 8
+    value = (16 if t.is_complex else 8) * (t.blksize if t.n_dense else 1)
     return t.df.agg((F.count(F.lit(1)) * (value + 4 * len(t.prefix))).alias("bytes"))
 
 

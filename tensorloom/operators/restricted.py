@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions import blocks as B
 from tensorloom.tensor import Tensor
 
 
@@ -19,7 +20,7 @@ def representatives(n: int, pairs: list[tuple[int, int]]) -> list[int]:
 
 def violations(t: Tensor, prefix: list[str], row: str, ties: list[tuple[str, str]] = (), atol: float = 0.0) -> DataFrame:
     """(prefix..., row, n, off): rows with n > 1 nonzeros, or with `off` entries off a tied diagonal."""
-    df = t.to_coo().df.where(F.abs("v") > atol)
+    df = t.to_coo().df.where(B.magnitude(F.col("v"), t.is_complex) > atol)
     off = F.lit(False)
     for a, b in ties:
         off |= F.col(a) != F.col(b)

@@ -74,7 +74,7 @@ def check_commute(a: Tensor, b: Tensor, tol: float = 1e-10) -> bool:
 
 
 def inner(a: Tensor, b: Tensor) -> DataFrame:
-    """<a, b> in one row (v); a is conjugated."""
+    """<a, b> in one row (v), zero too; a is conjugated."""
     return contract(conjugate(a), b).df
 
 
@@ -84,18 +84,18 @@ def expectation(state: Tensor, operator: Tensor) -> DataFrame:
 
 
 def overlap(a: Tensor, b: Tensor) -> DataFrame:
-    """|<a, b>| / (|a| |b|) in one row."""
+    """|<a, b>| / (|a| |b|) in one row; 0 where one of them is zero."""
     v = inner(a, b)
     size_ = B.magnitude(F.col("v"), isinstance(v.schema["v"].dataType, T.StructType))
     both = norm(a).select(F.col("norm").alias("na")).crossJoin(norm(b).select(F.col("norm").alias("nb")))  # one row each
-    return both.crossJoin(v.agg(F.coalesce(F.max(size_), F.lit(0.0)).alias("s"))).select((F.col("s") / (F.col("na") * F.col("nb"))).alias("overlap"))
+    return both.crossJoin(v.agg(F.coalesce(F.max(size_), F.lit(0.0)).alias("s"))).select(F.coalesce(F.col("s") / F.nullif(F.col("na") * F.col("nb"), F.lit(0.0)), F.lit(0.0)).alias("overlap"))
 
 
 def hermiticity(operator: Tensor) -> DataFrame:
     """|A - A*| / |A| in one row: 0 for a Hermitian operator. Axes are x at prime levels 0 and 1."""
     swapped = operator.to_coo().relabel(lambda x: x.primed(1 - x.plev))
     apart = norm(subtract(operator.to_coo(), conjugate(swapped.permute([x.col for x in operator.axes]))))
-    return apart.select(F.col("norm").alias("d")).crossJoin(norm(operator)).select((F.col("d") / F.col("norm")).alias("ratio"))
+    return apart.select(F.col("norm").alias("d")).crossJoin(norm(operator)).select(F.coalesce(F.col("d") / F.nullif(F.col("norm"), F.lit(0.0)), F.lit(0.0)).alias("ratio"))
 
 
 def first_difference(steps: list[tuple[Tensor, Tensor]], tol: float) -> int | None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +51,16 @@ def flags(spark, sf) -> Tensor:
     """U(i supplier, q line, f flag): quantity."""
     flag = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
     df = S.read(spark, sf, "lineitem").groupBy(S.one("l_suppkey").alias("i"), F.col("l_linenumber").alias("q"), flag.alias("f")).agg(F.sum(F.col("l_quantity").cast("long")).alias("v"))
-    return Tensor.coo(df, [Axis("i", S.BIG), Axis("q", 7), Axis("f", 3)])
+    return Tensor.coo(df, [Axis("i", S.BIG), Axis("q", 7), Axis("f", 3)], unique=True)
 
 
 def summed(t: Tensor, names: list[str]) -> Tensor:
-    return Tensor.coo(t.df.groupBy(*names).agg(F.sum("v").alias("v")), [t.axis(n) for n in names])
+    return Tensor.coo(t.df.groupBy(*names).agg(F.sum("v").alias("v")), [t.axis(n) for n in names], unique=True)
+
+
+def stored(t: Tensor) -> Tensor:
+    """The tensor as it is stored: blocks stay blocks, without a memory of the coordinates that they were made of."""
+    return replace(t, origin=None)
 
 
 def cells(t: Tensor) -> DataFrame:
@@ -75,7 +81,7 @@ def squares(spark, sf) -> tuple[Tensor, Tensor]:
     r = left.join(d.df.select(F.col("g").alias("x__p1"), "m", F.col("v").alias("b")), "m").groupBy("x", "x__p1").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
     left = d.df.select("g", F.col("m").alias("x"), F.col("v").alias("a"))
     h = left.join(d.df.select("g", F.col("m").alias("x__p1"), (F.col("v") + F.col("g")).alias("b")), "g").groupBy("x", "x__p1").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
-    return Tensor.coo(r, axes), Tensor.coo(h, axes)
+    return Tensor.coo(r, axes, unique=True), Tensor.coo(h, axes, unique=True)
 
 
 def xy(t: Tensor) -> DataFrame:
@@ -127,7 +133,7 @@ def block_threshold(spark, sf):
 
 @query("SELECT i, q, f, v FROM U")
 def block_to_coo(spark, sf):
-    return flags(spark, sf).to_block(2).to_coo().df
+    return stored(flags(spark, sf).to_block(2)).to_coo().df
 
 
 @query("SELECT q, i, r, v FROM T")
@@ -157,7 +163,7 @@ def fuse_dense_axes(spark, sf):
 
 @query("SELECT CAST((i - 1) * 7 + q AS INTEGER) qi, f, v FROM U")
 def fuse_crossing(spark, sf):
-    return flags(spark, sf).to_block(2).fuse("q", "i", "qi").df
+    return stored(flags(spark, sf).to_block(2)).fuse("q", "i", "qi").df
 
 
 @query("SELECT i AS i__p1, r AS s, q AS q__p2, v FROM T")
@@ -195,54 +201,54 @@ def upsert_delete(spark, sf):
 
 @query("SELECT A.i, P.q, CAST(SUM(A.v * P.v) AS BIGINT) v FROM A JOIN P USING (r) GROUP BY 1, 2")
 def coo_block_prefix(spark, sf):
-    return contract(S.supply(spark, sf), summed(S.lines(spark, sf), ["r", "q"]).to_block(1)).to_coo().df
+    return contract(S.supply(spark, sf), summed(S.lines(spark, sf), ["r", "q"]).to_block(1), plan="block").to_coo().df
 
 
 @query("SELECT T.i, T.r, K.f, CAST(SUM(T.v * K.v) AS BIGINT) v FROM T JOIN K USING (q) GROUP BY 1, 2, 3")
 def coo_block_tail(spark, sf):
-    return contract(summed(flags(spark, sf), ["q", "f"]), S.lines(spark, sf).to_block(1)).to_coo().df
+    return contract(summed(flags(spark, sf), ["q", "f"]), S.lines(spark, sf).to_block(1), plan="block").to_coo().df
 
 
 @query("SELECT T.i, T.q, b.q AS s, CAST(SUM(T.v * b.v) AS BIGINT) v FROM T JOIN P b USING (r) GROUP BY 1, 2, 3")
 def block_block_prefix(spark, sf):
     t = S.lines(spark, sf)
-    return contract(t.to_block(1), summed(t, ["r", "q"]).rename("q", "s").to_block(1)).to_coo().df
+    return contract(t.to_block(1), summed(t, ["r", "q"]).rename("q", "s").to_block(1), plan="block").to_coo().df
 
 
 @query("SELECT a.i, b.f, CAST(SUM(a.v * b.v) AS BIGINT) v FROM (SELECT i, q, SUM(v) v FROM U GROUP BY 1, 2) a JOIN K b USING (q) GROUP BY 1, 2")
 def block_block_tail(spark, sf):
     u = flags(spark, sf)
-    return contract(summed(u, ["i", "q"]).to_block(1), summed(u, ["f", "q"]).to_block(1)).to_coo().df
+    return contract(summed(u, ["i", "q"]).to_block(1), summed(u, ["f", "q"]).to_block(1), plan="block").to_coo().df
 
 
 @query("SELECT T.i, B.j, CAST(SUM(T.v * P.v) AS BIGINT) v FROM T JOIN P ON T.r = P.r AND T.q = P.q JOIN B ON B.r = T.r GROUP BY 1, 2")
 def block_block_multi(spark, sf):
     t = S.lines(spark, sf)
-    sized = Tensor.coo(summed(t, ["r", "q"]).df.join(S.sizes(spark, sf).df.select("r", "j"), "r").select("r", "j", "q", "v"), [Axis("r", S.BIG), Axis("j", 50), Axis("q", 7)])
-    return contract(t.to_block(1), sized.to_block(1)).to_coo().df
+    sized = Tensor.coo(summed(t, ["r", "q"]).df.join(S.sizes(spark, sf).df.select("r", "j"), "r").select("r", "j", "q", "v"), [Axis("r", S.BIG), Axis("j", 50), Axis("q", 7)], unique=True)
+    return contract(t.to_block(1), sized.to_block(1), plan="block").to_coo().df
 
 
 @query("SELECT a.q, b.f, CAST(SUM(a.v * b.v) AS BIGINT) v FROM (SELECT i, q, SUM(v) v FROM U GROUP BY 1, 2) a JOIN (SELECT i, f, SUM(v) v FROM U GROUP BY 1, 2) b USING (i) GROUP BY 1, 2")
 def block_block_to_dense(spark, sf):
     u = flags(spark, sf)
-    return contract(summed(u, ["i", "q"]).to_block(1), summed(u, ["i", "f"]).to_block(1)).to_coo().df
+    return contract(summed(u, ["i", "q"]).to_block(1), summed(u, ["i", "f"]).to_block(1), plan="block").to_coo().df
 
 
 @query("SELECT G.n, D.m, CAST(SUM(G.v * D.v) AS BIGINT) v FROM G JOIN D USING (g) GROUP BY 1, 2")
 def block_dense_prefix(spark, sf):
-    return contract(S.nations(spark, sf), regions(spark, sf).to_block(1)).to_coo().df
+    return contract(S.nations(spark, sf), regions(spark, sf).to_block(1), plan="block").to_coo().df
 
 
 @query("SELECT T.i, T.r, K.f, CAST(SUM(T.v * K.v) AS BIGINT) v FROM T JOIN K USING (q) GROUP BY 1, 2, 3")
 def block_dense_tail(spark, sf):
     dense = summed(flags(spark, sf), ["q", "f"]).to_block(2)
-    return contract(S.lines(spark, sf).to_block(1), dense).to_coo().df
+    return contract(S.lines(spark, sf).to_block(1), dense, plan="block").to_coo().df
 
 
 @query("SELECT U.i, CAST(SUM(U.v * K.v) AS BIGINT) v FROM U JOIN K ON U.q = K.q AND U.f = K.f GROUP BY 1")
 def block_dense_multi(spark, sf):
     u = flags(spark, sf)
-    return contract(u.to_block(2), summed(u, ["q", "f"]).to_block(2)).to_coo().df
+    return contract(u.to_block(2), summed(u, ["q", "f"]).to_block(2), plan="block").to_coo().df
 
 
 @query("SELECT U.i, U.q, CAST(SUM(U.v * K.v) AS BIGINT) v FROM U JOIN K ON U.q = K.q AND U.f = K.f GROUP BY 1, 2")
@@ -524,7 +530,7 @@ def paired_blocks(spark, sf) -> Tensor:
     """W(i supplier, g group of 7 suppliers ; q line, f flag), from U."""
     u = flags(spark, sf)
     grouped = u.df.select(F.col("i").alias("r"), (F.col("i") % 7 + 1).cast("int").alias("l"), "q", "f", F.col("v").cast("double").alias("v"))
-    return Tensor.coo(grouped, [Axis("l", 7), Axis("r", S.BIG), Axis("q", 7), Axis("f", 3)]).to_block(2)
+    return Tensor.coo(grouped, [Axis("l", 7), Axis("r", S.BIG), Axis("q", 7), Axis("f", 3)], unique=True).to_block(2)
 
 
 @query("SELECT i % 7 + 1 AS l, CAST(round(SUM(v * v)) AS BIGINT) AS energy, true AS exact FROM U GROUP BY 1")
@@ -636,7 +642,7 @@ def waves(spark, sf) -> Tensor:
     """Z(i, q, f): U with a phase: v * (1 + i f)."""
     u = flags(spark, sf)
     v = F.col("v").cast("double")
-    return Tensor.coo(u.df.select("i", "q", "f", B.pair(v, v * F.col("f")).alias("v")), list(u.axes))
+    return Tensor.coo(u.df.select("i", "q", "f", B.pair(v, v * F.col("f")).alias("v")), list(u.axes), unique=True)
 
 
 _Z = "Z AS (SELECT i, q, f, CAST(v AS DOUBLE) re, CAST(v * f AS DOUBLE) im FROM U)"

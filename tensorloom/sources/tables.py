@@ -22,19 +22,19 @@ def one(col: str):
 def supply(spark, sf) -> Tensor:
     """A(i supplier, r part): quantity sold."""
     df = read(spark, sf, "lineitem").groupBy(one("l_suppkey").alias("i"), one("l_partkey").alias("r")).agg(F.sum(F.col("l_quantity").cast("long")).alias("v"))
-    return Tensor.coo(df, [Axis("i", BIG), Axis("r", BIG)])
+    return Tensor.coo(df, [Axis("i", BIG), Axis("r", BIG)], unique=True)
 
 
 def sizes(spark, sf) -> Tensor:
     """B(r part, j size): 1."""
     df = read(spark, sf, "part").select(one("p_partkey").alias("r"), F.col("p_size").alias("j"), F.lit(1).cast("long").alias("v"))
-    return Tensor.coo(df, [Axis("r", BIG), Axis("j", 50)])
+    return Tensor.coo(df, [Axis("r", BIG), Axis("j", 50)], unique=True)
 
 
 def lines(spark, sf) -> Tensor:
     """T(i supplier, r part, q line number 1 to 7): quantity sold."""
     df = read(spark, sf, "lineitem").groupBy(one("l_suppkey").alias("i"), one("l_partkey").alias("r"), F.col("l_linenumber").alias("q")).agg(F.sum(F.col("l_quantity").cast("long")).alias("v"))
-    return Tensor.coo(df, [Axis("i", BIG), Axis("r", BIG), Axis("q", 7)])
+    return Tensor.coo(df, [Axis("i", BIG), Axis("r", BIG), Axis("q", 7)], unique=True)
 
 
 def vectors(spark, sf) -> Tensor:
@@ -46,11 +46,11 @@ def vectors(spark, sf) -> Tensor:
 def nations(spark, sf) -> Tensor:
     """G(n nation, g region): one-hot."""
     df = read(spark, sf, "nation").select(one("n_nationkey").alias("n"), one("n_regionkey").alias("g"), F.lit(1).cast("long").alias("v"))
-    return Tensor.coo(df, [Axis("n", 25), Axis("g", 5)])
+    return Tensor.coo(df, [Axis("n", 25), Axis("g", 5)], unique=True)
 
 
 def customers(spark, sf) -> Tensor:
     """N(n nation, m segment 1 to 5): customers."""
     segment = F.array_position(F.array(*[F.lit(s) for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")]), F.col("c_mktsegment")).cast("int")
     df = read(spark, sf, "customer").groupBy(one("c_nationkey").alias("n"), segment.alias("m")).agg(F.count(F.lit(1)).alias("v"))
-    return Tensor.coo(df.where("m > 0"), [Axis("n", 25), Axis("m", 5)])
+    return Tensor.coo(df.where("m > 0"), [Axis("n", 25), Axis("m", 5)], unique=True)

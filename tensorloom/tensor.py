@@ -17,6 +17,9 @@ from tensorloom.functions import blocks as B
 from tensorloom.meta import Axis, check_permutation, fused, merge_groups, size, split_bra_ket
 
 
+RESERVED = {"v", "blk", "tid", "alpha"}
+
+
 @dataclass(frozen=True)
 class Tensor:
     axes: tuple[Axis, ...]
@@ -26,6 +29,14 @@ class Tensor:
     #: the coordinates that the blocks of a df were made of: (df, coo tensor)
     origin: tuple | None = field(default=None, compare=False, repr=False)
 
+    def __post_init__(self):
+        cols = [a.col for a in self.axes]
+        taken = [c for c in cols if c in RESERVED or c.startswith("__")]
+        if taken:
+            raise ValueError(f"axes can't be called {taken}: these columns hold values")
+        if len(set(cols)) < len(cols):
+            raise ValueError(f"two axes share a column in {cols}: number those of one label by `copy`")
+
     # -- operators
 
     def __matmul__(self, other: Tensor) -> Tensor:
@@ -104,11 +115,15 @@ class Tensor:
     # -- sources
 
     @classmethod
-    def coo(cls, df: DataFrame, axes: list[Axis], v: str | Column = "v", check: bool = False) -> Tensor:
-        """From rows of coordinates and a value; zeros go. check: refuse repeated or outlying coordinates."""
+    def coo(cls, df: DataFrame, axes: list[Axis], v: str | Column = "v", check: bool = False, unique: bool = False) -> Tensor:
+        """From rows of coordinates and a value: values at equal coordinates are summed, zeros go. check: refuse repeated or outlying
+        coordinates instead. unique: the coordinates are known not to repeat, so nothing is summed."""
         axes = tuple(axes)
         out = df.select(*[F.col(a.col) for a in axes], (F.col(v) if isinstance(v, str) else v).alias("v"))
         made = cls(axes, out)
+        if not (check or unique):
+            out = out.groupBy(*made.keys).agg(B.total(F.col("v"), made.is_complex).alias("v"))
+            return cls(axes, out).pruned()
         if check:
             cols = [a.col for a in axes]
             twice = out.groupBy(*cols).count().where("count > 1")
@@ -120,12 +135,12 @@ class Tensor:
         return made.pruned()
 
     @classmethod
-    def load(cls, df: DataFrame, axes: list[Axis], form: str = "coo", dense: list[str] = (), v: str | Column = "v") -> Tensor:
+    def load(cls, df: DataFrame, axes: list[Axis], form: str = "coo", dense: list[str] = (), v: str | Column = "v", unique: bool = False) -> Tensor:
         """From rows of coordinates in a format, axes in canonical order: bra sites, ket sites, links, and the dense ones last."""
         bra, ket = split_bra_ket(axes)
         order = [*bra, *ket, *(x for x in axes if x.link)]
         last = [next(x for x in axes if name in (x.col, x.name)) for name in dense]
-        out = cls.coo(df, [*(x for x in order if x not in last), *last], v)
+        out = cls.coo(df, [*(x for x in order if x not in last), *last], v, unique=unique)
         return out.converted(form, len(last))
 
     def converted(self, form: str, n_dense: int | None = None) -> Tensor:
@@ -144,13 +159,14 @@ class Tensor:
 
     @classmethod
     def dense(cls, df: DataFrame, axes: list[Axis], atol: float = 1e-12, rtol: float = 0.0) -> Tensor:
-        """From an array with an entry everywhere: entries with abs(v) <= atol + rtol * abs(v) go."""
-        return cls.coo(df.where(F.abs("v") > atol + rtol * F.abs("v")), axes)
+        """From an array with one entry everywhere: entries with abs(v) <= atol + rtol * abs(v) go; complex ones by their modulus."""
+        size_ = B.magnitude(F.col("v"), isinstance(df.schema["v"].dataType, T.StructType))
+        return cls.coo(df.where(size_ > atol + rtol * size_), axes, unique=True)
 
     @classmethod
-    def from_parquet(cls, spark, path: str, axes: list[Axis], v: str = "v") -> Tensor:
-        """Only the axes' columns and the value are read."""
-        return cls.coo(spark.read.parquet(path), axes, v)
+    def from_parquet(cls, spark, path: str, axes: list[Axis], v: str = "v", unique: bool = False) -> Tensor:
+        """Only the axes' columns and the value are read. unique: the file was written by to_parquet() or repeats no coordinates."""
+        return cls.coo(spark.read.parquet(path), axes, v, unique=unique)
 
     def to_parquet(self, path: str, partition_by: str | None = None) -> None:
         writer = self.df.write.mode("overwrite")
@@ -223,7 +239,9 @@ class Tensor:
         groups = [[t.axes[i].col for i in g] for g in merge_groups(t.axes)] if merges is None else merges
         for first, *rest in groups:
             for other in rest:
-                t = t.fuse(first, other, t.axis(first).name)
+                x, y = t.axis(first), t.axis(other)
+                t = t.fuse(first, other, x.name)
+                first = fused(x, y, x.name).col  # noqa: PLW2901
         grid = t.df.sparkSession.range(size(t.axes)).select(*[c.alias(a.col) for c, a in zip(B.decode(F.col("id"), list(t.dims)), t.axes, strict=True)])
         absent = B.number(fill, True) if t.is_complex else F.lit(fill).cast(t.kind)
         return grid.join(t.df, [a.col for a in t.axes], "left").withColumn("v", F.coalesce("v", absent))
@@ -232,6 +250,27 @@ class Tensor:
         """Two axes as one: keep + (other - 1) * dim(keep)."""
         return self.to_coo().fuse(keep, other)
 
+    def diagonal(self, label: str, plev: int = 0) -> Tensor:
+        """Entries whose coordinates on all axes of this label are equal, with one axis of it left."""
+        t = self.to_coo()
+        first, *rest = [a for a in t.axes if a.label == (label, plev)]
+        if any(a.dim != first.dim for a in rest):
+            raise ValueError("axes of one label differ in dimension")
+        equal = F.lit(True)
+        for a in rest:
+            equal &= F.col(a.col) == F.col(first.col)
+        kept, one = [a for a in t.axes if a not in rest], replace(first, copy=0)
+        cols = [F.col(a.col).alias(one.col if a == first else a.col) for a in kept]
+        return Tensor(tuple(one if a == first else a for a in kept), t.df.where(equal).select(*cols, "v"))
+
+    def trace(self, label: str, plev: int = 0) -> Tensor:
+        """The sum over equal coordinates of all axes of this label, which go."""
+        t = self.diagonal(label, plev)
+        axes = tuple(a for a in t.axes if a.label != (label, plev))
+        if not axes:
+            return Tensor((), _one_row(t.df, t.kind))
+        return Tensor(axes, t.df.groupBy(*[a.col for a in axes]).agg(B.total(F.col("v"), t.is_complex).alias("v"))).pruned()
+
     # -- point access
 
     def get(self, **at: int) -> DataFrame:
@@ -241,7 +280,7 @@ class Tensor:
             hit &= F.col(a.col) == at[a.col]
         rows, zero = self.df.where(hit), B.zero(self.kind)
         if self.form == "coo":
-            return rows.agg(F.coalesce(F.max("v"), zero).alias("v"))
+            return _one_row(rows, self.kind)
         place = int(sum((at[a.col] - 1) * s for a, s in zip(self.tail, _strides(self.tail), strict=True)))
         value = F.get("blk", F.lit(place))
         if self.form == "aliased":
@@ -249,9 +288,11 @@ class Tensor:
         return rows.agg(F.coalesce(F.max(value), zero).alias("v"))
 
     def upsert(self, entries: DataFrame) -> Tensor:
-        """Entries replace those at their coordinates; zero deletes. Of a block tensor only the blocks they touch are remade."""
+        """Entries replace those at their coordinates; zero deletes; entries that repeat coordinates are summed first. Of a block
+        tensor only the blocks they touch are remade."""
         if self.form == "coo":
             cols = [a.col for a in self.axes]
+            entries = entries.groupBy(*cols).agg(B.total(F.col("v"), self.is_complex).alias("v"))
             return Tensor(self.axes, self.df.join(entries, cols, "left_anti").unionByName(entries.select(*cols, "v"))).pruned()
         t = self.expand()
         if not t.keys:
@@ -301,7 +342,7 @@ class Tensor:
     def relabel(self, change) -> Tensor:
         """change: Axis -> Axis, of the same dimensions."""
         new = tuple(map(change, self.axes))
-        if len({a.label for a in new}) < len(new):
+        if len({(a.label, a.copy) for a in new}) < len(new):
             raise ValueError("two axes would share a label")
         renamed = [F.col(o.col).alias(n.col) for o, n in zip(self.prefix, new, strict=False)]  # at once, so labels may be swapped
         return replace(self, axes=new, df=self.df.select(*renamed, *[c for c in self.df.columns if c not in self.keys]))
@@ -359,6 +400,14 @@ class Tensor:
         return self.df.count() == size(self.prefix)
 
 
+def _one_row(df: DataFrame, kind) -> DataFrame:
+    """The sum of v in one row, zero where there is none."""
+    zero = B.zero(kind)
+    if isinstance(kind, T.StructType):
+        return df.agg(B.pair(F.coalesce(F.sum("v.re"), zero["re"]), F.coalesce(F.sum("v.im"), zero["im"])).alias("v"))
+    return df.agg(F.coalesce(F.sum("v"), zero).alias("v"))
+
+
 def _strides(axes):
     from tensorloom.meta import strides
 
