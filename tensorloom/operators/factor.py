@@ -63,14 +63,15 @@ def _matrix(pdf: pd.DataFrame, row: str, col: str, z: bool) -> tuple[np.ndarray,
     return m, rows, cols
 
 
-def sector_svd(t: Tensor, sector: str, row: str, col: str) -> DataFrame:
+def sector_svd(t: Tensor, sector: str, row: str, col: str, stable: bool = False) -> DataFrame:
     """(sector, k, sv, u, vt, rows, cols): the thin SVD of each sector's matrix, signs or phases fixed by the largest
-    entry of u, which is positive."""
+    entry of u, which is positive. stable: by stable_svd, so that equal values have fixed vectors. A sector is one task's;
+    spectral.full_svd takes matrices that are too large for that."""
     z, t = t.is_complex, t.to_coo()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m, rows, cols = _matrix(pdf, row, col, z)
-        u, s, vt = _svd(m)
+        u, s, vt = stable_svd(m) if stable else _svd(m)
         one = pdf[sector].iloc[0]
         return pd.DataFrame({sector: one, "k": np.arange(1, len(s) + 1), "sv": s, **_vectors("u", u.T, z), **_vectors("vt", vt, z), "rows": [rows.tolist()] * len(s), "cols": [cols.tolist()] * len(s)})
 
@@ -186,20 +187,40 @@ def left_qr(t: Tensor, head: list[str], col: str, tol: float = 1e-12) -> tuple[D
     return q, table(r.T, "v").select("q", col, "v")
 
 
+def runs_of_equals(values: np.ndarray, tol: float) -> list[tuple[int, int]]:
+    """Stretches of falling values that lie within tol of their first."""
+    out, start = [], 0
+    for end in range(1, len(values) + 1):
+        if end == len(values) or values[start] - values[end] > tol:
+            out.append((start, end))
+            start = end
+    return out
+
+
+def fixed_basis(inner: list[np.ndarray], gap: float = 1e-10) -> np.ndarray:
+    """Eigenvectors of the first matrix whose eigenvalues lie apart, else of the last."""
+    for m in inner:
+        values, vectors = np.linalg.eigh((m + m.conj().T) / 2)
+        if np.diff(values).min(initial=np.inf) > gap * max(1.0, np.abs(values).max()):
+            break
+    return vectors
+
+
 def stable_svd(m: np.ndarray, tol: float = 1e-9, null: float = 1e-12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """SVD whose vectors don't depend on the gauge: inside a group of equal singular values the basis diagonalises a fixed
-    weight, and each vector's weighted sum is positive; values below `null` times the largest have zero vectors."""
+    """SVD of one sector whose vectors don't depend on the gauge: inside a group of equal singular values the basis diagonalises a
+    weight, the first of three whose eigenvalues lie apart, and each vector's sum of x |x| is positive; values below `null` times
+    the largest have zero vectors. spectral.full_svd has the same for distributed matrices."""
     u, s, vt = np.linalg.svd(m, full_matrices=False)
-    weight = np.sqrt(np.arange(2.0, m.shape[0] + 2))
-    start = 0
-    for end in range(1, len(s) + 1):
-        if end == len(s) or s[start] - s[end] > tol * max(1.0, s[0]):
-            block = u[:, start:end]
-            turn = np.linalg.eigh(block.conj().T @ (weight[:, None] * block))[1]
+    place = np.arange(1.0, m.shape[0] + 1)
+    share = place / (m.shape[0] + 1)
+    weights = [place * (1 + share), np.sin(place * 0.7 + 0.3) + share, place**1.3 + np.cos(place * 0.3)]
+    for start, end in runs_of_equals(s, tol * max(1.0, s[0] if len(s) else 0)):
+        if end - start > 1:
+            block = u[:, start:end].copy()
+            turn = fixed_basis([block.conj().T @ (w[:, None] * block) for w in weights])
             u[:, start:end] = block @ turn
             vt[start:end] = turn.conj().T @ vt[start:end]
-            start = end
-    phase = _phases((weight[:, None] * u).sum(axis=0))
+    phase = _phases((np.abs(u) * u).sum(axis=0))
     u, vt = u * phase, vt * np.conj(phase)[:, None]
     dead = s < null * s[0] if len(s) else np.zeros(0, bool)
     u[:, dead], vt[dead] = 0, 0
