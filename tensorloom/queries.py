@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions import blocks as B
 from tensorloom.meta import Axis
-from tensorloom.operators import algebra, factor, reduce, restricted
-from tensorloom.operators.contract import contract, contract_and_fuse
+from tensorloom.operators import algebra, factor, reduce, restricted, spectral
+from tensorloom.operators.contract import align_links, contract, contract_and_fuse
 from tensorloom.plans import network
 from tensorloom.sources import tables as S
 from tensorloom.sources.shared import folder, written
@@ -431,17 +431,6 @@ def spin(spark, rows) -> Tensor:
     return Tensor.coo(df, [Axis("x", 3), Axis("x", 3, 1)], F.struct("re", "im"))
 
 
-@query(f"SELECT x, y, re, im FROM (SELECT a.x, b.y, SUM(a.re * b.re - a.im * b.im) re, SUM(a.re * b.im + a.im * b.re) im FROM {_spin_sql(SPIN_X)} a(x, y, re, im) JOIN {_spin_sql(SPIN_Y)} b(x, y, re, im) ON a.y = b.x GROUP BY 1, 2) WHERE re <> 0 OR im <> 0")
-def complex_contract(spark, sf):
-    out = network.operator_product(spin(spark, SPIN_X), spin(spark, SPIN_Y))
-    return out.df.select("x", F.col("x__p1").alias("y"), "v.re", "v.im")
-
-
-@query(f"SELECT x, y, re, -im AS im FROM {_spin_sql(SPIN_Y)} a(x, y, re, im)")
-def conjugate(spark, sf):
-    return algebra.conjugate(spin(spark, SPIN_Y)).df.select("x", F.col("x__p1").alias("y"), "v.re", "v.im")
-
-
 def _label_norms(spark, sf) -> DataFrame:
     """A value for each vector and its number in its label, as singular values would have."""
     from pyspark.sql import Window
@@ -556,11 +545,11 @@ def block_svd_truncated(spark, sf):
 @query("SELECT round(sqrt(SUM(CAST(v AS DOUBLE) * v)), 3) AS norm, true AS exact FROM D")
 def stable_svd(spark, sf):
     """The norm that the singular values of regions by segments have, and whether the factors multiply back."""
-    d = regions(spark, sf).df.toPandas()  # 25 numbers
-    m = np.zeros((5, 5))
-    m[d.g - 1, d.m - 1] = d.v
-    u, s, vt = factor.stable_svd(m)
-    return spark.createDataFrame([(round(float(np.sqrt((s * s).sum())), 3), bool(np.abs(u * s @ vt - m).max() < 1e-6))], "norm double, exact boolean")
+    d = regions(spark, sf)
+    f = spectral.full_svd(d, ["g"], 8, stable=True)
+    apart = reduce.difference(d, f.product().to_coo().permute(["g", "m"]))
+    total = f.table(spark).agg(F.round(F.sqrt(F.sum(F.col("sv") * F.col("sv"))), 3).alias("norm"))
+    return total.crossJoin(apart.select((F.col("max_diff") < 1e-6).alias("exact")))  # one row each
 
 
 ROUNDS = 8
@@ -680,14 +669,43 @@ def complex_reductions(spark, sf):
 ORACLE_SQL["complex_reductions"] = f"WITH {CTES}, {_Z} SELECT sqrt(SUM(re * re + im * im)) AS norm, MAX(sqrt(re * re + im * im)) AS max_abs, COALESCE(SUM(CASE WHEN i = 1 AND q = 3 AND f = 2 THEN im END), 0) AS re, COALESCE(SUM(CASE WHEN i = 1 AND q = 3 AND f = 2 THEN re END), 0) AS im FROM Z"
 
 
-@query("SELECT 2.0 AS re, 0.0 AS im, 0.0 AS ratio")
+def overlaps(spark, sf) -> Tensor:
+    """M(x, x'): the Hermitian matrix of overlaps of Z's flags."""
+    z = waves(spark, sf)
+    m = contract(algebra.conjugate(z), z.rename("f", "h"))
+    return m.relabel(lambda a: Axis("x", 3, int(a.name == "h")))
+
+
+_M = "M AS (SELECT a.f AS x, b.f AS y, SUM(a.re * b.re + a.im * b.im) re, SUM(a.re * b.im - a.im * b.re) im FROM Z a JOIN Z b USING (i, q) GROUP BY 1, 2)"
+
+
+@query()
+def complex_contract(spark, sf):
+    """M M, scaled down."""
+    m = algebra.scaled(overlaps(spark, sf), 1e-6)
+    out = network.operator_product(m, m)
+    return out.df.select("x", F.col("x__p1").alias("y"), F.round("v.re", 6).alias("re"), (F.round("v.im", 6) + 0.0).alias("im"))
+
+
+@query()
+def conjugate(spark, sf):
+    return parts(algebra.conjugate(waves(spark, sf)).df)
+
+
+@query()
 def complex_expectation(spark, sf):
-    """<s| Sy |s> of the eigenvector (1, i sqrt 2, -1) / 2, scaled by 2, and how far Sy is from Hermitian."""
-    state = Tensor.coo(spark.createDataFrame([(1, 0.5, 0.0), (2, 0.0, 0.5**0.5), (3, -0.5, 0.0)], "x int, re double, im double"), [Axis("x", 3)], F.struct("re", "im"))
-    y = spin(spark, SPIN_Y)
-    half = algebra.scaled(y, 2 * 0.5**0.5)
-    v = network.expectation(state, half).select(F.round("v.re", 9).alias("re"), (F.round("v.im", 9) + 0.0).alias("im"))
-    return v.crossJoin(network.hermiticity(y).select("ratio"))
+    """<s| M |s> of the state s(f) = f + i in a scale of M's, and how far M is from Hermitian."""
+    m = algebra.scaled(overlaps(spark, sf), 1e-6)
+    f = F.col("f").cast("double")
+    rows = flags(spark, sf).df.select("f").distinct().select(F.col("f").alias("x"), B.pair(f, F.lit(1.0)).alias("v"))
+    state = Tensor.coo(rows, [Axis("x", 3)], unique=True)
+    v = network.expectation(state, m).select(F.round("v.re", 6).alias("re"), (F.round("v.im", 6) + 0.0).alias("im"))
+    return v.crossJoin(network.hermiticity(m).select((F.round("ratio", 9) + 0.0).alias("ratio")))  # one row each
+
+
+ORACLE_SQL["complex_contract"] = f"WITH {CTES}, {_Z}, {_M} SELECT x, y, round(re / 1e12, 6) AS re, round(im / 1e12, 6) + 0.0 AS im FROM (SELECT a.x, b.y, SUM(a.re * b.re - a.im * b.im) re, SUM(a.re * b.im + a.im * b.re) im FROM M a JOIN M b ON a.y = b.x GROUP BY 1, 2) WHERE re <> 0 OR im <> 0"
+ORACLE_SQL["conjugate"] = f"WITH {CTES}, {_Z} SELECT i, q, f, re, -im AS im FROM Z"
+ORACLE_SQL["complex_expectation"] = f"WITH {CTES}, {_Z}, {_M} SELECT round(SUM(re * (x * y + 1) - im * (x - y)) / 1e6, 6) AS re, round(SUM(im * (x * y + 1) + re * (x - y)) / 1e6, 6) + 0.0 AS im, 0.0 AS ratio FROM M"
 
 
 # -- complex factorizations, and a projected operator of four spin-1 sites
@@ -730,28 +748,242 @@ def on_sites(spark, weight: float, *sites) -> Tensor:
     return algebra.scaled(out, weight)
 
 
+def couplings(spark, sf) -> Tensor:
+    """J(c): lines with line number c, 1 to 4."""
+    df = S.read(spark, sf, "lineitem").where("l_linenumber <= 4").groupBy(F.col("l_linenumber").cast("int").alias("c")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    return Tensor.coo(df, [Axis("c", 4)], unique=True)
+
+
 @query()
 def plaquette_sandwich(spark, sf):
-    """P H P of four sites: H = Sz Sz on 1, 2 and on 3, 4 + Sx Sx on 1, 4 + Sy Sy on 2, 3; P = (1 + turns by pi) / 2."""
+    """P H P of four sites: H = J1 Sz Sz on 1, 2 + J2 Sz Sz on 3, 4 + J3 Sx Sx on 1, 4 + J4 Sy Sy on 2, 3, with couplings that
+    lineitem gives; P = (1 + turns by pi) / 2."""
     one = SPIN_ONE
     terms = [(1.0, SPIN_Z, SPIN_Z, one, one), (1.0, one, one, SPIN_Z, SPIN_Z), (0.5, SPIN_X, one, one, SPIN_X), (0.5, one, SPIN_Y, SPIN_Y, one)]
     names = [f"s{n}{level}" for level in ("", "__p1") for n in range(1, 5)]
-    total = lambda ts: functools.reduce(algebra.add, [on_sites(spark, *t).permute(names) for t in ts])
+    made = [on_sites(spark, *t).permute(names) for t in terms]
+    total = lambda ts: functools.reduce(algebra.add, ts)
     held = lambda t, name: Tensor(t.axes, written(t.df, name))
-    p, h = held(total([(0.5, one, one, one, one), (0.5, TURN_Y, TURN_X, TURN_X, TURN_Y)]), "projector"), held(total(terms), "operator")
+    numbered = [Tensor((Axis("c", 4), *t.axes), t.df.select(F.lit(c).alias("c"), *names, "v")) for c, t in enumerate(made, 1)]
+    h = held(contract(couplings(spark, sf), total(numbered)).permute(names), "operator")
+    p = held(total([on_sites(spark, 0.5, one, one, one, one).permute(names), on_sites(spark, 0.5, TURN_Y, TURN_X, TURN_X, TURN_Y).permute(names)]), "projector")
     got = algebra.clean(network.sandwich(p, h))
-    return got.df.select(*names[:4], *[F.col(f"s{n}__p1").alias(f"t{n}") for n in range(1, 5)], F.round("v.re", 9).alias("re"), (F.round("v.im", 9) + 0.0).alias("im"))
+    return got.df.select(*names[:4], *[F.col(f"s{n}__p1").alias(f"t{n}") for n in range(1, 5)], F.round("v.re", 6).alias("re"), (F.round("v.im", 6) + 0.0).alias("im"))
 
 
 _SITES = "s1, s2, s3, s4, t1, t2, t3, t4"
 _FLIP = "CASE WHEN {0}1 = 2 THEN -1 ELSE 1 END * CASE WHEN {0}4 = 2 THEN -1 ELSE 1 END * v"
 ORACLE_SQL["plaquette_sandwich"] = f"""
 WITH X(x, y, re, im) AS {_spin_sql(SPIN_X)}, Y(x, y, re, im) AS {_spin_sql(SPIN_Y)}, Z(x, y, re, im) AS {_spin_sql(SPIN_Z)}, E(a) AS (VALUES (1), (2), (3)),
+J AS (SELECT CAST(l_linenumber AS INTEGER) c, CAST(COUNT(*) AS DOUBLE) j FROM lineitem GROUP BY 1),
 H AS (
-  SELECT p.x s1, q.x s2, e.a s3, f.a s4, p.y t1, q.y t2, e.a t3, f.a t4, p.re * q.re AS v FROM Z p, Z q, E e, E f
-  UNION ALL SELECT e.a, f.a, p.x, q.x, e.a, f.a, p.y, q.y, p.re * q.re FROM Z p, Z q, E e, E f
-  UNION ALL SELECT p.x, e.a, f.a, q.x, p.y, e.a, f.a, q.y, p.re * q.re / 2 FROM X p, X q, E e, E f
-  UNION ALL SELECT e.a, p.x, q.x, f.a, e.a, p.y, q.y, f.a, -p.im * q.im / 2 FROM Y p, Y q, E e, E f),
+  SELECT p.x s1, q.x s2, e.a s3, f.a s4, p.y t1, q.y t2, e.a t3, f.a t4, j * p.re * q.re AS v FROM Z p, Z q, E e, E f, J WHERE c = 1
+  UNION ALL SELECT e.a, f.a, p.x, q.x, e.a, f.a, p.y, q.y, j * p.re * q.re FROM Z p, Z q, E e, E f, J WHERE c = 2
+  UNION ALL SELECT p.x, e.a, f.a, q.x, p.y, e.a, f.a, q.y, j * p.re * q.re / 2 FROM X p, X q, E e, E f, J WHERE c = 3
+  UNION ALL SELECT e.a, p.x, q.x, f.a, e.a, p.y, q.y, f.a, -j * p.im * q.im / 2 FROM Y p, Y q, E e, E f, J WHERE c = 4),
 L AS (SELECT * FROM H UNION ALL SELECT 4 - s1, 4 - s2, 4 - s3, 4 - s4, t1, t2, t3, t4, {_FLIP.format('s')} FROM H),
 W AS (SELECT * FROM L UNION ALL SELECT s1, s2, s3, s4, 4 - t1, 4 - t2, 4 - t3, 4 - t4, {_FLIP.format('t')} FROM L)
 SELECT {_SITES}, CAST(SUM(v) / 4 AS DOUBLE) AS re, CAST(0 AS DOUBLE) AS im FROM W GROUP BY {_SITES} HAVING SUM(v) <> 0"""
+
+
+# -- canonical form, axes of one label, hot labels, grids, exact products
+
+
+def raw_lines(spark, sf) -> DataFrame:
+    """(i, q, v): lines as they come, so that coordinates repeat."""
+    return S.read(spark, sf, "lineitem").select(S.one("l_suppkey").alias("i"), F.col("l_linenumber").alias("q"), (F.col("l_quantity") - 25).cast("long").alias("v"))
+
+
+@query("SELECT sqrt(CAST(SUM(v * v) AS DOUBLE)) AS norm, CAST(MAX(abs(v)) AS BIGINT) AS max_abs, CAST(0 AS BIGINT) AS max_diff, COUNT(*) AS stored FROM (SELECT l_suppkey, l_linenumber, SUM(CAST(l_quantity - 25 AS BIGINT)) v FROM lineitem GROUP BY 1, 2) WHERE v <> 0")
+def repeated_keys(spark, sf):
+    """Entries that share coordinates are one value in every form: coordinates, and blocks against themselves."""
+    t = Tensor.coo(raw_lines(spark, sf), [Axis("i", S.BIG), Axis("q", 7)])
+    b = t.to_block(1)
+    return reduce.norm(b).crossJoin(reduce.max_abs(b)).crossJoin(reduce.difference(b, stored(b))).crossJoin(t.df.agg(F.count(F.lit(1)).alias("stored")))  # one row each
+
+
+@query("SELECT CAST(0 AS BIGINT) AS v, 0.0 AS overlap")
+def orthogonal_inner(spark, sf):
+    """Tensors that share no coordinate have the inner product 0 in one row."""
+    u = flags(spark, sf)
+    a, b = (Tensor(u.axes, u.df.where(f"f = {f}")) for f in (1, 2))
+    return network.inner(a, b).crossJoin(network.overlap(a, b))  # one row each
+
+
+@query()
+def complex_from_dense(spark, sf):
+    """Complex entries by their modulus, and rows with more than one of them."""
+    z = waves(spark, sf)
+    kept = Tensor.dense(z.df, list(z.axes), atol=60)
+    return restricted.violations(kept, ["i"], "q", [("q", "f")])
+
+
+ORACLE_SQL["complex_from_dense"] = f"WITH {CTES}, {_Z} SELECT i, q, COUNT(*) AS n, CAST(SUM(CASE WHEN q <> f THEN 1 ELSE 0 END) AS BIGINT) AS off FROM Z WHERE sqrt(re * re + im * im) > 60 GROUP BY 1, 2 HAVING COUNT(*) > 1 OR SUM(CASE WHEN q <> f THEN 1 ELSE 0 END) > 0"
+
+
+def two_links(spark, sf) -> Tensor:
+    """W(s site, l link, l' link of the same label): U by supplier modulo 3."""
+    df = flags(spark, sf).df.groupBy((F.col("i") % 3 + 1).cast("int").alias("s"), F.col("q").alias("l"), F.col("f").alias("l__c1")).agg(F.sum("v").alias("v"))
+    return Tensor.coo(df, [Axis("s", 3), Axis("l", 7, link=True), Axis("l", 3, link=True, copy=1)], unique=True)
+
+
+@query("SELECT CAST(s.s AS INTEGER) s, CAST(l.l AS INTEGER) l, CAST(COALESCE(w.v, 0) AS BIGINT) v FROM range(1, 4) s(s) CROSS JOIN range(1, 22) l(l) LEFT JOIN (SELECT i % 3 + 1 AS s, q + 7 * (f - 1) AS l, SUM(v) v FROM U GROUP BY 1, 2) w ON w.s = s.s AND w.l = l.l")
+def dense_merged_links(spark, sf):
+    """Two links of one label become one axis of the dense form, the first one fast; from blocks."""
+    return stored(two_links(spark, sf).to_block(1)).to_dense()
+
+
+@query("SELECT CAST(SUM(CASE WHEN x = y THEN v END) AS BIGINT) AS trace, CAST(SUM(CASE WHEN x = y THEN x * v END) AS BIGINT) AS weighted FROM R")
+def trace_of_one_label(spark, sf):
+    """Trace and diagonal of a matrix whose two axes share a label."""
+    r, _ = squares(spark, sf)
+    t = Tensor((Axis("x", 5), Axis("x", 5, copy=1)), r.df.withColumnRenamed("x__p1", "x__c1"))
+    return t.trace("x").df.select(F.col("v").alias("trace")).crossJoin(t.diagonal("x").df.agg(F.sum(F.col("x") * F.col("v")).alias("weighted")))  # one row each
+
+
+@query("SELECT a.r, b.q, b.f, CAST(SUM(a.v * b.v) AS BIGINT) v FROM (SELECT CASE WHEN i % 2 = 0 THEN 1 ELSE i END h, r, SUM(v) v FROM A GROUP BY 1, 2) a JOIN (SELECT CASE WHEN i % 2 = 0 THEN 1 ELSE i END h, q, f, SUM(v) v FROM U GROUP BY 1, 2, 3) b USING (h) GROUP BY 1, 2, 3")
+def hot_label_contract(spark, sf):
+    """Half of all suppliers under one label, whose rows are split over tasks on both sides."""
+    hot = F.when(F.col("i") % 2 == 0, 1).otherwise(F.col("i")).cast("int")
+
+    def under(t: Tensor) -> Tensor:
+        rest = [a for a in t.axes if a.col != "i"]
+        return Tensor.coo(t.df.withColumn("h", hot).groupBy("h", *[a.col for a in rest]).agg(F.sum("v").alias("v")), [Axis("h", S.BIG), *rest], unique=True)
+
+    return contract(under(S.supply(spark, sf)), under(flags(spark, sf)), spread=50).df
+
+
+def grouped_blocks(spark, sf, name: str, tail: str) -> Tensor:
+    """(name: supplier modulo 40 ; q, tail) of U, as stored blocks."""
+    df = flags(spark, sf).df.groupBy((F.col("i") % 40 + 1).cast("int").alias(name), "q", F.col("f").alias(tail)).agg(F.sum("v").alias("v"))
+    return stored(Tensor.coo(df, [Axis(name, 40), Axis("q", 7), Axis(tail, 3)], unique=True).to_block(2))
+
+
+@query("SELECT a.g, b.h, a.f, b.k, CAST(SUM(a.v * b.v) AS BIGINT) v FROM (SELECT i % 40 + 1 AS g, q, f, SUM(v) v FROM U GROUP BY 1, 2, 3) a JOIN (SELECT i % 40 + 1 AS h, q, f AS k, SUM(v) v FROM U GROUP BY 1, 2, 3) b USING (q) GROUP BY 1, 2, 3, 4")
+def block_block_tail_grid(spark, sf):
+    """Blocks that share only a tail axis: all pairs of blocks, which meet in the cells of a grid."""
+    return contract(grouped_blocks(spark, sf, "g", "f"), grouped_blocks(spark, sf, "h", "k"), plan="block").to_coo().df
+
+
+@query("SELECT i, CAST(SUM(v) AS DOUBLE) v FROM A GROUP BY 1")
+def exact_contract(spark, sf):
+    """Each part adds a huge number, its quantity, and the huge number's negative: only exact sums keep the quantities."""
+    a = S.supply(spark, sf).df
+    huge = F.pow(F.lit(2.0), 70 + F.col("r") % 20)
+    s = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("s")
+    v = F.when(F.col("s") == 1, huge).when(F.col("s") == 2, F.col("v").cast("double")).otherwise(-huge)
+    terms = a.select("i", "r", "v", s).select("i", "r", "s", v.alias("v"))
+    x = Tensor.coo(terms, [Axis("i", S.BIG), Axis("r", S.BIG), Axis("s", 3)], unique=True)
+    ones = Tensor.coo(a.select("r").distinct().select("r", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("s"), F.lit(1.0).alias("v")), list(x.axes[1:]), unique=True)
+    return contract(x, ones, exact=True).df
+
+
+# -- whole factorizations and eigenvalues
+
+
+def wide_matrix(spark, sf) -> Tensor:
+    """X(g supplier modulo 40, r part): quantity."""
+    df = S.supply(spark, sf).df.groupBy((F.col("i") % 40 + 1).cast("int").alias("g"), "r").agg(F.sum("v").cast("double").alias("v"))
+    return Tensor.coo(df, [Axis("g", 40), Axis("r", S.BIG)], unique=True)
+
+
+@query("SELECT CAST(round(SUM(v * v)) AS BIGINT) AS energy, true AS exact, true AS isometric, true AS falling FROM (SELECT i % 40 + 1 AS g, r, CAST(SUM(v) AS DOUBLE) v FROM A GROUP BY 1, 2)")
+def full_svd(spark, sf):
+    """All parts as columns: the squares of the singular values are those of the matrix, the factors multiply back, the vectors of the
+    many columns are orthonormal, and the values fall."""
+    t = wide_matrix(spark, sf)
+    t = Tensor(t.axes, written(t.df, "wide"))
+    f = spectral.full_svd(t, ["g"], 48, rounds=1)
+    exact = reduce.difference(t, f.product().to_coo().permute(["g", "r"])).select((F.col("max_diff") < 1e-6).alias("exact"))
+    isometric = factor.isometry_defect(f.right, ["r"], f.right.tail[0].col).select((F.col("defect") < 1e-9).alias("isometric"))
+    energy = f.table(spark).agg(F.round(F.sum(F.col("sv") * F.col("sv"))).cast("long").alias("energy"))
+    return energy.crossJoin(exact).crossJoin(isometric).withColumn("falling", F.lit(bool((np.diff(f.values) <= 0).all())))  # one row each
+
+
+@query("SELECT n.n AS nation, true AS steady, CAST(5 AS INTEGER) AS bonds FROM (SELECT DISTINCT n FROM G) n")
+def stable_svd_gauge(spark, sf):
+    """Nations by regions have equal singular values throughout. Noise of 1e-13 doesn't move the vectors of the fixed gauge."""
+    g = S.nations(spark, sf)
+    noise = F.pmod(F.xxhash64("n", "g"), F.lit(1000)).cast("double") * 1e-16
+    near = Tensor(g.axes, g.df.withColumn("v", F.col("v") + noise))
+    a, b = (spectral.full_svd(t, ["n"], 8, stable=True) for t in (g, near))
+    both = a.left.df.select("n", F.col("blk").alias("x")).join(b.left.df.select("n", F.col("blk").alias("y")), "n")
+    apart = F.array_max(F.zip_with("x", "y", lambda x, y: F.abs(x - y)))
+    return both.select(F.col("n").alias("nation"), (apart < 1e-9).alias("steady"), F.size("x").alias("bonds"))
+
+
+LANCZOS_ROUNDS = 12
+_LANCZOS = ", ".join(f"ly{i} AS (SELECT L.x, SUM(L.v * s.v) v FROM L JOIN ls{i - 1} s ON s.x = L.y GROUP BY 1), ln{i} AS (SELECT sqrt(SUM(v * v)) n FROM ly{i}), ls{i} AS (SELECT x, v / n AS v FROM ly{i}, ln{i})" for i in range(1, LANCZOS_ROUNDS + 1))
+
+
+@query()
+def lanczos_largest(spark, sf):
+    """The largest eigenvalue of X X', and whether its Ritz vector is an eigenvector."""
+    t = wide_matrix(spark, sf)
+    m = contract(t, t.rename("g", "h"))
+    m = Tensor(m.axes, written(m.df, "gram"))
+    values, top = spectral.lanczos(m, "g", "h", 8)
+    image = contract(m, top).rename("g", "h")
+    apart = reduce.norm(algebra.subtract(image, algebra.scaled(top, float(values[0]))))
+    return apart.select(F.lit(round(float(values[0]))).cast("long").alias("largest"), (F.col("norm") < 1e-6 * float(values[0])).alias("steady"))
+
+
+ORACLE_SQL["lanczos_largest"] = f"WITH {CTES}, X AS (SELECT i % 40 + 1 AS g, r, CAST(SUM(v) AS DOUBLE) v FROM A GROUP BY 1, 2), L AS (SELECT a.g AS x, b.g AS y, SUM(a.v * b.v) v FROM X a JOIN X b USING (r) GROUP BY 1, 2), ls0 AS (SELECT DISTINCT x, 1.0::DOUBLE AS v FROM L), {_LANCZOS} SELECT CAST(round(n) AS BIGINT) AS largest, true AS steady FROM ln{LANCZOS_ROUNDS}"
+
+
+# -- sources, points, layouts and sinks of blocks and templates
+
+
+@query("SELECT q, i, f, v FROM U")
+def load_canonical(spark, sf):
+    """Rows in any order of axes become a block tensor in canonical order, dense axes last."""
+    df = flags(spark, sf).df.select("f", "v", "i", "q")
+    t = Tensor.load(df, [Axis("f", 3), Axis("i", S.BIG, 0, True), Axis("q", 7)], "block", dense=["f"], unique=True)
+    return stored(t).to_coo().df
+
+
+@query("SELECT CAST(COALESCE((SELECT v FROM D WHERE g = (SELECT g FROM G WHERE n = 3) AND m = 2), 0) AS BIGINT) v")
+def aliased_point_lookup(spark, sf):
+    return spread(spark, sf).get(n=3, m=2)
+
+
+@query("SELECT U.i, U.f, U.q, U.v FROM U")
+def aliased_permute(spark, sf):
+    return stored(flags(spark, sf).to_block(2)).to_aliased().permute(["i", "f", "q"]).to_coo().df
+
+
+@query("SELECT CAST((r - 1) % 50 * 40 + (i - 1) % 40 + 1 AS INTEGER) gr, q, CAST(SUM(v) AS BIGINT) v FROM T GROUP BY 1, 2")
+def fuse_sparse_head(spark, sf):
+    """Two prefix axes of stored blocks as one."""
+    t = S.lines(spark, sf).df.groupBy(((F.col("i") - 1) % 40 + 1).cast("int").alias("g"), ((F.col("r") - 1) % 50 + 1).cast("int").alias("r"), "q").agg(F.sum("v").alias("v"))
+    return stored(Tensor.coo(t, [Axis("g", 40), Axis("r", 50), Axis("q", 7)], unique=True).to_block(1)).fuse("g", "r", "gr").to_coo().df
+
+
+@query("SELECT i, CAST((f - 1) * 7 + q AS INTEGER) qf, v FROM U")
+def aliased_fuse(spark, sf):
+    return stored(flags(spark, sf).to_block(2)).to_aliased().fuse("q", "f", "qf").to_coo().df
+
+
+@query("SELECT CAST(x.n AS INTEGER) n, CAST(y.m AS INTEGER) m, CAST(COALESCE(D.v, 0) AS BIGINT) v FROM range(1, 26) x(n) CROSS JOIN range(1, 6) y(m) LEFT JOIN G ON G.n = x.n LEFT JOIN D ON D.g = G.g AND D.m = y.m")
+def aliased_to_dense(spark, sf):
+    return spread(spark, sf).to_dense()
+
+
+@query("SELECT CAST(x.q AS INTEGER) q, CAST(y.f AS INTEGER) f, CAST(COALESCE(K.v, -1) AS BIGINT) v FROM range(1, 8) x(q) CROSS JOIN range(1, 4) y(f) LEFT JOIN K ON K.q = x.q AND K.f = y.f AND K.v > 0")
+def block_to_dense(spark, sf):
+    return stored(summed(flags(spark, sf), ["q", "f"]).to_block(1)).to_dense(fill=-1)
+
+
+@query("SELECT DISTINCT i, q, CAST(7 AS BIGINT) v FROM U")
+def fill_pattern(spark, sf):
+    t = summed(flags(spark, sf), ["i", "q"])
+    return algebra.fill(t, 7).df.withColumn("v", F.col("v").cast("long"))
+
+
+@query("SELECT i, CAST((f - 1) * 7 + q AS INTEGER) bond, v FROM U")
+def align_bond_links(spark, sf):
+    """Links q and f take the place of the one link that a target tensor has, of the product of their dimensions."""
+    u = flags(spark, sf)
+    t = Tensor((u.axes[0], Axis("q", 7, 0, True), Axis("f", 3, 0, True)), u.df)
+    target = Tensor((u.axes[0], Axis("bond", 21, 0, True)), u.df.select("i", F.col("q").alias("bond"), "v"))
+    return align_links(target, t).df.select("i", "bond", "v")
