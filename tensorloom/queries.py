@@ -15,8 +15,9 @@ from tensorloom.functions import blocks as B
 from tensorloom.meta import Axis
 from tensorloom.operators import algebra, factor, reduce, restricted, spectral
 from tensorloom.operators.contract import align_links, contract, contract_and_fuse
-from tensorloom.plans import network
+from tensorloom.plans import network, sites
 from tensorloom.sources import tables as S
+from tensorloom.sources.log import TensorLog
 from tensorloom.sources.shared import folder, written
 from tensorloom.tensor import Tensor
 
@@ -987,3 +988,49 @@ def align_bond_links(spark, sf):
     t = Tensor((u.axes[0], Axis("q", 7, 0, True), Axis("f", 3, 0, True)), u.df)
     target = Tensor((u.axes[0], Axis("bond", 21, 0, True)), u.df.select("i", F.col("q").alias("bond"), "v"))
     return align_links(target, t).df.select("i", "bond", "v")
+
+
+# -- a changing tensor, and chains of sites
+
+
+@query("SELECT i, q, CAST(v AS BIGINT) v, step FROM (SELECT i, q, CASE WHEN q = 1 THEN 0 WHEN q = 2 THEN 5 ELSE v END v, 'set' AS step FROM (SELECT i, q, SUM(v) v FROM U GROUP BY 1, 2) UNION ALL SELECT i, q, CASE WHEN q = 1 THEN 0 WHEN q = 2 THEN 5 ELSE v END + CASE WHEN q IN (1, 3) THEN i ELSE 0 END, 'add' FROM (SELECT i, q, SUM(v) v FROM U GROUP BY 1, 2)) WHERE v <> 0")
+def tensor_log(spark, sf):
+    """A log of appends: line 1 deleted and line 2 set, then the supplier's number added to lines 1 and 3 in two halves, then
+    compacted. The state after the first append is still there."""
+    t = summed(flags(spark, sf), ["i", "q"])
+    log = TensorLog.create(t, f"{folder(spark)}/log-{uuid.uuid4().hex}")
+    log.append(t.df.where("q <= 2").withColumn("v", F.when(F.col("q") == 1, 0).otherwise(5).cast("long")))
+    once = t.df.where("q in (1, 3)").select("i", "q", F.col("i").cast("long").alias("v"))
+    halves = once.select("i", "q", F.explode(F.array(F.floor(F.col("v") / 2), F.ceil(F.col("v") / 2))).alias("v"))
+    log.append(halves, "add")
+    log.compact()
+    return log.read(1).df.withColumn("step", F.lit("set")).unionByName(log.read().df.withColumn("step", F.lit("add")))
+
+
+def site(spark, sf, weight: str = "v", **axes) -> Tensor:
+    """A tensor of U by expressions; links are the axes whose names start with l or k."""
+    named = {n: F.expr(e).cast("int").alias(n) for n, (e, _) in axes.items()}
+    df = flags(spark, sf).df.select(F.expr(weight).cast("double").alias("v"), *named.values()).groupBy(*axes).agg(F.sum("v").alias("v"))
+    return Tensor.coo(df, [Axis(n.removesuffix("__p1"), d, int(n.endswith("__p1")), n[0] in "lk") for n, (_, d) in axes.items()], unique=True)
+
+
+@query()
+def chain_of_sites(spark, sf):
+    """An operator chain of three sites on a state chain, site by site, with bonds compressed; as one tensor in a scale of its own."""
+    one, two, three = ("i % 4 + 1", 4), ("i % 3 + 1", 3), ("i % 5 + 1", 5)
+    state = sites.Chain((site(spark, sf, s1=one, l1=("q", 7)), site(spark, sf, l1=("q", 7), s2=two, l2=("f", 3)), site(spark, sf, l2=("f", 3), s3=three)))
+    spread_ = {"s1__p1": ("q % 4 + 1", 4)}, {"s2__p1": ("q % 3 + 1", 3)}, {"s3__p1": ("q % 5 + 1", 5)}
+    k1, k2 = ("f % 2 + 1", 2), ("i % 2 + 1", 2)
+    operator = sites.Chain((site(spark, sf, "1", s1=one, k1=k1, **spread_[0]), site(spark, sf, "1", k1=k1, s2=two, k2=k2, **spread_[1]), site(spark, sf, "1", k2=k2, s3=three, **spread_[2])))
+    out = sites.compressed(operator @ state, 20)
+    t = out.whole()
+    return reduce.normalised(t).df.select("s1", "s2", "s3", F.round("v", 9).alias("v"), F.lit(all(d <= 14 for d in out.bonds())).alias("bounded"))
+
+
+ORACLE_SQL["chain_of_sites"] = f"""WITH {CTES},
+M1 AS (SELECT i % 4 + 1 AS s, q AS l, CAST(SUM(v) AS DOUBLE) v FROM U GROUP BY 1, 2), M2 AS (SELECT q AS l, i % 3 + 1 AS s, f AS m, CAST(SUM(v) AS DOUBLE) v FROM U GROUP BY 1, 2, 3), M3 AS (SELECT f AS m, i % 5 + 1 AS s, CAST(SUM(v) AS DOUBLE) v FROM U GROUP BY 1, 2),
+W1 AS (SELECT i % 4 + 1 AS s, q % 4 + 1 AS t, f % 2 + 1 AS k, CAST(COUNT(*) AS DOUBLE) v FROM U GROUP BY 1, 2, 3), W2 AS (SELECT f % 2 + 1 AS k, i % 3 + 1 AS s, q % 3 + 1 AS t, i % 2 + 1 AS j, CAST(COUNT(*) AS DOUBLE) v FROM U GROUP BY 1, 2, 3, 4), W3 AS (SELECT i % 2 + 1 AS j, i % 5 + 1 AS s, q % 5 + 1 AS t, CAST(COUNT(*) AS DOUBLE) v FROM U GROUP BY 1, 2, 3),
+S AS (SELECT M1.s a, M2.s b, M3.s c, SUM(M1.v * M2.v * M3.v) v FROM M1 JOIN M2 USING (l) JOIN M3 USING (m) GROUP BY 1, 2, 3),
+O AS (SELECT W1.s a, W1.t x, W2.s b, W2.t y, W3.s c, W3.t z, SUM(W1.v * W2.v * W3.v) v FROM W1 JOIN W2 USING (k) JOIN W3 USING (j) GROUP BY 1, 2, 3, 4, 5, 6),
+Z AS (SELECT O.a s1, O.b s2, O.c s3, SUM(O.v * S.v) v FROM O JOIN S ON O.x = S.a AND O.y = S.b AND O.z = S.c GROUP BY 1, 2, 3)
+SELECT CAST(s1 AS INTEGER) s1, CAST(s2 AS INTEGER) s2, CAST(s3 AS INTEGER) s3, round(v / (SELECT MAX(v) FROM Z), 9) v, true AS bounded FROM Z"""

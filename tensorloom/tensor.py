@@ -125,12 +125,11 @@ class Tensor:
             out = out.groupBy(*made.keys).agg(B.total(F.col("v"), made.is_complex).alias("v"))
             return cls(axes, out).pruned()
         if check:
-            cols = [a.col for a in axes]
-            twice = out.groupBy(*cols).count().where("count > 1")
             outside = F.lit(False)
             for a in axes:
                 outside |= (F.col(a.col) < 1) | (F.col(a.col) > a.dim)
-            if not twice.isEmpty() or not out.where(outside).isEmpty():
+            # one pass over the entries, which ends at the first fault
+            if not out.groupBy(*made.keys).agg(F.count(F.lit(1)).alias("__n"), F.max(outside).alias("__out")).where("__n > 1 or __out").isEmpty():
                 raise ValueError("coordinates repeat or lie outside")
         return made.pruned()
 
