@@ -23,7 +23,6 @@ from tensorloom.tensor import Tensor
 
 WIDEST = 1024
 FAN = 16
-SIDE = "__k"
 
 
 @dataclass(frozen=True)
@@ -116,8 +115,8 @@ def full_svd(t: Tensor, rows: list[str], width: int, rounds: int = 2, tol: float
     """The `width` largest singular values and vectors of the matrix (row axes) x (other axes), all of them if its rank is not above
     the width; real values.
 
-    Columns are mixed with random signs, which depend on their coordinates alone, so the product's span holds the leading left
-    vectors; each further round multiplies by the matrix and its transpose and sharpens it (error falls with the power 2 * rounds
+    Columns are mixed with normal random numbers, which depend on their coordinates alone, so the product's span holds the leading
+    left vectors; each further round multiplies by the matrix and its transpose and sharpens it (error falls with the power 2 * rounds
     + 1 of the ratio of left-out to kept values). Bases are made orthonormal by trees of QR steps. The small factor's SVD gives
     the values; left and right vectors come from one product each. stable: vectors of equal values are turned to a basis that
     doesn't depend on rounding or on the order of rows (see gauge_fixed), which also fixes signs.
@@ -130,9 +129,13 @@ def full_svd(t: Tensor, rows: list[str], width: int, rounds: int = 2, tol: float
     t = Tensor(t.axes, t.df.withColumn("v", F.col("v").cast("double")))
     left = [a for a in t.axes if a.col in rows or a.name in rows]
     right = [a for a in t.axes if a not in left]
-    cols = [a.col for a in right]
-    signs = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: F.when(F.xxhash64(*cols, k, F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0))
-    x = Tensor((*right, Axis(SIDE[2:], width)), written(t.df.select(*cols).distinct().withColumn("blk", signs), "signs"), 1)
+    cols, bond = [a.col for a in right], "bond"
+    while any(bond in (a.col, a.name) for a in t.axes):
+        bond += "_"
+    share = lambda k, part: (F.shiftrightunsigned(F.xxhash64(*cols, k, F.lit(seed), F.lit(part)), 11).cast("double") + 1) / 2.0**53
+    # normal numbers: signs alone are too often dependent where a side is short
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: F.sqrt(-2 * F.log(share(k, 0))) * F.cos(2 * np.pi * share(k, 1)))
+    x = Tensor((*right, Axis(bond, width)), written(t.df.select(*cols).distinct().withColumn("blk", drawn), "drawn"), 1)
     q = None
     for _ in range(rounds + 1):
         q = orthonormal(contract(t, x, plan="block"), tol)
