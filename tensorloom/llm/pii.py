@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 SECRET_WORDS = "password|passwd|pwd|secret|token|api_key|apikey|access_key"
-# from the first letter or digit of a run, of any length; the domain stays
-EMAIL = r"(?<![A-Za-z0-9][._%+\-]{1,8})[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
+# from the first letter (of any script) or digit of a run, of any length; the domain stays
+EMAIL = r"(?<![\p{L}0-9][._%+\-]{1,8})[\p{L}0-9][\p{L}0-9._%+\-]*+@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
 KEY_ID = r"AKIA[A-Z0-9]{16}"
+# after a keyword, in quotes or not, a mark and up to 16 blanks each, or after an authorization header's scheme
+BEFORE_SECRET = rf"(?i:{SECRET_WORDS})[\"']?[ \t]{{0,16}}(?:=>|:=|=|:)[ \t]{{0,16}}[\"']?|(?i:authorization)[\"']?[ \t]{{0,16}}[=:][ \t]{{0,16}}[\"']?(?i:bearer|basic|token)[ \t]{{1,16}}"
 # a run of any length, never given back; dots join its parts
-SECRET = rf"(?<=(?i:{SECRET_WORDS})[ ]?[=:][ ]?[\"']?)[A-Za-z0-9_/+\-](?:[A-Za-z0-9_/+\-]|\.(?=[A-Za-z0-9_/+\-])){{7,}}+"
+SECRET = rf"(?<={BEFORE_SECRET})[A-Za-z0-9_/+\-](?:[A-Za-z0-9_/+\-!@#$%^*~]|\.(?=[A-Za-z0-9_/+\-])){{7,}}+"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
@@ -141,7 +143,7 @@ class Pseudonyms:
         octets = f"forall(split({x}, '[.]'), o -> cast(o as int) <= 255 and (o = '0' or o not like '0%'))"
         day = f"try_cast({x} as date) between date'1700-01-01' and date'2099-12-31'"
         ssn = f"substring({x}, 1, 3) not in ('000', '666') and {x} not like '9%' and substring({x}, 5, 2) <> '00' and substring({x}, 8, 4) <> '0000'"
-        return f"""case when contains({x}, '@') then 'email'
+        return f"""case when contains({x}, '@') and {is_(EMAIL)} then 'email'
             when {is_(CARD)} and length({d}) between 13 and 19 and {self.luhn_sum(d, 0)} % 10 = 0 then 'card'
             when {is_(IPV4)} then if({octets}, 'ipv4', null)
             when {is_(DATE)} then if({day}, 'date', null)
@@ -163,7 +165,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
 
     Null text stays null (found: empty). Texts without a digit, "@", "=" or ":" are not searched, since no kind lacks all of
     these. Each value is treated alone: a text with n values costs n permutations, and nothing is shuffled. The domain of an
-    address stays. Rows may repeat, ids be null and other columns have any name; no rows give none.
+    address stays, and so do letters beyond A to Z and marks in addresses and secrets. Secrets are runs of 8 or more characters
+    without quotes, commas, brackets, "&", "?" and "=". Not found: IPv6 addresses, addresses whose domain has other
+    letters than A to Z, and secrets without a keyword. Rows may repeat, ids be null and other columns have any name; no rows give none.
     """
     p = Pseudonyms(key)
     text = f"cast(`{text_col}` as string)"
