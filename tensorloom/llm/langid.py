@@ -130,7 +130,8 @@ class Filters:
 def fit(labelled: DataFrame, per_language: int = 1000, min_rate: float = 2e-5, min_share: float = 0.4, id_col: str = "doc_id") -> Filters:
     """Filters from (text, lang) rows; rows without either are left out. Every lang value is learned.
 
-    From each language at most about `per_language` whole texts are taken, those with the smallest hash of the id. An
+    From each language at most about `per_language` whole texts are taken, those with the smallest hash of id and text, so that rows
+    that share or lack an id are drawn apart; rows that repeat both are drawn together. An
     n-gram belongs to each language where it makes at least min_rate of all n-grams and at least min_share of its highest
     rate in any language, so a language has at most 1 / min_rate of them, and no more come to the driver.
     """
@@ -141,7 +142,7 @@ def fit(labelled: DataFrame, per_language: int = 1000, min_rate: float = 2e-5, m
         return Filters.of([], [])
     languages = [lang for lang, _ in sizes]
     share = spark.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in sizes], "lang string, share double")  # a row for each language
-    draw = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(F.broadcast(share), "lang").where(draw <= F.col("share")).select("lang", "text")
     number = {lang: i for i, lang in enumerate(languages)}
 
