@@ -227,3 +227,93 @@ def test_trees_and_scores():
     assert sorted(a.order) == list(range(900)) and (np.asarray(scores(x, y)) == x.astype(int) @ y.astype(int).T).all()
     same = ball_tree(np.ones((1000, 3)), 16)
     assert (same.end - same.start)[same.left < 0].max() <= 16
+
+
+PLANTED = [
+    ('{{"password": "{}"}}', "hunter2hunter2"), ('{{"api_key":"{}"}}', "abcdefGH12345678"), ("password   =   {} next", "swordfish99x"), ("token:\t{}", "abcdefgh1234"), ("secret=>{};", "abcdefgh1234"),
+    ("password={}", "p@ssw0rd!long"), ("Authorization: Bearer {}", "eyJhbGciOi.abc-DEF_123"), ("?token={}&user=bobby1234", "abcdefgh12"), ("PWD := '{}'", "Tr0ub4dor&3xx"[:9]), ("mail jörg@x.org or {}", "anna.lena@example.com"),
+    ("to {} and", "bob@" + "a" * 70 + ".com"), ("in {}", "a.b.c@example.co.uk"),
+]
+CLEAN = ["a basic understanding of Bearer certificates", "the password is secret", "tokens: few", "see section: overview", "x = 12345678901", "at 3:45 pm we met @home"]
+
+
+def test_planted_secrets_are_found_by_a_plain_search(spark):
+    """What is planted must be gone, whatever pattern found it; what surrounds it stays; the same value gets the same pseudonym."""
+    from tensorloom.llm.pii import pseudonymise
+
+    texts = [form.format(value) for form, value in PLANTED] + CLEAN + [f"again password={PLANTED[2][1]}", None]
+    rows = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    for (form, value), text in zip(PLANTED, rows, strict=False):
+        before, after = form.format("\0").split("\0")
+        local = value.split("@")[0] if value.count("@") == 1 and "." in value.split("@")[1] else value
+        assert local not in text and text.endswith(after) and (text.startswith(before) or "jörg" in before) and len(text) == len(form.format(value))
+        assert [c.isdigit() for c in text] == [c.isdigit() for c in form.format(value)]
+    assert "jörg" not in rows[9] and "@x.org" in rows[9]
+    assert rows[len(PLANTED) : len(PLANTED) + len(CLEAN)] == CLEAN and rows[-1] is None
+    assert rows[-2].split("=")[1] == rows[2].split("=   ")[1].split(" ")[0]
+
+
+def test_language_sample_of_null_ids(spark):
+    from tensorloom.llm import langid
+
+    texts = [(None, f"the {i} and of words that follow here {i * 7}", "en") for i in range(600)] + [(None, f"der {i} und die wörter die folgen hier {i * 7}", "de") for i in range(600)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    sample = langid.F.xxhash64("doc_id", "text")
+    share = df.where(F.pmod(sample, F.lit(1 << 30)) / float(1 << 30) <= 0.2).count()
+    assert 150 < share < 330
+    filters = langid.fit(df, per_language=100)
+    got = {r.lang_pred for r in langid.identify(df.limit(50), filters).collect()}
+    assert got <= {"en", "de"}
+
+
+def test_language_scores_by_sets(spark):
+    """The filters' answers, with the n-grams counted and rated in plain Python: rates above the floor, shares, and chances."""
+    from tensorloom.llm import langid
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null and lang is not null")
+    filters = langid.fit(docs.where(~Q.held_out()), per_language=10**9)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs.select("doc_id", "text"), filters).collect()}
+    counts = defaultdict(Counter)
+    learned = {r.doc_id for r in docs.where(~Q.held_out()).select("doc_id").collect()}
+    texts = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    of = lambda t: langid.grams(list(langid.words_of(t)))[0].view(np.int64).tolist()
+    for i in learned:
+        counts[texts[i][1]].update(of(texts[i][0]))
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    top = Counter()
+    for r in rate.values():
+        for g, v in r.items():
+            top[g] = max(top[g], v)
+    sets = {lang: {g for g, v in r.items() if v >= 2e-5 and v >= 0.4 * top[g]} for lang, r in rate.items()}
+    agree = 0
+    for i, (t, _) in texts.items():
+        gs = of(t)
+        if gs:
+            share = {lang: sum(g in s for g in gs) / len(gs) for lang, s in sets.items()}
+            best = max(sorted(share), key=share.get)
+            agree += got[i][0] == best and abs(got[i][1] - share[best]) < 0.05
+        else:
+            agree += got[i][0] == langid.UND
+    assert agree >= 0.97 * len(texts)
+
+
+def test_mixed_easy_copies_and_a_dense_group(spark):
+    """Pairs whose only link is each other inside a dense group, beside as many copies that any pass finds."""
+    from tensorloom.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(17)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    dense = unit(np.sqrt(0.85) * unit(rng.standard_normal(64)) + np.sqrt(0.15) * unit(rng.standard_normal((3000, 64))))
+    across = rng.standard_normal((150, 64))
+    across = unit(across - (across * dense[:150]).sum(1, keepdims=True) * dense[:150])
+    pairs = unit(0.955 * dense[:150] + np.sqrt(1 - 0.955**2) * across)
+    easy = unit(rng.standard_normal((2000, 64)))
+    copies = unit(easy + 1e-3 * rng.standard_normal(easy.shape))
+    x = np.concatenate([dense, pairs, easy, copies])
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in near_vectors(df, window=256).collect()}
+    hard = [(i, 3000 + i) for i in range(150) if near[i, 3000 + i]]
+    assert len(hard) > 100 and all(got[3150 + i].component_id == got[5150 + i].component_id for i in range(2000))
+    assert sum(got[i].component_id == got[j].component_id for i, j in hard) >= 0.97 * len(hard)
