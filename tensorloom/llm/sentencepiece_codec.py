@@ -7,12 +7,12 @@ A unigram model takes the sum of scores. A BPE model defines its ids by merges i
 sum. Its segmentations are those in which every two neighbours stay apart when merged alone, and each prefix of a word has
 just one; so the path's score is 0, or minus infinity where a piece doesn't stay apart from the one that the path to its
 start ends with, and the maximum finds the merges' result. Whether two pieces stay apart follows from the merge trees
-along their common border, for all pairs of a batch together.
+along their common border, for all pairs of a batch together. The columns of a long BPE word are made in stretches that
+advance together: a stretch depends on what is before it only through as many columns as the longest piece has characters.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 
 import numpy as np
@@ -26,7 +26,9 @@ from tensorloom.llm.tokens import ChunkEncoder, batches_of, kept
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-LONG = 256  # BPE words above it are merged one by one, with the same result
+LONG = 256  # longer BPE words are cut into stretches of this length
+ROUNDS = 4  # in which all stretches guess at once what comes before them
+LONG_CHARS = 1 << 18  # of long words whose stretches advance together; a multiple of LONG
 PAIR_BITS = 20  # of the table of piece pairs that a worker remembers
 BUCKET_BITS = 18  # of a key, for which the first sorted key is known
 BATCH_CELLS = 2_000_000
@@ -174,12 +176,25 @@ class Pieces:
         """The ids of equally long words, one word after the other, and how many each has."""
         n, length = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, length)
-        h = self.prefix_hashes(codes)
         best = np.full((n, length + 1), -np.inf, np.float32)
         best[:, 0] = 0
-        back, piece = np.zeros((n, length + 1), np.int64), np.full((n, length + 1), -1, np.int64)
-        rows = np.arange(n)
-        for end in range(1, length + 1):
+        piece, rows = np.full((n, length + 1), -1, np.int64), np.arange(n)
+        back = self._advance(codes, best, piece, 1)
+        # all paths are followed back together
+        steps, end = [], np.full(n, length)
+        while end.any():
+            steps.append(np.where(end > 0, piece[rows, end], -2))
+            end = back[rows, end]
+        ids = np.stack(steps[::-1], axis=1)
+        if not (ids == -1).any():
+            return ids[ids >= 0], (ids >= 0).sum(axis=1)
+        return self._spelled(words, back, piece)
+
+    def _advance(self, codes: np.ndarray, best: np.ndarray, piece: np.ndarray, first: int) -> np.ndarray:
+        """Fills the columns of best and piece from `first` on, given those before it; returns the back pointers."""
+        h, rows = self.prefix_hashes(codes), np.arange(len(codes))
+        back = np.zeros(piece.shape, np.int64)
+        for end in range(first, piece.shape[1]):
             starts = np.arange(max(0, end - self.longest), end)
             ids = self.probe(h[:, end : end + 1] - h[:, starts] * self.powers[end - starts])
             if self.unigram:
@@ -188,22 +203,74 @@ class Pieces:
             else:
                 fits = (ids >= 0) & self.made[ids]
                 fits[:, -1] = True
-                row, col = np.nonzero(fits[:, starts > 0])
-                col += int(starts[0] == 0)
+                fits &= best[:, starts] > -np.inf
+                row, col = np.nonzero(fits)
                 fits[row, col] = self.compatible(piece[row, starts[col]], ids[row, col])
                 score = np.where(fits, np.float32(0), np.float32(-np.inf))
             total = best[:, starts] + score
             top = total.argmax(axis=1)
             best[:, end], back[:, end], piece[:, end] = total[rows, top], starts[top], ids[rows, top]
-        # all paths are followed back together
-        steps, end = [], np.full(n, length)
-        while end.any():
-            steps.append(np.where(end > 0, piece[rows, end], -2))
-            end = back[rows, end]
-        ids = np.stack(steps[::-1], axis=1)
-        if not (ids == -1).any():
-            return ids[ids >= 0], (ids >= 0).sum(axis=1)
-        return self._spelled(words, back, piece)
+        return back
+
+    def long_paths(self, words: list[str]) -> list[list[int]]:
+        """The segmentations of BPE words of any length.
+
+        Each word's columns are made in stretches of LONG. All stretches advance together, first as if a word began at each,
+        then from what the stretch before ended with, a few rounds long. At last each word is walked from its start, where a
+        stretch whose beginning was guessed right is known and any other is made then; so guesses cost time only.
+        """
+        reach = self.longest
+        fresh = np.full((2, reach + 1), -1, np.float64)  # best and piece of the columns before a stretch: a word begins here
+        fresh[0] = -np.inf
+        fresh[0, reach] = 0
+        begin = fresh.tobytes()
+        known: dict[tuple, tuple[np.ndarray, bytes]] = {}
+
+        def learn(wanted):
+            by: dict[int, list[tuple]] = {}
+            for key in wanted:
+                if key not in known:
+                    known[key] = ()
+                    by.setdefault(len(key[0][1]), []).append(key)
+            for length, keys in by.items():
+                step = max(1, BATCH_CELLS // ((length + reach) * 16))
+                for i in range(0, len(keys), step):
+                    some = keys[i : i + step]
+                    codes = np.frombuffer("".join(x + y for (x, y), _ in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), -1)
+                    before = np.frombuffer(b"".join(seed for _, seed in some), np.float64).reshape(len(some), 2, reach + 1)
+                    best, piece = np.full((len(some), reach + length + 1), -np.inf, np.float32), np.full((len(some), reach + length + 1), -1, np.int64)
+                    best[:, : reach + 1], piece[:, : reach + 1] = before[:, 0], before[:, 1]
+                    self._advance(codes, best, piece, reach + 1)
+                    ends = np.stack([best[:, -reach - 1 :], piece[:, -reach - 1 :]], axis=1).astype(np.float64)
+                    for key, own, end in zip(some, piece[:, reach + 1 :].astype(np.int32), ends, strict=True):
+                        known[key] = own, end.tobytes()
+
+        seen, columns = [begin] * len(words), [[] for _ in words]
+        for at in range(0, max(map(len, words)), LONG_CHARS):
+            known.clear()
+            # a stretch's text includes the characters before it that its pieces may hold
+            cuts = [[(w[max(0, i - reach) : i].rjust(reach, "\0"), w[i : i + LONG]) for i in range(at, min(at + LONG_CHARS, len(w)), LONG)] for w in words]
+            seeds = [[s, *[begin] * (len(c) - 1)] for s, c in zip(seen, cuts, strict=True)]
+            for _ in range(ROUNDS):
+                learn((x, s) for c, own in zip(cuts, seeds, strict=True) for x, s in zip(c, own, strict=False))
+                after = [[s, *(known[x, y][1] for x, y in zip(c[:-1], own, strict=False))] for s, c, own in zip(seen, cuts, seeds, strict=True)]
+                if after == seeds:
+                    break
+                seeds = after
+            for i, c in enumerate(cuts):
+                for x in c:
+                    learn([(x, seen[i])])
+                    own, seen[i] = known[x, seen[i]]
+                    columns[i].append(own)
+        out = []
+        for word, own in zip(words, columns, strict=True):
+            ids, path, end = np.concatenate(own), [], len(word)
+            while end:
+                i = int(ids[end - 1])
+                path.extend([i] if i >= 0 else reversed(self._spell(word[end - 1])))
+                end -= int(self.size[i]) if i >= 0 else 1
+            out.append(path[::-1])
+        return out
 
     def _spelled(self, words: list[str], back: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where a character is in no piece, paths are spelled one by one."""
@@ -248,33 +315,6 @@ class Pieces:
             out.append([x for s, e in zip(cuts, cuts[1:], strict=False) for x in ([self.rank[word[s:e]][1]] if e - s > 1 else self._spell(word[s:e]))])
         return out
 
-    def merge_long(self, word: str) -> list[int]:
-        """The same merges for one long word, with a heap: time n log n."""
-        part, n = list(word), len(word)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list = []
-
-        def offer(i):
-            j = right[i]
-            if j >= 0 and (found := self.rank.get(part[i] + part[j])):
-                heapq.heappush(heap, (-found[0], i, part[i], part[j]))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = right[i]
-            if part[i] != a or j < 0 or part[j] != b:
-                continue
-            part[i], part[j] = a + b, ""
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            offer(i)
-            if left[i] >= 0:
-                offer(left[i])
-        return [x for p in part if p for x in ([self.rank[p][1]] if len(p) > 1 else self._spell(p))]
-
 
 class SentencePieceEncoder(ChunkEncoder):
     """Ids of texts; each distinct word is encoded once."""
@@ -296,12 +336,13 @@ class SentencePieceEncoder(ChunkEncoder):
             by.setdefault(len(c), []).append(i)
         size, parts = np.zeros(len(chunks), np.int64), []
         for length, at in by.items():
-            step = max(1, BATCH_CELLS // (length * 16))
+            long = length > LONG and not self.pieces.unigram
+            step = max(1, LONG_CHARS // length if long else BATCH_CELLS // (length * 16))
             for i in range(0, len(at), step):
                 own = np.array(at[i : i + step])
                 some = [chunks[j] for j in own.tolist()]
-                if length > LONG and not self.pieces.unigram:
-                    found = [self.pieces.merge_long(w) for w in some]
+                if long:
+                    found = self.pieces.long_paths(some)
                     ids, n = np.array([x for f in found for x in f], np.int64), np.array([len(f) for f in found])
                 else:
                     ids, n = self.pieces.paths(some)

@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import heapq
 import re
 import zlib
 
@@ -500,6 +501,31 @@ def test_separators_are_tokens():
     assert [e.tolist() for e in encoder.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def heap_merges(pieces, word):
+    """BPE of one word by the definition, written apart: the best pair first, the left one among equals."""
+    part, n = list(word), len(word)
+    left, right, heap = list(range(-1, n - 1)), [*range(1, n), -1], []
+
+    def offer(i):
+        if right[i] >= 0 and (found := pieces.rank.get(part[i] + part[right[i]])):
+            heapq.heappush(heap, (-found[0], i, part[i], part[right[i]]))
+
+    for i in range(n):
+        offer(i)
+    while heap:
+        _, i, a, b = heapq.heappop(heap)
+        j = right[i]
+        if part[i] != a or j < 0 or part[j] != b:
+            continue
+        part[i], part[j], right[i] = a + b, "", right[j]
+        if right[j] >= 0:
+            left[right[j]] = i
+        offer(i)
+        if left[i] >= 0:
+            offer(left[i])
+    return [x for p in part if p for x in ([pieces.rank[p][1]] if len(p) > 1 else pieces._spell(p))]
+
+
 def test_sentencepiece(spark, docs, odd):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -520,7 +546,13 @@ def test_sentencepiece(spark, docs, odd):
     words += ["".join(pieces.text[i] for i in rng.choice(ids, n)) for n in range(1, 6) for _ in range(400)] + [c * n for c in "ab\u2581\U0001f9ff" for n in range(1, 50)]
     for n in {len(w) for w in words}:
         some = [w for w in words if len(w) == n]
-        assert pieces.viterbi(some) == pieces.merges(some) == [pieces.merge_long(w) for w in some]
+        assert pieces.viterbi(some) == pieces.merges(some) == [heap_merges(pieces, w) for w in some] == pieces.long_paths(some)
+    # long words in stretches: texts without spaces, runs of one letter, random letters, characters that no piece has
+    whole = "".join(r.text for r in docs.limit(60).collect() if r.text).replace(" ", "\u2581")
+    words = [whole[i : i + n] for i, n in ((0, 257), (300, 512), (0, 20_000))] + [c * n for c in ("a", "ab", "\u2581", "\U0001f9ff", "in", "the") for n in (300, 2000)]
+    words += ["".join(rng.choice(list("aeinrstb\u2581\U0001f9ff"), n)) for n in (256, 257, 272, 513, 5000) for _ in range(3)]
+    words += ["".join(rng.choice(list("at"), 4000)), "".join(pieces.text[i] for i in rng.choice(ids, 3000))]
+    assert pieces.long_paths(words) == [heap_merges(pieces, w) for w in words]
     assert sentencepiece_decode(sentencepiece_encode(odd.limit(0), path), path).count() == 0
     model = pb.ModelProto()
     with open(path, "rb") as f:
