@@ -17,8 +17,10 @@ from tensorloom.operators import algebra, factor, reduce, restricted, spectral
 from tensorloom.operators.contract import align_links, contract, contract_and_fuse
 from tensorloom.plans import network, sites
 from tensorloom.sources import tables as S
+from tensorloom.sources.clustered import Clustered
 from tensorloom.sources.log import TensorLog
 from tensorloom.sources.shared import folder, written
+from tensorloom.streaming import both
 from tensorloom.tensor import Tensor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1007,6 +1009,36 @@ def tensor_log(spark, sf):
     return log.read(1).df.withColumn("step", F.lit("set")).unionByName(log.read().df.withColumn("step", F.lit("add")))
 
 
+# -- two streams, and files by coordinates
+
+
+def arriving(spark, t: Tensor, files: int) -> Tensor:
+    """The tensor's entries in files, read as a stream, one file a batch."""
+    path = f"{folder(spark)}/arriving-{uuid.uuid4().hex}"
+    t.df.repartition(files, *t.keys).write.parquet(path)
+    df = spark.readStream.schema(t.df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return Tensor(t.axes, df)
+
+
+@query("SELECT i, j, CAST(SUM(v * w) AS BIGINT) v FROM A JOIN B USING (r) GROUP BY 1, 2 HAVING SUM(v * w) <> 0")
+def contract_two_streams(spark, sf):
+    """Quantity by supplier and size, where both the sales and the parts arrive in batches."""
+    products = both.product_entries(arriving(spark, S.supply(spark, sf), 3), arriving(spark, S.sizes(spark, sf), 2), salts=2)
+    path = f"{folder(spark)}/products-{uuid.uuid4().hex}"
+    both.accumulate(products, f"{path}/sums", f"{path}/checkpoint").awaitTermination()
+    return both.accumulated(spark, f"{path}/sums", products.axes).df
+
+
+@query("SELECT i, r, q, v, true AS skipped FROM T WHERE i = 3 OR r BETWEEN 20 AND 40")
+def clustered_slices(spark, sf):
+    """A supplier's slice and a range of parts from files clustered by both; each opens fewer files than there are."""
+    t = S.lines(spark, sf)
+    stored_ = Clustered.write(t, f"{folder(spark)}/clustered-{uuid.uuid4().hex}", by=["i", "r"], rows=max(64, t.df.count() // 64))
+    one, some = stored_.read(i=3), stored_.read(r=(20, 40))
+    few = max(len(stored_.files(i=3)), len(stored_.files(r=(20, 40)))) < len(stored_.files())
+    return one.df.unionByName(some.df.where("i <> 3")).select("i", "r", "q", "v", F.lit(few).alias("skipped"))
+
+
 def site(spark, sf, weight: str = "v", **axes) -> Tensor:
     """A tensor of U by expressions; links are the axes whose names start with l or k."""
     named = {n: F.expr(e).cast("int").alias(n) for n, (e, _) in axes.items()}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions import blocks as B
 from tensorloom.meta import Axis
+from tensorloom.sources.shared import committed
 from tensorloom.tensor import Tensor
 
 
@@ -36,12 +37,7 @@ class TensorLog:
         return f"{self.path}/{kind}={number:08d}"
 
     def _numbers(self, kind: str) -> list[int]:
-        jvm, jsc = self.spark._jvm, self.spark.sparkContext._jsc
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = where.getFileSystem(jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(where)]
-        done = [n for n in names if n.startswith(f"{kind}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n.split("=")[1]) for n in done)
+        return committed(self.spark, self.path, kind)
 
     @property
     def version(self) -> int:

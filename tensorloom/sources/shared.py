@@ -30,3 +30,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{folder(spark)}/tensorloom/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def committed(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """The numbers of the folders `kind=<n>` below path whose write Spark has finished."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}=") and fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS")))

@@ -12,7 +12,9 @@ from tensorloom.meta import Axis
 from tensorloom.operators import algebra, factor, meet, reduce, restricted, spectral
 from tensorloom.operators.contract import contract
 from tensorloom.plans import network, sites
+from tensorloom.sources.clustered import Clustered
 from tensorloom.sources.log import TensorLog
+from tensorloom.streaming import both
 from tensorloom.tensor import Tensor
 from tests.test_tensors import array, make, make_complex, sparse
 
@@ -288,3 +290,72 @@ def test_chains(spark):
     assert np.allclose(array(twice.whole(), names), np.einsum("abcxyz,xyzdef->abcdef", whole, whole))
     with pytest.raises(ValueError):
         sites.Chain((state.sites[0], state.sites[2]))
+
+
+def test_two_streams_restarted(spark, tmp_path):
+    a, b = (Axis("i", 4), Axis("r", 5)), (Axis("r", 5), Axis("j", 3))
+    rng, want = np.random.default_rng(4), {"a": np.zeros((4, 5)), "b": np.zeros((5, 3))}
+    path = {n: str(tmp_path / n) for n in ("a", "b", "sums", "checkpoint")}
+
+    def arrive(name, schema, n):
+        rows = [(int(x) + 1, int(y) + 1, float(v)) for x, y, v in zip(*(rng.integers(0, d, n) for d in want[name].shape), rng.integers(-4, 5, n), strict=True)]
+        for x, y, v in rows:
+            want[name][x - 1, y - 1] += v
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path[name])
+
+    def run(salts):
+        streams = [Tensor(axes, spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path[n])) for n, axes, schema in (("a", a, "i int, r int, v double"), ("b", b, "r int, j int, v double"))]
+        products = both.product_entries(*streams, salts=salts)
+        both.accumulate(products, path["sums"], path["checkpoint"]).awaitTermination()
+        return array(both.accumulated(spark, path["sums"], products.axes), "ij")
+
+    assert both.accumulated(spark, path["sums"], a).df.count() == 0
+    for n in (9, 14):  # the second round starts from the checkpoint; repeated coordinates add up
+        arrive("a", "i int, r int, v double", n)
+        arrive("a", "i int, r int, v double", 3)
+        arrive("b", "r int, j int, v double", n)
+        assert np.array_equal(run(3), want["a"] @ want["b"])
+    # a batch that fails after its folder was written is run again and counts once
+    arrive("b", "r int, j int, v double", 5)
+    last = sorted((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))[-1]
+    for f in (last, last.with_name(f".{last.name}.crc")):
+        f.unlink(missing_ok=True)
+    assert np.array_equal(run(3), want["a"] @ want["b"])
+    with pytest.raises(ValueError, match="never meet"):
+        both.product_entries(*(Tensor((x,), spark.createDataFrame([], f"{x.col} int, v double")) for x in (a[0], b[1])))
+
+
+def test_two_streams_to_a_scalar(spark, tmp_path):
+    axis = (Axis("r", 5),)
+    spark.createDataFrame([(1, 2.0), (2, 3.0), (2, 1.0)], "r int, v double").write.parquet(str(tmp_path / "in"))
+    a, b = (Tensor(axis, spark.readStream.schema("r int, v double").parquet(str(tmp_path / "in"))) for _ in range(2))
+    both.accumulate(both.product_entries(a, b), str(tmp_path / "sums"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert both.accumulated(spark, str(tmp_path / "sums"), ()).df.collect()[0].v == 20.0
+    assert both.accumulated(spark, str(tmp_path / "none"), ()).df.collect()[0].v == 0.0
+
+
+@pytest.mark.parametrize("form", ["coo", "block"])
+def test_clustered_files(spark, tmp_path, form):
+    rng = np.random.default_rng(8)
+    cells = {(int(i), int(r) + 1, int(q)) for i, r, q in zip(rng.integers(1, 60, 6000), rng.integers(0, 3000, 6000), rng.integers(1, 4, 6000), strict=True)}
+    cells |= {(7, r, 1) for r in range(1, 2001)}  # a hot coordinate
+    t = Tensor.coo(spark.createDataFrame([(*c, float(n + 1)) for n, c in enumerate(sorted(cells))], "i int, r int, q int, v double"), [Axis("i", 60), Axis("r", 2**31 - 1), Axis("q", 3)])
+    t = t if form == "coo" else t.to_block(1)
+    whole = {tuple(x) for x in t.to_coo().df.select("i", "r", "q", "v").collect()}
+    kept = Clustered.write(t, str(tmp_path / "t"), by=["i", "r"], rows=100)
+    every = kept.files()
+    assert len(every) > 40 and {tuple(x) for x in kept.read().to_coo().df.select("i", "r", "q", "v").collect()} == whole
+    for at, most in (({"i": 9}, 0.5), ({"i": 7}, 0.6), ({"r": (100, 130)}, 0.5), ({"i": (3, 5), "r": (1, 400)}, 0.2), ({"i": 9, "r": 17}, 0.1), ({"i": 61}, 0.0)):
+        got = kept.read(**at)
+        span = {c: w if isinstance(w, tuple) else (w, w) for c, w in at.items()}
+        assert {tuple(x) for x in got.to_coo().df.select("i", "r", "q", "v").collect()} == {c for c in whole if all(lo <= c["ir".index(k)] <= hi for k, (lo, hi) in span.items())}
+        assert len(kept.files(**at)) <= most * len(every)
+        if most:
+            assert len(got.df.inputFiles()) == len(kept.files(**at))
+    by_i = Clustered.write(t, str(tmp_path / "hot"), by=["i"], rows=100)
+    assert len(by_i.files(i=7)) > 5  # a third of all rows takes several files
+    for wrong in ({"x": 1}, {"v": 1}):
+        with pytest.raises(ValueError, match="coordinates"):
+            kept.read(**wrong)
+    empty = Clustered.write(t.__class__(t.axes, t.df.limit(0), t.n_dense), str(tmp_path / "none"))
+    assert empty.read(i=1).df.count() == 0 and empty.read().df.count() == 0
