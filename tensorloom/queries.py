@@ -1025,7 +1025,7 @@ def contract_two_streams(spark, sf):
     """Quantity by supplier and size, where both the sales and the parts arrive in batches."""
     products = both.product_entries(arriving(spark, S.supply(spark, sf), 3), arriving(spark, S.sizes(spark, sf), 2), salts=2)
     path = f"{folder(spark)}/products-{uuid.uuid4().hex}"
-    both.accumulate(products, f"{path}/sums", f"{path}/checkpoint").awaitTermination()
+    both.accumulate(products, f"{path}/sums", f"{path}/checkpoint", spark.sparkContext.defaultParallelism).awaitTermination()
     return both.accumulated(spark, f"{path}/sums", products.axes).df
 
 

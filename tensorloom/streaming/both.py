@@ -3,6 +3,9 @@ same batch, so that each product is emitted once: dA B + A dB + dA dB."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,13 +15,33 @@ from tensorloom.meta import Axis, output_axes, shared
 from tensorloom.sources.shared import committed
 from tensorloom.tensor import Tensor, _one_row
 
+#: How both sides are kept: on disk, one store for each partition in place of four, with a bound on each executor's native memory
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The session with these settings; a stream takes a copy of them when it starts."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
 def product_entries(a: Tensor, b: Tensor, salts: int = 1) -> Tensor:
     """The products of entries of two tensors whose frames are streams, unsummed, over their shared labels.
 
     Entries add to what is there: a change is an entry with the difference, and coordinates may repeat. Both sides are state,
-    since any entry may meet a later one, so keep it in RocksDB (spark.sql.streaming.stateStore.providerClass) where it is
-    large. salts: a label's entries of `a` are split over that many tasks, and each entry of `b` is kept in all of them.
+    since any entry may meet a later one. salts: a label's entries of `a` are split over that many tasks, and each entry of `b` is kept in all of them.
     """
     if (a.form, b.form) != ("coo", "coo"):
         raise ValueError("streams are contracted by coordinates")
@@ -37,17 +60,23 @@ def product_entries(a: Tensor, b: Tensor, salts: int = 1) -> Tensor:
     return Tensor(axes, left.join(right, on).select(*[x.col for x in axes], B.mul(F.col("__v"), F.col("__w"), a.is_complex).alias("v")))
 
 
-def accumulate(products: Tensor, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+def accumulate(products: Tensor, path: str, checkpoint: str, partitions: int | None = None, state: dict[str, str] = STATE, **trigger) -> StreamingQuery:
     """Writes each batch's sums as `batch=<n>` below path. A batch that is run again after a failure takes the place of its folder,
-    so nothing counts twice. trigger: as of writeStream; what is there, then stop, by default."""
-    cols, z, path = [a.col for a in products.axes], products.is_complex, path.rstrip("/")
+    so nothing counts twice. trigger: as of writeStream; what is there, then stop, by default.
+
+    partitions: how many the state has. Each batch commits all of them and the first start of a checkpoint fixes their number, so
+    take the cores, or more where a partition's state would outgrow an executor's disk; the session's number by default. state:
+    settings of the state, in force for this stream alone. A checkpoint goes on with those that it was started with.
+    """
+    cols, z, path, spark = [a.col for a in products.axes], products.is_complex, path.rstrip("/"), products.df.sparkSession
 
     def add(batch, number):
         sums = batch.groupBy(*cols).agg(B.total(F.col("v"), z).alias("v")) if cols else _one_row(batch, products.kind)
         sums.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
 
-    stream = products.df.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
-    return stream.trigger(**(trigger or {"availableNow": True})).start()
+    stream = products.df.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
+    with _settings(spark, state | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})):
+        return stream.start()
 
 
 def accumulated(spark: SparkSession, path: str, axes: tuple[Axis, ...]) -> Tensor:

@@ -303,10 +303,13 @@ def test_two_streams_restarted(spark, tmp_path):
             want[name][x - 1, y - 1] += v
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path[name])
 
-    def run(salts):
+    def run(salts, partitions=2):
         streams = [Tensor(axes, spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path[n])) for n, axes, schema in (("a", a, "i int, r int, v double"), ("b", b, "r int, j int, v double"))]
         products = both.product_entries(*streams, salts=salts)
-        both.accumulate(products, path["sums"], path["checkpoint"]).awaitTermination()
+        before = {k: spark.conf.get(k, None) for k in (*both.STATE, "spark.sql.shuffle.partitions")}
+        both.accumulate(products, path["sums"], path["checkpoint"], partitions).awaitTermination()
+        assert before == {k: spark.conf.get(k, None) for k in before}
+        assert len(list((tmp_path / "checkpoint" / "state" / "0").glob("[0-9]*"))) == 2  # of the first start, whatever comes later
         return array(both.accumulated(spark, path["sums"], products.axes), "ij")
 
     assert both.accumulated(spark, path["sums"], a).df.count() == 0
@@ -320,7 +323,7 @@ def test_two_streams_restarted(spark, tmp_path):
     last = sorted((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))[-1]
     for f in (last, last.with_name(f".{last.name}.crc")):
         f.unlink(missing_ok=True)
-    assert np.array_equal(run(3), want["a"] @ want["b"])
+    assert np.array_equal(run(3, 5), want["a"] @ want["b"])
     with pytest.raises(ValueError, match="never meet"):
         both.product_entries(*(Tensor((x,), spark.createDataFrame([], f"{x.col} int, v double")) for x in (a[0], b[1])))
 
