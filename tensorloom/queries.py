@@ -1012,12 +1012,13 @@ def tensor_log(spark, sf):
 # -- two streams, and files by coordinates
 
 
-def arriving(spark, t: Tensor, files: int) -> Tensor:
-    """The tensor's entries in files, read as a stream, one file a batch."""
+def arriving(spark, t: Tensor, batches: int) -> Tensor:
+    """The tensor's entries in files, read as a stream in about that many batches, each of as many files as there are for it."""
     path = f"{folder(spark)}/arriving-{uuid.uuid4().hex}"
-    t.df.repartition(files, *t.keys).write.parquet(path)
-    df = spark.readStream.schema(t.df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return Tensor(t.axes, df)
+    t.df.withColumn("batch", F.pmod(F.xxhash64(*t.keys), F.lit(batches))).write.partitionBy("batch").parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())  # a list that the stream's own listing has too
+    df = spark.readStream.schema(t.df.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(path)
+    return Tensor(t.axes, df.select(*t.df.columns))
 
 
 @query("SELECT i, j, CAST(SUM(v * w) AS BIGINT) v FROM A JOIN B USING (r) GROUP BY 1, 2 HAVING SUM(v * w) <> 0")
