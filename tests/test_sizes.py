@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tensorloom import queries as Q
@@ -24,3 +26,35 @@ def test_complex_aliased_pairs_only_what_it_returns(spark):
     assert {r.i for r in rows} == {1, 2} and {r.k for r in rows} == {1, 2, 3}
     level = spark.read.parquet(*(tables(spark, "level") - before))
     assert level.agg(F.max("i"), F.max("k")).first()[:] == (2, 3)
+
+
+@pytest.fixture(scope="module")
+def crowd(spark, tmp_path_factory):
+    """Tables with so many customers that products of their counts go beyond 64 bits: (folder, R, H, customers by region)."""
+    path = str(tmp_path_factory.mktemp("crowd"))
+    segments = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    named = F.element_at(F.array(*map(F.lit, segments)), (F.col("id") % 11 % 5 + 1).cast("int"))
+    spark.range(1_000_000).select(F.col("id").alias("c_custkey"), (F.floor(F.col("id") / 13) % 25).cast("int").alias("c_nationkey"), named.alias("c_mktsegment")).write.parquet(f"{path}/customer.parquet")
+    spark.read.parquet(f"{SMALL}/nation.parquet").write.parquet(f"{path}/nation.parquet")
+    rows = spark.read.parquet(f"{path}/customer.parquet").join(spark.read.parquet(f"{path}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "c_mktsegment").count().collect()
+    d = {(r[0] + 1, segments.index(r[1]) + 1): r[2] for r in rows}
+    at = range(1, 6)
+    r = {(x, y): sum(d[x, m] * d[y, m] for m in at) for x in at for y in at}
+    h = {(x, y): sum(d[g, x] * (d[g, y] + g) for g in at) for x in at for y in at}
+    return path, r, h, {g: sum(d[g, m] for m in at) for g in at}
+
+
+def times(a, b):
+    at = range(1, 6)
+    return {(x, y): sum(a[x, k] * b[k, y] for k in at) for x in at for y in at}
+
+
+def by_place(df):
+    return {(r.x, r.y): int(r.v) for r in df.collect()}
+
+
+def test_sandwich_beyond_64_bits(spark, crowd):
+    path, r, h, _ = crowd
+    want = times(times(r, h), r)
+    assert max(want.values()) > 2**63 and by_place(Q.sandwich(spark, path)) == want
+    assert dict(Q.sandwich(spark, SMALL).dtypes)["v"] == "bigint"
