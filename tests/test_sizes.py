@@ -58,3 +58,10 @@ def test_sandwich_beyond_64_bits(spark, crowd):
     want = times(times(r, h), r)
     assert max(want.values()) > 2**63 and by_place(Q.sandwich(spark, path)) == want
     assert dict(Q.sandwich(spark, SMALL).dtypes)["v"] == "bigint"
+
+
+def test_commutator_norm_beyond_64_bits(spark, crowd):
+    path, r, h, _ = crowd
+    left, right = times(r, h), times(h, r)
+    want = math.sqrt(sum((left[k] - right[k]) ** 2 for k in left))
+    assert max(left.values()) > 2**63 and Q.commutator_norm(spark, path).first()[0] == pytest.approx(want, rel=1e-14)
