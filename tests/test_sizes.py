@@ -65,3 +65,10 @@ def test_commutator_norm_beyond_64_bits(spark, crowd):
     left, right = times(r, h), times(h, r)
     want = math.sqrt(sum((left[k] - right[k]) ** 2 for k in left))
     assert max(left.values()) > 2**63 and Q.commutator_norm(spark, path).first()[0] == pytest.approx(want, rel=1e-14)
+
+
+def test_expectation_beyond_64_bits(spark, crowd):
+    path, r, _, s = crowd
+    want = sum(s[x] * r[x, y] * s[y] for x, y in r)
+    assert want > 2**63 and [int(x.v) for x in Q.expectation(spark, path).collect()] == [want]
+    assert dict(Q.expectation(spark, SMALL).dtypes)["v"] == "bigint"
