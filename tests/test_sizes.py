@@ -72,3 +72,10 @@ def test_expectation_beyond_64_bits(spark, crowd):
     want = sum(s[x] * r[x, y] * s[y] for x, y in r)
     assert want > 2**63 and [int(x.v) for x in Q.expectation(spark, path).collect()] == [want]
     assert dict(Q.expectation(spark, SMALL).dtypes)["v"] == "bigint"
+
+
+def test_operator_product_beyond_64_bits(spark, crowd):
+    path, r, h, _ = crowd
+    want = times(r, h)
+    assert max(want.values()) > 2**63 and by_place(Q.operator_product(spark, path)) == want
+    assert dict(Q.operator_product(spark, SMALL).dtypes)["v"] == "bigint"
