@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions import blocks as B
 from tensorloom.functions.order import numbered
 from tensorloom.meta import Axis
+from tensorloom.operators.algebra import conjugate
 from tensorloom.operators.contract import contract
 from tensorloom.operators.reduce import norm
 from tensorloom.sources.shared import written
@@ -93,14 +94,65 @@ def truncate(values: DataFrame, sector: str, cutoff: float = 0.0, maxdim: int |
     return kept.join(first, sector), marked.agg(F.coalesce(F.sum(F.when(~F.col("keep"), F.col("sv") * F.col("sv"))), F.lit(0.0)).alias("discarded"))
 
 
+def _numbered(made: DataFrame, sector: str, cutoff: float, maxdim: int | None, mindim: int, bond: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of made that stay after truncation, with their number in the bond, and one row with the discarded weight."""
+    kept, discarded = truncate(made.select(sector, "k", "sv"), sector, cutoff, maxdim, mindim)
+    kept = written(kept.select(sector, "k", (F.col("offset") + F.col("k")).cast("int").alias(bond)), "numbers")
+    return made.join(kept, [sector, "k"]), discarded
+
+
+def _sector_left(t: Tensor) -> DataFrame:
+    """(sector, k, sv, u) of a block tensor (sector, r ; s, q): the left vectors and singular values of each sector's blocks side by
+    side, from triangles of at most s x s numbers: of the blocks in a batch, of FAN groups of tasks, of all."""
+    (left, _), (s, _), z = t.prefix, t.tail, t.is_complex
+    sector, number = left.col, complex if z else float
+    kind = t.df.schema[sector].dataType.simpleString()
+
+    def triangle(name, rows: np.ndarray) -> dict:
+        return {sector: name, "r": np.linalg.qr(rows, mode="r").astype(number).tobytes()}
+
+    def blocks(batches):
+        for pdf in batches:
+            made = []
+            for name, some in pdf.groupby(sector):
+                flat = lambda c: np.concatenate([np.asarray(b, float) for b in some[c]]).reshape(-1, s.dim)  # noqa: B023, E731
+                made.append(triangle(name, flat("blk") + 1j * flat("blk_im") if z else flat("blk")))
+            yield pd.DataFrame(made, columns=[sector, "r"])
+
+    def stacked(pdf: pd.DataFrame) -> np.ndarray:
+        return np.vstack([np.frombuffer(r, number).reshape(-1, s.dim) for r in pdf["r"]])
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([triangle(pdf[sector].iloc[0], stacked(pdf))])
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, values, _ = _svd(np.linalg.qr(stacked(pdf), mode="r").T)
+        return pd.DataFrame({sector: pdf[sector].iloc[0], "k": np.arange(1, len(values) + 1), "sv": values, **_vectors("u", u.T, z)})
+
+    schema = f"{sector} {kind}, r binary"
+    rows = t.expand().df.select(sector, *_apart("blk", z, array=True)).mapInPandas(blocks, schema)
+    rows = rows.groupBy(sector, (F.spark_partition_id() % FAN).alias("part")).applyInPandas(together, schema)
+    made = rows.groupBy(sector).applyInPandas(last, f"{sector} {kind}, k int, sv double, {_vector_schema(z, 'u')}")
+    return made.select(sector, "k", "sv", _back("u", z))
+
+
 def block_svd(t: Tensor, cutoff: float = 0.0, maxdim: int | None = None, mindim: int = 1, ortho: str = "left", bond: str = "bond") -> tuple[Tensor, Tensor, DataFrame, DataFrame]:
     """Factors of a block tensor (l, r ; s, t): u (l, bond ; s) and w (bond, r ; t) with u w = t but for what is truncated.
 
-    Each l is a sector, whose blocks stand side by side as one matrix. Singular values are truncated over all sectors, and the
+    Each l is a sector, whose blocks stand side by side as one matrix. With ortho "left" a sector is spread over tasks: u and the
+    values come from a tree of QR steps, and w is u* times each block. Else a sector is one task's. Singular values are truncated over all sectors, and the
     kept columns of a sector lie next to each other in the new bond. ortho: the side without them ("left": w has the values,
     "right": u, else neither). Also returns (bond, sv) and one row with the discarded weight.
     """
     (left, right), (s, q), z = t.prefix, t.tail, t.is_complex
+    one = lambda c: B.pair(c, F.lit(0.0)) if z else c
+    if ortho == "left":
+        made = written(_sector_left(t), "sectors")
+        parts, discarded = _numbered(made, left.col, cutoff, maxdim, mindim, bond)
+        parts = written(parts, "kept")  # as many rows as the bond is long
+        axis = Axis(bond, max(1, parts.count()), link=True)
+        u = Tensor((left, axis, s), parts.select(left.col, bond, F.col("u").alias("blk")), 1)
+        return u, contract(conjugate(u), t.expand(), plan="block"), parts.select(bond, "sv"), discarded
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(right.col)
@@ -113,15 +165,12 @@ def block_svd(t: Tensor, cutoff: float = 0.0, maxdim: int | None = None, mindim:
     schema = f"{left.col} {kind[left.col]}, k int, sv double, {_vector_schema(z, 'u', 'vt')}, rs array<long>"
     whole = t.expand().df.select(*t.keys, *_apart("blk", z, array=True))
     made = written(whole.groupBy(left.col).applyInPandas(run, schema).select(left.col, "k", "sv", _back("u", z), _back("vt", z), "rs"), "sectors")
-    kept, discarded = truncate(made.select(left.col, "k", "sv"), left.col, cutoff, maxdim, mindim)
-    kept = written(kept.select(left.col, "k", (F.col("offset") + F.col("k")).cast("int").alias(bond)), "kept")
-    parts = made.join(kept, [left.col, "k"])
-    one = lambda c: B.pair(c, F.lit(0.0)) if z else c
+    parts, discarded = _numbered(made, left.col, cutoff, maxdim, mindim, bond)
     sv = lambda side: one(F.lit(1.0) if side else F.col("sv"))
     u = parts.select(left.col, bond, B.scale(F.col("u"), sv(ortho != "right"), z).alias("blk"))
     cut = F.slice("vt", F.col("__i") * q.dim + 1, q.dim)
     w = parts.select(bond, "vt", "sv", F.posexplode("rs").alias("__i", right.col)).select(bond, F.col(right.col).cast(kind[right.col]), B.scale(cut, sv(ortho != "left"), z).alias("blk"))
-    axis = Axis(bond, max(1, kept.count()), link=True)
+    axis = Axis(bond, max(1, parts.count()), link=True)
     return Tensor((left, axis, s), u, 1), Tensor((axis, right, q), w, 1), parts.select(bond, "sv"), discarded
 
 

@@ -79,3 +79,13 @@ def test_operator_product_beyond_64_bits(spark, crowd):
     want = times(r, h)
     assert max(want.values()) > 2**63 and by_place(Q.operator_product(spark, path)) == want
     assert dict(Q.operator_product(spark, SMALL).dtypes)["v"] == "bigint"
+
+
+@pytest.mark.parametrize("query", [Q.block_svd, Q.complex_block_svd])
+def test_sectors_of_block_svd_are_not_gathered(spark, query):
+    """What is kept of a sector doesn't grow with its blocks: 7 numbers of each left vector, whatever the suppliers."""
+    before = tables(spark, "sectors")
+    assert all(r.exact for r in query(spark, "/root/testdata/sf0.01").collect())
+    made = spark.read.parquet(*(tables(spark, "sectors") - before))
+    widest = F.greatest(*[F.size(c) for c, kind in made.dtypes if kind.startswith("array")], F.lit(0))
+    assert made.agg(F.max(widest)).first()[0] == 7
