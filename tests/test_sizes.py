@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tensorloom import queries as Q
+from tensorloom.operators import algebra, meet
+from tensorloom.sources import tables as S
 from tensorloom.sources.shared import folder
 
 SMALL = "/root/testdata/sf0.001"
@@ -89,3 +91,25 @@ def test_sectors_of_block_svd_are_not_gathered(spark, query):
     made = spark.read.parquet(*(tables(spark, "sectors") - before))
     widest = F.greatest(*[F.size(c) for c, kind in made.dtypes if kind.startswith("array")], F.lit(0))
     assert made.agg(F.max(widest)).first()[0] == 7
+
+
+def test_large_sources_are_dealt_to_more_tasks(spark, monkeypatch):
+    """The session has 4 shuffle partitions; a table of 6000 rows takes 7 where a task takes 900."""
+    monkeypatch.setattr(meet, "ROWS", 900)
+    parts = -(-spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 900)
+    assert parts > 4
+    t, a = S.lines(spark, SMALL), S.supply(spark, SMALL)
+    for df in (t.df, a.df, t.to_block(1).df, algebra.add(a, a).df):
+        assert df.rdd.getNumPartitions() == parts
+
+
+@pytest.mark.parametrize("query", [Q.coo_contract_batch, Q.coo_block_tail, Q.block_dense_tail])
+def test_few_labels_do_not_gather_the_large_operand(spark, monkeypatch, query):
+    """A line has 7 numbers: by these, seven tasks would take all sales. The small operand goes to the large one."""
+    monkeypatch.setattr(meet, "ROWS", 900)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert query(spark, SMALL).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
