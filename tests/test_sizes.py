@@ -113,3 +113,10 @@ def test_few_labels_do_not_gather_the_large_operand(spark, monkeypatch, query):
         assert query(spark, SMALL).rdd.getNumPartitions() > 4
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_hot_labels_meet_in_blocks(spark):
+    """A supplier's 21 numbers go with each of its parts as one row."""
+    plan = Q.hot_label_contract(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join Inner, (((h") :] if "Join Inner, (((h" in plan else plan
+    assert "bb#" in join
