@@ -1,7 +1,7 @@
 """Near-duplicate vectors by sorted projection passes.
 
 A pass orders the distinct vectors lexicographically by concatenated random hashes: bits that say on which side of a random
-plane a vector lies, each plane set at the median of a bounded sample. Only these compact keys are sorted. The order is cut
+plane a vector lies, each plane set at the median of all vectors, which two counts of all of them find. Only these compact keys are sorted. The order is cut
 into windows of bounded size, at another place in each pass, and all pairs of a window are verified by cosine; what links is
 united across passes. Passes go on until a round finds next to nothing, measured against what was found after the first round:
 copies that any pass finds are united in the first round, so that they can't end the search for pairs that are hard to find. The
@@ -25,7 +25,7 @@ from tensorloom.llm.common import cut, drop, ranked
 from tensorloom.llm.components import components
 
 WINDOW, NUMBERS = 2048, 1 << 22  # vectors, and about how many numbers, of a window
-SAMPLE = 1024  # vectors for the planes' medians, whatever the corpus
+BINS = 256  # of a count of projections; the second one cuts the first one's bin again
 RECALL = 0.99
 BITS, STRIP, PAIRS = 63, 256, 1 << 16
 
@@ -125,25 +125,98 @@ def _near(x: np.ndarray, y: np.ndarray, rough: np.ndarray, cosine: float, wanted
         yield a[ok], b[ok]
 
 
-def _keys(sample: dict[int, np.ndarray], passes: range, seed: int, kind: str):
+def _projected(batch: pa.RecordBatch, passes: range, seed: int, kind: str, planes: dict):
+    """(dim, pass, rows of the batch, their projections on the pass's planes); planes keeps what was drawn."""
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims).tolist():
+        at = pa.array(np.flatnonzero(dims == dim))
+        x = _matrix(batch.column("v").take(at), dim, kind).astype(np.float32)
+        for p in passes:
+            if (dim, p) not in planes:
+                r = np.random.default_rng([seed, dim, p]).standard_normal((dim, BITS)).astype(np.float32)
+                planes[dim, p] = r / np.sqrt((r * r).sum(axis=0))  # projections lie from -1 to 1
+            yield dim, p, at, x @ planes[dim, p]
+
+
+HELD = 64  # counts that a task holds
+
+
+def _counts(ranges: dict, passes: range, seed: int, kind: str):
+    """Batches of (dim, v) -> (dim, pass, counts): of each plane, how many vectors project below its range (low, width), into
+    each bin of it, and above. Only lengths in ranges; others have no row."""
+
+    def flushed(held: dict):
+        for (dim, p), counts in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([p], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["dim", "pass", "counts"])
+
+    def run(batches):
+        planes, held, edge = {}, {}, np.arange(BITS) * (BINS + 2)
+        for batch in batches:
+            batch = batch.filter(pa.array(np.isin(batch.column("dim").to_numpy(), list({dim for dim, _ in ranges}))))
+            for dim, p, _, y in _projected(batch, passes, seed, kind, planes):
+                low, width = ranges[dim, p]
+                place = np.clip(np.floor((y - low) * (BINS / width)) + 1, 0, BINS + 1).astype(np.int64) + edge
+                if (dim, p) not in held and len(held) >= HELD:
+                    yield from flushed(held)
+                    held = {}
+                held[dim, p] = held.get((dim, p), 0) + np.bincount(place.ravel(), minlength=BITS * (BINS + 2))
+            if len(planes) > HELD:
+                planes.clear()
+        yield from flushed(held)
+
+    return run
+
+
+def _added(batches):
+    """Counts sorted by (dim, pass) -> their sums."""
+    held, now = None, None
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([held.tobytes()], pa.binary())], ["dim", "pass", "counts"])
+    for batch in batches:
+        for *key, counts in zip(*(batch.column(c).to_pylist() for c in ("dim", "pass", "counts")), strict=True):
+            counts = np.frombuffer(counts, np.int64)
+            if now is not None and now != key:
+                yield row()
+                held = None
+            held, now = counts if held is None else held + counts, key
+    if now is not None:
+        yield row()
+
+
+def _bins(batches):
+    """Summed counts -> (dim, pass, bins): the bin of each plane that holds its median."""
+    for batch in _added(batches):
+        counts = np.frombuffer(batch.column("counts")[0].as_py(), np.int64).reshape(BITS, -1)
+        half = (counts.sum(axis=1) + 1) // 2
+        bins = (counts.cumsum(axis=1) >= half[:, None]).argmax(axis=1) - 1
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([np.clip(bins, 0, BINS - 1).tolist()], pa.list_(pa.int32()))], ["dim", "pass", "bins"])
+
+
+def _middles(entries: DataFrame, dims: list[int], passes: range, seed: int, kind: str) -> dict:
+    """(dim, pass) -> the medians of all vectors' projections on the pass's planes, to 2 / BINS ** 2. Every vector of the lengths
+    in dims is counted, twice; of each length and pass the driver has one number a plane."""
+    ranges = {(dim, p): (np.full(BITS, -1.0), np.full(BITS, 2.0)) for dim in dims for p in passes}
+    for _ in range(2 if dims else 0):
+        schema, keys = "dim int, pass int, counts binary", ["dim", "pass"]
+        counts = entries.select("dim", "v").mapInArrow(_counts(ranges, passes, seed, kind), schema)
+        found = counts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_bins, "dim int, pass int, bins array<int>").collect()
+        for row in found:
+            low, width = ranges[row.dim, row["pass"]]
+            ranges[row.dim, row["pass"]] = low + np.array(row.bins) * (width / BINS), width / BINS
+    return {key: low + width / 2 for key, (low, width) in ranges.items()}
+
+
+def _keys(middles: dict, passes: range, seed: int, kind: str):
     """Batches of (node, h1, dim, v) -> (pass, dim, key, node, h1)."""
 
     def run(batches):
         planes: dict = {}
         for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims).tolist():
-                at = pa.array(np.flatnonzero(dims == dim))
-                x, n = _matrix(batch.column("v").take(at), dim, kind).astype(np.float32), len(at)
-                for p in passes:
-                    if (dim, p) not in planes:
-                        r = np.random.default_rng([seed, dim, p]).standard_normal((dim, BITS)).astype(np.float32)
-                        seen = sample.get(dim)
-                        planes[dim, p] = r, np.median(seen @ r, axis=0) if seen is not None else np.zeros(BITS)
-                    r, middle = planes[dim, p]
-                    key = (x @ r > middle).astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                    cols = [pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(key), batch.column("node").take(at), batch.column("h1").take(at)]
-                    yield pa.RecordBatch.from_arrays(cols, ["pass", "dim", "key", "node", "h1"])
+            for dim, p, at, y in _projected(batch, passes, seed, kind, planes):
+                key = (y > middles.get((dim, p), 0.0)).astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                cols = [pa.array(np.full(len(at), p, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(key), batch.column("node").take(at), batch.column("h1").take(at)]
+                yield pa.RecordBatch.from_arrays(cols, ["pass", "dim", "key", "node", "h1"])
+            if len(planes) > HELD:
+                planes.clear()
 
     return run
 
@@ -170,16 +243,15 @@ def _merges(cosine: float, kind: str):
 def _passes(entries: DataFrame, n: int, cosine: float, window: int, recall: float, seed: int, kind: str) -> DataFrame:
     """(node, comp) of the entries that link; see the module."""
     spark = entries.sparkSession
-    seen: dict[int, list] = {}
-    for row in entries.select("dim", "v", "h1").orderBy("h1").limit(SAMPLE).collect():
-        seen.setdefault(row.dim, []).append(bytes(row.v))
-    sample = {dim: _matrix(pa.array(vs, pa.binary()), dim, kind).astype(np.float32) for dim, vs in seen.items()}
+    # fewer vectors of a length lie in a window or two, whatever the planes
+    dims = [r.dim for r in entries.groupBy("dim").count().where(F.col("count") >= window).select("dim").collect()]  # at most n / window
     known = spark.createDataFrame([], "node long, comp long")
     base = passes_needed(n, cosine, window, recall)
     size, done, later = -(-base // 3), 0, 0
     while True:
         passes = range(done, done + size)
-        keys = entries.select("node", "h1", "dim", "v").mapInArrow(_keys(sample, passes, seed, kind), "pass int, dim int, key long, node long, h1 long")
+        middles = _middles(entries, dims if n > window else [], passes, seed, kind)
+        keys = entries.select("node", "h1", "dim", "v").mapInArrow(_keys(middles, passes, seed, kind), "pass int, dim int, key long, node long, h1 long")
         # a pass has n rows, so the number within it is the remainder
         placed = ranked(keys, ["pass", "dim", "key", "node", "h1"], "rank")
         shift = F.pmod(F.xxhash64("pass"), F.lit(window)) if n > window else F.lit(0)
