@@ -14,15 +14,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.meta import Axis, strides
+from tensorloom.functions import blocks as B
+from tensorloom.meta import Axis, size, strides
 from tensorloom.operators.contract import contract
 from tensorloom.operators.factor import fixed_basis, runs_of_equals
+from tensorloom.operators.meet import FEW
 from tensorloom.operators.reduce import norm
 from tensorloom.sources.shared import written
 from tensorloom.tensor import Tensor
 
 WIDEST = 1024
 FAN = 16
+NUMBERS = 1 << 20  # of dense rows made at once
 
 
 @dataclass(frozen=True)
@@ -37,7 +40,15 @@ class Factors:
         return spark.createDataFrame([(i + 1, float(s)) for i, s in enumerate(self.values)], "k int, sv double")
 
     def product(self) -> Tensor:
-        """The matrix of the factors."""
+        """The matrix of the factors. Rows of one side meet a small other side, of FEW numbers, where they lie, and are blocks then."""
+        short, long = (self.left, self.right) if size(self.left.axes) <= size(self.right.axes) else (self.right, self.left)
+        if 0 < len(self.values) and size(short.axes) <= FEW:
+            m = np.zeros((len(self.values), size(short.prefix)))
+            weights = strides([a.dim for a in short.prefix])
+            for row in short.df.collect():  # at most FEW numbers
+                m[:, sum((row[c] - 1) * w for c, w in zip(short.keys, weights, strict=True))] = row.blk
+            rows = _times(long, self.values[:, None] * m)
+            return Tensor((*long.prefix, *short.prefix), rows.df, len(short.prefix))
         scaled = self.left.df.withColumn("blk", F.zip_with("blk", F.array(*map(F.lit, self.values.tolist())), lambda x, s: x * s))
         return contract(Tensor(self.left.axes, scaled, 1), self.right, plan="block")
 
@@ -111,6 +122,39 @@ def orthonormal(y: Tensor, tol: float = 1e-12) -> Tensor:
     return y
 
 
+def _tall_svd(t: Tensor, long: list[Axis], short: list[Axis], bond: str, tol: float) -> tuple[Tensor, Tensor, np.ndarray]:
+    """The vectors of the short axes and of the long ones, and the values: a row of the matrix for each coordinate of the long axes is a
+    block as wide as the short axes, a tree of QR steps gives the triangle of all rows, whose SVD has the values and the short
+    vectors, and the long ones are the rows times these."""
+    n = size(short)
+    keys = [a.col for a in long]
+    place = B.encode([F.col(a.col) for a in short], [a.dim for a in short], 0).cast("int")
+    entries = t.df.groupBy(*keys).agg(F.collect_list(F.struct(place.alias("place"), "v")).alias("blk"))
+    schema = ", ".join(f"`{c}` {t.df.schema[c].dataType.simpleString()}" for c in keys) + ", blk array<double>"
+
+    def dense(batches):
+        for batch in batches:
+            column = batch.column("blk")
+            inside, rows = column.flatten(), np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy())
+            for at in range(0, batch.num_rows, max(1, NUMBERS // n)):
+                part = (rows >= at) & (rows < at + max(1, NUMBERS // n))
+                m = np.zeros((min(batch.num_rows - at, max(1, NUMBERS // n)), n))
+                np.add.at(m, (rows[part] - at, inside.field("place").to_numpy()[part]), inside.field("v").to_numpy()[part])
+                ends = pa.array(np.arange(len(m) + 1, dtype=np.int32) * n)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(m)) for c in keys), pa.ListArray.from_arrays(ends, pa.array(m.ravel()))], [*keys, "blk"])
+
+    y = Tensor((*long, Axis(bond, n)), written(entries.mapInArrow(dense, schema), "rows"), 1)
+    _, s, vt = np.linalg.svd(_triangle(y.df, n), full_matrices=False)
+    rank = int((s > tol * s[0]).sum()) if len(s) else 0
+    s, v = s[:rank], vt[:rank].T
+    places = np.stack(np.unravel_index(np.arange(n), [a.dim for a in short], order="F"), axis=1) + 1  # blocks are column-major
+    kinds = dict(t.df.dtypes)
+    schema = ", ".join(f"`{a.col}` {kinds[a.col]}" for a in short) + ", blk array<double>"
+    rows = [(*map(int, place), row.tolist()) for place, row in zip(places, v, strict=True) if row.any()]  # at most n x n numbers
+    small = Tensor((*short, Axis(bond, max(1, rank))), t.df.sparkSession.createDataFrame(rows, schema), 1)
+    return small, _times(y, v / s) if rank else Tensor((*long, Axis(bond, 1)), y.df.limit(0), 1), s
+
+
 def full_svd(t: Tensor, rows: list[str], width: int, rounds: int = 2, tol: float = 1e-12, stable: bool = False, seed: int = 1) -> Factors:
     """The `width` largest singular values and vectors of the matrix (row axes) x (other axes), all of them if its rank is not above
     the width; real values.
@@ -118,7 +162,8 @@ def full_svd(t: Tensor, rows: list[str], width: int, rounds: int = 2, tol: float
     Columns are mixed with normal random numbers, which depend on their coordinates alone, so the product's span holds the leading
     left vectors; each further round multiplies by the matrix and its transpose and sharpens it (error falls with the power 2 * rounds
     + 1 of the ratio of left-out to kept values). Bases are made orthonormal by trees of QR steps. The small factor's SVD gives
-    the values; left and right vectors come from one product each. stable: vectors of equal values are turned to a basis that
+    the values; left and right vectors come from one product each. Where a side is no longer than the width, none of this is needed:
+    the matrix lies in rows as wide as that side, and one tree of QR steps has all of it. stable: vectors of equal values are turned to a basis that
     doesn't depend on rounding or on the order of rows (see gauge_fixed), which also fixes signs.
     """
     if not 1 <= width <= WIDEST:
@@ -132,6 +177,11 @@ def full_svd(t: Tensor, rows: list[str], width: int, rounds: int = 2, tol: float
     cols, bond = [a.col for a in right], "bond"
     while any(bond in (a.col, a.name) for a in t.axes):
         bond += "_"
+    short, long = (left, right) if size(left) <= size(right) else (right, left)
+    if size(short) <= width:
+        small, large, s = _tall_svd(t, long, short, bond, tol)
+        found = Factors(*((small, large) if short is left else (large, small)), s)
+        return gauge_fixed(found) if stable else found
     share = lambda k, part: (F.shiftrightunsigned(F.xxhash64(*cols, k, F.lit(seed), F.lit(part)), 11).cast("double") + 1) / 2.0**53
     # normal numbers: signs alone are too often dependent where a side is short
     drawn = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: F.sqrt(-2 * F.log(share(k, 0))) * F.cos(2 * np.pi * share(k, 1)))
