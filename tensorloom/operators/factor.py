@@ -6,6 +6,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from tensorloom.functions.order import numbered
 from tensorloom.meta import Axis
 from tensorloom.operators.algebra import conjugate
 from tensorloom.operators.contract import contract
+from tensorloom.operators.meet import dealt
 from tensorloom.operators.reduce import norm
 from tensorloom.sources.shared import written
 from tensorloom.tensor import Tensor
@@ -175,66 +177,141 @@ def block_svd(t: Tensor, cutoff: float = 0.0, maxdim: int | None = None, mindim:
     return Tensor((left, axis, s), u, 1), Tensor((axis, right, q), w, 1), parts.select(bond, "sv"), discarded
 
 
-def left_qr(t: Tensor, head: list[str], col: str, tol: float = 1e-12) -> tuple[DataFrame, DataFrame]:
-    """Thin QR of the matrix (head) x (col) by a tree: tasks factorize their rows, and triangles of some tasks together.
+def _dense(head: list[str], col: str, cols: np.ndarray, z: bool, numbers: int = 1 << 20):
+    """Batches of entries sorted by head -> (head..., blk): a row of all columns for each head, complex numbers as two. A head's entries
+    are summed, also across batches."""
+    n = len(cols)
 
-    Only triangles of col x col numbers move, and FAN of them reach the driver. Q has as many columns as the matrix has rank, up to
-    tol times the largest singular value, so dependent columns do no harm. R is upper triangular, or in steps below full
-    rank, with positive leading entries. The number of columns must be small.
+    def rows(t: pa.Table, starts: np.ndarray):
+        step = max(1, numbers // n)
+        ends = np.append(starts, t.num_rows)
+        for at in range(0, len(starts), step):
+            cut = ends[at : at + step + 1]
+            some = t.slice(cut[0], cut[-1] - cut[0])
+            v = some.column("v").to_numpy().astype(float)
+            m = np.zeros((len(cut) - 1, n), complex if z else float)
+            place = np.searchsorted(cols, some.column(col).to_numpy())
+            np.add.at(m, (np.repeat(np.arange(len(m)), np.diff(cut)), place), v + 1j * some.column("v_im").to_numpy() if z else v)
+            yield _blocks_of([t.column(c).combine_chunks().take(pa.array(cut[:-1])) for c in head], head, m)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+            new = np.ones(t.num_rows, bool)
+            new[1:] = False
+            for c in head:
+                x = t.column(c).combine_chunks()
+                new[1:] |= pc.fill_null(pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)), True).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            held = t.slice(starts[-1])  # the last head may go on in the next batch
+            if len(starts) > 1:
+                yield from rows(t.slice(0, starts[-1]), starts[:-1])
+        if held is not None:
+            yield from rows(held.combine_chunks(), np.zeros(1, np.int64))
+
+    return run
+
+
+def _blocks_of(keys: list, names: list[str], m: np.ndarray) -> pa.RecordBatch:
+    flat = np.ascontiguousarray(m).view(float)
+    ends = np.arange(len(m) + 1, dtype=np.int32) * flat.shape[1]
+    return pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))], [*names, "blk"])
+
+
+def _rows_in(batch: pa.RecordBatch, z: bool) -> np.ndarray:
+    flat = batch.column("blk").flatten().to_numpy(zero_copy_only=False).astype(float)
+    m = flat.reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
+    return m.view(complex) if z else m
+
+
+def qr_rows(t: Tensor, head: list[str], col: str, tol: float = 1e-12) -> tuple[DataFrame, np.ndarray, np.ndarray] | None:
+    """Thin QR of the matrix (head) x (col): (head..., blk) with the rows of Q, complex numbers as two; R; and the columns' names. None
+    without entries.
+
+    A row of the matrix is an array in one row of a table, which is written once; blocks along col alone have that form already. Only
+    triangles of col x col numbers move, and FAN of them reach the driver. Others' entries are dealt to tasks by head, a task for
+    each ROWS of them where the session has fewer.
     """
-    coo, z = t.to_coo().df, t.is_complex
+    z = t.is_complex
     number = complex if z else float
-    cols = sorted(r[0] for r in coo.select(col).distinct().collect())
-    at = {c: i for i, c in enumerate(cols)}
+    kinds = dict(t.df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in head) + ", blk array<double>"
+    if t.form == "block" and [a.col for a in t.tail] == [col] and set(t.keys) == set(head) and not z:
+        cols = np.arange(1, t.blksize + 1)
+        entry = lambda i: F.coalesce(F.get("blk", i), F.lit(0.0)).cast("double")
+        dense = t.df.where("blk is not null").select(*head, F.transform(F.sequence(F.lit(0), F.lit(t.blksize - 1)), entry).alias("blk"))
+    else:
+        coo = t.to_coo().df
+        found = sorted((r[col], r["count"]) for r in coo.groupBy(col).count().collect())  # a row for each column
+        cols = np.array([c for c, _ in found])
+        if not found:
+            return None
+        entries = dealt(coo.select(*head, col, *_apart("v", z)).repartition(*head), head, sum(c for _, c in found))
+        dense = entries.sortWithinPartitions(*head).mapInArrow(_dense(head, col, cols, z), schema)
+    dense = written(dense, "rows")
     n = len(cols)
 
-    def triangle(r: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"part": [0], "r": [np.linalg.qr(r, mode="r").tobytes()]})
+    def triangle(r: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([np.linalg.qr(r, mode="r").astype(number).tobytes()], pa.binary())], ["r"])
 
-    def rows(batches):
+    def first(batches):
         held = np.zeros((0, n), number)
-        names: dict = {}
-        pending = np.zeros((0, n), number)
-        for pdf in batches:
-            i = np.array([names.setdefault(h, len(names)) for h in zip(*(pdf[h] for h in head), strict=True)], np.int64)
-            pending = np.vstack([pending, np.zeros((len(names) - len(pending), n))])
-            np.add.at(pending, (i, pdf[col].map(at).to_numpy()), _numbers(pdf, z))
-            if len(names) > 4 * n + 1000:  # the last head may go on in the next batch
-                held = np.linalg.qr(np.vstack([held, np.delete(pending, i[-1], axis=0)]), mode="r")
-                last = list(names)[i[-1]]
-                pending, names = pending[i[-1] : i[-1] + 1], {last: 0}
-        if len(names):
-            yield triangle(np.vstack([held, pending]))
+        for batch in batches:
+            if batch.num_rows:
+                held = np.linalg.qr(np.vstack([held, _rows_in(batch, z)]), mode="r")
+        if len(held):
+            yield triangle(held)
 
     def together(batches):
         held = np.zeros((0, n), number)
-        for pdf in batches:
-            held = np.linalg.qr(np.vstack([held, *(np.frombuffer(r, number).reshape(-1, n) for r in pdf["r"])]), mode="r")
+        for batch in batches:
+            held = np.linalg.qr(np.vstack([held, *(np.frombuffer(r, number).reshape(-1, n) for r in batch.column("r").to_pylist())]), mode="r")
         if len(held):
             yield triangle(held)
 
-    schema = "part int, r binary"
-    local = coo.select(*head, col, *_apart("v", z)).repartition(*head).sortWithinPartitions(*head).mapInPandas(rows, schema)
-    tops = local.repartition(FAN).mapInPandas(together, schema).collect()  # at most FAN triangles
-    spark = coo.sparkSession
-    if not tops:
-        empty = coo.limit(0)
-        return empty.select(*head, F.lit(0).alias("q"), "v"), empty.select(F.lit(0).alias("q"), col, "v")
-    _, s, vt = np.linalg.svd(np.vstack([np.frombuffer(bytes(x.r), number).reshape(-1, n) for x in tops]), full_matrices=False)
+    tops = dense.select("blk").mapInArrow(first, "r binary").repartition(FAN).mapInArrow(together, "r binary").collect()  # at most FAN triangles
+    whole = np.vstack([np.zeros((0, n), number), *(np.frombuffer(bytes(x.r), number).reshape(-1, n) for x in tops)])
+    some = np.flatnonzero(np.abs(whole).max(axis=0, initial=0))  # columns without entries go
+    if not len(some):
+        return None
+    _, s, vt = np.linalg.svd(whole[:, some], full_matrices=False)
     rank = max(1, int((s > tol * s[0]).sum()))
     turn, r = np.linalg.qr(s[:rank, None] * vt[:rank])
     lead = np.abs(r) > tol * s[0]
     phase = _phases(r[np.arange(rank), lead.argmax(axis=1)])
     r, into = r * phase[:, None], np.conj(vt[:rank].T) / s[:rank] @ turn * np.conj(phase)
-    kind = dict(coo.dtypes)[col]
 
-    def table(m: np.ndarray, v: str) -> DataFrame:
-        rows = [(int(cols[c]), j + 1, float(m[c, j].real), float(m[c, j].imag)) for c in range(n) for j in range(rank) if m[c, j]]
-        made = spark.createDataFrame(rows, f"{col} {kind}, q int, re double, im double")
-        return made.select(col, "q", (B.pair(F.col("re"), F.col("im")) if z else F.col("re")).alias(v))
+    def turned(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield _blocks_of([batch.column(c) for c in head], head, _rows_in(batch, z)[:, some] @ into)
+
+    return dense.mapInArrow(turned, schema), r, cols[some]
+
 
-    q = coo.join(table(into, "__x"), col).groupBy(*head, "q").agg(B.total(B.mul(F.col("v"), F.col("__x"), z), z).alias("v"))
-    return q, table(r.T, "v").select("q", col, "v")
+def left_qr(t: Tensor, head: list[str], col: str, tol: float = 1e-12) -> tuple[DataFrame, DataFrame]:
+    """Thin QR of the matrix (head) x (col) by a tree: tasks factorize their rows, and triangles of some tasks together; see qr_rows.
+
+    Q (head, q, v) has as many columns as the matrix has rank, up to tol times the largest singular value, so dependent columns
+    do no harm. R (q, col, v) is upper triangular, or in steps below full rank, with positive leading entries. The number of columns
+    must be small.
+    """
+    z, spark = t.is_complex, t.df.sparkSession
+    found = qr_rows(t, head, col, tol)
+    if found is None:
+        empty = t.to_coo().df.limit(0)
+        return empty.select(*head, F.lit(0).alias("q"), "v"), empty.select(F.lit(0).alias("q"), col, "v")
+    rows, r, cols = found
+    kind = dict(t.to_coo().df.dtypes)[col]
+    entries = [(j + 1, int(c), float(x.real), float(x.imag)) for j, row in enumerate(r) for c, x in zip(cols, row, strict=True) if x]
+    made = spark.createDataFrame(entries, f"q int, {col} {kind}, re double, im double")
+    value = lambda at: B.pair(F.get("blk", at * 2), F.get("blk", at * 2 + 1)) if z else F.get("blk", at)
+    q = rows.select(*head, "blk", F.explode(F.sequence(F.lit(1), F.lit(len(r)))).alias("q")).select(*head, "q", value(F.col("q") - 1).alias("v"))
+    return q, made.select("q", col, (B.pair(F.col("re"), F.col("im")) if z else F.col("re")).alias("v"))
 
 
 def runs_of_equals(values: np.ndarray, tol: float) -> list[tuple[int, int]]:

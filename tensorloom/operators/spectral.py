@@ -47,7 +47,7 @@ class Factors:
             weights = strides([a.dim for a in short.prefix])
             for row in short.df.collect():  # at most FEW numbers
                 m[:, sum((row[c] - 1) * w for c, w in zip(short.keys, weights, strict=True))] = row.blk
-            rows = _times(long, self.values[:, None] * m)
+            rows = times(long, self.values[:, None] * m)
             return Tensor((*long.prefix, *short.prefix), rows.df, len(short.prefix))
         scaled = self.left.df.withColumn("blk", F.zip_with("blk", F.array(*map(F.lit, self.values.tolist())), lambda x, s: x * s))
         return contract(Tensor(self.left.axes, scaled, 1), self.right, plan="block")
@@ -95,7 +95,7 @@ def _triangle(y: DataFrame, width: int) -> np.ndarray:
     return np.zeros((0, width)) if found is None else found
 
 
-def _times(y: Tensor, m: np.ndarray) -> Tensor:
+def times(y: Tensor, m: np.ndarray) -> Tensor:
     """The blocks of y as rows, times a small matrix."""
     width, out = m.shape
     keys = y.keys
@@ -118,7 +118,7 @@ def orthonormal(y: Tensor, tol: float = 1e-12) -> Tensor:
         rank = int((s > (tol if i == 0 else 0.5) * s[0]).sum()) if len(s) and s[0] > 0 else 0
         if not rank:
             return Tensor((*y.prefix, Axis(y.tail[0].name, 1)), y.df.limit(0), 1)
-        y = _times(y, vt[:rank].T / s[:rank])
+        y = times(y, vt[:rank].T / s[:rank])
     return y
 
 
@@ -152,7 +152,7 @@ def _tall_svd(t: Tensor, long: list[Axis], short: list[Axis], bond: str, tol: fl
     schema = ", ".join(f"`{a.col}` {kinds[a.col]}" for a in short) + ", blk array<double>"
     rows = [(*map(int, place), row.tolist()) for place, row in zip(places, v, strict=True) if row.any()]  # at most n x n numbers
     small = Tensor((*short, Axis(bond, max(1, rank))), t.df.sparkSession.createDataFrame(rows, schema), 1)
-    return small, _times(y, v / s) if rank else Tensor((*long, Axis(bond, 1)), y.df.limit(0), 1), s
+    return small, times(y, v / s) if rank else Tensor((*long, Axis(bond, 1)), y.df.limit(0), 1), s
 
 
 def full_svd(t: Tensor, rows: list[str], width: int, rounds: int = 2, tol: float = 1e-12, stable: bool = False, seed: int = 1) -> Factors:
@@ -195,7 +195,7 @@ def full_svd(t: Tensor, rows: list[str], width: int, rounds: int = 2, tol: float
     # t = q x', and x = p r with r = v s u' : right vectors x v / s, left vectors q v
     _, s, vt = np.linalg.svd(_triangle(x.df, w), full_matrices=False)
     rank = int((s > tol * s[0]).sum()) if len(s) else 0
-    found = Factors(_times(q, vt[:rank].T), _times(x, vt[:rank].T / s[:rank]), s[:rank])
+    found = Factors(times(q, vt[:rank].T), times(x, vt[:rank].T / s[:rank]), s[:rank])
     return gauge_fixed(found) if stable else found
 
 
@@ -237,7 +237,7 @@ def gauge_fixed(f: Factors, tol: float = 1e-10, gap: float = 1e-10) -> Factors:
     for start, end in runs_of_equals(f.values, tol * max(1.0, f.values[0])):
         if end - start > 1:
             turn[start:end, start:end] = fixed_basis([m[start:end, start:end] for m in inner], gap)
-    left = _times(left, turn)
+    left = times(left, turn)
     left = Tensor(left.axes, written(left.df, "turned"), 1)
 
     def signed(batches):
@@ -250,7 +250,7 @@ def gauge_fixed(f: Factors, tol: float = 1e-10, gap: float = 1e-10) -> Factors:
         return held
 
     phases = np.where(_gathered(left.df, signed, sum)[0] < 0, -1.0, 1.0)
-    return Factors(_times(left, np.diag(phases)), _times(f.right, turn * phases), f.values)
+    return Factors(times(left, np.diag(phases)), times(f.right, turn * phases), f.values)
 
 
 def lanczos(t: Tensor, row: str, col: str, steps: int, tol: float = 1e-10, seed: int = 1) -> tuple[np.ndarray, Tensor]:
