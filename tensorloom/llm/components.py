@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.llm.common import cut, drop
+from tensorloom.llm.tokens import lean
 
 LINKS = "a long, b long"
 
@@ -52,7 +53,7 @@ def components(links: DataFrame) -> DataFrame:
     path. Once at most MOST links are left, one task unites them. Links to oneself and repeated links do no harm; nulls are dropped; no links give no rows.
     """
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    now = cut(links.mapInArrow(_forest, LINKS).distinct(), "links")
+    now = cut(links.mapInArrow(lean(_forest), LINKS).distinct(), "links")
     mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")))
     before = now.agg(mark).first()[0]
     while before[0] > MOST:
@@ -62,12 +63,12 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least).distinct()
         # after the partitions' own work few rows are left to contract
-        after = cut(small.mapInArrow(_forest, LINKS).distinct(), "links")
+        after = cut(small.mapInArrow(lean(_forest), LINKS).distinct(), "links")
         drop(now)
         now, mark_now = after, after.agg(mark).first()[0]
         if mark_now == before:
             break
         before = mark_now
     if 0 < before[0] <= MOST:
-        now = now.coalesce(1).mapInArrow(_forest, LINKS)
+        now = now.coalesce(1).mapInArrow(lean(_forest), LINKS)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -30,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import HOT, cut, doc_shingles, drop, with_hot
+from tensorloom.llm.common import HOT, cut, doc_shingles, drop, small_batches, with_hot
 from tensorloom.llm.components import LINKS, components, find
-from tensorloom.llm.tokens import release
+from tensorloom.llm.tokens import lean
 
 CELL_BITS = 20  # cells of the count sketch: 2 ** 20, whatever the corpus
 EDGE = 64  # shingles on one edge of the tree
@@ -60,7 +60,6 @@ def sketch(docs: DataFrame, k: int, cell_bits: int = CELL_BITS) -> np.ndarray:
     cells, per_row = 1 << cell_bits, 1 << 15
 
     def count(batches):
-        release()
         total, held, size = np.zeros(cells, np.int32), [], 0
 
         def settle():
@@ -91,7 +90,7 @@ def sketch(docs: DataFrame, k: int, cell_bits: int = CELL_BITS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([level.tobytes()], pa.binary())], ["at", "counts"])
 
     schema = "at long, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema).repartition("at").mapInArrow(merge, schema)
+    parts = docs.select("text").mapInArrow(lean(count), schema).repartition("at").mapInArrow(lean(merge), schema)
     level = np.zeros(cells, np.uint8)
     for row in parts.collect():  # 2 ** cell_bits bytes, whatever the corpus
         level[row["at"] : row["at"] + (1 << 15)] = np.frombuffer(row["counts"], np.uint8)
@@ -277,7 +276,7 @@ def _marks(nodes: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((np.uint64(1) << bit).view(np.int64))], ["w", "b"])
 
     out = np.zeros(1 << (MARK_BITS - 6), np.uint64)
-    found = nodes.mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    found = nodes.mapInArrow(lean(run), "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out[found.w.to_numpy(np.int64)] = found.b.to_numpy(np.int64).view(np.uint64)
     return out
 
@@ -292,7 +291,7 @@ def _large_clusters(buckets: DataFrame, sets: DataFrame, percent: int, order) ->
     blocks = meets.groupBy("head").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     met = meets.join(blocks, "head").withColumn("block", F.explode(F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))))
     met = met.select("head", "block", "node", F.col("node").alias("grp")).join(sets, "node").select("head", "block", "node", "grp", "seq")
-    links = cut(met.repartition("head", "block").sortWithinPartitions("head", "block").mapInArrow(_blocks(2, percent, order), LINKS), "links")
+    links = cut(met.repartition("head", "block").sortWithinPartitions("head", "block").mapInArrow(lean(_blocks(2, percent, order)), LINKS), "links")
 
     # what still lies in several components of a bucket
     comps = cut(components(links), "components")
@@ -310,7 +309,7 @@ def _large_clusters(buckets: DataFrame, sets: DataFrame, percent: int, order) ->
     as_rare = rest.where("comp <> top and (ba > 1 or bm > 1)").withColumn("a", F.explode(every("ba"))).withColumn("m", F.explode(slot("bm")))
     again = as_any.union(as_rare).select("token", "a", "m", "node", F.col("comp").alias("grp")).distinct()
     again = again.join(sets, "node").select("token", "a", "m", "node", "grp", "seq")
-    more = again.repartition("token", "a", "m").sortWithinPartitions("token", "a", "m").mapInArrow(_blocks(3, percent, order), LINKS)
+    more = again.repartition("token", "a", "m").sortWithinPartitions("token", "a", "m").mapInArrow(lean(_blocks(3, percent, order)), LINKS)
     more = cut(more, "more")
     return links.union(more)
 
@@ -320,17 +319,21 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     Sets link when 100 * intersection >= percent * union. component_id is the smallest id reachable by links, itself
     included. Null, empty and blank texts have n_shingles 0 and link with nothing. Very long texts are read
-    in pieces of a megabyte; a text's own set is held whole. Rows that repeat an id count as one
+    in pieces; a text's own set is held whole. Rows that repeat an id count as one
     document where links are followed; each row is returned. A null id keeps its row, with component_id null. Other
     columns are ignored. Hash collisions (64 bits) could change an overlap by one with a chance of about
     shingles ** 2 / 2 ** 65.
     """
+    with small_batches(docs.sparkSession):
+        return _join(docs, k, percent, id_col, text_col)
+
+
+def _join(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     level = spark.sparkContext.broadcast(sketch(docs, k))
 
     def heads(batches):
-        release()
         for batch in batches:
             rows = ([], [], [], [])
             for s in doc_shingles(batch.column("text"), k):
@@ -342,7 +345,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
                 rows[3].append(_ordered(s, level.value, CELL_BITS)[: prefix_size(n, percent)])
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), _lists(rows[3])], ["doc", "n", "s1", "s2", "prefix"])
 
-    heads_df = cut(docs.mapInArrow(heads, "doc long, n long, s1 long, s2 long, prefix array<long>"), "heads")
+    heads_df = cut(docs.mapInArrow(lean(heads), "doc long, n long, s1 long, s2 long, prefix array<long>"), "heads")
     named, alike = F.col("doc").isNotNull() & (F.col("n") > 0), ["s1", "s2"]
     slim = heads_df.select("doc", "n", *alike)
     classes = cut(slim.where(named).groupBy(*alike).agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -356,7 +359,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     cells = _hot_cells(level.value, CELL_BITS)
     hot = F.shiftrightunsigned("token", 64 - CELL_BITS).isin(cells) if cells else F.lit(False)
     starts = starts.withColumn("hot", hot).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(HOT))))
-    twice = starts.repartition("token", "salt").drop("salt").sortWithinPartitions("token").mapInArrow(_repeated, "token long, node long, np long, hot boolean")
+    twice = starts.repartition("token", "salt").drop("salt").sortWithinPartitions("token").mapInArrow(lean(_repeated), "token long, node long, np long, hot boolean")
     shared = cut(twice.select("token", "node", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")), "shared")
     drop(heads_df)
     # sets that link share `floor` of these buckets. Shared small buckets are counted pair by pair (at most FEW sets each);
@@ -384,7 +387,6 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         marks = spark.sparkContext.broadcast(_marks(nodes))
 
         def whole(batches):
-            release()
             for batch in batches:
                 # most other rows go here; the join with the clusters drops the rest
                 batch = batch.filter(batch.column("doc").is_valid())
@@ -392,7 +394,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
                 batch = batch.filter(pa.array((marks.value[word] >> bit) & np.uint64(1) == 1))
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), _lists(list(doc_shingles(batch.column("text"), k)))], ["node", "seq"])
 
-        return docs.mapInArrow(whole, "node long, seq array<long>").where("size(seq) > 0")
+        return docs.mapInArrow(lean(whole), "node long, seq array<long>").where("size(seq) > 0")
 
     order = lambda x: level.value[(x >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
 
@@ -402,7 +404,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     sized = cut(cluster.join(weight, "cluster"), "sized")
     small = sized.where(F.col("w") <= BLOCK).select("cluster", "node", F.col("node").alias("grp"))
     small = small.hint("merge").join(sets_of(small.select("node")), "node")  # grows with the corpus
-    links = cut(small.select("cluster", "node", "grp", "seq").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_blocks(1, percent, order), LINKS), "links")
+    links = cut(small.select("cluster", "node", "grp", "seq").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(lean(_blocks(1, percent, order)), LINKS), "links")
     large = sized.where(F.col("w") > BLOCK).select("node", "cluster", "w")
     # the buckets of a large cluster: each set with those it shares enough with, and the larger buckets
     meet = near.select(F.xxhash64(F.lit("near"), "a").alias("token"), F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -198,6 +198,41 @@ def test_ngram_join_hot_token(spark):
     assert all(r.component_id == (0 if r.doc_id % 3 == 0 else r.doc_id) for r in got)
 
 
+def test_ngram_join_small_batches(spark, monkeypatch):
+    # 12 MB of texts in one partition come to a worker in batches of 2 MB, and the session's own setting comes back
+    from tensorloom.llm import common
+
+    shingles = common.doc_shingles
+
+    def watched(column, k):
+        if sum(b.size for b in column.buffers() if b) > 4 << 20:
+            raise ValueError("a large batch")
+        yield from shingles(column, k)
+
+    monkeypatch.setattr(ngram_join, "doc_shingles", watched)
+    words = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.hex(F.xxhash64(i, "id")))
+    own = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = ngram_join.ngram_jaccard_join(spark.range(0, 2500, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", words).alias("text")), 4, 85).collect()
+    assert len(got) == 2500 and all(r.component_id == r.doc_id and r.n_shingles == 297 for r in got)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == own
+
+
+def test_shingles_need_little_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tensorloom.llm import common
+
+    monkeypatch.setattr(common, "_POWERS", [])
+    texts = pa.array([" ".join(f"w{i}x{j}" for j in range(500)) for i in range(1000)])
+    tracemalloc.start()
+    assert sum(len(s) for s in common.doc_shingles(texts, 4)) == 1000 * 497
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+
+
 def test_language(spark, docs, odd):
     filters = fit(docs.where(~Q.held_out()))
     got = identify(docs, filters).where(Q.held_out()).collect()
